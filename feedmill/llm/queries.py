@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedmill.llm import license_scan, url_filter
+from feedmill.llm import decontaminate, language_id, license_scan, url_filter
 from feedmill.llm.byte_bpe import encode_digests
 from feedmill.llm.common import shared_dir, table
 from feedmill.llm.token_counts import TokenCounts, piece_count, word_count
@@ -32,6 +32,23 @@ def op2_token_counts(spark, sf_dir):
     return counts.totals()
 
 
+def doc_fold(n: int):
+    """crc32 of the doc_id as text, modulo ``n``."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op4_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    prototypes = language_id.train(docs.filter(doc_fold(3) != 1))
+    found = language_id.predict(docs, prototypes, passed=["doc_id"])
+    return found.select("doc_id", F.coalesce(doc_fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op5_decontaminate(spark, sf_dir):
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op8_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
@@ -68,5 +85,5 @@ f as (
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from f where k = 1
 """
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op2_token_counts": op2_token_counts, "op8_byte_bpe": op8_byte_bpe, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_token_counts": op2_token_counts, "op4_language_id": op4_language_id, "op5_decontaminate": op5_decontaminate, "op8_byte_bpe": op8_byte_bpe, "op10_url_filter": op10_url_filter}
 ORACLES = {"op1_license_scan": license_scan.oracle_sql(), "op2_token_counts": OP2_SQL, "op10_url_filter": OP10_SQL}
