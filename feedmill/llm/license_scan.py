@@ -24,25 +24,29 @@ COPYRIGHT_LINE = r"(?im)^[ \t#*/;-]*(?:(?:copyright[ \t]+)?(?:\(c\)|©)|copyrigh
 BROADCAST_DIGESTS = 100_000
 
 
-def _words(text: Column) -> Column:
-    """Lower case without copyright lines; every run of other characters than letters, digits and line ends is one space."""
-    return F.lower(F.regexp_replace(F.regexp_replace(text, COPYRIGHT_LINE, " "), r"[^\p{L}\p{N}\n]+", " "))
+#: Every known text holds one of these in lower case, and so does every line or text that can equal one.
+GATE = ("licen", "permission", "redistribut", "software")
 
 
-def _one_spelling(words: Column) -> Column:
-    form = F.concat(F.lit(" "), F.trim(F.regexp_replace(words, "[ \n]+", " ")), F.lit(" "))
+def canonical(text: Column) -> Column:
+    """The canonical form; empty for null and for text without letters or digits."""
+    form = F.lower(F.regexp_replace(F.regexp_replace(text, COPYRIGHT_LINE, " "), r"[^\p{L}\p{N}]+", " "))
+    form = F.concat(F.lit(" "), F.trim(form), F.lit(" "))
     for a, b in EQUIVALENT:
         form = F.replace(form, F.lit(a), F.lit(b))
-    return F.trim(form)
+    return F.coalesce(F.trim(form), F.lit(""))
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form; empty for null and for text without letters or digits."""
-    return F.coalesce(_one_spelling(_words(text)), F.lit(""))
+def _gate(text: Column) -> Column:
+    low = F.lower(text)
+    return F.contains(low, F.lit(GATE[0])) | F.contains(low, F.lit(GATE[1])) | F.contains(low, F.lit(GATE[2])) | F.contains(low, F.lit(GATE[3]))
 
 
-def known_digests(spark, licenses=None) -> DataFrame:
-    rows = spark.createDataFrame(licenses or KNOWN_LICENSES, "license string, kind string, body string")
+def known_digests(spark, licenses: list[tuple[str, str, str]]) -> DataFrame:
+    for name, _, body in licenses:
+        if not any(word in body.lower() for word in GATE):
+            raise ValueError(f"a known text of {name} holds none of the words {GATE}")
+    rows = spark.createDataFrame(licenses, "license string, kind string, body string")
     return rows.select(F.col("license").alias("__license"), F.sha2(canonical(F.col("body")), 256).alias("__digest")).groupBy("__digest").agg(F.min("__license").alias("__license"))
 
 
@@ -51,40 +55,37 @@ def scan_licenses(docs: DataFrame, licenses: list[tuple[str, str, str]] | None =
     ``n_notices`` (lines that are a known licence or notice), ``notices`` (their distinct ids, sorted,
     comma-joined; empty if none) and ``canonical_sha256`` (null text: that of the empty form).
 
-    Repeated rows stay repeated; rows that share id and canonical form share their notices. Null and empty
-    texts match nothing. A text that is known as two licences gets the smaller id. An empty table gives an
-    empty table; other columns of ``docs`` are not read.
+    Repeated rows stay repeated. Null and empty texts match nothing. A text that is known as two licences
+    gets the smaller id. An empty table gives an empty table; other columns of ``docs`` are not read.
     """
+    licenses = licenses or KNOWN_LICENSES
     known = known_digests(docs.sparkSession, licenses)
-    near = (lambda df: F.broadcast(df)) if len(licenses or KNOWN_LICENSES) <= BROADCAST_DIGESTS else (lambda df: df)
-    base = docs.select(F.col(id_col).alias("__id"), _words(F.coalesce(F.col(text_col), F.lit(""))).alias("__words"))
-    base = base.select("__id", F.sha2(_one_spelling(F.col("__words")), 256).alias("__whole"), "__words")
-    lines = base.select("__id", "__whole", F.posexplode(F.split("__words", "\n")).alias("__pos", "__line")).filter("length(__line) > 2")
-    lines = lines.select("__id", "__whole", "__pos", F.sha2(_one_spelling(F.col("__line")), 256).alias("__digest"))
-    notices = lines.join(near(known), "__digest").groupBy("__id", "__whole").agg(F.count_distinct("__pos").alias("__n"), F.array_join(F.array_sort(F.collect_set("__license")), ",").alias("__notices"))
-    found = base.drop("__words").join(near(known.filter(F.col("__digest") != F.sha2(F.lit(""), 256))), F.col("__whole") == F.col("__digest"), "left")
-    found = found.select("__id", "__whole", "__license").join(notices, ["__id", "__whole"], "left")
+    near = (lambda df: F.broadcast(df)) if len(licenses) <= BROADCAST_DIGESTS else (lambda df: df)
+    base = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    lines = base.filter(_gate(F.col("__text"))).select("__id", F.xxhash64("__text").alias("__same"), F.posexplode(F.split("__text", "\n")).alias("__pos", "__line"))
+    lines = lines.filter(_gate(F.col("__line"))).select("__id", "__same", "__pos", F.sha2(canonical(F.col("__line")), 256).alias("__digest"))
+    notices = lines.join(near(known), "__digest").groupBy("__id", "__same").agg(F.count_distinct("__pos").alias("__n"), F.array_join(F.array_sort(F.collect_set("__license")), ",").alias("__notices"))
+    whole = base.select("__id", F.xxhash64("__text").alias("__same"), F.sha2(canonical(F.col("__text")), 256).alias("__digest"))
+    found = whole.join(near(known), "__digest", "left").join(notices.select(F.col("__id").alias("__i"), F.col("__same").alias("__s"), "__n", "__notices"), F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__same") == F.col("__s")), "left")
     return found.select(
         F.col("__id").alias(id_col), F.col("__license").alias("license"), F.coalesce("__n", F.lit(0)).cast("bigint").alias("n_notices"),
-        F.coalesce("__notices", F.lit("")).alias("notices"), F.col("__whole").alias("canonical_sha256"),
+        F.coalesce("__notices", F.lit("")).alias("notices"), F.col("__digest").alias("canonical_sha256"),
     )
 
 
 def oracle_sql() -> str:
     """DuckDB SQL for ``scan_licenses(documents)``."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    words = f"lower(regexp_replace(regexp_replace(coalesce(t, ''), {q(COPYRIGHT_LINE)}, ' ', 'g'), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'))"
-    one = "' ' || trim(regexp_replace(w, '[ \n]+', ' ', 'g'), ' ') || ' '"
+    form = f"' ' || trim(lower(regexp_replace(regexp_replace(t, {q(COPYRIGHT_LINE)}, ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') || ' '"
     for a, b in EQUIVALENT:
-        one = f"replace({one}, {q(a)}, {q(b)})"
+        form = f"replace({form}, {q(a)}, {q(b)})"
     values = ", ".join(f"({q(k)}, {q(body)})" for k, _, body in KNOWN_LICENSES)
     return f"""
-with known0(license, t) as (values {values}),
-known as (select sha256(trim({one}, ' ')) as digest, min(license) as license from (select license, {words} as w from known0) group by 1),
-base as (select row_number() over () as rid, doc_id, {words} as w from (select doc_id, text as t from documents)),
-whole as (select rid, doc_id, sha256(trim({one}, ' ')) as canonical_sha256 from base),
-lines as (select rid, unnest(string_split(w, chr(10))) as w from base),
-hits as (select rid, license from (select rid, sha256(trim({one}, ' ')) as digest from lines where length(w) > 2) join known using (digest)),
+with known as (select sha256(trim({form}, ' ')) as digest, min(license) as license from (values {values}) v(license, t) group by 1),
+base as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
+whole as (select rid, doc_id, sha256(trim({form}, ' ')) as canonical_sha256 from base),
+lines as (select rid, unnest(string_split(t, chr(10))) as t from base),
+hits as (select rid, license from (select rid, sha256(trim({form}, ' ')) as digest from lines) join known using (digest)),
 notices as (select rid, count(*) as n, string_agg(distinct license, ',' order by license) as ids from hits group by rid)
 select doc_id, known.license as license, coalesce(n, 0) as n_notices, coalesce(ids, '') as notices, canonical_sha256
 from whole left join known on digest = canonical_sha256 left join notices using (rid)

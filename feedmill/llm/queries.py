@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from feedmill.llm import decontaminate, language_id, license_scan, url_filter
 from feedmill.llm.byte_bpe import encode_digests
 from feedmill.llm.common import shared_dir, table
+from feedmill.llm.minhash_dedup import near_duplicates
 from feedmill.llm.token_counts import TokenCounts, piece_count, word_count
 
 #: (verdict, host, path) of op10.
@@ -32,6 +33,10 @@ def op2_token_counts(spark, sf_dir):
     return counts.totals()
 
 
+def op3_minhash_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def doc_fold(n: int):
     """crc32 of the doc_id as text, modulo ``n``."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
@@ -85,5 +90,5 @@ f as (
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from f where k = 1
 """
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op2_token_counts": op2_token_counts, "op4_language_id": op4_language_id, "op5_decontaminate": op5_decontaminate, "op8_byte_bpe": op8_byte_bpe, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_token_counts": op2_token_counts, "op3_minhash_dedup": op3_minhash_dedup, "op4_language_id": op4_language_id, "op5_decontaminate": op5_decontaminate, "op8_byte_bpe": op8_byte_bpe, "op10_url_filter": op10_url_filter}
 ORACLES = {"op1_license_scan": license_scan.oracle_sql(), "op2_token_counts": OP2_SQL, "op10_url_filter": OP10_SQL}
