@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedmill.llm import decontaminate, language_id, license_scan, url_filter
+from feedmill.llm import decontaminate, language_id, license_scan, toxicity, url_filter
 from feedmill.llm.byte_bpe import encode_digests
 from feedmill.llm.common import shared_dir, table
 from feedmill.llm.minhash_dedup import near_duplicates
@@ -54,6 +54,23 @@ def op5_decontaminate(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+#: A text is toxic from this score on.
+TOXIC_FROM = 0.3
+
+
+def labelled_documents(docs, labels):
+    """Documents with their toxic label, but for the fold that is held out."""
+    known = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    return docs.filter(doc_fold(4) != 2).select("doc_id", "text").join(known, "doc_id")
+
+
+def op7_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    machine = toxicity.train(labelled_documents(docs, table(spark, sf_dir, "labels")))
+    found = toxicity.score(docs, machine, passed=["doc_id"])
+    return found.select("doc_id", F.coalesce(doc_fold(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 def op8_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
@@ -90,5 +107,5 @@ f as (
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from f where k = 1
 """
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op2_token_counts": op2_token_counts, "op3_minhash_dedup": op3_minhash_dedup, "op4_language_id": op4_language_id, "op5_decontaminate": op5_decontaminate, "op8_byte_bpe": op8_byte_bpe, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_token_counts": op2_token_counts, "op3_minhash_dedup": op3_minhash_dedup, "op4_language_id": op4_language_id, "op5_decontaminate": op5_decontaminate, "op7_toxicity": op7_toxicity, "op8_byte_bpe": op8_byte_bpe, "op10_url_filter": op10_url_filter}
 ORACLES = {"op1_license_scan": license_scan.oracle_sql(), "op2_token_counts": OP2_SQL, "op10_url_filter": OP10_SQL}
