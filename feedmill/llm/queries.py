@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedmill.llm import decontaminate, language_id, license_scan, toxicity, url_filter
+from feedmill.llm import decontaminate, html_content, language_id, license_scan, toxicity, url_filter
+from feedmill.llm.ann_search import nearest
 from feedmill.llm.byte_bpe import encode_digests
 from feedmill.llm.common import shared_dir, table
 from feedmill.llm.minhash_dedup import near_duplicates
@@ -54,6 +55,11 @@ def op5_decontaminate(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_html_content(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return html_content.extract(pages, html_content.train(pages), passed=["page_id", "url"])
+
+
 #: A text is toxic from this score on.
 TOXIC_FROM = 0.3
 
@@ -77,6 +83,11 @@ def op8_byte_bpe(spark, sf_dir):
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_nearest_neighbours(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors.filter("vec_id % 20 = 0"), vectors, k=20)
+
+
 def op10_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
@@ -107,5 +118,5 @@ f as (
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from f where k = 1
 """
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op2_token_counts": op2_token_counts, "op3_minhash_dedup": op3_minhash_dedup, "op4_language_id": op4_language_id, "op5_decontaminate": op5_decontaminate, "op7_toxicity": op7_toxicity, "op8_byte_bpe": op8_byte_bpe, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_token_counts": op2_token_counts, "op3_minhash_dedup": op3_minhash_dedup, "op4_language_id": op4_language_id, "op5_decontaminate": op5_decontaminate, "op6_html_content": op6_html_content, "op7_toxicity": op7_toxicity, "op8_byte_bpe": op8_byte_bpe, "op9_nearest_neighbours": op9_nearest_neighbours, "op10_url_filter": op10_url_filter}
 ORACLES = {"op1_license_scan": license_scan.oracle_sql(), "op2_token_counts": OP2_SQL, "op10_url_filter": OP10_SQL}
