@@ -64,15 +64,14 @@ def op6_html_content(spark, sf_dir):
 TOXIC_FROM = 0.3
 
 
-def labelled_documents(docs, labels):
-    """Documents with their toxic label, but for the fold that is held out."""
-    known = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    return docs.filter(doc_fold(4) != 2).select("doc_id", "text").join(known, "doc_id")
+def known_labels(labels):
+    """Toxic labels, but for the fold that is held out."""
+    return labels.filter(doc_fold(4) != 2).select("doc_id", F.col("toxic").alias("label"))
 
 
 def op7_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    machine = toxicity.train(labelled_documents(docs, table(spark, sf_dir, "labels")))
+    machine = toxicity.train(docs, known_labels(table(spark, sf_dir, "labels")))
     found = toxicity.score(docs, machine, passed=["doc_id"])
     return found.select("doc_id", F.coalesce(doc_fold(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 

@@ -106,12 +106,17 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
     return m
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", most_rows: int = MOST_ROWS) -> Machine:
-    """Fit on about ``most_rows`` of the rows with a label, taken by a hash of id and label; only term places reach the driver."""
-    known = labelled.filter(F.col(label_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("string"), label_col).alias("__h"), F.col(text_col).alias("__t"), (F.col(label_col) > 0).cast("int").alias("__y"))
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", most_rows: int = MOST_ROWS) -> Machine:
+    """Fit on about ``most_rows`` of ``labels`` (id, label over 0 or not), taken by a hash of the id, and their texts in ``docs``.
+
+    The sample is what bounds the broadcast of ids to the texts, so texts are not shuffled; only term places of
+    the sampled texts reach the driver. Labels without text count as without terms only if ``docs`` has the id.
+    """
+    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg((F.max(label_col) > 0).cast("int").alias("__y"))
     count = known.count()
     if count > most_rows:
-        known = known.filter(F.pmod("__h", F.lit(1_000_003)) < int(1_000_003 * most_rows / count))
+        known = known.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_003)) < int(1_000_003 * most_rows / count))
+    texts = docs.select(F.col(id_col), F.col(text_col).alias("__t")).join(F.broadcast(known), id_col)
 
     def run(batches):
         places = _Places()
@@ -119,7 +124,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             found = [term_places(t.as_py(), places).astype(np.int32) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), batch.column(2)], ["h", "p", "y"])
 
-    got = known.mapInArrow(run, "h bigint, p array<int>, y int").toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
+    got = texts.select(F.xxhash64(F.col(id_col).cast("string"), "__t").alias("h"), "__t", "__y").mapInArrow(run, "h bigint, p array<int>, y int").toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
     rows = [np.array(p, np.int64) for p in got.column("p").to_pylist()]
     return fit(rows, np.array(got.column("y").to_pylist(), np.int64))
 
