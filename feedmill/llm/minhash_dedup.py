@@ -9,11 +9,11 @@ are dropped before pairs are formed. Candidates are confirmed by exact set sizes
 2. in each table bucket all members are held against the bucket's smallest id, links are confirmed,
    components formed;
 3. buckets whose members lie in several components are taken again: every pair across components that a
-   96-byte signature does not rule out (its share of equal bytes lies over five deviations under what the
-   threshold gives) is confirmed as well, and the components are merged.
+   192-byte signature does not rule out (its share of equal bytes lies over five deviations under what the
+   threshold gives) is confirmed as well, in the first bucket that the two share, and the components are merged.
 
 So a bucket of n copies costs about n pairs, and a candidate pair goes unconfirmed only where both ends are
-known to be connected. A pair at similarity 0.75 shares a bucket with probability 0.9997.
+known to be connected. A pair at similarity 0.75 shares a bucket with probability 0.9998.
 """
 
 from __future__ import annotations
@@ -26,10 +26,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from feedmill.llm.common import settle
 from feedmill.llm.components import components
 
-SHINGLE, M, R = 5, 16, 3
+SHINGLE, M, R = 5, 24, 4
 SIGNATURE = 2 * M * R
-#: Equal bytes of 96 that a pair at 0.75 reaches but for one in 10 million.
-LEAST_EQUAL = 48
+#: Equal bytes of 192 that a pair at 0.75 reaches but for one in a million.
+LEAST_EQUAL = 115
 WORDS_KEPT = 300_000
 
 _RNG = np.random.default_rng(20240607)
@@ -91,7 +91,7 @@ def _signed(a: np.ndarray) -> np.ndarray:
 
 
 def sign_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(__id, __n, __s1, __s2, __keys, __sig): set size, 128-bit set digest, half keys, signature bytes as longs."""
+    """(__id, __n, __s1, __s2, __keys, __sig): set size, 128-bit set digest, half keys, signature bytes, those of a half key as one int."""
 
     def run(batches):
         hashes = _WordHashes()
@@ -107,15 +107,15 @@ def sign_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 s1.append(int(_signed(_mix(s, 1).sum(dtype=np.uint64, keepdims=True))[0]))
                 s2.append(int(_signed(_mix(s, 2).sum(dtype=np.uint64, keepdims=True))[0]))
                 keys.append(_signed(half_keys(least)))
-                sig.append((_mix(least, 3) >> np.uint64(56)).astype(np.uint8).view(np.int64))
+                sig.append((_mix(least, 3) >> np.uint64(56)).astype(np.uint8).view(np.int32))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, longs), pa.array(sig, longs)],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, longs), pa.array(sig, pa.list_(pa.int32()))],
                 ["__id", "__n", "__s1", "__s2", "__keys", "__sig"],
             )
 
     source = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).alias("__text"))
-    return source.mapInArrow(run, "__id bigint, __n bigint, __s1 bigint, __s2 bigint, __keys array<bigint>, __sig array<bigint>")
+    return source.mapInArrow(run, "__id bigint, __n bigint, __s1 bigint, __s2 bigint, __keys array<bigint>, __sig array<int>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -133,8 +133,8 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 def _equal_bytes(x: str, y: str) -> Column:
     """How many bytes of two signatures are equal: the bits of every byte of their xor are folded into one."""
     folded = f"zip_with({x}, {y}, (p, q) -> p ^ q)"
-    for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
-        folded = f"transform({folded}, z -> (z | shiftrightunsigned(z, {shift})) & {mask}L)"
+    for shift, mask in ((4, 0x0F0F0F0F), (2, 0x03030303), (1, 0x01010101)):
+        folded = f"transform({folded}, z -> (z | shiftrightunsigned(z, {shift})) & {mask})"
     return F.expr(f"{SIGNATURE} - aggregate({folded}, 0, (s, z) -> s + bit_count(z))")
 
 
@@ -142,15 +142,22 @@ def _may_link(n1: str, n2: str, s1: str, s2: str) -> Column:
     return (F.least(n1, n2) * 4 >= F.greatest(n1, n2) * 3) & (_equal_bytes(s1, s2) >= LEAST_EQUAL)
 
 
+def _first_shared(i: str, j: str, x: str, y: str) -> Column:
+    """Whether (i, j) is the first table that two documents share, by their signatures."""
+    equal = lambda lo: f"array_position(zip_with(slice({x}, {lo}, {M}), slice({y}, {lo}, {M}), (p, q) -> p = q), true)"
+    return F.expr(f"{equal(1)} = {i} + 1 and {equal(M + 1)} = {j} - {M} + 1")
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Of candidate pairs (a, b) those whose full sets have 100 * intersection >= 75 * union.
 
     ``docs`` (__id, __text) are all rows; the sets are made anew from the texts of the pairs' ends only.
     """
     ends = pairs.select(F.col("a").alias("__id")).unionByName(pairs.select(F.col("b").alias("__id"))).distinct()
-    sets = settle(shingle_sets(docs.join(ends, "__id", "left_semi").select("__id", "__text")))
-    left = pairs.join(sets.select(F.col("__id").alias("a"), F.col("__set").alias("__sa")), "a")
-    both = left.join(sets.select(F.col("__id").alias("b"), F.col("__set").alias("__sb")), "b")
+    sets = settle(shingle_sets(docs.join(ends.hint("merge"), "__id", "left_semi").select("__id", "__text")))
+    # merge joins at every size: texts and sets are never broadcast
+    left = pairs.join(sets.select(F.col("__id").alias("a"), F.col("__set").alias("__sa")).hint("merge"), "a")
+    both = left.join(sets.select(F.col("__id").alias("b"), F.col("__set").alias("__sb")).hint("merge"), "b")
     common = F.size(F.array_intersect("__sa", "__sb"))
     union = F.size("__sa") + F.size("__sb") - common
     return settle(both.filter(common * 100 >= union * 75).select("a", "b"))
@@ -173,8 +180,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     halves = classes.select("rep", F.posexplode("keys").alias("i", "half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("c")).filter("c > 1").select("half")
-    mine = halves.join(shared, "half").groupBy("rep").agg(F.collect_list(F.when(F.col("i") < M, F.col("half"))).alias("x"), F.collect_list(F.when(F.col("i") >= M, F.col("half"))).alias("y"))
-    tables = settle(mine.filter("size(x) > 0 and size(y) > 0").select("rep", F.explode(F.flatten(F.transform("x", lambda p: F.transform("y", lambda q: F.xxhash64(p, q))))).alias("key")))
+    mine = halves.join(shared, "half").groupBy("rep").agg(F.collect_list(F.when(F.col("i") < M, F.struct("i", "half"))).alias("x"), F.collect_list(F.when(F.col("i") >= M, F.struct("i", "half"))).alias("y"))
+    table = lambda p: F.transform("y", lambda q: F.struct(F.xxhash64(p["half"], q["half"]).alias("key"), p["i"].cast("byte").alias("i"), q["i"].cast("byte").alias("j")))
+    tables = settle(mine.filter("size(x) > 0 and size(y) > 0").select("rep", F.explode(F.flatten(F.transform("x", table))).alias("t")).select("rep", "t.*"))
 
     buckets = tables.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("a")).filter("c > 1").select("key", "a")
     stars = tables.join(buckets, "key").filter("a <> rep").select("a", F.col("rep").alias("b")).distinct()
@@ -184,11 +192,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = components(_confirm(stars, source))
     first = settle(first)
 
-    named = tables.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    named = tables.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "i", "j", "rep", F.coalesce("component", "rep").alias("comp"))
     mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    open_ = settle(named.join(mixed, "key").join(body, "rep").select("key", "rep", "comp", "n", "sig"))
+    open_ = settle(named.join(mixed, "key").join(body, "rep").select("key", "i", "j", "rep", "comp", "n", "sig"))
     a, b = (open_.select(*[F.col(c).alias(f"{c}{s}") for c in open_.columns]) for s in "ab")
-    cross = a.join(b, (F.col("keya") == F.col("keyb")) & (F.col("compa") < F.col("compb")) & _may_link("na", "nb", "siga", "sigb"))
+    cross = a.join(b, (F.col("keya") == F.col("keyb")) & (F.col("compa") < F.col("compb")) & _first_shared("ia", "ja", "siga", "sigb") & _may_link("na", "nb", "siga", "sigb"))
     cross = cross.select(F.least("repa", "repb").alias("a"), F.greatest("repa", "repb").alias("b")).distinct()
     cross = settle(cross.join(stars, ["a", "b"], "left_anti"))
     if not cross.isEmpty():
