@@ -11,7 +11,7 @@ from feedmill.llm import language_id, toxicity
 from feedmill.llm.byte_bpe import encode_digests
 from feedmill.llm.common import settle, table
 from feedmill.llm.minhash_dedup import deduplicate
-from feedmill.llm.queries import TOXIC_FROM, doc_fold, labelled_documents
+from feedmill.llm.queries import TOXIC_FROM, doc_fold, known_labels
 
 #: A document whose best language is this far off (cosine) has none.
 LEAST_LANGUAGE_SCORE = 0.05
@@ -19,7 +19,7 @@ LEAST_LANGUAGE_SCORE = 0.05
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that score as toxic; the scorer learns from the labelled ones among ``docs``."""
-    machine = toxicity.train(labelled_documents(docs, table(spark, sf_dir, "labels")))
+    machine = toxicity.train(docs, known_labels(table(spark, sf_dir, "labels")))
     scored = toxicity.score(docs.withColumnRenamed("score", "__own_score"), machine)
     return scored.filter(F.col("score") < TOXIC_FROM).drop("score").withColumnRenamed("__own_score", "score")
 
