@@ -41,7 +41,7 @@ CTES = {
     "scored": "select * exclude (v, g), round_even(round((0.3::double * v + 0.3::double * g + 0.2::double * (negative_pct / 100) + 0.2::double * (negative_pct / 100 * v)) * 100, 9), 1) as priority_score from shares",
     "ranked": "select *, row_number() over (partition by app_id order by priority_score desc, category)::int as priority_rank from scored",
     "topwords": """select app_id, category, word, count(*) as n, row_number() over (partition by app_id, category order by count(*) desc, word)::int as rank from words
-        where length(word) > 1 and word not in """ + STOP + " group by all qualify rank <= 10",
+        where length(word) > 1 and word not in """ + STOP + " group by app_id, category, word qualify rank <= 10",
     "samples": "select app_id, primary_category as category, left(review_text, 300) as t, row_number() over (partition by app_id, primary_category order by weighted_vote_score desc, review_id) as k from classified qualify k <= 5",
     "wordlists": "select app_id, category, string_agg(word, ',' order by rank) as top_keywords, string_agg('''' || word || '''', ', ' order by rank) as quoted from topwords group by all",
     "samplelists": "select app_id, category, string_agg(t, '|' order by k) as joined, string_agg('- \"' || t || '\"', chr(10) order by k) as listed from samples group by all",
@@ -113,7 +113,8 @@ CTES |= {
     "relevance": f"""select f.*, c.text, c.patch_version, q.app_id, q.n,
         case when len(list_distinct({_TOKENS.replace('text', 'query_text')})) > 0 then len(list_intersect(list_distinct({_TOKENS.replace('text', 'query_text')}), {_TOKENS.replace('text', 'c.text')})) / len(list_distinct({_TOKENS.replace('text', 'query_text')})) else 0 end as relevance_score
       from fused f join queries q using (query_id) join chunks c using (chunk_id)""",
-    "hits": "select * exclude (rank), (row_number() over (partition by query_id order by relevance_score desc, rank) - 1)::int as rank from relevance qualify rank < 5",
+    "placed": "select * exclude (rank), (row_number() over (partition by query_id order by relevance_score desc, rank) - 1)::int as rank from relevance",
+    "hits": "select * from placed where rank < 5",
     "assessed": """select query_id, any_value(n) as n, string_agg(chunk_id, ',' order by rank) as source_ids, string_agg(chunk_id, ',' order by rank) filter (rank % 2 = 0) as rel, count(*) filter (rank % 2 = 0) as nrel,
         case when any_value(n) % 11 = 0 then 1.5 else 0.25 end as conf, case when any_value(n) % 7 = 0 then false else true end as enough from hits group by 1""",
     "gated": f"select query_id, list_element([{', '.join(map(_q, params.CATEGORIES))}], (n % 10 + 1)::int) as category from queries",
@@ -125,7 +126,7 @@ _CLUSTERS = (*_CLASSIFIED, "words", "topwords", "metrics", "trend", "shares", "s
 _NOTES = ("notes", "plain", "numbered", "lines", "sections", "cleaned", "bodies", "parts", "segments")
 _BM25 = ("chunks", "queries", "tokens", "corpus", "post", "raw", "terms", "asked", "bm25s", "bm25")
 _BOTH = (*_BM25, "distances", "vector", "merged", "fused")
-_HITS = (*_BOTH, "relevance", "hits")
+_HITS = (*_BOTH, "relevance", "placed", "hits")
 _PACKAGES = (*_HITS, "assessed", "gated", "packages")
 _BODY_JSON = "case when starts_with(response_text, '```') then array_to_string(list_slice(string_split(response_text, chr(10)), 2, -2), chr(10)) else response_text end"
 _VALIDATED = f"""
