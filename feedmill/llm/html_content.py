@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 #: Pages of the corpus that are used as labelled ones, at most about, and their longest html in characters.
 MOST_PAGES, LONGEST_SAMPLE = 40, 200_000
 #: What all sampled pages weigh together, in fixed labelled pages. Rounds, pages of a step, its size, and the pull of weights to 0.
-SAMPLE_WEIGHT, STEPS, BATCH, RATE, PULL = 12.0, 20, 10, 0.5, 0.01
+SAMPLE_WEIGHT, STEPS, BATCH, RATE, PULL = 12.0, 24, 10, 0.5, 0.004
 
 #: Tag kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -151,7 +151,7 @@ INSIDE = [
 ]
 
 
-def labelled_pages(n: int = 220, seed: int = 7) -> list[str]:
+def labelled_pages(n: int = 300, seed: int = 7) -> list[str]:
     """Labelled pages put together by chance from those parts: data-content=1 marks content, 0 what is not; an element without mark is as its parent."""
     rnd = random.Random(seed)
 
@@ -176,12 +176,16 @@ def labelled_pages(n: int = 220, seed: int = 7) -> list[str]:
             out = [f"<header>{out[0]}</header>"]
         for _ in range(rnd.randint(0 if out else 1, 7)):
             k = rnd.random()
+            if rnd.random() < 0.1:
+                links = [f"<a href=/x>{words(1, 6)}</a>" for _ in range(rnd.randint(1, 4))]
+                out.append(rnd.choice([f"<p>{links[0]}</p>", f"<ul>{''.join(f'<li>{a}</li>' for a in links)}</ul>"]))
+                continue
             out.append(
                 f"<p>{inline(1, 60)}</p>" if k < 0.6 else f"<h{rnd.randint(2, 4)}>{words(1, 5)}</h2>" if k < 0.67 else f"<ul>{''.join(f'<li>{inline(1, 12)}</li>' for _ in range(rnd.randint(1, 4)))}</ul>" if k < 0.73
                 else f"<ol>{''.join(f'<li>{words(1, 12)}</li>' for _ in range(rnd.randint(1, 4)))}</ol>" if k < 0.76 else f"<blockquote><p>{words(3, 30)}</p></blockquote>" if k < 0.8 else f"<table><tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr></table>" if k < 0.84
                 else f"<div>{inline(5, 40)}</div>" if k < 0.88 else f"<section><h2>{words(1, 4)}</h2><p>{inline(5, 40)}</p></section>" if k < 0.92 else f"<figure><img src=x><figcaption>{words(2, 8)}</figcaption></figure>" if k < 0.95 else f"<pre>{words(3, 20)}</pre>" if k < 0.97 else f"<dl><dt>{words(1, 2)}</dt><dd>{words(2, 9)}</dd></dl>"
             )
-        if rnd.random() < 0.7:
+        for _ in range(rnd.choice([0, 1, 1, 2])):
             out.insert(rnd.randint(0, len(out)), furniture(rnd.choice(INSIDE), "data-content=0"))
         return "".join(out)
 
@@ -190,7 +194,7 @@ def labelled_pages(n: int = 220, seed: int = 7) -> list[str]:
         *outer, box = CONTAINERS[i % len(CONTAINERS)].split(">")
         around = [furniture(rnd.choice(AROUND), "data-content=0") for _ in range(rnd.randint(1, 7))]
         cut = rnd.randint(0, len(around))
-        top = "".join(f"<{o}>" for o in outer)
+        top = "".join(f"<{o} data-content={int(o == 'main')}>" for o in outer)
         bottom = "".join(f"</{o.split()[0]}>" for o in reversed(outer))
         if box == "body":
             text = re.sub(r"<(h[1-4]|p|ul|ol|blockquote|table|pre|section|figure|dl|header|div)>", r"<\1 data-content=1>", "".join(f"<p>{inline(5, 60)}</p>" for _ in range(rnd.randint(1, 4))))

@@ -47,7 +47,7 @@ def test_language_held_out(spark):
 
 def test_toxicity(spark):
     filler = [f"word{chr(97 + i % 26)} plain text here" for i in range(200)]
-    rows = [(i, t + (" idiot you moron" if i % 4 == 0 else ""), int(i % 4 == 0)) for i, t in enumerate(filler)]
+    rows = [(i, t + ("" if i % 4 else " idiot" if i % 8 else " moron"), int(i % 4 == 0)) for i, t in enumerate(filler)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, score int")
     labels = docs.select("doc_id", F.col("score").alias("label")).unionByName(spark.createDataFrame([(0, None), (None, 1), (9999, 1)], "doc_id bigint, label int"))
     m = toxicity.train(docs, labels)
@@ -64,8 +64,7 @@ def test_toxicity_pairs_weigh_more():
 
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 2, 800), rng.integers(0, 2, 800)
-    places = {}
-    rows = [toxicity.term_places("filler " + "grump " * x + "blue " * y, places_ := toxicity._Places()) for x, y in zip(a, b)]
+    rows = [toxicity.term_places("filler " + "grump " * x + "blue " * y, toxicity._Places()) for x, y in zip(a, b)]
     m = toxicity.fit(rows, a * b)
     score = lambda t: m.score(toxicity.term_places(t, toxicity._Places()))
     assert score("grump blue") > 0.7 > 0.3 > max(score("grump"), score("blue"), score("filler"))
