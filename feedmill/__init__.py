@@ -1 +1,8 @@
 """Spark jobs for product feedback: review triage, release-note chunking and evidence retrieval."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Worker functions travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
