@@ -2,41 +2,12 @@
 
 from __future__ import annotations
 
-import sys
-import tempfile
-import uuid
-
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-# Worker functions travel by value, so executors need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules["feedmill"])
+from feedmill.storage import settle, shared_dir
 
-_OWN_DIR: list[str] = []
+__all__ = ["settle", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, the folder that driver and executors share.
-
-    Only where that setting is missing and Spark runs inside this one machine (tests) a temporary
-    folder stands in for it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        if not _OWN_DIR:
-            _OWN_DIR.append(tempfile.mkdtemp(prefix="feedmill-"))
-        base = _OWN_DIR[0]
-    return f"{base.rstrip('/')}/feedmill/{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
