@@ -137,7 +137,23 @@ v as (select *, case when not ok then 'json' when pc is null or pc not in {_list
   when cf is null or not (cf between 0 and 1) then 'confidence' when coalesce(length(rs), 0) < 10 then 'reasoning' end as error from x)
 """
 _TYPED = ("news", "typed", "deduped")
-_CUT = "created >= 1"
+_PAIRS = ("docs3", "firsts", "shingle", "common", "pairs")
+
+
+def _flags(source: str, *before: str) -> str:
+    """The flags of near-duplicates: the nodes of the pair graph are walked in order, each app with its list of kept ones."""
+    ctes = ",\n".join(f"{n} as ({CTES[n].replace('from reviews', f'from {source}') if n == 'docs3' else CTES[n]})" for n in (*before, *_PAIRS))
+    return f"""with recursive {ctes},
+nodes as (select app_id, pos, row_number() over (partition by app_id order by pos) as k, early from (select app_id, pos, list(first) filter (first is not null) as early from
+  (select app_id, second as pos, first from pairs union all select app_id, first, null from pairs) group by 1, 2)),
+walk as (select distinct app_id, 0::bigint as k, []::bigint[] as kept from nodes
+  union all select w.app_id, n.k, case when list_has_any(coalesce(n.early, []), w.kept) then w.kept else list_append(w.kept, n.pos) end from walk w join nodes n on n.app_id = w.app_id and n.k = w.k + 1),
+ends as (select app_id, kept from walk qualify row_number() over (partition by app_id order by k desc) = 1),
+out as (select n.app_id, n.pos from nodes n join ends e using (app_id) where not list_contains(e.kept, n.pos)
+  union all select app_id, pos from docs3 where len(s) > 0 and (app_id, pos) not in (select (app_id, pos) from firsts))
+select review_id, app_id, (app_id, pos) in (select (app_id, pos) from out) as is_near_duplicate from {source}"""
+
+
 
 ORACLES = {
     "read_review_pages": _with("reviews") + "select app_id, (pos // 300)::int as page, (row_number() over (partition by app_id, pos // 300 order by pos) - 1)::int as pos, review_id, minutes from reviews",
@@ -157,6 +173,9 @@ ORACLES = {
     "unclassified_reviews": _with("reviews", "labels") + "select review_id, app_id from reviews where not is_near_duplicate and review_id not in (select review_id from labels)",
     "classified_reviews": _with(*_CLASSIFIED) + "select review_id, app_id, voted_up, created, playtime_hours, weighted_vote_score, primary_category, second as secondary_categories, confidence, needs_review from classified",
     "near_duplicate_pairs": _with("reviews", "docs3", "firsts", "shingle", "common", "pairs") + "select app_id, first, second, round(similarity, 6) as similarity from pairs",
+    "near_duplicate_lsh": _with("reviews", *_PAIRS) + "select app_id, first, second, round(similarity, 6) as similarity from pairs",
+    "near_duplicate_flags": _flags("reviews", "reviews"),
+    "clean_pipeline": _flags("clean", "reviews", "paid", "clean"),
     "bm25_tokens": f"select item_id, array_to_string({_TOKENS}, ' ') as tokens from benchmark",
     "bm25_index_stats": _with(*_BM25[:-3]) + "select app_id, term, df, round(idf, 6) as idf from terms",
     "vector_topk": _with("chunks", "queries", "distances", "vector") + "select query_id, app_id, chunk_id, round(distance, 6) as distance, rank from vector",
