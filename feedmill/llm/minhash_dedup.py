@@ -154,10 +154,14 @@ def _may_link(n1: str, n2: str, s1: str, s2: str) -> Column:
     return (F.least(n1, n2) * 4 >= F.greatest(n1, n2) * 3) & (_equal_bytes(s1, s2) >= LEAST_EQUAL)
 
 
-def _first_shared(i: str, j: str, x: str, y: str) -> Column:
-    """Whether (i, j) is the first table that two documents share, by their signatures."""
-    equal = lambda lo: f"array_position(zip_with(slice({x}, {lo}, {M}), slice({y}, {lo}, {M}), (p, q) -> p = q), true)"
-    return F.expr(f"{equal(1)} = {i} + 1 and {equal(M + 1)} = {j} - {M} + 1")
+def _earlier(keys: str, i: str, j: str) -> Column:
+    """The half keys of both collections that come before those of table (i, j)."""
+    return F.expr(f"concat(slice({keys}, 1, {i}), slice({keys}, {M + 1}, {j} - {M}))")
+
+
+def _first_shared(x: str, y: str) -> Column:
+    """Whether a table is the first that two of its documents share: none of their earlier half keys are equal."""
+    return F.expr(f"not exists(zip_with({x}, {y}, (p, q) -> p = q), z -> z)")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -206,9 +210,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named = tables.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "i", "j", "rep", F.coalesce("component", "rep").alias("comp"))
     mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    open_ = settle(named.join(mixed, "key").join(body, "rep").select("key", "i", "j", "rep", "comp", "n", "sig"))
+    open_ = settle(named.join(mixed, "key").join(classes, "rep").select("key", "rep", "comp", "n", "sig", _earlier("keys", "i", "j").alias("earlier")))
     a, b = (open_.select(*[F.col(c).alias(f"{c}{s}") for c in open_.columns]) for s in "ab")
-    cross = a.join(b, (F.col("keya") == F.col("keyb")) & (F.col("compa") < F.col("compb")) & _first_shared("ia", "ja", "siga", "sigb") & _may_link("na", "nb", "siga", "sigb"))
+    cross = a.join(b, (F.col("keya") == F.col("keyb")) & (F.col("compa") < F.col("compb")) & _first_shared("earliera", "earlierb") & _may_link("na", "nb", "siga", "sigb"))
     cross = cross.select(F.least("repa", "repb").alias("a"), F.greatest("repa", "repb").alias("b")).distinct()
     cross = settle(cross.join(stars, ["a", "b"], "left_anti"))
     if not cross.isEmpty():

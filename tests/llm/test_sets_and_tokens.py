@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from feedmill.llm import ann_search, decontaminate, license_scan
+from feedmill.llm import ann_search, decontaminate, license_scan, minhash_dedup
 from feedmill.llm.byte_bpe import Coder, encode_documents, merge_tree, read_ranks
 from feedmill.llm.common import shared_dir
 from feedmill.llm.components import components
@@ -87,6 +87,27 @@ def test_near_duplicates_odd_rows(spark):
     assert near_duplicates(d.limit(0)).count() == 0 and deduplicate(d.limit(0)).count() == 0
 
 
+def test_near_duplicates_with_equal_bytes_of_an_unshared_half_key(spark, monkeypatch):
+    """Of the half keys of all documents only two are shared by chance; the signature bytes of the first are equal all the same."""
+    own_keys, own_signature = minhash_dedup.half_keys, minhash_dedup.signature
+
+    def keys(least):
+        out = own_keys(least) + least.sum(dtype=np.uint64)
+        out[[5, minhash_dedup.M + 7]] = 5, 7
+        return out
+
+    def signature(shingles, least):
+        out = own_signature(shingles, least)
+        out[[0, minhash_dedup.M]] = 1
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "half_keys", keys)
+    monkeypatch.setattr(minhash_dedup, "signature", signature)
+    text = " ".join(f"w{i}" for i in range(200))
+    d = spark.createDataFrame([(1, " ".join(f"u{i}" for i in range(200)), "x"), (2, text, "x"), (3, text + " end", "x")], DOCS)
+    assert {r.doc_id: r.component_id for r in near_duplicates(d).collect()} == {1: 1, 2: 2, 3: 2}
+
+
 def brute_hits(texts, items, window):
     spans = defaultdict(set)
     for i, b in items:
