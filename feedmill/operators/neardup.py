@@ -28,10 +28,10 @@ def shingles(w: Column, n: int = params.SHINGLE_WORDS) -> Column:
     return F.array_distinct(run)
 
 
-def _sets(reviews: DataFrame) -> DataFrame:
-    """(app_id, pos, s, n, same): sorted 64-bit shingle hashes and a digest of the set."""
+def _sets(reviews: DataFrame, least: int = 1) -> DataFrame:
+    """(app_id, pos, s, n, same): sorted 64-bit shingle hashes, ``least`` or more, and a digest of the set."""
     d = reviews.select("app_id", "pos", words(F.lower(F.coalesce("review_text", F.lit("")))).alias("w"))
-    d = settle(d.select("app_id", "pos", F.transform(shingles(F.col("w")), lambda x: F.xxhash64(x)).alias("s")).filter("size(s) > 0"))
+    d = settle(d.select("app_id", "pos", F.transform(shingles(F.col("w")), lambda x: F.xxhash64(x)).alias("s")).filter(F.size("s") >= least))
     return d.select("app_id", "pos", F.array_sort("s").alias("s"), F.size("s").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort("s"), lambda x: x.cast("string")), ","), 256).alias("same"))
 
 
@@ -77,11 +77,20 @@ def near_duplicate_pairs(reviews: DataFrame, t: float = params.NEAR_DUPLICATE, m
     """(app_id, first, second, similarity) of representatives of equal shingle sets, first before second.
 
     ``method`` exact finds every pair; lsh bands 128 minima and confirms what it finds. Reviews with equal
-    sets are one representative, see ``near_duplicate_flags``.
+    sets are one representative; ``near_duplicate_members`` says which it is for every review.
     """
     return _pairs(settle(_sets(reviews)), t, method)[1].select("app_id", F.col("posa").alias("first"), F.col("posb").alias("second"), "similarity")
 
 
+def near_duplicate_members(reviews: DataFrame) -> DataFrame:
+    """(app_id, pos, representative) of every review: the first pos of its app with an equal shingle set, its own
+    included; null for a text with fewer words than a shingle. With the pairs this gives the links of all reviews."""
+    sets = settle(_sets(reviews, 0).select("app_id", "pos", "n", "same"))
+    rep = sets.filter("n > 0").groupBy("app_id", "same").agg(F.min("pos").alias("representative"))
+    short = sets.filter("n = 0").select("app_id", "pos", F.lit(None).cast("bigint").alias("representative"))
+    return sets.filter("n > 0").join(rep, ["app_id", "same"]).select("app_id", "pos", "representative").unionByName(short)
+
+
 def near_duplicate_flags(reviews: DataFrame, t: float = params.NEAR_DUPLICATE, method: str = "exact") -> DataFrame:
     """``reviews`` (app_id, pos, review_text, ...) with ``is_near_duplicate``.
 

@@ -174,6 +174,7 @@ ORACLES = {
     "classified_reviews": _with(*_CLASSIFIED) + "select review_id, app_id, voted_up, created, playtime_hours, weighted_vote_score, primary_category, second as secondary_categories, confidence, needs_review from classified",
     "near_duplicate_pairs": _with("reviews", "docs3", "firsts", "shingle", "common", "pairs") + "select app_id, first, second, round(similarity, 6) as similarity from pairs",
     "near_duplicate_lsh": _with("reviews", *_PAIRS) + "select app_id, first, second, round(similarity, 6) as similarity from pairs",
+    "near_duplicate_members": _with("reviews", "docs3") + "select app_id, pos, case when len(s) > 0 then min(pos) over (partition by app_id, list_sort(s)) end as representative from docs3",
     "near_duplicate_flags": _flags("reviews", "reviews"),
     "clean_pipeline": _flags("clean", "reviews", "paid", "clean"),
     "bm25_tokens": f"select item_id, array_to_string({_TOKENS}, ' ') as tokens from benchmark",

@@ -135,6 +135,10 @@ def near_duplicate_lsh(spark, sf_dir):
     return d.select("app_id", "first", "second", F.round("similarity", 6).alias("similarity"))
 
 
+def near_duplicate_members(spark, sf_dir):
+    return neardup.near_duplicate_members(A.reviews(spark, sf_dir))
+
+
 # retrieval
 
 
@@ -338,7 +342,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         rank_clusters, read_review_pages, news_pipeline, insert_or_ignore_reviews, insert_or_ignore_classifications, upsert_chunks, load_reviews, count_reviews, load_classifications,
-        extract_review_fields, clean_reviews, retrieval_gate, sample_negative_reviews, unclassified_reviews, classified_reviews, near_duplicate_pairs, near_duplicate_flags, near_duplicate_lsh,
+        extract_review_fields, clean_reviews, retrieval_gate, sample_negative_reviews, unclassified_reviews, classified_reviews, near_duplicate_pairs, near_duplicate_flags, near_duplicate_lsh, near_duplicate_members,
         clean_pipeline, bm25_tokens, bm25_index_stats, vector_topk, bm25_topk, rrf_fusion, retriever_overlap, rerank_topn, hybrid_retrieve, evidence_packages, citation_audit, evidence_prompts,
         basic_stats, keyword_frequency, keywords_by_category, build_clusters, event_clusters, cluster_prompts, negative_review_listing, token_usage_rollup, dedup_news_by_title, classify_news_type,
         news_type_counts, feed_distribution, strip_markup, extract_image_urls, section_headers, chunk_news, split_long_text, validate_classifications, classification_run_summary, normalize_tones,

@@ -3,6 +3,8 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from feedmill.operators import clusters, neardup, reviews, stats
+from feedmill.plans.oracles import ORACLES
+from feedmill.plans.queries import QUERIES
 from feedmill.schemas import RAW_REVIEW, REVIEW_PAGE
 from feedmill.sources import pages, tables
 
@@ -77,6 +79,14 @@ def test_near_duplicate_order(spark):
     assert flags(spark, [a, b, c], parts=1) == flags(spark, [a, b, c], parts=7)
 
 
+def test_near_duplicate_members(spark):
+    texts = ["a b c d", "x y z x y z x", "A  b\nc D", "a b", None, "y z x y z x y", "a b c d"]
+    d = spark.createDataFrame([("a", i, t) for i, t in enumerate(texts)] + [("b", 9, "a b c d")], "app_id string, pos bigint, review_text string")
+    got = sorted(tuple(r) for r in neardup.near_duplicate_members(d).collect())
+    assert got == [("a", 0, 0), ("a", 1, 1), ("a", 2, 0), ("a", 3, None), ("a", 4, None), ("a", 5, 1), ("a", 6, 0), ("b", 9, 9)]
+    assert "near_duplicate_members" in QUERIES and "near_duplicate_members" in ORACLES
+
+
 def test_lsh_finds_what_exact_finds(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     d = docs.select(F.lit("a").alias("app_id"), F.col("doc_id").alias("pos"), F.col("text").alias("review_text"))
