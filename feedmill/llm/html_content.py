@@ -66,12 +66,8 @@ def parse(source: str | None):
             return
         pieces.append((stack[-1], html.unescape(raw), block))
 
-    raw_until = None
-    for m in _TOKEN.finditer(source):
-        if m.start() < at:
-            continue
-        if raw_until:
-            continue
+    # each search begins at ``at``: what stands in a script or style is no token
+    while m := _TOKEN.search(source, at):
         text(source[at : m.start()])
         at = m.end()
         if not m[2]:
@@ -109,7 +105,7 @@ def parse(source: str | None):
         stack.append(len(nodes) - 1)
         hidden += tag in HIDDEN
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
             at = end.start() if end else size
     text(source[at:])
     for i, t, _ in pieces:

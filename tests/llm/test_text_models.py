@@ -95,6 +95,16 @@ def test_main_text(model, page, has, lacks):
     assert has in got and not [w for w in lacks.split() if w in got]
 
 
+@pytest.mark.parametrize(
+    "script",
+    ["<script>for(i=0;i<n;i++){f()}</script>", "<script><!-- f()</script>", "<style>/* <!-- */ p<b</style>", "<SCRIPT>if(a<b){s='<p>'}</SCRIPT >", "<script>a<b</script x>", "<title>a<b</title>", "<script>1<c</script><script><!--</script>"],
+)
+def test_text_after_raw_elements(script):
+    page = f"<body><article><p>First.</p>{script}<p>Second.</p></article>{script}<p>Third.</p></body>"
+    nodes, pieces = html_content.parse(page)
+    assert [(nodes[i].tag, t) for i, t, _ in pieces if t.strip()] == [("p", "First."), ("p", "Second."), ("p", "Third.")]
+
+
 def test_marginals_are_exact(model):
     """Sum-product on a small tree against the sum over all labellings."""
     import itertools
