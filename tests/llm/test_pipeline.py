@@ -1,5 +1,7 @@
 """The pipeline's stages: what goes and what stays."""
 
+import random
+
 import corpus_pipeline as P
 import pytest
 from pyspark.sql import functions as F
@@ -36,6 +38,16 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in got.collect()} == kept["decontamination"] and got.columns[0] == "doc_id"
 
 
+def test_texts_in_an_unlearned_script_go(spark):
+    rnd, docs = random.Random(2), spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    word = lambda a, b: "".join(chr(rnd.randint(a, b)) for _ in range(rnd.randint(2, 8)))
+    scripts = [(0x3B1, 0x3C9), (0x430, 0x44F), (0x5D0, 0x5EA), (0x905, 0x939)]
+    rows = [(1_000_000 + i, " ".join(word(*scripts[i % 4]) for _ in range(rnd.choice([3, 10, 40, 200]))), None) for i in range(800)]
+    kept = {r.doc_id for r in P.drop_without_language(spark, docs.unionByName(spark.createDataFrame(rows, docs.schema)), "").select("doc_id").collect()}
+    assert len([i for i in kept if i >= 1_000_000]) <= 8
+    assert {r.doc_id for r in docs.filter(F.length("text") >= 40).collect()} <= kept
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_stages_take_empty_tables(spark, tmp_path, k):
     path = write(spark, tmp_path / "sf", [], [], [])
