@@ -178,6 +178,7 @@ ORACLES = {
     "near_duplicate_flags": _flags("reviews", "reviews"),
     "clean_pipeline": _flags("clean", "reviews", "paid", "clean"),
     "bm25_tokens": f"select item_id, array_to_string({_TOKENS}, ' ') as tokens from benchmark",
+    "bm25_chunk_tokens": _with("chunks", "tokens") + "select chunk_id, coalesce(array_to_string(t, ' '), '') as tokens from tokens",
     "bm25_index_stats": _with(*_BM25[:-3]) + "select app_id, term, df, round(idf, 6) as idf from terms",
     "vector_topk": _with("chunks", "queries", "distances", "vector") + "select query_id, app_id, chunk_id, round(distance, 6) as distance, rank from vector",
     "bm25_topk": _with(*_BM25) + "select query_id, app_id, chunk_id, round(score, 6) as score, rank from bm25",

@@ -147,6 +147,10 @@ def bm25_tokens(spark, sf_dir):
     return d.select("item_id", F.array_join(T.bm25_tokens(F.col("text")), " ").alias("tokens"))
 
 
+def bm25_chunk_tokens(spark, sf_dir):
+    return A.chunks(spark, sf_dir).select("chunk_id", F.array_join(T.bm25_tokens(F.coalesce("text", F.lit(""))), " ").alias("tokens"))
+
+
 def bm25_index_stats(spark, sf_dir):
     _, terms = retrieval.bm25_stats(A.chunks(spark, sf_dir))
     return terms.select("app_id", "term", "df", F.round("idf", 6).alias("idf"))
@@ -343,7 +347,7 @@ QUERIES = {
     for f in (
         rank_clusters, read_review_pages, news_pipeline, insert_or_ignore_reviews, insert_or_ignore_classifications, upsert_chunks, load_reviews, count_reviews, load_classifications,
         extract_review_fields, clean_reviews, retrieval_gate, sample_negative_reviews, unclassified_reviews, classified_reviews, near_duplicate_pairs, near_duplicate_flags, near_duplicate_lsh, near_duplicate_members,
-        clean_pipeline, bm25_tokens, bm25_index_stats, vector_topk, bm25_topk, rrf_fusion, retriever_overlap, rerank_topn, hybrid_retrieve, evidence_packages, citation_audit, evidence_prompts,
+        clean_pipeline, bm25_tokens, bm25_chunk_tokens, bm25_index_stats, vector_topk, bm25_topk, rrf_fusion, retriever_overlap, rerank_topn, hybrid_retrieve, evidence_packages, citation_audit, evidence_prompts,
         basic_stats, keyword_frequency, keywords_by_category, build_clusters, event_clusters, cluster_prompts, negative_review_listing, token_usage_rollup, dedup_news_by_title, classify_news_type,
         news_type_counts, feed_distribution, strip_markup, extract_image_urls, section_headers, chunk_news, split_long_text, validate_classifications, classification_run_summary, normalize_tones,
         extract_summaries, stream_ingest_reviews,

@@ -2,7 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedmill.functions import text as T
+from feedmill.plans import adapters as A
 from feedmill.plans.adapters import TITLES
+from feedmill.plans.queries import QUERIES
 
 
 def value(spark, text, rule):
@@ -47,6 +49,11 @@ def test_news_type(spark, title, contents, expected):
     assert d.select(T.news_type(F.col("t"), F.col("c"))).first()[0] == expected
 
 
+def test_bm25_tokens_of_every_chunk(spark):
+    sf = "/root/testdata/sf0.001"
+    assert QUERIES["bm25_chunk_tokens"](spark, sf).count() == A.chunks(spark, sf).count() > 0
+
+
 def test_bm25_tokens(spark):
     assert value(spark, "Ver.1.030 fixed co-op (lag)", T.bm25_tokens) == ["ver.1.030", "fixed", "co-op", "lag"]
 
