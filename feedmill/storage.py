@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -22,8 +23,45 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/feedmill/{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark reads; nothing if it is not there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _remove_at_end(spark: SparkSession, path: str) -> None:
+    try:
+        remove(spark, path)
+    except Exception:  # the JVM has gone before: the folder stays
+        pass
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
+    """Write ``df`` to the shared folder and read it back, which cuts its lineage; removed when the driver's program ends."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.parquet(path)
+    atexit.register(_remove_at_end, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Workspace:
+    """The intermediate tables of one job, in a folder that is removed when the ``with`` block ends.
+
+    What the block returns must not read them any more: pass it through the module's ``settle`` first.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.n = spark, shared_dir(spark), 0
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove(self.spark, self.path)
+
+    def settle(self, df: DataFrame) -> DataFrame:
+        """As the module's ``settle``, in this folder."""
+        self.n += 1
+        path = f"{self.path}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
