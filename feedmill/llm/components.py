@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from feedmill.llm.common import settle
+from feedmill.llm.common import Workspace
 
 
 def _state(edges: DataFrame):
@@ -12,22 +12,25 @@ def _state(edges: DataFrame):
     return r[0], r[1]
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, work: Workspace) -> DataFrame:
     """``links`` (a, b) of long ids, in either order; returns (node, component), the smallest id that can be reached.
 
     Only ids that have a link to another id come out; links from an id to itself and repeated links change
-    nothing. Every round is written to the shared folder, so lost executors cost one round at most. Hot ids
-    are aggregated before the shuffle; the joins back are split by Spark's skew-join handling.
+    nothing. Every round is written to ``work``, so lost executors cost one round at most; the result reads
+    the last round there. The least neighbours are aggregated before the shuffle and written, so that the
+    join back to a hot id's links has a plain shuffle on both sides, which Spark's skew-join handling splits.
     """
-    edges = settle(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = work.settle(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(edges)
     while state[0]:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(least, F.col("a") == F.col("u")).filter("b > u").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = work.settle(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")))
+        larger = edges.select(F.col("b").alias("u"), F.col("a").alias("v")).join(least, "u")
+        large = work.settle(larger.select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
         least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        small = large.join(least, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = settle(small.select("e.*").filter("a <> b").distinct())
+        beside = large.join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = least.toDF("a", "b").unionByName(beside)
+        edges = work.settle(small.filter("a <> b").distinct())
         before, state = state, _state(edges)
         if state == before:
             break

@@ -1,19 +1,22 @@
 """Near-duplicate documents by MinHash with tensored banding, confirmed on the full shingle sets.
 
-Each document gets two collections of M half keys, every half key made from R minima, that is 2 M R minima
-in all; a table key is a pair of one half key from each collection, so M * M tables of 2 R minima each come
-at about the square root of their cost. Half keys that nobody shares cannot form a shared table key, so they
-are dropped before pairs are formed. Candidates are confirmed by exact set sizes:
+Each document gets two small collections of half keys: MX of RX minima each and MY of RY minima each. A table
+key is a pair of one half key from each, so MX * MY tables of RX + RY minima come from MX * RX + MY * RY
+minima, about the root of what the tables hold, times a few. Half keys of the first collection that nobody shares cannot
+form a shared table key, so they are dropped before pairs are formed. Candidates are confirmed by exact set sizes:
 
 1. documents with equal shingle sets are one class, represented by its smallest id;
 2. in each table bucket all members are held against the bucket's smallest id, links are confirmed,
    components formed;
-3. buckets whose members lie in several components are taken again: every pair across components that a
-   384-byte signature does not rule out (its share of equal bytes lies 3.7 deviations under what the
-   threshold gives) is confirmed as well, in the first bucket that the two share, and the components are merged.
+3. first halves under which some bucket still holds several components are taken again: every two members of
+   different components that share such a half, and a second half with it, share a table; unless a signature rules them out
+   (its share of equal places lies 4 deviations under what the threshold gives), they are confirmed as well, under
+   the first half that the two share, and the components are merged.
 
 So a bucket of n copies costs about n pairs, and a candidate pair goes unconfirmed only where both ends are
-known to be connected. A pair at similarity 0.75 shares a bucket with probability 0.9998.
+known to be connected. A third step over whole table keys would carry a document MY times as often, for the same pairs:
+the first halves are long enough to be nearly as selective as the tables. A pair at similarity 0.75 shares a
+table with probability 0.9998.
 """
 
 from __future__ import annotations
@@ -23,23 +26,23 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from feedmill.llm.common import settle
+from feedmill.llm.common import Workspace, field, row_of, settle
 from feedmill.llm.components import components
 
-SHINGLE, M, R = 5, 24, 4
-#: Bytes of the signature: one for each minimum of the half keys and as many further minima.
-SIGNATURE = 4 * M * R
-#: Equal bytes of 384 that a pair at 0.75 reaches but for one in 10,000; at 0.8 all but surely.
-LEAST_EQUAL = 257
+SHINGLE = 5
+#: Half keys of the two collections, and the minima of each.
+MX, RX, MY, RY = 48, 6, 12, 2
+#: Minima of the signature: those of the half keys and some more. Two bits of each are kept.
+SIGNATURE = 384
+#: Equal places of 384 that a pair at 0.75 (expected: 312) reaches but for one in 40,000; at 0.8 all but surely.
+LEAST_EQUAL = 280
 WORDS_KEPT = 300_000
 
 _RNG = np.random.default_rng(20240607)
-_MULTIPLY = _RNG.integers(0, 2**64, (2 * M * R, 1), np.uint64) | np.uint64(1)
-_ADD = _RNG.integers(0, 2**64, (2 * M * R, 1), np.uint64)
-_MULTIPLY_32 = _RNG.integers(0, 2**32, (SIGNATURE - 2 * M * R, 1), np.uint32) | np.uint32(1)
-_ADD_32 = _RNG.integers(0, 2**32, (SIGNATURE - 2 * M * R, 1), np.uint32)
+_MULTIPLY = _RNG.integers(0, 2**32, (SIGNATURE, 1), np.uint32) | np.uint32(1)
+_ADD = _RNG.integers(0, 2**32, (SIGNATURE, 1), np.uint32)
 _PLACE = _RNG.integers(0, 2**64, SHINGLE + 1, np.uint64) | np.uint64(1)
-_FOLD = _RNG.integers(0, 2**64, R + 1, np.uint64) | np.uint64(1)
+_FOLD = _RNG.integers(0, 2**64, max(RX, RY) + 1, np.uint64) | np.uint64(1)
 
 
 def _mix(x: np.ndarray, turn: int = 0x9E3779B97F4A7C15) -> np.ndarray:
@@ -75,27 +78,29 @@ def shingle_set(text: str | None, hashes: dict) -> np.ndarray:
     return np.unique(_mix(h))
 
 
-def minima(shingles: np.ndarray, multiply: np.ndarray, add: np.ndarray) -> np.ndarray:
-    """The least value of every hash function; wide sets are taken in parts."""
+def minima(shingles: np.ndarray) -> np.ndarray:
+    """The least value of each of SIGNATURE hash functions; wide sets are taken in parts."""
+    short = (shingles >> np.uint64(32)).astype(np.uint32)
     least = None
-    for lo in range(0, len(shingles), 2048):
-        part = shingles[None, lo : lo + 2048] * multiply
-        part += add
+    for lo in range(0, len(short), 1024):
+        part = short[None, lo : lo + 1024] * _MULTIPLY
+        part += _ADD
         part = part.min(axis=1)
         least = part if least is None else np.minimum(least, part)
-    return least
+    return least.astype(np.uint64)
 
 
-def signature(shingles: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """One byte of each minimum, four to an int; those of the half keys first."""
-    more = minima((shingles >> np.uint64(32)).astype(np.uint32), _MULTIPLY_32, _ADD_32).astype(np.uint64)
-    return (_mix(np.concatenate([least, more]), 3) >> np.uint64(56)).astype(np.uint8).view(np.int32)
+def signature(least: np.ndarray) -> np.ndarray:
+    """Two bits of each minimum, 32 of them to a long."""
+    bits = (_mix(least, 3) >> np.uint64(62)).reshape(-1, 32) << np.arange(0, 64, 2, dtype=np.uint64)
+    return np.bitwise_or.reduce(bits, axis=1)
 
 
 def half_keys(least: np.ndarray) -> np.ndarray:
-    """2 M half keys; the first M are one collection, the others the second."""
-    groups = least.reshape(2 * M, R)
-    return _mix((groups * _FOLD[:R]).sum(axis=1, dtype=np.uint64) + np.arange(2 * M, dtype=np.uint64) * _FOLD[R])
+    """MX + MY half keys; the first MX are one collection, the others the second. Half keys of different places differ."""
+    first, second = least[: MX * RX].reshape(MX, RX), least[MX * RX : MX * RX + MY * RY].reshape(MY, RY)
+    folded = np.concatenate([(first * _FOLD[:RX]).sum(axis=1, dtype=np.uint64), (second * _FOLD[:RY]).sum(axis=1, dtype=np.uint64)])
+    return _mix(folded + np.arange(MX + MY, dtype=np.uint64) * _FOLD[-1])
 
 
 def _signed(a: np.ndarray) -> np.ndarray:
@@ -103,7 +108,7 @@ def _signed(a: np.ndarray) -> np.ndarray:
 
 
 def sign_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(__id, __n, __s1, __s2, __keys, __sig): set size, 128-bit set digest, half keys, signature bytes, those of a half key as one int."""
+    """(__id, __n, __s1, __s2, __keys, __sig): set size, 128-bit set digest, half keys, signature."""
 
     def run(batches):
         hashes = _WordHashes()
@@ -115,19 +120,19 @@ def sign_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 if not len(s):
                     s1.append(0), s2.append(0), keys.append(None), sig.append(None)
                     continue
-                least = minima(s, _MULTIPLY, _ADD)
+                least = minima(s)
                 s1.append(int(_signed(_mix(s, 1).sum(dtype=np.uint64, keepdims=True))[0]))
                 s2.append(int(_signed(_mix(s, 2).sum(dtype=np.uint64, keepdims=True))[0]))
                 keys.append(_signed(half_keys(least)))
-                sig.append(signature(s, least))
+                sig.append(_signed(signature(least)))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, longs), pa.array(sig, pa.list_(pa.int32()))],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, longs), pa.array(sig, longs)],
                 ["__id", "__n", "__s1", "__s2", "__keys", "__sig"],
             )
 
-    source = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).alias("__text"))
-    return source.mapInArrow(run, "__id bigint, __n bigint, __s1 bigint, __s2 bigint, __keys array<bigint>, __sig array<int>")
+    source = docs.select(field(id_col).cast("bigint").alias("__id"), field(text_col).alias("__text"))
+    return source.mapInArrow(run, "__id bigint, __n bigint, __s1 bigint, __s2 bigint, __keys array<bigint>, __sig array<bigint>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -142,41 +147,72 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "__id bigint, __set array<bigint>")
 
 
-def _equal_bytes(x: str, y: str) -> Column:
-    """How many bytes of two signatures are equal: the bits of every byte of their xor are folded into one."""
-    folded = f"zip_with({x}, {y}, (p, q) -> p ^ q)"
-    for shift, mask in ((4, 0x0F0F0F0F), (2, 0x03030303), (1, 0x01010101)):
-        folded = f"transform({folded}, z -> (z | shiftrightunsigned(z, {shift})) & {mask})"
-    return F.expr(f"{SIGNATURE} - aggregate({folded}, 0, (s, z) -> s + bit_count(z))")
-
-
 def _may_link(n1: str, n2: str, s1: str, s2: str) -> Column:
-    return (F.least(n1, n2) * 4 >= F.greatest(n1, n2) * 3) & (_equal_bytes(s1, s2) >= LEAST_EQUAL)
-
-
-def _earlier(keys: str, i: str, j: str) -> Column:
-    """The half keys of both collections that come before those of table (i, j)."""
-    return F.expr(f"concat(slice({keys}, 1, {i}), slice({keys}, {M + 1}, {j} - {M}))")
-
-
-def _first_shared(x: str, y: str) -> Column:
-    """Whether a table is the first that two of its documents share: none of their earlier half keys are equal."""
-    return F.expr(f"not exists(zip_with({x}, {y}, (p, q) -> p = q), z -> z)")
+    """Whether set sizes and signatures allow a link: places of two bits are unequal where either bit of the xor is set."""
+    unequal = []
+    for k in range(SIGNATURE // 32):
+        x = f"({s1}[{k}] ^ {s2}[{k}])"
+        unequal.append(f"bit_count(({x} | shiftrightunsigned({x}, 1)) & {0x5555555555555555}L)")
+    return (F.least(n1, n2) * 4 >= F.greatest(n1, n2) * 3) & (F.expr(" + ".join(unequal)) <= SIGNATURE - LEAST_EQUAL)
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, docs: DataFrame, work: Workspace) -> DataFrame:
     """Of candidate pairs (a, b) those whose full sets have 100 * intersection >= 75 * union.
 
     ``docs`` (__id, __text) are all rows; the sets are made anew from the texts of the pairs' ends only.
     """
     ends = pairs.select(F.col("a").alias("__id")).unionByName(pairs.select(F.col("b").alias("__id"))).distinct()
-    sets = settle(shingle_sets(docs.join(ends.hint("merge"), "__id", "left_semi").select("__id", "__text")))
+    sets = work.settle(shingle_sets(docs.join(ends.hint("merge"), "__id", "left_semi").select("__id", "__text")))
     # merge joins at every size: texts and sets are never broadcast
     left = pairs.join(sets.select(F.col("__id").alias("a"), F.col("__set").alias("__sa")).hint("merge"), "a")
     both = left.join(sets.select(F.col("__id").alias("b"), F.col("__set").alias("__sb")).hint("merge"), "b")
     common = F.size(F.array_intersect("__sa", "__sb"))
     union = F.size("__sa") + F.size("__sb") - common
-    return settle(both.filter(common * 100 >= union * 75).select("a", "b"))
+    return work.settle(both.filter(common * 100 >= union * 75).select("a", "b"))
+
+
+def _with_bodies(pairs: DataFrame, body: DataFrame) -> DataFrame:
+    for end in "ab":
+        pairs = pairs.join(body.select(F.col("rep").alias(end), F.col("n").alias(f"n{end}"), F.col("sig").alias(f"s{end}")), end)
+    return pairs
+
+
+def _star_links(halves: DataFrame, classes: DataFrame, source: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Step 2. Returns the table rows (rep, x, y) and the confirmed links of all members to their bucket's smallest."""
+    seconds = classes.select("rep", F.slice("keys", MX + 1, MY).alias("ys"))
+    tables = work.settle(halves.select("rep", "x").join(seconds, "rep").select("rep", "x", F.explode("ys").alias("y")))
+    # written, so that the join has a plain shuffle on both sides, which can be split at a hot bucket
+    buckets = work.settle(tables.groupBy("x", "y").agg(F.count("*").alias("c"), F.min("rep").alias("a")).filter("c > 1").select("x", "y", "a"))
+    stars = work.settle(tables.join(buckets, ["x", "y"]).filter("a <> rep").select("a", F.col("rep").alias("b")).distinct())
+    screened = work.settle(_with_bodies(stars, classes).filter(_may_link("na", "nb", "sa", "sb")).select("a", "b"))
+    return tables, _confirm(screened, source, work)
+
+
+def _cross_links(halves: DataFrame, tables: DataFrame, first: DataFrame, classes: DataFrame, source: DataFrame, work: Workspace) -> DataFrame | None:
+    """Step 3. The confirmed links between members of different components of a bucket; None without candidates."""
+    named = first.withColumnRenamed("node", "rep")
+    component = F.coalesce("component", "rep").alias("comp")
+    mixed = tables.join(named, "rep", "left").select("x", "y", component).groupBy("x", "y").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    mixed = mixed.filter("lo <> hi").select("x").distinct()
+    open_ = halves.join(mixed, "x", "left_semi").join(named, "rep", "left").select("x", "i", "rep", component)
+    earlier, seconds = F.expr("slice(keys, 1, i)").alias("earlier"), F.slice("keys", MX + 1, MY).alias("ys")
+    open_ = work.settle(open_.join(classes, "rep").select("x", "rep", "comp", "n", "sig", earlier, seconds))
+    a, b = (open_.select(*[F.col(c).alias(f"{c}{s}") for c in open_.columns]) for s in "ab")
+    in_table = (F.col("xa") == F.col("xb")) & F.arrays_overlap("ysa", "ysb") & ~F.arrays_overlap("earliera", "earlierb")
+    cross = a.join(b, (F.col("compa") < F.col("compb")) & _may_link("na", "nb", "siga", "sigb") & in_table)
+    cross = work.settle(cross.select(F.least("repa", "repb").alias("a"), F.greatest("repa", "repb").alias("b")).distinct())
+    return None if cross.isEmpty() else _confirm(cross, source, work)
+
+
+def _merge(first: DataFrame, links: DataFrame, work: Workspace) -> DataFrame:
+    """(node, component) after ``links`` between members of the components ``first``."""
+    of = lambda c: first.select(F.col("node").alias(f"n{c}"), F.col("component").alias(f"c{c}"))
+    named = links.join(of("a"), F.col("a") == F.col("na"), "left").join(of("b"), F.col("b") == F.col("nb"), "left")
+    bridges = named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
+    top = work.settle(components(bridges, work))
+    nodes = first.unionByName(top.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    above = top.select(F.col("node").alias("component"), F.col("component").alias("__top"))
+    return nodes.join(above, "component", "left").select("node", F.coalesce("__top", "component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,61 +223,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shingles; a text of 1 to 4 words has one shingle; null, empty and wordless texts have none and are
     linked with nothing. Ids are whole numbers. Rows that share an id are one node: what one of them is
     linked with, all are, and all have the flag of the id. A row without id stays alone: component null,
-    kept true. An empty table gives an empty table; other columns are not read.
+    kept true. An empty table gives an empty table; other columns are not read, whatever their names.
     """
-    source = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).alias("__text"))
-    signed = settle(sign_documents(docs, id_col, text_col))
-    real = signed.filter("__n > 0 and __id is not null")
-    classes = settle(real.groupBy("__s1", "__s2").agg(F.min("__id").alias("rep"), F.first("__n").alias("n"), F.first("__keys").alias("keys"), F.first("__sig").alias("sig")))
-
-    halves = classes.select("rep", F.posexplode("keys").alias("i", "half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("c")).filter("c > 1").select("half")
-    mine = halves.join(shared, "half").groupBy("rep").agg(F.collect_list(F.when(F.col("i") < M, F.struct("i", "half"))).alias("x"), F.collect_list(F.when(F.col("i") >= M, F.struct("i", "half"))).alias("y"))
-    table = lambda p: F.transform("y", lambda q: F.struct(F.xxhash64(p["half"], q["half"]).alias("key"), p["i"].cast("byte").alias("i"), q["i"].cast("byte").alias("j")))
-    tables = settle(mine.filter("size(x) > 0 and size(y) > 0").select("rep", F.explode(F.flatten(F.transform("x", table))).alias("t")).select("rep", "t.*"))
-
-    buckets = tables.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("a")).filter("c > 1").select("key", "a")
-    stars = tables.join(buckets, "key").filter("a <> rep").select("a", F.col("rep").alias("b")).distinct()
-    body = classes.select("rep", "n", "sig")
-    stars = _with_bodies(stars, body).filter(_may_link("na", "nb", "sa", "sb")).select("a", "b")
-    stars = settle(stars)
-    first = components(_confirm(stars, source))
-    first = settle(first)
-
-    named = tables.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "i", "j", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    open_ = settle(named.join(mixed, "key").join(classes, "rep").select("key", "rep", "comp", "n", "sig", _earlier("keys", "i", "j").alias("earlier")))
-    a, b = (open_.select(*[F.col(c).alias(f"{c}{s}") for c in open_.columns]) for s in "ab")
-    cross = a.join(b, (F.col("keya") == F.col("keyb")) & (F.col("compa") < F.col("compb")) & _first_shared("earliera", "earlierb") & _may_link("na", "nb", "siga", "sigb"))
-    cross = cross.select(F.least("repa", "repb").alias("a"), F.greatest("repa", "repb").alias("b")).distinct()
-    cross = settle(cross.join(stars, ["a", "b"], "left_anti"))
-    if not cross.isEmpty():
-        more = _confirm(cross, source)
-        label = lambda c: F.coalesce(F.col(f"{c}.component"), F.col(c))
-        of = lambda c: first.select(F.col("node").alias(f"n{c}"), F.col("component").alias(f"c{c}"))
-        merged = more.join(of("a"), F.col("a") == F.col("na"), "left").join(of("b"), F.col("b") == F.col("nb"), "left")
-        bridges = merged.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
-        top = settle(components(bridges))
-        nodes = first.unionByName(top.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
-        first = nodes.join(top.select(F.col("node").alias("component"), F.col("component").alias("__top")), "component", "left").select("node", F.coalesce("__top", "component").alias("component"))
-
-    named = classes.select(F.col("__s1"), F.col("__s2"), "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("__s1", "__s2", F.coalesce("component", "rep").alias("__component"))
-    alone = F.col("__n") == 0
-    out = signed.select("__id", "__n", "__s1", "__s2").join(named, ["__s1", "__s2"], "left")
-    component = F.when(alone | F.col("__id").isNull(), F.col("__id")).otherwise(F.col("__component"))
-    return out.select(F.col("__id").alias(id_col), F.col("__n").alias("n_shingles"), component.alias("component_id"), F.col("__id").eqNullSafe(component).alias("kept"))
-
-
-def _with_bodies(pairs: DataFrame, body: DataFrame) -> DataFrame:
-    for end in "ab":
-        pairs = pairs.join(body.select(F.col("rep").alias(end), F.col("n").alias(f"n{end}"), F.col("sig").alias(f"s{end}")), end)
-    return pairs
+    source = docs.select(field(id_col).cast("bigint").alias("__id"), field(text_col).alias("__text"))
+    with Workspace(docs.sparkSession) as work:
+        signed = work.settle(sign_documents(docs, id_col, text_col))
+        real = signed.filter("__n > 0 and __id is not null")
+        bodies = F.min("__id").alias("rep"), F.first("__n").alias("n"), F.first("__keys").alias("keys"), F.first("__sig").alias("sig")
+        classes = work.settle(real.groupBy("__s1", "__s2").agg(*bodies))
+        firsts = classes.select("rep", F.posexplode(F.slice("keys", 1, MX)).alias("i", "x"))
+        shared = work.settle(firsts.groupBy("x").agg(F.count("*").alias("c")).filter("c > 1").select("x"))
+        halves = work.settle(firsts.join(shared, "x").select("rep", "i", "x"))
+        tables, links = _star_links(halves, classes, source, work)
+        found = work.settle(components(links, work))
+        more = _cross_links(halves, tables, found, classes, source, work)
+        if more is not None:
+            found = work.settle(_merge(found, more, work))
+        named = classes.select("__s1", "__s2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("__s1", "__s2", F.coalesce("component", "rep").alias("component"))
+        # rows without shingles or id are not sent to one key of the join
+        narrow = signed.select("__id", "__n", "__s1", "__s2")
+        linked = narrow.filter("__n > 0 and __id is not null").join(named, ["__s1", "__s2"]).select("__id", "__n", "component")
+        alone = narrow.filter("__n = 0 or __id is null").select("__id", "__n", F.col("__id").alias("component"))
+        out = settle(linked.unionByName(alone))
+    return out.select(F.col("__id").alias(id_col), F.col("__n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("__id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, with their columns; of rows that share an id one
-    stays (the one with the smallest text; null ids all stay)."""
-    kept = near_duplicates(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__kept")).filter("__kept is not null").distinct()
-    rest = docs.join(kept, F.col(id_col) == F.col("__kept"), "inner").drop("__kept")
-    one = rest.withColumn("__k", F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))).filter("__k = 1").drop("__k")
-    return one.unionByName(docs.filter(F.col(id_col).isNull()))
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns, whatever their names; of rows that
+    share an id one stays (the one with the least hash of its text; rows without id all stay)."""
+    kept = near_duplicates(docs, id_col, text_col).toDF("id", "n", "component", "kept").filter("kept and id is not null").select("id").distinct()
+    rows = docs.select(field(id_col).cast("bigint").alias("id"), F.xxhash64(field(text_col)).alias("h"), row_of(docs).alias("row"))
+    numbered = rows.filter("id is not null").join(kept, "id").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("h")))
+    return numbered.filter("k = 1").select("row.*").unionByName(rows.filter("id is null").select("row.*"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from feedmill.llm import ann_search, decontaminate, license_scan, minhash_dedup
 from feedmill.llm.byte_bpe import Coder, encode_documents, merge_tree, read_ranks
-from feedmill.llm.common import shared_dir
+from feedmill.llm.common import Workspace, shared_dir
 from feedmill.llm.components import components
 from feedmill.llm.license_texts import KNOWN_LICENSES
 from feedmill.llm.minhash_dedup import deduplicate, near_duplicates
@@ -39,8 +39,9 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 700)] + [(rnd.randint(1000, 1300), rnd.randint(1000, 1300)) for _ in range(220)] + [(7, 7)]
     d = spark.createDataFrame(links, "a bigint, b bigint")
     want = {k: v for k, v in union_find([x for x in links if x[0] != x[1]]).items()}
-    assert {r.node: r.component for r in components(d).collect()} == want
-    assert components(d.limit(0)).count() == 0
+    with Workspace(spark) as work:
+        assert {r.node: r.component for r in components(d, work).collect()} == want
+        assert components(d.limit(0), work).count() == 0
 
 
 def brute_components(rows):
@@ -87,27 +88,51 @@ def test_near_duplicates_odd_rows(spark):
     assert near_duplicates(d.limit(0)).count() == 0 and deduplicate(d.limit(0)).count() == 0
 
 
-def test_near_duplicates_with_equal_bytes_of_an_unshared_half_key(spark, monkeypatch):
-    """Of the half keys of all documents only two are shared by chance; the signature bytes of the first are equal all the same."""
-    own_keys, own_signature = minhash_dedup.half_keys, minhash_dedup.signature
+def test_near_duplicates_that_share_one_table_only(spark, monkeypatch):
+    """Of the half keys of all documents only two are shared, by chance; one pair is linked all the same."""
+    own_keys = minhash_dedup.half_keys
 
     def keys(least):
         out = own_keys(least) + least.sum(dtype=np.uint64)
-        out[[5, minhash_dedup.M + 7]] = 5, 7
-        return out
-
-    def signature(shingles, least):
-        out = own_signature(shingles, least)
-        out[[0, minhash_dedup.M]] = 1
+        out[[5, minhash_dedup.MX + 7]] = 5, 7
         return out
 
     monkeypatch.setattr(minhash_dedup, "half_keys", keys)
-    monkeypatch.setattr(minhash_dedup, "signature", signature)
     text = " ".join(f"w{i}" for i in range(200))
     d = spark.createDataFrame([(1, " ".join(f"u{i}" for i in range(200)), "x"), (2, text, "x"), (3, text + " end", "x")], DOCS)
     assert {r.doc_id: r.component_id for r in near_duplicates(d).collect()} == {1: 1, 2: 2, 3: 2}
 
 
+def test_near_duplicates_in_a_large_group(spark):
+    """2,600 edited copies of one text, their similarities from 0.3 to 0.95, so many links and many that just miss."""
+    rnd, base = random.Random(8), [f"b{i}" for i in range(70)]
+    rows = []
+    for i in range(2600):
+        copy = list(base)
+        for k in range(rnd.randint(0, 9)):
+            copy[rnd.randrange(70)] = rnd.choice([f"e{i}x{k}", f"common{rnd.randrange(30)}"])
+        rows.append((i, " ".join(copy)))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    place = {s: k for k, s in enumerate({s for x in sets for s in x})}
+    bits = [sum(1 << place[s] for s in x) for x in sets]
+    links = []
+    for i, x in enumerate(bits):
+        for j in range(i):
+            common = (x & bits[j]).bit_count()
+            if 100 * common >= 75 * (len(sets[i]) + len(sets[j]) - common):
+                links.append((j, i))
+    want = union_find(links)
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame([(i, t, "own") for i, t in rows], DOCS)).collect()}
+    assert got == {i: want.get(i, i) for i in range(2600)}
+    assert 100 < len(set(got.values())) < 2500
+
+
+def test_deduplicate_with_clashing_names(spark):
+    d = spark.createDataFrame([(1, "a b c d e f", "p", 1, 2, 3.5), (2, "A b c d e f", "q", 3, 4, 4.5)], "Doc_id bigint, TEXT string, `k` string, kept int, `row` int, `component.id` double")
+    got = deduplicate(d)
+    assert got.columns == d.columns and [tuple(r) for r in got.collect()] == [(1, "a b c d e f", "p", 1, 2, 3.5)]
+
+
 def brute_hits(texts, items, window):
     spans = defaultdict(set)
     for i, b in items:
