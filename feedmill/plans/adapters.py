@@ -99,12 +99,13 @@ def news_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Marked-up release notes: the lines of each document as bold text, bullets, headed lines and plain lines in turn."""
+    """Marked-up release notes: the lines of each document as bold text, bullets, headed lines and plain lines in turn.
+    Some have no id, some share one."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     mark = lambda line, i: F.when(i % 4 == 0, F.concat(F.lit("[b]"), line, F.lit("[/b]"))).when(i % 4 == 1, F.concat(F.lit("[*] "), line)).when(i % 4 == 2, F.concat(F.lit("[ SOUND ]\n"), line)).otherwise(line)
     contents = F.concat(F.lit("[img]http://i.example.com/"), (F.col("doc_id") % 7).cast("string"), F.lit('.png[/img]<img src="http://i.example.com/1.png">\n'), F.array_join(F.transform(F.split("text", "\n"), mark), "\n"))
     return d.select(
-        F.concat(F.lit("app"), (F.col("doc_id") % 3).cast("string")).alias("app_id"), F.col("doc_id").cast("string").alias("gid"), F.concat(F.lit("Patch "), F.col("doc_id").cast("string")).alias("title"),
+        F.concat(F.lit("app"), (F.col("doc_id") % 3).cast("string")).alias("app_id"), F.when(F.col("doc_id") % 40 == 8, "same").when(F.col("doc_id") % 40 != 7, F.col("doc_id").cast("string")).alias("gid"), F.concat(F.lit("Patch "), F.col("doc_id").cast("string")).alias("title"),
         F.lit("").alias("url"), contents.alias("contents"), (F.lit(1704067200) + F.col("doc_id") * 3600).alias("date"), F.lit("patch").alias("news_type"),
     )
 

@@ -50,7 +50,7 @@ CTES = {
     "typed": f"""select *, case when regexp_matches(title, {_q("(?i)" + P.TITLE_NEWSLETTER)}) then 'content_update' when regexp_matches(title, {_q("(?i)" + P.TITLE_EVENT)}) then 'event' when regexp_matches(title, {_q("(?i)" + P.TITLE_PATCH)}) then 'patch'
         when regexp_matches(left(contents, 1000), {_q("(?i)" + P.CONTENT_PATCH)}) then 'patch' when regexp_matches(title || ' ' || left(contents, 1000), {_q("(?i)" + P.CONTENT_EVENT)}) then 'event' else 'content_update' end as news_type from news""",
     "deduped": "select * from typed qualify row_number() over (partition by app_id, lower(trim(title)) order by date desc, pos) = 1",
-    "notes": """select 'app' || (doc_id % 3) as app_id, doc_id::varchar as gid, 'Patch ' || doc_id as version, strftime(make_timestamp((1704067200 + doc_id * 3600) * 1000000), '%Y-%m-%d') as patch_date,
+    "notes": """select doc_id as item, 'app' || (doc_id % 3) as app_id, case when doc_id % 40 = 8 then 'same' when doc_id % 40 <> 7 then doc_id::varchar end as gid, 'Patch ' || doc_id as version, strftime(make_timestamp((1704067200 + doc_id * 3600) * 1000000), '%Y-%m-%d') as patch_date,
         '[img]http://i.example.com/' || (doc_id % 7) || '.png[/img]<img src="http://i.example.com/1.png">' || chr(10) || array_to_string(list_transform(string_split(text, chr(10)),
           lambda l, i: case (i - 1) % 4 when 0 then '[b]' || l || '[/b]' when 1 then '[*] ' || l when 2 then '[ SOUND ]' || chr(10) || l else l end), chr(10)) as contents from documents""",
 }
@@ -79,11 +79,11 @@ def _pack(body: str, room: str) -> str:
 _BULLET = _re(P.BULLET)
 CTES |= {
     "plain": f"select *, {_strip('contents')} as body from notes",
-    "numbered": f"select app_id, gid, version, patch_date, unnest(range(0, len(string_split(body, {_NL})))) as line_no, unnest(string_split(body, {_NL})) as line from plain",
+    "numbered": f"select item, app_id, coalesce(gid, 'unknown') as gid, version, patch_date, unnest(range(0, len(string_split(body, {_NL})))) as line_no, unnest(string_split(body, {_NL})) as line from plain",
     "lines": f"""select *, case when length(line) < 3 or regexp_matches(line, {_BULLET}) then null when regexp_extract(line, {_re(P.BRACKET_HEADER)}, 1) <> '' then trim(regexp_extract(line, {_re(P.BRACKET_HEADER)}, 1))
         when regexp_matches(line, '[.!?]$') and length(line) > 30 then null when regexp_matches(line, {_re(P.SECTION_HEADER)}) then line end as header
       from numbered where line <> '' and not starts_with(line, version) and not starts_with(version, line)""",
-    "sections": "select *, coalesce(last_value(header ignore nulls) over (partition by gid order by line_no rows between unbounded preceding and current row), 'General') as section from lines",
+    "sections": "select *, coalesce(last_value(header ignore nulls) over (partition by item order by line_no rows between unbounded preceding and current row), 'General') as section from lines",
     "cleaned": f"select *, trim(regexp_replace(regexp_replace(line, {_re(P.BULLET_MARK)}, ''), {_re(P.NUMBER_MARK)}, '')) as c from sections where header is null",
     "bodies": f"""select *, version || ' | ' || section || ': ' as prefix, case when regexp_matches(line, {_BULLET}) then case when length(c) >= 10 then c end when length(line) > 40 then line end as b
       from cleaned where not (regexp_matches(line, '^https?://') and not contains(line, ' '))""",
@@ -220,7 +220,7 @@ ORACLES = {
     "strip_markup": _with("notes", "plain") + "select gid, md5(body) as text_md5 from plain",
     "extract_image_urls": _with("notes") + f"select gid, array_to_string(list_distinct_in_order, ',') as urls from (select gid, list_filter(u, lambda x, i: list_position(u, x) = i) as list_distinct_in_order from (select gid, regexp_extract_all(contents, {_re(P.IMG_BBCODE)}, 1) || regexp_extract_all(contents, {_re(P.IMG_HTML)}, 1) || regexp_extract_all(contents, {_re(P.IMG_HYBRID_URL)}, 1) as u from notes))",
     "section_headers": _with(*_NOTES[:4]) + "select app_id, gid, line_no::int as line_no, header as section from lines where header is not null".replace("select app_id, gid", "select gid"),
-    "chunk_news": _with(*_NOTES) + "select gid || '-' || (row_number() over (partition by gid order by line_no, seg) - 1) as chunk_id, section, version as patch_version, patch_date, app_id, length(prefix || part) as n_chars, md5(prefix || part) as text_md5 from segments",
+    "chunk_news": _with(*_NOTES) + "select gid || '-' || (row_number() over (partition by item order by line_no, seg) - 1) as chunk_id, section, version as patch_version, patch_date, app_id, length(prefix || part) as n_chars, md5(prefix || part) as text_md5 from segments",
     "split_long_text": f"with p as (select doc_id, {_pack('b', '(500 - 17)')} as p from (select doc_id, replace(text, chr(10), ' ') as b from documents)) select doc_id, unnest(range(0, len(p)))::int as seg, md5(unnest(p)) as body_md5 from p",
     "validate_classifications": _with("responses") + _VALIDATED
     + "select review_id, error is null as valid, error, case when error is null then pc end as primary_category, case when error is null then array_to_string(list_filter(sc, lambda c: c <> pc), ',') end as secondary_categories, case when error is null then cf end as confidence, case when error is null then rs end as reasoning, case when error is null then cf < 0.7 end as needs_review from v",

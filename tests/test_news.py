@@ -36,6 +36,22 @@ def test_chunk_edges(spark):
     assert " ".join(r.text.split(": ", 1)[1] for r in sorted(got, key=lambda r: int(r.chunk_id[3:]))) == long
 
 
+def test_items_that_share_an_id_are_cut_each_by_itself(spark):
+    sound, plain = "- one change of ten\n[ SOUND ]\n- another change here", "- a third change for all\n- a fourth change for all"
+    for gid, name in ((None, "unknown"), ("g", "g")):
+        got = chunks(spark, item(gid, title="A", contents=sound), item(gid, title="B", contents=plain), item(gid, title="B", contents=plain))
+        assert sorted((r.text, r.chunk_id) for r in got) == [
+            ("A | General: one change of ten", f"{name}-0"), ("A | SOUND: another change here", f"{name}-1"),
+            ("B | General: a fourth change for all", f"{name}-1"), ("B | General: a fourth change for all", f"{name}-1"), ("B | General: a third change for all", f"{name}-0"), ("B | General: a third change for all", f"{name}-0"),
+        ]
+
+
+def test_chunking_has_no_shuffle_and_takes_many_lines(spark):
+    d = spark.createDataFrame([item(contents="\n".join(f"- change number {i} of many" if i % 7 else "Bug Fixes" for i in range(20_000)))], ITEM)
+    plan = chunking.chunk_news(d)
+    assert plan.count() == 20_000 - len(range(0, 20_000, 7)) and "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_title_dedup(spark):
     rows = [item("1", " Patch A ", date=5), item("2", "patch a", date=9, pos=1), item("3", "Patch A", date=None, pos=2), item("4", None, date=1, pos=3)]
     d = news.dedup_by_title(spark.createDataFrame(rows, ITEM))
