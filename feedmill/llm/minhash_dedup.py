@@ -9,9 +9,10 @@ form a shared table key, so they are dropped before pairs are formed. Candidates
 2. in each table bucket all members are held against the bucket's smallest id, links are confirmed,
    components formed;
 3. first halves under which some bucket still holds several components are taken again: every two members of
-   different components that share such a half, and a second half with it, share a table; unless a signature rules them out
-   (its share of equal places lies 4 deviations under what the threshold gives), they are confirmed as well, under
-   the first half that the two share, and the components are merged.
+   different components that share such a half, and a second half with it, share a table; unless sizes, signatures (the
+   share of equal places lies 4 deviations under what the threshold gives) or bitmaps of the sets (they bound the
+   intersection, without error) rule them out, they are confirmed as well, under the first half that the two
+   share, and the components are merged.
 
 So a bucket of n copies costs about n pairs, and a candidate pair goes unconfirmed only where both ends are
 known to be connected. A third step over whole table keys would carry a document MY times as often, for the same pairs:
@@ -36,6 +37,8 @@ MX, RX, MY, RY = 48, 6, 12, 2
 SIGNATURE = 384
 #: Equal places of 384 that a pair at 0.75 (expected: 312) reaches but for one in 40,000; at 0.8 all but surely.
 LEAST_EQUAL = 280
+#: Places of a set's bitmap.
+BITMAP = 1024
 WORDS_KEPT = 300_000
 
 _RNG = np.random.default_rng(20240607)
@@ -96,6 +99,13 @@ def signature(least: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits, axis=1)
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """BITMAP bits in longs: those at the places of the set's hashes."""
+    bits = np.zeros(BITMAP, np.uint8)
+    bits[(shingles % np.uint64(BITMAP)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.uint64)
+
+
 def half_keys(least: np.ndarray) -> np.ndarray:
     """MX + MY half keys; the first MX are one collection, the others the second. Half keys of different places differ."""
     first, second = least[: MX * RX].reshape(MX, RX), least[MX * RX : MX * RX + MY * RY].reshape(MY, RY)
@@ -108,31 +118,32 @@ def _signed(a: np.ndarray) -> np.ndarray:
 
 
 def sign_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(__id, __n, __s1, __s2, __keys, __sig): set size, 128-bit set digest, half keys, signature."""
+    """(__id, __n, __s1, __s2, __keys, __sig, __map): set size, 128-bit set digest, half keys, signature, bitmap."""
 
     def run(batches):
         hashes = _WordHashes()
         for batch in batches:
-            n, s1, s2, keys, sig = [], [], [], [], []
+            n, s1, s2, keys, sig, maps = [], [], [], [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), hashes)
                 n.append(len(s))
                 if not len(s):
-                    s1.append(0), s2.append(0), keys.append(None), sig.append(None)
+                    s1.append(0), s2.append(0), keys.append(None), sig.append(None), maps.append(None)
                     continue
                 least = minima(s)
                 s1.append(int(_signed(_mix(s, 1).sum(dtype=np.uint64, keepdims=True))[0]))
                 s2.append(int(_signed(_mix(s, 2).sum(dtype=np.uint64, keepdims=True))[0]))
                 keys.append(_signed(half_keys(least)))
                 sig.append(_signed(signature(least)))
+                maps.append(_signed(bitmap(s)))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, longs), pa.array(sig, longs)],
-                ["__id", "__n", "__s1", "__s2", "__keys", "__sig"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, longs), pa.array(sig, longs), pa.array(maps, longs)],
+                ["__id", "__n", "__s1", "__s2", "__keys", "__sig", "__map"],
             )
 
     source = docs.select(field(id_col).cast("bigint").alias("__id"), field(text_col).alias("__text"))
-    return source.mapInArrow(run, "__id bigint, __n bigint, __s1 bigint, __s2 bigint, __keys array<bigint>, __sig array<bigint>")
+    return source.mapInArrow(run, "__id bigint, __n bigint, __s1 bigint, __s2 bigint, __keys array<bigint>, __sig array<bigint>, __map array<bigint>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -156,6 +167,14 @@ def _may_link(n1: str, n2: str, s1: str, s2: str) -> Column:
     return (F.least(n1, n2) * 4 >= F.greatest(n1, n2) * 3) & (F.expr(" + ".join(unequal)) <= SIGNATURE - LEAST_EQUAL)
 
 
+def _may_overlap(n1: str, n2: str, m1: str, m2: str) -> Column:
+    """Whether bitmaps allow a link: each place that only one of the two has stands for a shingle or more that the other set
+    lacks, which bounds the intersection from above. Dearer than ``_may_link``, so it comes last."""
+    lone = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, c: s + c)
+    common = F.least(F.col(n1) - lone(m1, m2), F.col(n2) - lone(m2, m1))
+    return common * 7 >= (F.col(n1) + F.col(n2)) * 3
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, work: Workspace) -> DataFrame:
     """Of candidate pairs (a, b) those whose full sets have 100 * intersection >= 75 * union.
 
@@ -173,7 +192,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, work: Workspace) -> DataFrame:
 
 def _with_bodies(pairs: DataFrame, body: DataFrame) -> DataFrame:
     for end in "ab":
-        pairs = pairs.join(body.select(F.col("rep").alias(end), F.col("n").alias(f"n{end}"), F.col("sig").alias(f"s{end}")), end)
+        pairs = pairs.join(body.select(F.col("rep").alias(end), F.col("n").alias(f"n{end}"), F.col("sig").alias(f"s{end}"), F.col("map").alias(f"m{end}")), end)
     return pairs
 
 
@@ -184,7 +203,7 @@ def _star_links(halves: DataFrame, classes: DataFrame, source: DataFrame, work:
     # written, so that the join has a plain shuffle on both sides, which can be split at a hot bucket
     buckets = work.settle(tables.groupBy("x", "y").agg(F.count("*").alias("c"), F.min("rep").alias("a")).filter("c > 1").select("x", "y", "a"))
     stars = work.settle(tables.join(buckets, ["x", "y"]).filter("a <> rep").select("a", F.col("rep").alias("b")).distinct())
-    screened = work.settle(_with_bodies(stars, classes).filter(_may_link("na", "nb", "sa", "sb")).select("a", "b"))
+    screened = work.settle(_with_bodies(stars, classes).filter(_may_link("na", "nb", "sa", "sb") & _may_overlap("na", "nb", "ma", "mb")).select("a", "b"))
     return tables, _confirm(screened, source, work)
 
 
@@ -196,10 +215,10 @@ def _cross_links(halves: DataFrame, tables: DataFrame, first: DataFrame, classes
     mixed = mixed.filter("lo <> hi").select("x").distinct()
     open_ = halves.join(mixed, "x", "left_semi").join(named, "rep", "left").select("x", "i", "rep", component)
     earlier, seconds = F.expr("slice(keys, 1, i)").alias("earlier"), F.slice("keys", MX + 1, MY).alias("ys")
-    open_ = work.settle(open_.join(classes, "rep").select("x", "rep", "comp", "n", "sig", earlier, seconds))
+    open_ = work.settle(open_.join(classes, "rep").select("x", "rep", "comp", "n", "sig", "map", earlier, seconds))
     a, b = (open_.select(*[F.col(c).alias(f"{c}{s}") for c in open_.columns]) for s in "ab")
     in_table = (F.col("xa") == F.col("xb")) & F.arrays_overlap("ysa", "ysb") & ~F.arrays_overlap("earliera", "earlierb")
-    cross = a.join(b, (F.col("compa") < F.col("compb")) & _may_link("na", "nb", "siga", "sigb") & in_table)
+    cross = a.join(b, (F.col("compa") < F.col("compb")) & _may_link("na", "nb", "siga", "sigb") & in_table & _may_overlap("na", "nb", "mapa", "mapb"))
     cross = work.settle(cross.select(F.least("repa", "repb").alias("a"), F.greatest("repa", "repb").alias("b")).distinct())
     return None if cross.isEmpty() else _confirm(cross, source, work)
 
@@ -229,7 +248,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with Workspace(docs.sparkSession) as work:
         signed = work.settle(sign_documents(docs, id_col, text_col))
         real = signed.filter("__n > 0 and __id is not null")
-        bodies = F.min("__id").alias("rep"), F.first("__n").alias("n"), F.first("__keys").alias("keys"), F.first("__sig").alias("sig")
+        bodies = F.min("__id").alias("rep"), F.first("__n").alias("n"), F.first("__keys").alias("keys"), F.first("__sig").alias("sig"), F.first("__map").alias("map")
         classes = work.settle(real.groupBy("__s1", "__s2").agg(*bodies))
         firsts = classes.select("rep", F.posexplode(F.slice("keys", 1, MX)).alias("i", "x"))
         shared = work.settle(firsts.groupBy("x").agg(F.count("*").alias("c")).filter("c > 1").select("x"))
