@@ -221,6 +221,43 @@ def test_nearest(spark):
     assert ann_search.nearest(d.limit(0), d.limit(0)).count() == 0 and ann_search.nearest(d.filter("vec_id = 600"), d).count() == 0
 
 
+def ann_table(kind, n=50_000, dim=64):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((n, dim))
+    if kind == "clustered":
+        x = rng.standard_normal((500, dim))[rng.integers(0, 500, n)] + 0.35 * x
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x * rng.lognormal(0, 0.7, (n, 1)) if kind == "uneven" else x
+
+
+@pytest.mark.parametrize("kind,most", [("even", 0.1), ("clustered", 0.02), ("uneven", 0.1)])
+def test_collisions_prune(kind, most):
+    """Recall and the share of pairs that are verified, over shards as the search deals them."""
+    x, k = ann_table(kind), 20
+    ids = np.arange(len(x))
+    asked, shards = ids[::1000], -(-len(x) // ann_search.SHARD_ROWS)
+    found, verified = defaultdict(list), 0
+    for s in range(shards):
+        own = ids[ids * 7919 % shards == s]
+        shard = ann_search.Shard(own, x[own])
+        for q, (rows, scores) in zip(asked, shard.search(asked, x[asked], ann_search.enough(k, shards))):
+            found[q] += zip(-scores, shard.ids[rows])
+        verified += shard.verified
+    hits = 0
+    for q in asked:
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len({i for _, i in sorted(found[q])[:k]} & set(np.argsort(-score)[:k]))
+    assert verified < most * len(asked) * len(x) and hits >= 0.9 * k * len(asked)
+
+
+def test_nearest_of_several_lengths_and_clashing_names(spark):
+    rows = [(i, [float(i + 1), float(j == 0)] + [1.0] * (j * 2), 1, 2, 3) for j in range(2) for i in range(j * 3, j * 3 + 3)]
+    d = spark.createDataFrame(rows, "Vec_ID bigint, `__v` array<double>, `__id` int, rank int, `__d` int")
+    got = ann_search.nearest(d, d, k=5, vector_col="__v").collect()
+    assert {(r.query_id, r.vec_id) for r in got} == {(a, b) for a in range(6) for b in range(6) if a != b and (a < 3) == (b < 3)}
+
+
 def test_licenses(spark):
     mit = next(t for k, kind, t in KNOWN_LICENSES if k == "MIT" and kind == "text")
     changed = "Copyright (c) 2020 Someone\nAll rights reserved.\n\n" + mit.upper().replace("SUBLICENSE", "SUB-LICENCE").replace(",", " ;")
