@@ -4,7 +4,9 @@ Each task takes the documents of its partition shard by shard, sorts the suffixe
 sequence (prefix doubling, as deep as the longest test item) and binary-searches every test suffix in it:
 the neighbours of its place give its longest verbatim match, and the suffixes that begin with a whole
 window give that window's occurrences. Words that no test item has end a suffix, so they are not sorted.
-The test set goes to the tasks in blocks of bounded size, one map pass each; documents are never shuffled.
+Texts are compared in steps of a few words, each search from where its bounds are known to agree, in groups of
+bounded size, so memory does not grow with the length of an item. The test set goes to the tasks in blocks
+of bounded size, one map pass each, one after the other; documents are never shuffled.
 
 Words: A-Z lower-cased, maximal runs of ASCII letters, digits and characters beyond ASCII.
 """
@@ -15,10 +17,13 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
-#: Bytes of test text per pass; words of training text per suffix array.
+from feedmill.llm.common import Workspace, field, row_of, settle
+
+#: Bytes of test text per pass; words of training text per suffix array; suffixes compared at once, and words of one step at most.
 BLOCK_BYTES, SHARD_WORDS = 8_000_000, 2_000_000
+COMPARED, FIRST_STEP, MOST_STEP = 32_768, 4, 64
 
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -28,32 +33,28 @@ def words(text: str | None) -> list[bytes]:
 
 
 class TestSet:
-    """Word numbers (from 1) of the test items, one after the other, with 0 between them; their windows."""
+    """Word numbers (from 1) of the test items, one after the other, with 0 behind each; their windows."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
         self.numbers: dict[bytes, int] = {}
-        self.items, text, owner, left, spans, first = [], [], [], [], {}, []
+        self.items, parts = [], []
+        number = lambda w: self.numbers.setdefault(w, len(self.numbers) + 1)
         for item, body in sorted(items, key=lambda x: (str(x[0]), x[1] or "")):
             w = words(body)
-            if not w:
-                continue
-            k = len(self.items)
-            self.items.append(str(item))
-            ids = [self.numbers.setdefault(x, len(self.numbers) + 1) for x in w]
-            n, size = len(ids), min(window, len(ids))
-            for i in range(n - size + 1):
-                spans.setdefault(tuple(ids[i : i + size]), []).append(k)
-                if len(spans[tuple(ids[i : i + size])]) == 1:
-                    first.append((len(text) + i, size))
-            text += [*ids, 0]
-            owner += [k] * (n + 1)
-            left += range(n, -1, -1)
-        self.depth = max(left, default=0)
-        self.text = np.array(text + [0] * (self.depth + 1), np.int64)
-        self.owner, self.left = np.array(owner, np.int64), np.array(left, np.int64)
-        self.window_at = np.array([f[0] for f in first], np.int64)
-        self.window_len = np.array([f[1] for f in first], np.int64)
-        self.window_items = [sorted(set(v)) for v in spans.values()]
+            if w:
+                self.items.append(str(item))
+                parts.append(np.fromiter(map(number, w), np.int32, len(w)))
+        sizes = np.array([len(x) for x in parts], np.int64)
+        self.depth = int(sizes.max(initial=0))
+        self.owner = np.repeat(np.arange(len(parts)), sizes + 1)
+        ends = np.cumsum(sizes + 1) - 1
+        self.left = ends[self.owner] - np.arange(len(self.owner))  # words from here to the item's end
+        self.text = np.zeros(len(self.owner) + MOST_STEP, np.int32)
+        for x, end in zip(parts, ends):
+            self.text[end - len(x) : end] = x
+        own = np.minimum(window, sizes)[self.owner]  # size of the item's windows
+        self.window_at = np.flatnonzero((self.left >= own) & (self.left > 0))
+        self.window_len = own[self.window_at]
         self.bits = max(1, len(self.numbers).bit_length())
         self.per_key = max(1, 62 // self.bits)
 
@@ -98,30 +99,53 @@ def suffix_array(ids: np.ndarray, depth: int, bits: int, per_key: int) -> np.nda
     return sa
 
 
+def _compare(ids, test, place, at, size, known):
+    """For suffixes of ``ids`` at ``place`` and of ``test`` at ``at``, of which the first ``known`` words agree: how the first
+    ``size`` words compare (-1: the first is smaller, 0: equal, 1) and how many of them agree from the start."""
+    sign, agree, step = np.zeros(len(at), np.int8), known.copy(), FIRST_STEP
+    open_ = np.flatnonzero(agree < size)
+    while len(open_):
+        n = agree[open_]
+        offset = n[:, None] + np.arange(step)
+        a = ids[np.minimum(place[open_][:, None] + offset, len(ids) - 1)]
+        b = test[np.minimum(at[open_][:, None] + offset, len(test) - 1)]
+        differ = (a != b) & (offset < size[open_][:, None])
+        first, rows = differ.argmax(1), np.arange(len(open_))
+        found = differ[rows, first]
+        sign[open_] = np.where(found, np.where(a[rows, first] < b[rows, first], -1, 1), 0)
+        agree[open_] = np.where(found, n + first, np.minimum(n + step, size[open_]))
+        open_ = open_[~found & (agree[open_] < size[open_])]
+        step = min(MOST_STEP, step * 4)
+    return sign, agree
+
+
 def _bound(ids, sa, test, at, size, after: bool):
     """For each test suffix (start ``at``, ``size`` words): how many suffixes are smaller (with ``after``: or begin with it)."""
-    lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(sa), np.int64)
-    width = np.arange(int(size.max(initial=1)))
-    open_ = np.flatnonzero(lo < hi)
-    while len(open_):
-        mid = (lo[open_] + hi[open_]) >> 1
-        a = ids[np.minimum(sa[mid][:, None] + width, len(ids) - 1)]
-        b = test[np.minimum(at[open_][:, None] + width, len(test) - 1)]
-        differ = (a != b) & (width < size[open_][:, None])
-        j, rows = differ.argmax(1), np.arange(len(open_))
-        equal = ~differ[rows, j]
-        less = np.where(equal, after, a[rows, j] < b[rows, j])
-        lo[open_] = np.where(less, mid + 1, lo[open_])
-        hi[open_] = np.where(less, hi[open_], mid)
-        open_ = open_[lo[open_] < hi[open_]]
-    return lo
+    out = np.zeros(len(at), np.int64)
+    for start in range(0, len(at), COMPARED):
+        own_at, own_size = at[start : start + COMPARED], size[start : start + COMPARED]
+        lo, hi = np.zeros(len(own_at), np.int64), np.full(len(own_at), len(sa), np.int64)
+        below, above = np.zeros(len(own_at), np.int64), np.zeros(len(own_at), np.int64)  # words that the bounds' suffixes agree in
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):
+            mid = (lo[open_] + hi[open_]) >> 1
+            known = np.minimum(below[open_], above[open_])
+            sign, agree = _compare(ids, test, sa[mid], own_at[open_], own_size[open_], known)
+            less = (sign < 0) | ((sign == 0) & after)
+            lo[open_], below[open_] = np.where(less, mid + 1, lo[open_]), np.where(less, agree, below[open_])
+            hi[open_], above[open_] = np.where(less, hi[open_], mid), np.where(less, above[open_], agree)
+            open_ = open_[lo[open_] < hi[open_]]
+        out[start : start + COMPARED] = lo
+    return out
 
 
 def _shared(ids, test, at, size, place):
     """Words that test suffixes and the suffixes at ``place`` have in common from their start."""
-    width = np.arange(int(size.max(initial=1)))
-    same = (ids[np.minimum(place[:, None] + width, len(ids) - 1)] == test[np.minimum(at[:, None] + width, len(test) - 1)]) & (width < size[:, None])
-    return np.logical_and.accumulate(same, axis=1).sum(1)
+    out = np.zeros(len(at), np.int64)
+    for start in range(0, len(at), COMPARED):
+        own = slice(start, start + COMPARED)
+        out[own] = _compare(ids, test, place[own], at[own], size[own], np.zeros(len(at[own]), np.int64))[1]
+    return out
 
 
 def search_shard(test: TestSet, texts: list[list[bytes]]):
@@ -132,11 +156,11 @@ def search_shard(test: TestSet, texts: list[list[bytes]]):
     get = test.numbers.get
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    ids = np.zeros(int(starts[-1]) + test.depth + 1, np.int64)
+    ids = np.zeros(int(starts[-1]) + test.depth + 1, np.int32)
     for t, s in zip(texts, starts):
-        ids[s : s + len(t)] = np.fromiter(map(get, t, repeat(0)), np.int64, len(t))
+        ids[s : s + len(t)] = np.fromiter(map(get, t, repeat(0)), np.int32, len(t))
     sa = suffix_array(ids, test.depth, test.bits, test.per_key)
-    at = np.flatnonzero(test.text)
+    at = np.flatnonzero(test.left > 0)
     size = test.left[at]
     if not len(sa) or not len(at):
         none = np.zeros(len(test.window_at), np.int64)
@@ -159,22 +183,28 @@ def mark_shard(test: TestSet, texts: list[list[bytes]]):
     """Per document a mask of its hit words and the items with occurring windows."""
     ids, starts, sa, _, _, _, lo, hi = search_shard(test, texts)
     edge, found = np.zeros(len(ids) + 1, np.int64), [set() for _ in texts]
-    for w in np.flatnonzero(hi > lo):
-        places, size = sa[lo[w] : hi[w]], test.window_len[w]
+    hit = np.flatnonzero(hi > lo)
+    # equal windows have one range of suffixes; each is marked once, with all items that have it
+    order = hit[np.lexsort((test.window_len[hit], lo[hit]))]
+    new = np.flatnonzero(np.diff(lo[order], prepend=-1) | np.diff(test.window_len[order], prepend=-1))
+    for group in np.split(order, new[1:]) if len(order) else ():
+        places, size = sa[lo[group[0]] : hi[group[0]]], test.window_len[group[0]]
         np.add.at(edge, places, 1)
         np.add.at(edge, places + size, -1)
+        items = set(test.owner[test.window_at[group]].tolist())
         for d in np.unique(np.searchsorted(starts, places, "right") - 1):
-            found[d].update(test.window_items[w])
+            found[d] |= items
     covered = np.cumsum(edge[:-1]) > 0
     return [covered[s : s + len(t)] for t, s in zip(texts, starts)], [{test.items[i] for i in f} for f in found]
 
 
-def test_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple]]:
-    """The test items in blocks of about BLOCK_BYTES, each collected by itself."""
-    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).filter("t is not null")
+def test_sets(benchmark: DataFrame, id_col: str, text_col: str, window: int):
+    """The test items in blocks of about BLOCK_BYTES, one after the other: each is collected when it is asked for."""
+    rows = benchmark.select(field(id_col).cast("string").alias("i"), field(text_col).alias("t")).filter("t is not null")
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = -(-total // BLOCK_BYTES)
-    return [[tuple(r) for r in rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()] for k in range(n)]
+    n = max(1, -(-total // BLOCK_BYTES))
+    for k in range(n):
+        yield k == n - 1, TestSet([tuple(r) for r in rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()], window)
 
 
 def _shards(batches, column):
@@ -194,37 +224,45 @@ def _shards(batches, column):
         yield rows, texts
 
 
-def _passes(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, item_id: str, item_text: str):
-    """``docs`` with ``__n_words``, ``__n_hit`` and ``__items``, by one map pass for each block of test items."""
-    blocks = test_blocks(benchmark, item_id, item_text) or [[]]
-    held = [docs.schema.fields[i].name for i in range(len(docs.columns))]
-    out, column = docs, held.index(text_col)
-    more = T.StructType.fromDDL("__hit binary, __items array<string>, __n_words bigint, __n_hit bigint")
-    schema = T.StructType([*docs.schema.fields, *more.fields])
-    for k, block in enumerate(blocks):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches, shared=shared, first=k == 0, last=k == len(blocks) - 1):
-            test = TestSet(shared.value, window)
-            for rows, texts in _shards(batches, column):
-                masks, items = mark_shard(test, texts)
-                at = 0
-                for batch in rows:
-                    n = batch.num_rows
-                    hit, named, counts = masks[at : at + n], [sorted(x) for x in items[at : at + n]], [len(t) for t in texts[at : at + n]]
-                    at += n
-                    if not first:
-                        hit = [h | np.unpackbits(np.frombuffer(o.as_py(), np.uint8), count=len(h)).astype(bool) for h, o in zip(hit, batch.column(batch.num_columns - 4))]
-                        named = [sorted({*i, *o.as_py()}) for i, o in zip(named, batch.column(batch.num_columns - 3))]
-                    kept = batch.columns[: len(held)]
-                    bits = pa.nulls(n, pa.binary()) if last else pa.array([np.packbits(h).tobytes() for h in hit], pa.binary())
-                    yield pa.RecordBatch.from_arrays(
-                        [*kept, bits, pa.array(named, pa.list_(pa.string())), pa.array(counts, pa.int64()), pa.array([int(h.sum()) for h in hit], pa.int64())],
-                        [*held, "__hit", "__items", "__n_words", "__n_hit"],
-                    )
-
-        out = out.mapInArrow(run, schema)
-    return out.drop("__hit")
+def _pass(data: DataFrame, test: TestSet, last: bool) -> DataFrame:
+    """One map pass over (row, t, hit, items, n_words, n_hit): the last four with what the items of ``test`` add. The ``last``
+    pass returns neither t nor hit."""
+    shared = data.sparkSession.sparkContext.broadcast(test)
+    schema = (data.drop("t", "hit") if last else data).schema
+
+    def run(batches):
+        for rows, texts in _shards(batches, 1):
+            masks, items = mark_shard(shared.value, texts)
+            at = 0
+            for batch in rows:
+                n = batch.num_rows
+                own, hit, named = texts[at : at + n], masks[at : at + n], items[at : at + n]
+                at += n
+                for k, (bits, before) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                    if bits is not None:  # of earlier blocks
+                        hit[k] = hit[k] | np.unpackbits(np.frombuffer(bits, np.uint8), count=len(hit[k])).astype(bool)
+                        named[k] = {*named[k], *before}
+                found = {
+                    "row": batch.column(0), "t": batch.column(1), "hit": pa.array([np.packbits(h).tobytes() for h in hit], pa.binary()), "items": pa.array(map(sorted, named), pa.list_(pa.string())),
+                    "n_words": pa.array([len(w) for w in own], pa.int64()), "n_hit": pa.array([int(h.sum()) for h in hit], pa.int64()),
+                }
+                yield pa.RecordBatch.from_arrays([found[c] for c in schema.names], schema.names)
+
+    return data.mapInArrow(run, schema)
+
+
+def _marked(docs: DataFrame, row, text_col: str, benchmark: DataFrame, window: int, item_id: str, item_text: str) -> DataFrame:
+    """(row, n_words, n_hit, items) of ``docs``: one map pass for each block of test items; with several blocks each pass is written."""
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("hit", "binary"), ("items", "array<string>"), ("n_words", "bigint"), ("n_hit", "bigint"))]
+    data = docs.select(row.alias("row"), field(text_col).alias("t"), *none)
+    with Workspace(docs.sparkSession) as work:
+        for k, (last, test) in enumerate(test_sets(benchmark, item_id, item_text, window)):
+            data = _pass(data, test, last)
+            if not last:
+                data = work.settle(data)
+            elif k:
+                data = settle(data)  # what it reads goes with the workspace
+    return data.select("row", "n_words", "n_hit", "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -233,31 +271,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
 
     A window is ``window`` consecutive words of an item; a shorter item that has words is one window. Null
     text has no words, null or wordless items no windows; items that share an id count once; a null id is
-    the string None. Rows are independent: repeated rows repeat; empty tables give empty or clean results.
+    the string None. Rows are independent: repeated rows repeat; empty tables give empty or clean results; other
+    columns are not read, whatever their names.
     """
-    found = _passes(docs.select(id_col, text_col), benchmark, window, text_col, item_id, item_text)
-    return found.select(
-        id_col, F.col("__n_words").alias("n_words"), F.col("__n_hit").alias("n_hit"), F.size("__items").cast("bigint").alias("n_items"),
-        F.col("__items").alias("items"), (F.col("__n_hit") > 0).alias("contaminated"),
-    )
+    found = _marked(docs, field(id_col), text_col, benchmark, window, item_id, item_text)
+    return found.select(F.col("row").alias(id_col), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without any hit word, with their columns; cases as in ``contamination``."""
-    return _passes(docs, benchmark, window, text_col, item_id, item_text).filter("__n_hit = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` without any hit word, with all their columns, whatever their names; cases as in ``contamination``."""
+    return _marked(docs, row_of(docs), text_col, benchmark, window, item_id, item_text).filter("n_hit = 0").select("row.*")
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """For every suffix of every item (``item_id`` as string, ``item_pos`` in words) the words of its longest
     verbatim match in ``docs`` and where: ``n_match``, ``doc_id``, ``doc_pos``. Of equally long ones the
     smallest id and position found by a shard. Suffixes that match nothing are left out."""
-    parts = []
     kind = docs.schema[id_col].dataType.simpleString()
-    for block in test_blocks(benchmark, item_id, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    found = None
+    for last, test in test_sets(benchmark, item_id, item_text, 1):
+        shared = docs.sparkSession.sparkContext.broadcast(test)
 
         def run(batches, shared=shared):
-            test = TestSet(shared.value, 1)
+            test = shared.value
             first = np.concatenate([[True], test.owner[1:] != test.owner[:-1]]) if len(test.owner) else np.zeros(0, bool)
             begin = np.maximum.accumulate(np.where(first, np.arange(len(test.owner)), 0))
             for rows, texts in _shards(batches, 1):
@@ -270,13 +306,10 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
                     ["item_id", "item_pos", "n_match", "doc_id", "doc_pos"],
                 )
 
-        parts.append(docs.select(id_col, text_col).mapInArrow(run, f"item_id string, item_pos bigint, n_match bigint, doc_id {kind}, doc_pos bigint"))
-    if not parts:
-        return docs.sparkSession.createDataFrame([], f"item_id string, item_pos bigint, n_match bigint, doc_id {kind}, doc_pos bigint")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    best = found.groupBy("item_id", "item_pos").agg(F.max("n_match").alias("n_match"), F.min_by(F.struct("doc_id", "doc_pos"), F.struct(-F.col("n_match"), "doc_id", "doc_pos")).alias("b"))
-    return best.select("item_id", "item_pos", "n_match", "b.doc_id", "b.doc_pos")
-
-
+        each = docs.select(field(id_col), field(text_col)).mapInArrow(run, f"item_id string, item_pos bigint, n_match bigint, doc_id {kind}, doc_pos bigint")
+        best = each.groupBy("item_id", "item_pos").agg(F.max("n_match").alias("n_match"), F.min_by(F.struct("doc_id", "doc_pos"), F.struct(-F.col("n_match"), "doc_id", "doc_pos")).alias("b"))
+        part = best.select("item_id", "item_pos", "n_match", "b.doc_id", "b.doc_pos")
+        if not last:
+            part = settle(part)
+        found = part if found is None else found.unionByName(part)
+    return found

@@ -1,7 +1,10 @@
 """Near-duplicates, components, decontamination, byte-level BPE, neighbours, licences and token counts."""
 
 import random
+import subprocess
+import sys
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -169,6 +172,38 @@ def test_contamination(spark, monkeypatch, block):
     assert clean.columns == d.columns and {r.doc_id for r in clean.collect()} == {i for i, w in enumerate(want) if not w[1]}
 
 
+MEMORY = """
+import random, resource, sys, time
+sys.path.insert(0, sys.argv[1])
+from feedmill.llm import decontaminate as D
+rnd = random.Random(1)
+say = lambda n: " ".join(rnd.choices(VOCABULARY, k=n))
+VOCABULARY = ["w%d" % i for i in range(5000)]
+long = say(5000)
+items = [("long", long)] + [(str(i), say(200)) for i in range(6500)]
+assert sum(len(t) for _, t in items) > 6_000_000
+test = D.TestSet(items, 10)
+texts = [D.words(say(20000)) for _ in range(20)] + [D.words(say(100) + " " + long)]
+masks, found = D.mark_shard(test, texts)
+assert masks[-1].sum() == 5000 and "long" in found[-1] and not any(m.any() for m in masks[:-1])
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+
+
+def test_memory_of_a_full_block_with_a_long_item():
+    root = str(Path(decontaminate.__file__).resolve().parents[2])
+    out = subprocess.run([sys.executable, "-c", MEMORY, root], capture_output=True, text=True, check=True)
+    assert int(out.stdout.split()[-1]) < 1000
+
+
+def test_decontaminate_with_clashing_names(spark):
+    words = "one two three four five six seven eight nine ten"
+    d = spark.createDataFrame([(1, words, b"p", 3), (2, "other", b"q", 4)], "id bigint, Text string, HIT binary, `n_hit` int")
+    b = spark.createDataFrame([(7, words)], "Item_id bigint, TEXT string")
+    got = decontaminate.decontaminate(d, b)
+    assert got.columns == d.columns and [tuple(r) for r in got.collect()] == [(2, "other", bytearray(b"q"), 4)]
+
+
 def test_contamination_empty_and_longest(spark):
     d = spark.createDataFrame([(1, "x the cat sat on the mat y"), (2, "the cat sat"), (2, "the cat sat")], "doc_id bigint, text string")
     b = spark.createDataFrame([("t", "a cat sat on the rug")], "item_id string, text string")
