@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from feedmill.storage import Workspace, remove, settle, shared_dir
 
-__all__ = ["Workspace", "field", "others", "remove", "row_of", "settle", "shared_dir", "table"]
+__all__ = ["Workspace", "carried", "field", "others", "remove", "row_of", "settle", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def others(names: list[str], results: tuple[str, ...]) -> list[str]:
     return [n for n in names if n.lower() not in taken]
 
 
+def carried(names: list[str]) -> Column:
+    """The named columns as one struct; a null without names. Taken through an operator as one column and opened behind it."""
+    return F.struct(*[field(n) for n in names]) if names else F.lit(None).cast("int")
+
+
 def row_of(df: DataFrame) -> Column:
     """All columns of ``df`` as one struct, so that no helper column of an operator can clash with them; ``row.*`` gives them back."""
-    return F.struct(*[field(c) for c in df.columns])
+    return carried(df.columns)

@@ -14,6 +14,7 @@ Words: A-Z lower-cased, maximal runs of ASCII letters, digits and characters bey
 from __future__ import annotations
 
 from itertools import repeat
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -198,6 +199,11 @@ def mark_shard(test: TestSet, texts: list[list[bytes]]):
     return [covered[s : s + len(t)] for t, s in zip(texts, starts)], [{test.items[i] for i in f} for f in found]
 
 
+def _sent(docs: DataFrame, test: TestSet):
+    """A test set's plain values as a broadcast: workers need no copy of this package."""
+    return docs.sparkSession.sparkContext.broadcast(SimpleNamespace(**vars(test)))
+
+
 def test_sets(benchmark: DataFrame, id_col: str, text_col: str, window: int):
     """The test items in blocks of about BLOCK_BYTES, one after the other: each is collected when it is asked for."""
     rows = benchmark.select(field(id_col).cast("string").alias("i"), field(text_col).alias("t")).filter("t is not null")
@@ -227,7 +233,7 @@ def _shards(batches, column):
 def _pass(data: DataFrame, test: TestSet, last: bool) -> DataFrame:
     """One map pass over (row, t, hit, items, n_words, n_hit): the last four with what the items of ``test`` add. The ``last``
     pass returns neither t nor hit."""
-    shared = data.sparkSession.sparkContext.broadcast(test)
+    shared = _sent(data, test)
     schema = (data.drop("t", "hit") if last else data).schema
 
     def run(batches):
@@ -290,7 +296,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     kind = docs.schema[id_col].dataType.simpleString()
     found = None
     for last, test in test_sets(benchmark, item_id, item_text, 1):
-        shared = docs.sparkSession.sparkContext.broadcast(test)
+        shared = _sent(docs, test)
 
         def run(batches, shared=shared):
             test = shared.value

@@ -1,12 +1,12 @@
 """Main text of web pages by a tree-structured graphical model.
 
-Every element of a page's tree is content or not. A node's own potential comes from its tag, its class and
-id words, and the text and link shares of its subtree; potentials between parent and child say how content
-is passed on. Sum-product messages run from the leaves up and from the root down and give every node's
-marginal; text whose element has a marginal over one half is main text. The potentials are fitted, by the
-gradient of the labels' likelihood that the same messages give, to labelled pages: a fixed set made by
-rule, in which content elements are marked, and a bounded sample of the corpus' own pages in which a single article
-element marks the content without doubt.
+Every element of a page's tree is content or not. A node's own potential comes from what its subtree is like - how much
+text, how much of the page's, how long its runs, how far linked, where on the page, what children - and from its tag
+and class and id words; potentials between parent and child say how content is passed on. Sum-product messages run
+from the leaves up and from the root down and give every node's marginal; text whose element has a marginal over
+one half is main text. The potentials are fitted, by the gradient of the labels' likelihood that the same messages
+give, to labelled pages: a fixed set made by rule, in many layouts and half of it with class words that mean nothing,
+and a bounded sample of the corpus' own pages in which a single article element marks the content without doubt.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from feedmill.llm.common import carried, field, others
+
 #: Pages of the corpus that are used as labelled ones, at most about, and their longest html in characters.
 MOST_PAGES, LONGEST_SAMPLE = 40, 200_000
 #: What all sampled pages weigh together, in fixed labelled pages. Rounds, pages of a step, its size, and the pull of weights to 0.
-SAMPLE_WEIGHT, STEPS, BATCH, RATE, PULL = 12.0, 24, 10, 0.5, 0.004
+SAMPLE_WEIGHT, STEPS, BATCH, RATE, PULL = 12.0, 16, 10, 0.5, 0.004
 
 #: Tag kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,21 +44,28 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[
 _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 _NAME_WORD = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])|[a-z]+")
 _SPACE = re.compile(r"\s+")
+_STOP = re.compile(r"[.!?。！？…](?=\s|[\"'»”)\]]|$)")
+#: Children that are alike in any text.
+ALIKE = frozenset("p li tr td th dt dd tbody h1 h2 h3 h4 h5 h6 hr br".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "features", "n", "linked", "texts", "mark")
+    """An element: its subtree's characters of text, those in links, its runs of text and sentence ends, the characters of its
+    own runs, where its text begins and ends on the page, and how often its block children have a tag and names."""
+
+    __slots__ = ("tag", "parent", "names", "mark", "n", "linked", "runs", "stops", "own", "begin", "end", "children")
 
-    def __init__(self, tag, parent, features, mark):
-        self.tag, self.parent, self.features, self.mark = tag, parent, features, mark
-        self.n = self.linked = self.texts = 0
+    def __init__(self, tag, parent, names, mark):
+        self.tag, self.parent, self.names, self.mark = tag, parent, names, mark
+        self.n = self.linked = self.runs = self.stops = self.own = self.begin = self.end = 0
+        self.children: dict[str, int] = {}
 
 
 def parse(source: str | None):
     """(nodes, pieces): the elements in page order, each with the number of its parent, and the text between
     tags as (node, text, block number). Missing end tags are supplied, stray ones passed over; scripts,
     styles and other hidden elements' text is left out."""
-    root = Node("#root", -1, ("tag=#root",), None)
+    root = Node("#root", -1, (), None)
     nodes, pieces, stack, hidden, block, at = [root], [], [0], 0, 0, 0
     source = source or ""
     size = len(source)
@@ -98,8 +107,11 @@ def parse(source: str | None):
                 break
         attributes = {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(m[3])} if "=" in m[3] else {}
         names = {w.lower() for key in ("class", "id", "role") if key in attributes for w in _NAME_WORD.findall(attributes[key])}
-        features = (f"tag={tag}", *(f"name={w}" for w in sorted(names)))
-        nodes.append(Node(tag, stack[-1], features, attributes.get("data-content")))
+        nodes.append(Node(tag, stack[-1], tuple(sorted(names)), attributes.get("data-content")))
+        if tag in BLOCK:
+            kin = nodes[stack[-1]].children
+            sign = " ".join((tag, *nodes[-1].names))
+            kin[sign] = kin.get(sign, 0) + 1
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
         stack.append(len(nodes) - 1)
@@ -108,31 +120,62 @@ def parse(source: str | None):
             end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
             at = end.start() if end else size
     text(source[at:])
+    at = 0
     for i, t, _ in pieces:
-        nodes[i].texts += 1
         n = len(t.strip())
+        if not n:
+            continue
+        stops = len(_STOP.findall(t))
+        nodes[i].own += n
         link = False
         while i >= 0:
             node = nodes[i]
             link = link or node.tag == "a"
+            if not node.n:
+                node.begin = at
             node.n += n
+            node.end = at + n
+            node.runs += 1
+            node.stops += stops
             node.linked += n if link else 0
             i = node.parent
+        at += n
     return nodes, pieces
 
 
+def _step(x: float, *bounds: float) -> int:
+    """How many bounds ``x`` reaches."""
+    return sum(x >= b for b in bounds)
+
+
 def node_features(nodes: list[Node], i: int) -> tuple[str, ...]:
-    node = nodes[i]
-    amount = 0 if not node.n else 1 if node.n < 25 else 2 if node.n < 100 else 3
-    links = 0 if not node.n else min(3, int(4 * node.linked / node.n))
-    return (*node.features, f"amount={amount}", f"links={links}")
+    """Names of the features that node ``i`` has. Inline elements have those of their tag and names only: they are as their parents."""
+    node, total = nodes[i], max(1, nodes[0].n)
+    out = [f"tag={node.tag}", *[f"name={w}" for w in node.names]]
+    if node.tag not in BLOCK and node.parent >= 0:
+        return tuple(out)
+    if not node.n:
+        return (*out, "amount=0")
+    amount, links, mean = _step(node.n, 25, 100, 400), _step(node.linked / node.n, 0.25, 0.5, 0.75), _step(node.n / node.runs, 15, 45, 120)
+    share = _step(node.n / total, 0.05, 0.2, 0.5, 0.8)
+    out += [f"amount={amount}", f"links={links}", f"mean={mean}", f"own={_step(node.own, 1, 25, 100)}", f"share={share}"]
+    out += [f"stops={_step(100 * node.stops / node.n, 0.2, 0.8, 2.0)}", f"from={_step(node.begin / total, 0.02, 0.3, 0.8)}", f"to={_step(node.end / total, 0.2, 0.7, 0.98)}", f"kind={amount}{links}{mean}"]
+    out += [f"share={share} own={_step(node.own, 1, 25, 100)}", f"share={share} mean={mean}", f"tag={node.tag} share={share}", f"tag={node.tag} own={_step(node.own / total, 0.01, 0.3, 0.7, 0.95)}"]
+    paragraphs = headings = alike = 0
+    for sign, k in node.children.items():
+        tag = sign.split(" ", 1)[0]
+        paragraphs += k * (tag == "p")
+        headings += k * (tag[0] == "h" and tag[1:].isdigit())
+        if tag not in ALIKE:
+            alike = max(alike, k)
+    return (*out, f"paragraphs={_step(paragraphs, 1, 2, 4)}", f"headings={_step(headings, 1, 2)}", f"alike={_step(alike, 2, 3)}")
 
 
 #: Labelled pages: data-content=1 marks content, data-content=0 what is not; an element without mark is as its parent.
 #: What labelled pages are made of - containers of content, furniture around it, furniture inside it.
 CONTAINERS = [
     "article", "main", "main>article", "section>article", "div class=content", "div id=content", "div class=article", "div class=article-body", "div class=post", "div class=post-content", "div class=entry", "div class=entry-content",
-    "div class=story", "div class=story-body", "div id=main>div class=text", "div id=main-content", "div class=page>main", "div class=wrapper>article", "div class=container>div class=content", "div role=main", "td class=content", "body",
+    "div class=story", "div class=story-body", "div id=main>div class=text", "div id=main-content", "div class=page>main", "div class=wrapper>article", "div class=container>div class=content", "div role=main", "td class=content", "paragraphs", "text", "text", "plain",
 ]
 AROUND = [
     "header", "nav", "footer", "aside", "form", "div class=header", "div id=header", "div class=site-header", "div class=topbar", "div class=masthead", "div class=logo", "div class=nav", "div class=navigation", "div class=navbar", "div class=menu", "ul class=menu", "ul class=nav",
@@ -147,58 +190,139 @@ INSIDE = [
 ]
 
 
-def labelled_pages(n: int = 300, seed: int = 7) -> list[str]:
-    """Labelled pages put together by chance from those parts: data-content=1 marks content, 0 what is not; an element without mark is as its parent."""
-    rnd = random.Random(seed)
-
-    def words(lo, hi):
-        return " ".join("".join(rnd.choice("aeioubdklmnrst") for _ in range(rnd.randint(2, 8))) for _ in range(rnd.randint(lo, hi))).capitalize() + "."
-
-    def inline(lo, hi):
-        t = words(lo, hi)
-        tag = rnd.choice(["a href=/x", "b", "i", "em", "strong", "span", "code", "sup", "", "", "", "", ""])
-        return f"{t} <{tag}>{words(1, 3)}</{tag.split()[0]}> {words(1, 5)}" if tag else t + rnd.choice(["", "", "", "<br>" + words(1, 9)])
-
-    def furniture(kind, mark):
-        inner = "".join(
-            rnd.choice([lambda: f"<p>{inline(2, 30)}</p>", lambda: words(2, 12), lambda: f"<ul>{''.join(f'<li><a href=/x>{words(1, 3)}</a></li>' for _ in range(rnd.randint(1, 6)))}</ul>", lambda: f"<a href=/x>{words(1, 3)}</a>", lambda: f"<h{rnd.randint(1, 4)}>{words(1, 3)}</h3>", lambda: f"<div>{words(2, 25)}</div>"])()
-            for _ in range(rnd.randint(1, 3))
-        )
-        return f"<{kind} {mark}>{inner}</{kind.split()[0]}>"
-
-    def content():
-        out = [f"<h{rnd.choice('1112')}>{words(1, 8)}</h1>"] if rnd.random() < 0.8 else []
-        if out and rnd.random() < 0.15:
+class _Writer:
+    """Makes labelled pages by chance from those parts."""
+
+    def __init__(self, seed: int):
+        self.rnd = random.Random(seed)
+
+    def word(self) -> str:
+        return "".join(self.rnd.choice("aeioubdklmnrst") for _ in range(self.rnd.randint(2, 8)))
+
+    def words(self, lo: int, hi: int) -> str:
+        """A sentence or several."""
+        n, out = self.rnd.randint(lo, hi), []
+        while n > 0:
+            k = min(n, self.rnd.randint(4, 14))
+            out.append(" ".join(self.word() for _ in range(k)).capitalize() + ("." if k > 3 or self.rnd.random() < 0.3 else ""))
+            n -= k
+        return " ".join(out)
+
+    def named(self, kind: str, blind: bool) -> str:
+        """The part as it is listed, or with names that mean nothing."""
+        if not blind or "=" not in kind:
+            return kind
+        return kind.split()[0] + (f' class="{self.word()}{self.rnd.choice(["", "-" + self.word()])}"' if self.rnd.random() < 0.8 else "")
+
+    def inline(self, lo: int, hi: int) -> str:
+        t, tag = self.words(lo, hi), self.rnd.choice(["a href=/x", "b", "i", "em", "strong", "span", "code", "sup", "", "", "", "", ""])
+        if tag:
+            return f"{t} <{tag}>{self.words(1, 3)}</{tag.split()[0]}> {self.words(1, 5)}"
+        return t + self.rnd.choice(["", "", "", "<br>" + self.words(1, 9)])
+
+    def links(self, lo: int, hi: int, longest: int = 3) -> list[str]:
+        return [f"<a href=/x>{self.words(1, longest)}</a>" for _ in range(self.rnd.randint(lo, hi))]
+
+    def comments(self, kind: str) -> str:
+        """A list of replies, each with a name, a date and a short text."""
+        one = self.rnd.choice(["div", "li", "article", "section"])
+        name = self.rnd.choice(["", f" class={self.word()}"])
+        head = lambda: self.rnd.choice([f"<b>{self.word()}</b>", f"<a href=/u>{self.word()}</a>", f"<span>{self.word()}</span> <time>2020</time>", f"<p>{self.word()}</p>"])
+        rows = "".join(f"<{one}{name}>{head()}<p>{self.words(2, 25)}</p>{self.rnd.choice(['', '<a href=/r>' + self.word() + '</a>'])}</{one}>" for _ in range(self.rnd.randint(2, 7)))
+        title = self.rnd.choice(["", f"<h3>{self.words(1, 2)}</h3>"])
+        return f"<{kind} data-content=0>{title}{rows}</{kind.split()[0]}>"
+
+    def furniture(self, kind: str) -> str:
+        """What is not content: link lists, short notes, forms, now and then sentences."""
+        parts = [
+            lambda: f"<p>{self.inline(2, 18)}</p>",
+            lambda: self.words(2, 12),
+            lambda: f"<ul>{''.join(f'<li>{a}</li>' for a in self.links(1, 8))}</ul>",
+            lambda: " ".join(self.links(1, 6)),
+            lambda: f"<h{self.rnd.randint(2, 4)}>{self.words(1, 3)}</h3>",
+            lambda: f"<div>{self.words(2, 15)}</div>",
+            lambda: f"<input name=q><button>{self.words(1, 2)}</button> {self.words(1, 4)}",
+            lambda: f"&copy; 2020 {self.words(1, 6)}",
+        ]
+        inner = "".join(self.rnd.choice(parts)() for _ in range(self.rnd.randint(1, 3)))
+        return f"<{kind} data-content=0>{inner}</{kind.split()[0]}>"
+
+    def block(self) -> str:
+        """A block of content."""
+        k = self.rnd.random()
+        if k < 0.6:
+            return f"<p>{self.inline(1, 70)}</p>"
+        if k < 0.67:
+            return f"<h{self.rnd.randint(2, 4)}>{self.words(1, 5)}</h2>"
+        if k < 0.73:
+            return f"<ul>{''.join(f'<li>{self.inline(1, 12)}</li>' for _ in range(self.rnd.randint(1, 4)))}</ul>"
+        if k < 0.76:
+            return f"<ol>{''.join(f'<li>{self.words(1, 12)}</li>' for _ in range(self.rnd.randint(1, 4)))}</ol>"
+        if k < 0.8:
+            return f"<blockquote><p>{self.words(3, 30)}</p></blockquote>"
+        if k < 0.84:
+            return f"<table><tr><td>{self.words(1, 3)}</td><td>{self.words(1, 3)}</td></tr></table>"
+        if k < 0.88:
+            return f"<div>{self.inline(5, 40)}</div>"
+        if k < 0.92:
+            return f"<section><h2>{self.words(1, 4)}</h2><p>{self.inline(5, 40)}</p></section>"
+        if k < 0.95:
+            return f"<figure><img src=x><figcaption>{self.words(2, 8)}</figcaption></figure>"
+        if k < 0.97:
+            return f"<pre>{self.words(3, 20)}</pre>"
+        return f"<dl><dt>{self.words(1, 2)}</dt><dd>{self.words(2, 9)}</dd></dl>"
+
+    def content(self, blind: bool) -> str:
+        """Blocks of content, or runs of text, with furniture between them."""
+        if self.rnd.random() < 0.15:
+            return self.rnd.choice(["<br>", "<br><br>", " "]).join(self.rnd.choice([self.words, self.inline])(5, 60) for _ in range(self.rnd.randint(1, 4)))
+        out = [f"<h{self.rnd.choice('1112')}>{self.words(1, 8)}</h1>"] if self.rnd.random() < 0.8 else []
+        if out and self.rnd.random() < 0.15:
             out = [f"<header>{out[0]}</header>"]
-        for _ in range(rnd.randint(0 if out else 1, 7)):
-            k = rnd.random()
-            if rnd.random() < 0.1:
-                links = [f"<a href=/x>{words(1, 6)}</a>" for _ in range(rnd.randint(1, 4))]
-                out.append(rnd.choice([f"<p>{links[0]}</p>", f"<ul>{''.join(f'<li>{a}</li>' for a in links)}</ul>"]))
-                continue
-            out.append(
-                f"<p>{inline(1, 60)}</p>" if k < 0.6 else f"<h{rnd.randint(2, 4)}>{words(1, 5)}</h2>" if k < 0.67 else f"<ul>{''.join(f'<li>{inline(1, 12)}</li>' for _ in range(rnd.randint(1, 4)))}</ul>" if k < 0.73
-                else f"<ol>{''.join(f'<li>{words(1, 12)}</li>' for _ in range(rnd.randint(1, 4)))}</ol>" if k < 0.76 else f"<blockquote><p>{words(3, 30)}</p></blockquote>" if k < 0.8 else f"<table><tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr></table>" if k < 0.84
-                else f"<div>{inline(5, 40)}</div>" if k < 0.88 else f"<section><h2>{words(1, 4)}</h2><p>{inline(5, 40)}</p></section>" if k < 0.92 else f"<figure><img src=x><figcaption>{words(2, 8)}</figcaption></figure>" if k < 0.95 else f"<pre>{words(3, 20)}</pre>" if k < 0.97 else f"<dl><dt>{words(1, 2)}</dt><dd>{words(2, 9)}</dd></dl>"
-            )
-        for _ in range(rnd.choice([0, 1, 1, 2])):
-            out.insert(rnd.randint(0, len(out)), furniture(rnd.choice(INSIDE), "data-content=0"))
+        for _ in range(self.rnd.randint(0 if out else 1, 8)):
+            if self.rnd.random() < 0.08:
+                links = self.links(1, 4, 6)
+                out.append(self.rnd.choice([f"<p>{links[0]}</p>", f"<ul>{''.join(f'<li>{a}</li>' for a in links)}</ul>"]))
+            else:
+                out.append(self.block())
+        for _ in range(self.rnd.choice([0, 1, 1, 2])):
+            out.insert(self.rnd.randint(0, len(out)), self.furniture(self.named(self.rnd.choice(INSIDE), blind)))
+        if self.rnd.random() < 0.2:
+            out.append(self.comments(self.named(self.rnd.choice(["div class=comments", "section class=comments", "ol class=comment-list"]), blind)))
         return "".join(out)
 
-    pages = []
-    for i in range(n):
-        *outer, box = CONTAINERS[i % len(CONTAINERS)].split(">")
-        around = [furniture(rnd.choice(AROUND), "data-content=0") for _ in range(rnd.randint(1, 7))]
-        cut = rnd.randint(0, len(around))
-        top = "".join(f"<{o} data-content={int(o == 'main')}>" for o in outer)
+    def page(self, container: str, blind: bool) -> str:
+        rnd = self.rnd
+        around = [self.furniture(self.named(rnd.choice(AROUND), blind)) for _ in range(rnd.choice([0, 0, 1, 2, 3, 4, 5, 6, 7]))]
+        if rnd.random() < 0.25:
+            around.append(self.comments(self.named("div id=comments", blind)))
+        cut = rnd.randint(0, max(0, len(around) - 1))
+        before, behind = "".join(around[:cut]), "".join(around[cut:])
+        *outer, box = container.split(">")
+        if box in ("paragraphs", "text"):
+            if rnd.random() < 0.5:  # nothing but content
+                before = behind = ""
+            longest = rnd.choice([4, 15, 60])
+            if box == "paragraphs":  # blocks of content directly in the body, or in no element at all
+                inner = "".join(f"<p data-content=1>{self.inline(1, longest)}</p>" for _ in range(rnd.randint(1, 4)))
+                head, end = rnd.choice([("<html><body>", "</body></html>"), ("", "")])
+            else:  # text directly in the body
+                inner = rnd.choice(["<br>", "<br><br>", " "]).join(rnd.choice([self.words, self.inline])(1, longest) for _ in range(rnd.randint(1, 5)))
+                head, end = "<html><body data-content=1>", "</body></html>"
+            return f"{head}{before}{inner}{behind}{end}"
+        if box == "plain":  # text without any element, or with inline ones only
+            return "\n".join(rnd.choice([self.words, self.inline])(5, 60) for _ in range(rnd.randint(1, 4)))
+        top = "".join(f"<{self.named(o, blind)} data-content={int(o == 'main')}>" for o in outer)
         bottom = "".join(f"</{o.split()[0]}>" for o in reversed(outer))
-        if box == "body":
-            text = re.sub(r"<(h[1-4]|p|ul|ol|blockquote|table|pre|section|figure|dl|header|div)>", r"<\1 data-content=1>", "".join(f"<p>{inline(5, 60)}</p>" for _ in range(rnd.randint(1, 4))))
-            pages.append(f"<html><body>{''.join(around[:cut])}{text}{''.join(around[cut:])}</body></html>")
-        else:
-            side = furniture(rnd.choice(AROUND), "data-content=0") if outer and rnd.random() < 0.5 else ""
-            pages.append(f"<html><body>{''.join(around[:cut])}{top}<{box} data-content=1>{content()}</{box.split()[0]}>{side}{bottom}{''.join(around[cut:])}</body></html>")
-    return pages
+        side = self.furniture(self.named(rnd.choice(AROUND), blind)) if outer and rnd.random() < 0.5 else ""
+        return f"<html><body>{before}{top}<{self.named(box, blind)} data-content=1>{self.content(blind)}</{box.split()[0]}>{side}{bottom}{behind}</body></html>"
+
+
+def labelled_pages(n: int = 600, seed: int = 7) -> list[str]:
+    """Labelled pages: data-content=1 marks content, 0 what is not; an element without mark is as its parent. Every other one has
+    names that mean nothing. A page without elements but inline ones is content."""
+    writer = _Writer(seed)
+    return [writer.page(CONTAINERS[i // 2 % len(CONTAINERS)], i % 2 == 1) for i in range(n)]
 
 
 class Potentials:
@@ -211,7 +335,6 @@ class Potentials:
         """Log beliefs of all nodes, those of the upward pass alone, and the messages to the parents."""
         n, get = len(nodes), self.node.get
         own = [[0.0, sum([get(f, 0.0) for f in fs])] for fs in features]
-        own[0] = [0.0, -30.0]  # the page as a whole is no content
         edges = self.edge.tolist()
         up: list = [None] * n
         for i in range(n - 1, 0, -1):  # children come after their parents
@@ -244,6 +367,7 @@ def _add(a: float, b: float) -> float:
 def _labels(nodes: list[Node]) -> list[int]:
     """Labels by the marks of a labelled page."""
     out = [0] * len(nodes)
+    out[0] = int(all(n.tag not in BLOCK and n.tag != "html" for n in nodes[1:]))
     for i in range(1, len(nodes)):
         out[i] = int(nodes[i].mark) if nodes[i].mark in ("0", "1") else out[nodes[i].parent]
     return out
@@ -275,11 +399,13 @@ def fit(pages: list[tuple[list[Node], list[int], float]]) -> Potentials:
             for k in order[lo : lo + BATCH]:
                 (nodes, labels, weight), features = pages[k], featured[k]
                 full, own, up = model.beliefs(nodes, features)
-                for i in range(1, len(nodes)):
+                for i in range(len(nodes)):
                     b0, b1 = full[i]
                     off = weight * (labels[i] - 1 / (1 + math.exp(min(max(b0 - b1, -50.0), 50.0))))
                     for f in features[i]:
                         grad[f] = grad.get(f, 0.0) + off
+                    if not i:
+                        continue
                     p, kind = full[nodes[i].parent], int(nodes[i].tag in BLOCK)
                     edge = model.edge[kind]
                     pair = [[p[a] - up[i][a] + edge[a, c] + own[i][c] for c in (0, 1)] for a in (0, 1)]
@@ -330,16 +456,18 @@ def extract(pages: DataFrame, model: Potentials, html_col: str = "html", passed:
 
     Null and empty html and pages without content give an empty text. Whole pages are read; text in a block
     has its character references decoded and every run of white space made one space. Rows are independent:
-    repeated rows repeat, an empty table stays empty. Columns named like the two results are replaced.
+    repeated rows repeat, an empty table stays empty. Columns named like the two results, in any case, are replaced;
+    other names cannot clash.
     """
     shared = pages.sparkSession.sparkContext.broadcast((model.node, model.edge))
-    keep = [c for c in (passed if passed is not None else pages.columns) if c not in ("text", "n_chars")]
-    data = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_col}`").alias("__html"))
+    keep = others(passed if passed is not None else pages.columns, ("text", "n_chars"))
+    data = pages.select(carried(keep).alias("row"), field(html_col).alias("html"))
 
     def run(batches):
         own = Potentials(*shared.value)
         for batch in batches:
-            got = [main_text(h.as_py(), own) for h in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, pa.string()), pa.array([len(t) for t in got], pa.int64())], [*keep, "text", "n_chars"])
+            got = [main_text(h.as_py(), own) for h in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.string()), pa.array([len(t) for t in got], pa.int64())], ["row", "text", "n_chars"])
 
-    return data.mapInArrow(run, data.drop("__html").schema.add("text", "string").add("n_chars", "long"))
+    found = data.mapInArrow(run, data.select("row").schema.add("text", "string").add("n_chars", "long"))
+    return found.select(*(["row.*"] if keep else []), "text", "n_chars")

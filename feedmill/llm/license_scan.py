@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from feedmill.llm.common import field
 from feedmill.llm.license_texts import KNOWN_LICENSES
 
 #: Spellings that licence guidelines treat as equal.
@@ -24,7 +25,7 @@ COPYRIGHT_LINE = r"(?im)^[ \t#*/;-]*(?:(?:copyright[ \t]+)?(?:\(c\)|©)|copyrigh
 BROADCAST_DIGESTS = 100_000
 
 
-#: Every known text holds one of these in lower case, and so does every line or text that can equal one.
+#: If every known text holds one of these in lower case, only lines and texts that do are brought to the canonical form of a line.
 GATE = ("licen", "permission", "redistribut", "software")
 
 
@@ -42,28 +43,32 @@ def _gate(text: Column) -> Column:
     return F.contains(low, F.lit(GATE[0])) | F.contains(low, F.lit(GATE[1])) | F.contains(low, F.lit(GATE[2])) | F.contains(low, F.lit(GATE[3]))
 
 
-def known_digests(spark, licenses: list[tuple[str, str, str]]) -> DataFrame:
-    for name, _, body in licenses:
-        if not any(word in body.lower() for word in GATE):
-            raise ValueError(f"a known text of {name} holds none of the words {GATE}")
-    rows = spark.createDataFrame(licenses, "license string, kind string, body string")
-    return rows.select(F.col("license").alias("__license"), F.sha2(canonical(F.col("body")), 256).alias("__digest")).groupBy("__digest").agg(F.min("__license").alias("__license"))
+def known_digests(licenses: DataFrame) -> DataFrame:
+    """(__digest, __license) of (license, kind, body) rows: texts with equal canonical forms are one, with the smallest id; empty forms are none."""
+    forms = licenses.select(F.col("license").alias("__license"), canonical(F.col("body")).alias("__form")).filter("__form <> ''")
+    return forms.groupBy(F.sha2("__form", 256).alias("__digest")).agg(F.min("__license").alias("__license"), F.bool_and(_gate(F.col("__form"))).alias("__gated"))
 
 
-def scan_licenses(docs: DataFrame, licenses: list[tuple[str, str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, licenses: list[tuple[str, str, str]] | DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row of ``docs``: id, ``license`` (id of the licence that the whole text is, else null),
     ``n_notices`` (lines that are a known licence or notice), ``notices`` (their distinct ids, sorted,
     comma-joined; empty if none) and ``canonical_sha256`` (null text: that of the empty form).
 
-    Repeated rows stay repeated. Null and empty texts match nothing. A text that is known as two licences
+    ``licenses`` are (id, kind, text) rows, as a list or as a DataFrame (license, kind, body) of any size; by default
+    ``KNOWN_LICENSES``. Repeated rows stay repeated. Null and empty texts match nothing. A text that is known as two licences
     gets the smaller id. An empty table gives an empty table; other columns of ``docs`` are not read.
     """
-    licenses = licenses or KNOWN_LICENSES
-    known = known_digests(docs.sparkSession, licenses)
-    near = (lambda df: F.broadcast(df)) if len(licenses) <= BROADCAST_DIGESTS else (lambda df: df)
-    base = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    lines = base.filter(_gate(F.col("__text"))).select("__id", F.xxhash64("__text").alias("__same"), F.posexplode(F.split("__text", "\n")).alias("__pos", "__line"))
-    lines = lines.filter(_gate(F.col("__line"))).select("__id", "__same", "__pos", F.sha2(canonical(F.col("__line")), 256).alias("__digest"))
+    spark = docs.sparkSession
+    if not isinstance(licenses, DataFrame):
+        licenses = spark.createDataFrame(KNOWN_LICENSES if licenses is None else licenses, "license string, kind string, body string")
+    known = known_digests(licenses)
+    size = known.agg(F.count("*").alias("n"), F.bool_and("__gated").alias("gated")).first()
+    gate = _gate if size.gated else (lambda text: F.lit(True))
+    known = known.drop("__gated")
+    near = F.broadcast if size.n <= BROADCAST_DIGESTS else (lambda df: df)
+    base = docs.select(field(id_col).alias("__id"), F.coalesce(field(text_col), F.lit("")).alias("__text"))
+    lines = base.filter(gate(F.col("__text"))).select("__id", F.xxhash64("__text").alias("__same"), F.posexplode(F.split("__text", "\n")).alias("__pos", "__line"))
+    lines = lines.filter(gate(F.col("__line"))).select("__id", "__same", "__pos", F.sha2(canonical(F.col("__line")), 256).alias("__digest"))
     notices = lines.join(near(known), "__digest").groupBy("__id", "__same").agg(F.count_distinct("__pos").alias("__n"), F.array_join(F.array_sort(F.collect_set("__license")), ",").alias("__notices"))
     whole = base.select("__id", F.xxhash64("__text").alias("__same"), F.sha2(canonical(F.col("__text")), 256).alias("__digest"))
     found = whole.join(near(known), "__digest", "left").join(notices.select(F.col("__id").alias("__i"), F.col("__same").alias("__s"), "__n", "__notices"), F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__same") == F.col("__s")), "left")

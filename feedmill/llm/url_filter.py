@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from feedmill.llm.common import carried, field, others
+
 #: Rules are broadcast up to this many; longer lists are joined by shuffle.
 BROADCAST_RULES = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -35,27 +37,31 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: st
     Null or malformed URLs get empty host and path and the default verdict. Repeated rows stay repeated.
     Of several fitting rules the longest text (host + path) wins; of equally long ones the one with the
     longer host; a rule given twice with different verdicts blocks. Columns of ``pages`` that are named
-    like one of the four results are replaced. An empty table gives an empty table; no rules give the
-    default verdict everywhere.
+    like one of the four results, in any case, are replaced; other names cannot clash. An empty table gives an
+    empty table; no rules give the default verdict everywhere.
+
+    Rules are broadcast up to BROADCAST_RULES; distinct URLs are matched, and the matches joined back to the rows.
     """
     spark = pages.sparkSession
-    keep = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    base = pages.select(*keep, F.col(url_col).alias("__url"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
+    keep = others(pages.columns, ("host", "path", "rule", "verdict"))
+    base = pages.select(carried(keep).alias("row"), field(url_col).alias("url"), url_host(field(url_col)).alias("host"), url_path(field(url_col)).alias("path"))
+    opened = ["row.*"] if keep else []
     if not rules:
-        return base.select(*keep, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    known = spark.createDataFrame([(v, h, p) for v, h, p in rules], "__verdict string, __rhost string, __rpath string").select(
-        "__verdict", F.concat("__rhost", "__rpath").alias("__rule"), F.length("__rhost").alias("__hlen"), F.sha2(F.concat("__rhost", "__rpath"), 256).alias("__full")
-    ).withColumn("__short", F.substring("__full", 1, 8))
+        return base.select(*opened, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    known = spark.createDataFrame([(v, h, p) for v, h, p in rules], "verdict string, rhost string, rpath string").select(
+        "verdict", F.concat("rhost", "rpath").alias("rule"), F.length("rhost").alias("hlen"), F.sha2(F.concat("rhost", "rpath"), 256).alias("full")
+    ).withColumn("short", F.substring("full", 1, 8))
     labels = sorted({h.count(".") + 1 for _, h, _ in rules})
     lengths = sorted({len(p) for _, _, p in rules})
     parts = F.split("host", r"\.")
     suffixes = F.array(*[F.when(F.size(parts) >= n, F.array_join(F.slice(parts, -n, n), ".")) for n in labels])
     prefixes = F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths])
     expressions = F.array_compact(F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p)))))
-    urls = base.filter(F.col("__url").isNotNull()).select("__url", "host", "path").distinct()
-    forms = urls.select("__url", F.explode(expressions).alias("__e")).select("__url", F.sha2("__e", 256).alias("__digest")).withColumn("__short", F.substring("__digest", 1, 8))
-    found = forms.join(F.broadcast(known) if len(rules) <= BROADCAST_RULES else known, "__short").filter("__digest = __full")
-    best = found.groupBy("__url").agg(F.max(F.struct(F.length("__rule"), "__hlen", (F.col("__verdict") == "block").alias("b"), "__rule", "__verdict")).alias("__best"))
-    return base.join(best, "__url", "left").select(
-        *keep, "host", "path", F.col("__best.__rule").alias("rule"), F.coalesce("__best.__verdict", F.lit(default)).alias("verdict")
-    )
+    urls = base.filter(F.col("url").isNotNull()).select("url", "host", "path").distinct()
+    forms = urls.select("url", F.explode(expressions).alias("e")).select("url", F.sha2("e", 256).alias("digest")).withColumn("short", F.substring("digest", 1, 8))
+    found = forms.join(F.broadcast(known) if len(rules) <= BROADCAST_RULES else known, "short").filter("digest = full")
+    best = found.groupBy("url").agg(F.max(F.struct(F.length("rule"), "hlen", (F.col("verdict") == "block").alias("b"), "rule", "verdict")).alias("best"))
+    known_urls = base.filter(F.col("url").isNotNull()).join(best, "url", "left").select("row", "host", "path", "best")
+    # rows without URL are not sent to one key of the join
+    without = base.filter(F.col("url").isNull()).select("row", "host", "path", F.lit(None).cast(best.schema["best"].dataType).alias("best"))
+    return known_urls.unionByName(without).select(*opened, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

@@ -303,6 +303,16 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(d.limit(0)).count() == 0
 
 
+def test_licenses_of_any_words_and_from_a_table(spark):
+    waiver = "This work is dedicated to the public domain by its author."
+    d = spark.createDataFrame([(1, waiver.upper()), (2, "x\n" + waiver), (3, "Released under the MIT License.")], "doc_id bigint, text string")
+    known = [("waiver", "text", waiver), ("void", "text", "!!"), ("MIT", "notice", "Released under the MIT License.")]
+    for licenses in (known, spark.createDataFrame(known, "license string, kind string, body string")):
+        got = sorted((r.doc_id, r.license, r.notices) for r in license_scan.scan_licenses(d, licenses).collect())
+        assert got == [(1, "waiver", "waiver"), (2, None, "waiver"), (3, "MIT", "MIT")]
+    assert {r.license for r in license_scan.scan_licenses(d, []).collect()} == {None}
+
+
 CHANGES = "op string, source string, lang string, tokenizer string, tokens bigint, old_source string, old_lang string, old_tokenizer string, old_tokens bigint, extra int"
 
 
@@ -321,3 +331,24 @@ def test_token_counts(spark):
         counts.commit("../b4", first)
     d = spark.createDataFrame([(" a  b\n", ), (None,), ("",), ("x1, é",)], "t string")
     assert [tuple(r) for r in d.select(word_count(F.col("t")), piece_count(F.col("t"))).collect()] == [(2, 2), (0, 0), (0, 0), (2, 4)]
+
+
+def test_token_counts_of_unfinished_batches_and_compaction(spark, tmp_path):
+    row = lambda n: spark.createDataFrame([("insert", "s", "en", "t", n, None, None, None, None, None)], CHANGES)
+    path = tmp_path / "counts"
+    path.mkdir()
+    counts = TokenCounts(spark, str(path))
+    assert counts.totals().count() == 0 and counts.compact() == 0
+    assert counts.commit("a", row(1)) and counts.commit("b", row(10))
+    # a writer that was lost before it could rename its folder, and one that lost the race for an id
+    minhash_dedup.settle(row(1000)).write.parquet(str(path / "tmp" / "lost"))
+    late = f"{path}/tmp/late"
+    row(100).write.parquet(late)
+    assert not counts._publish(late, "batches", "b") and not Path(late).exists()
+    total = lambda: [(r.docs, r.tokens) for r in counts.totals().collect()]
+    assert total() == [(2, 11)]
+    assert counts.compact() == 2 and total() == [(2, 11)] and not counts.commit("a", row(5))
+    assert counts.commit("c", row(100)) and total() == [(3, 111)]
+    counts.drop_folded()
+    assert counts._names("batches") == ["c"] and total() == [(3, 111)] and not counts.commit("b", row(5))
+    assert counts.compact() == 1 and counts.compact() == 0 and total() == [(3, 111)]

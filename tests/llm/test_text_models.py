@@ -1,7 +1,12 @@
 """Language ID, toxicity, HTML main text and URL filters."""
 
 import math
+import os
+import subprocess
+import sys
+from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,13 +34,83 @@ def test_language(spark):
     assert {r.lang_pred for r in language_id.predict(more, language_id.train(docs.limit(0))).collect()} == {"und"}
 
 
-def test_language_pieces_equal_whole(monkeypatch):
-    text = [EN * 30, "", DE, EN]
-    import numpy as np
+def brute_bundle(text, letters):
+    """The definition: every trigram's vector made letter by letter, place by place."""
+    total = [0] * letters.dimensions
+    shown = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    while "  " in shown:
+        shown = shown.replace("  ", " ")
+    for k in range(len(shown) - 2):
+        a, b, c = (letters.vector(ord(x)) for x in shown[k : k + 3])
+        for j in range(letters.dimensions):
+            total[j] += int(a[j - 2] * b[j - 1] * c[j])
+    return total
+
+
+def test_language_equals_its_definition(spark):
+    docs, letters = lang_docs(spark), language_id.Letters(64)
+    proto = language_id.train(docs, dimensions=64)
+    sums = {lang: [sum(x) for x in zip(*(brute_bundle(r.text, letters) for r in docs.filter(F.col("lang") == lang).collect()))] for lang in ("de", "en")}
+    assert {lang: v.tolist() for lang, v in proto.items()} == sums
+    texts = ["the and there", "nicht Über das", "x", "Ça va? 12", "the die with der"]
+    got = language_id.predict(spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], LANG), proto).orderBy("doc_id").collect()
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    for r, t in zip(got, texts):
+        best = {lang: cosine(brute_bundle(t, letters), v) for lang, v in sums.items()}
+        assert r.lang_pred == max(sorted(best), key=best.get) and r.score == pytest.approx(max(0.0, *best.values()), abs=1e-5)
 
-    whole = np.concatenate(list(language_id.text_vectors(text)))
+
+def test_language_ties_go_to_the_first_name(spark):
+    proto = language_id.train(lang_docs(spark))
+    got = language_id.predict(lang_docs(spark).limit(1), {"zz": proto["de"], "aa": proto["de"], "mm": proto["de"]}).first()
+    assert got.lang_pred == "aa"
+
+
+def test_language_pieces_equal_whole(monkeypatch):
+    text, letters = [EN * 30, "", DE, EN], language_id.Letters()
+    whole = np.concatenate(list(language_id.text_vectors(text, letters)))
     monkeypatch.setattr(language_id, "LETTERS_AT_ONCE", 50)
-    assert (np.concatenate(list(language_id.text_vectors(text))) == whole).all()
+    assert (np.concatenate(list(language_id.text_vectors(text, letters))) == whole).all()
+
+
+def test_clashing_names(spark, model):
+    """Result names in another case are replaced, names that an operator could use inside pass through."""
+    extra = {"Score": F.lit(1), "`__text`": F.lit(2), "row": F.lit(3), "t": F.lit(4), "Lang_Pred": F.lit(5), "`a.b`": F.lit(6), "url": F.lit("http://a.net/"), "Host": F.lit(7), "`__url`": F.lit(8), "TEXT": F.lit(None), "N_chars": F.lit(9)}
+    d = lang_docs(spark).drop("score").withColumnRenamed("text", "Body").select("doc_id", "Body", "lang", *[v.alias(k.strip("`")) for k, v in extra.items()])
+    rest = {"row": 3, "t": 4, "a.b": 6, "__text": 2, "__url": 8}
+    found = language_id.predict(d, language_id.train(d, text_col="body"), text_col="body")
+    assert found.columns == [c for c in d.columns if c not in ("Score", "Lang_Pred")] + ["lang_pred", "score"]
+    scored = toxicity.score(d, toxicity.fit([], np.zeros(0)), text_col="body")
+    assert scored.columns == [c for c in d.columns if c != "Score"] + ["score"]
+    pages = html_content.extract(d, model, html_col="body")
+    assert pages.columns == [c for c in d.columns if c not in ("TEXT", "N_chars")] + ["text", "n_chars"]
+    urls = url_filter.filter_urls(d, [("block", "net", "/")])
+    assert urls.columns == [c for c in d.columns if c != "Host"] + ["host", "path", "rule", "verdict"] and urls.first().verdict == "block"
+    for out in (found, scored, pages, urls):
+        assert out.count() == 40 and {k: out.first()[k] for k in rest} == rest
+
+
+TRAVEL = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from feedmill.session import session
+from feedmill.llm import ann_search, decontaminate, html_content, language_id, minhash_dedup, toxicity
+s = session("travel", cores=2, **{"spark.checkpoint.dir": sys.argv[2], "spark.sql.shuffle.partitions": "2", "spark.driver.memory": "2g"})
+d = s.createDataFrame([(i, "the words of text number %d are here" % i, "en", i % 2, [1.0, float(i)]) for i in range(8)], "doc_id bigint, text string, lang string, label int, embedding array<double>")
+out = [
+    language_id.predict(d, language_id.train(d)), toxicity.score(d, toxicity.train(d, d)), html_content.extract(d, html_content.Potentials({}, html_content.np.zeros((2, 2, 2))), html_col="text"),
+    decontaminate.contamination(d, d.withColumnRenamed("doc_id", "item_id")), minhash_dedup.near_duplicates(d), ann_search.nearest(d, d, 3, "doc_id"),
+]
+print([x.count() for x in out])
+"""
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """The package is importable on the driver only: the workers run elsewhere, with no path to it."""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    root = str(Path(language_id.__file__).resolve().parents[2])
+    out = subprocess.run([sys.executable, "-c", TRAVEL, root, str(tmp_path)], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert out.stdout.strip().endswith("[8, 8, 8, 8, 8, 24]"), out.stderr[-3000:]
 
 
 def test_language_held_out(spark):
@@ -59,6 +134,31 @@ def test_toxicity(spark):
     assert [r.score for r in toxicity.score(test, none).collect()] == [0.5] * 6
 
 
+def test_toxicity_score_is_the_sum_over_terms_and_pairs():
+    rng = np.random.default_rng(4)
+    m = toxicity.Machine(0.3, np.arange(50), rng.normal(size=50), rng.normal(0, 0.3, (50, toxicity.K)))
+    for n in (0, 1, 2, 9):
+        terms = rng.choice(60, n, replace=False)
+        z, known = m.bias, [t for t in terms if t < 50]
+        for a in known:
+            z += m.weight[a]
+            z += sum(sum(m.factor[a][k] * m.factor[b][k] for k in range(toxicity.K)) for b in known if a < b)
+        assert m.score(terms) == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_toxicity_learns_terms_that_matter_together_only():
+    """Label 1: exactly one of two words, so neither word by itself tells anything."""
+    rng, places = np.random.default_rng(0), toxicity._Places()
+    rows, labels = [], []
+    for _ in range(1200):
+        a, b = rng.integers(0, 2, 2)
+        rows.append(toxicity.term_places(" ".join([f"w{chr(97 + k)}x" for k in rng.integers(0, 26, 10)] + ["alpha"] * a + ["omega"] * b), places))
+        labels.append(int(a != b))
+    m = toxicity.fit(rows, np.array(labels))
+    one, other, both, none = (m.score(toxicity.term_places(t, places)) for t in ("alpha", "omega", "alpha omega", "wax"))
+    assert min(one, other) > 0.9 and max(both, none) < 0.2
+
+
 def test_toxicity_pairs_weigh_more():
     import numpy as np
 
@@ -105,6 +205,52 @@ def test_text_after_raw_elements(script):
     assert [(nodes[i].tag, t) for i, t, _ in pieces if t.strip()] == [("p", "First."), ("p", "Second."), ("p", "Third.")]
 
 
+TWO = P.replace("page.", "page. It has a second sentence, as paragraphs have, and a third one. This is it, and it ends here.") + "<p>A second one follows it, with other words in it, and tells more of the same. It is about as long as the first. It ends here, after another sentence.</p>"
+BARE = TWO.replace("<p>", "").replace("</p>", " ")
+
+
+@pytest.mark.parametrize("page", [f"<html><body><div class=xyz>{TWO}</div></body></html>", f"<html><body>{BARE}</body></html>", BARE, "<p>Hi there.</p>", f"<body><div id=q1><a href=/>A</a> <a href=/b>B</a></div><div>{BARE}</div><div id=q2>(c) 2020</div></body>"])
+def test_text_of_pages_without_known_names(model, page):
+    got = html_content.main_text(page, model)
+    assert got == ("Hi there." if "Hi" in page else " ".join(BARE.split()))
+
+
+def test_comments_without_known_names_go(model):
+    replies = "".join(f"<div><b>{n}</b><p>{t}</p></div>" for n, t in (("Jan", "Guter Text."), ("Eva", "Finde ich auch so."), ("Tom", "Nein.")))
+    assert html_content.main_text(f"<body><nav><a href=x>a</a></nav><article><h1>T</h1>{TWO}<div class=kommentare>{replies}</div></article></body>", model) == "T " + " ".join(BARE.split())
+
+
+@pytest.mark.parametrize("blind, least", [(False, 0.96), (True, 0.93)])
+def test_words_of_held_out_pages(model, blind, least):
+    """Precision and recall of words on pages of all layouts that the model has not seen; blind ones have names that mean nothing."""
+    writer, right, more, less = html_content._Writer(99), 0, 0, 0
+    for i in range(400):
+        nodes, pieces = html_content.parse(writer.page(html_content.CONTAINERS[i % len(html_content.CONTAINERS)], blind))
+        labels, content = html_content._labels(nodes), model.marginals(nodes)
+        for k, text, _ in pieces:
+            n = len(text.split())
+            right += n * (labels[k] and content[k] > 0.5)
+            more += n * (not labels[k] and content[k] > 0.5)
+            less += n * (labels[k] and content[k] <= 0.5)
+    assert right / (right + more) > least and right / (right + less) > least
+
+
+def test_text_equals_brute_force(model):
+    """The words of the elements that more than half of the weight of all labellings calls content."""
+    import itertools
+
+    nodes, pieces = html_content.parse(f"<body><div>{TWO}</div><ul><li><a href=x>a link</a></li></ul>tail</body>")
+    n, on, total = len(nodes), [0.0] * len(nodes), 0.0
+    own = [sum(model.node.get(f, 0.0) for f in html_content.node_features(nodes, i)) for i in range(n)]
+    for labels in itertools.product((0, 1), repeat=n):
+        w = math.exp(sum(own[i] * labels[i] for i in range(n)) + sum(model.edge[int(nodes[i].tag in html_content.BLOCK), labels[nodes[i].parent], labels[i]] for i in range(1, n)))
+        total += w
+        for i in range(n):
+            on[i] += w * labels[i]
+    want = " ".join(" ".join(t.split()) for i, t, _ in pieces if on[i] > total / 2 and t.strip())
+    assert html_content.main_text(f"<body><div>{TWO}</div><ul><li><a href=x>a link</a></li></ul>tail</body>", model) == want
+
+
 def test_marginals_are_exact(model):
     """Sum-product on a small tree against the sum over all labellings."""
     import itertools
@@ -112,7 +258,6 @@ def test_marginals_are_exact(model):
     nodes, _ = html_content.parse("<article><p>Some text</p><div><a href=x>link</a></div></article>")
     n = len(nodes)
     own = [sum(model.node.get(f, 0.0) for f in html_content.node_features(nodes, i)) for i in range(n)]
-    own[0] = -30.0
     total, on = 0.0, [0.0] * n
     for labels in itertools.product((0, 1), repeat=n):
         w = math.exp(sum(own[i] * labels[i] for i in range(n)) + sum(model.edge[int(nodes[i].tag in html_content.BLOCK), labels[nodes[i].parent], labels[i]] for i in range(1, n)))
