@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from feedmill.llm import decontaminate as overlap
 from feedmill.llm import language_id, toxicity
 from feedmill.llm.byte_bpe import encode_digests
-from feedmill.llm.common import settle, table
+from feedmill.llm.common import row_of, settle, table
 from feedmill.llm.minhash_dedup import deduplicate
 from feedmill.llm.queries import TOXIC_FROM, doc_fold, known_labels
 
@@ -19,34 +19,58 @@ LEAST_LANGUAGE_SCORE = 0.095
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that score as toxic; the scorer learns from the labelled ones among ``docs``."""
+    """Without the documents that score as toxic; the scorer learns from the labelled ones among ``docs``.
+
+    Null and empty texts have the score of no terms and stay; rows that share an id or text are judged alike, each by
+    itself; long texts are read whole; an empty table stays empty; columns of any name stay as they are.
+    """
     machine = toxicity.train(docs, known_labels(table(spark, sf_dir, "labels")))
-    scored = toxicity.score(docs.withColumnRenamed("score", "__own_score"), machine)
-    return scored.filter(F.col("score") < TOXIC_FROM).drop("score").withColumnRenamed("__own_score", "score")
+    scored = toxicity.score(docs.select(row_of(docs).alias("row"), "text"), machine, passed=["row"])
+    return scored.filter(F.col("score") < TOXIC_FROM).select("row.*")
 
 
 def drop_without_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that are in no known language; profiles are learned from ``docs`` that name theirs."""
+    """Without the documents that are in no known language; profiles are learned from ``docs`` that name theirs.
+
+    Null texts and texts without letters go; rows without ``lang`` are judged like others; repeated rows repeat;
+    long texts are read whole; an empty table stays empty; columns of any name stay as they are.
+    """
     prototypes = language_id.train(docs.filter(doc_fold(3) != 1))
-    own = {"lang_pred": "__own_pred", "score": "__own_score"}
-    found = language_id.predict(docs.withColumnsRenamed(own), prototypes)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in own.items()})
+    found = language_id.predict(docs.select(row_of(docs).alias("row"), "text"), prototypes, passed=["row"])
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id.
+
+    Documents without words are nobody's copies and stay; of rows that share an id one stays, rows without id all do;
+    long texts are read whole; an empty table stays empty; columns of any name stay as they are.
+    """
     return deduplicate(docs)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold ten consecutive words of a benchmark item, or a shorter item whole.
+
+    Null and empty texts stay; repeated rows are judged alike; long texts are read whole; an empty table stays empty, an
+    empty benchmark drops nothing; columns of any name stay as they are.
+    """
     return overlap.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document the number of tokens and the digests of ids and decoded bytes."""
+    """Per document the number of tokens and the digests of ids and decoded bytes; a null text is an empty one, repeated
+    rows repeat, long texts are read whole, an empty table stays empty, other columns are not read."""
     return encode_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("toxicity", drop_toxic), ("language", drop_without_language), ("near_duplicates", keep_one_of_near_copies), ("decontamination", drop_benchmark_passages), ("byte_bpe", encode)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language", drop_without_language),
+    ("near_duplicates", keep_one_of_near_copies),
+    ("decontamination", drop_benchmark_passages),
+    ("byte_bpe", encode),
+]
 
 #: The stages learn models and match near copies; SQL cannot express them.
 ORACLE_SQL = None
