@@ -48,12 +48,34 @@ def citation_audit(drafts: DataFrame, packages: DataFrame) -> DataFrame:
     return d.select("query_id", bad.alias("unsupported"), (F.size(bad) == 0).alias("supported"))
 
 
-def evidence_prompts(hits: DataFrame, scored: bool = True) -> DataFrame:
-    """Per query its hits as numbered lines with version and section (and relevance), each followed by the quoted text."""
+#: What stands for no hits and for no sources.
+NO_CHUNKS = "(no chunks retrieved — retrieval returned empty results)"
+NO_SOURCES = "<evidence_sources>No relevant sources retrieved.</evidence_sources>"
+
+
+def _numbered(scored: bool):
+    """An aggregate: the hits of a group in rank order, numbered from 0, with version and section (and relevance), each followed by
+    the quoted text."""
     head = F.concat(
-        F.lit("["), F.col("rank").cast("string"), F.lit("] chunk_id="), "chunk_id", F.lit(" version="), F.coalesce("patch_version", F.lit("unknown")), F.lit(" section="), F.coalesce("section", F.lit("unknown")),
+        F.lit("] chunk_id="), F.coalesce("chunk_id", F.lit("unknown")), F.lit(" version="), F.coalesce("patch_version", F.lit("unknown")), F.lit(" section="), F.coalesce("section", F.lit("unknown")),
         *([F.format_string(" relevance=%.2f", F.coalesce("relevance_score", F.lit(0.0)))] if scored else []),
     )
-    line = F.concat(head, F.lit('\n    "'), "text", F.lit('"'))
-    rows = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("__l"))
-    return rows.select("query_id", F.array_join(F.transform("__l", lambda x: x["line"]), "\n").alias("prompt"))
+    line = F.concat(head, F.lit('\n    "'), F.coalesce("text", F.lit("")), F.lit('"'))
+    rows = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"))))
+    return F.array_join(F.transform(rows, lambda x, i: F.concat(F.lit("["), i.cast("string"), x["line"])), "\n")
+
+
+def evidence_prompts(hits: DataFrame, queries: DataFrame | None = None, scored: bool = True) -> DataFrame:
+    """Per query its hits as numbered lines. With ``queries`` (query_id) each of them has a row; one without hits says so."""
+    found = hits.groupBy("query_id").agg(_numbered(scored).alias("prompt"))
+    if queries is None:
+        return found
+    return queries.select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce("prompt", F.lit(NO_CHUNKS)).alias("prompt"))
+
+
+def source_prompts(packages: DataFrame, hits: DataFrame) -> DataFrame:
+    """Per package its relevant sources, numbered from 0 in hit order, in an ``evidence_sources`` element; one without sources says so."""
+    used = packages.select("query_id", F.explode("sources").alias("chunk_id")).join(hits, ["query_id", "chunk_id"])
+    found = used.groupBy("query_id").agg(_numbered(False).alias("lines"))
+    text = F.concat(F.lit("<evidence_sources>\n"), "lines", F.lit("\n</evidence_sources>"))
+    return packages.select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce(text, F.lit(NO_SOURCES)).alias("prompt"))

@@ -21,27 +21,35 @@ def _slice(w: Column, start: int, n: int) -> Column:
 
 
 def shingles(w: Column, n: int = params.SHINGLE_WORDS) -> Column:
-    """Distinct runs of n words of the array column ``w``."""
-    run = _slice(w, 1, n)
+    """64-bit hashes of the distinct runs of n words of the array column ``w``: words are hashed once, runs from the words' hashes."""
+    h = F.transform(w, lambda x: F.xxhash64(x))
+    run = _slice(h, 1, n)
     for k in range(2, n + 1):
-        run = F.zip_with(run, _slice(w, k, n), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(run)
+        run = F.zip_with(run, _slice(h, k, n), lambda a, b: F.xxhash64(a, b))
+    return F.array_sort(F.array_distinct(run))
 
 
 def _sets(reviews: DataFrame, least: int = 1) -> DataFrame:
-    """(app_id, pos, s, n, same): sorted 64-bit shingle hashes, ``least`` or more, and a digest of the set."""
+    """(app_id, pos, s, n, same): sorted shingle hashes, ``least`` (0 or 1) or more, and a digest of the set."""
     d = reviews.select("app_id", "pos", words(F.lower(F.coalesce("review_text", F.lit("")))).alias("w"))
-    d = settle(d.select("app_id", "pos", F.transform(shingles(F.col("w")), lambda x: F.xxhash64(x)).alias("s")).filter(F.size("s") >= least))
-    return d.select("app_id", "pos", F.array_sort("s").alias("s"), F.size("s").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort("s"), lambda x: x.cast("string")), ","), 256).alias("same"))
+    if least:
+        d = d.filter(F.size("w") >= params.SHINGLE_WORDS)
+    d = d.select("app_id", "pos", shingles(F.col("w")).alias("s"))
+    digest = F.concat_ws(":", F.size("s").cast("string"), F.xxhash64(F.lit(1), "s").cast("string"), F.xxhash64(F.lit(2), "s").cast("string"))
+    return d.select("app_id", "pos", "s", F.size("s").alias("n"), digest.alias("same"))
 
 
 def _prefix_candidates(rep: DataFrame, t: float) -> DataFrame:
-    """Pairs that share one of the n - ceil(t n) + 1 rarest shingles of both; no pair of similarity t or more can do without."""
+    """Pairs that share one of the n - ceil(t n) + 1 rarest shingles of both; no pair of similarity t or more can do without.
+
+    Shingles that one set alone has are its rarest and pair with nothing, so they are counted, not shuffled on.
+    """
     each = rep.select("app_id", "pos", "n", F.explode("s").alias("h"))
     freq = each.groupBy("app_id", "h").agg(F.count("*").alias("f")).filter("f > 1")
-    ranked = each.join(freq, ["app_id", "h"], "left").withColumn("f", F.coalesce("f", F.lit(1)))
-    k = F.row_number().over(Window.partitionBy("app_id", "pos").orderBy("f", "h"))
-    prefix = ranked.withColumn("k", k).filter(F.col("k") <= F.col("n") - F.ceil(F.round(F.col("n") * t, 9)) + 1).filter("f > 1").select("app_id", "pos", "n", "h")
+    shared = each.join(freq, ["app_id", "h"])
+    mine = Window.partitionBy("app_id", "pos")
+    place = F.row_number().over(mine.orderBy("f", "h")) + F.col("n") - F.count("*").over(mine)
+    prefix = shared.withColumn("k", place).filter(F.col("k") <= F.col("n") - F.ceil(F.round(F.col("n") * t, 9)) + 1).select("app_id", "pos", "n", "h")
     a, b = (prefix.select("app_id", "h", F.col("pos").alias(f"pos{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
     near = (F.col("posa") < F.col("posb")) & (F.least("na", "nb") >= F.round(F.greatest("na", "nb") * t, 9))
     return a.join(b, ["app_id", "h"]).filter(near).select("app_id", "posa", "posb").distinct()
@@ -97,7 +105,7 @@ def near_duplicate_flags(reviews: DataFrame, t: float = params.NEAR_DUPLICATE, m
     Rounds: a row without an undecided earlier neighbour is kept and flags its later neighbours, until no
     pair is undecided. Each round is written to the shared folder. Copies of a set are always flagged.
     """
-    sets = settle(_sets(reviews).select("app_id", "pos", "s", "n", "same"))
+    sets = settle(_sets(reviews))
     rep, pairs = _pairs(sets, t, method)
     open_ = settle(pairs.select("app_id", "posa", "posb"))
     flagged = None

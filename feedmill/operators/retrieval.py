@@ -3,90 +3,132 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from feedmill import params
 from feedmill.functions.text import bm25_tokens
+from feedmill.storage import settle
 
-#: Chunks and queries of one product in a block, about.
-CHUNK_BLOCK, QUERY_BLOCK = 50_000, 4_096
+#: Chunks and queries of one product in a block, about; products computed at once in a task.
+CHUNK_BLOCK, QUERY_BLOCK, PRODUCTS = 50_000, 4_096, 4_000_000
 
 
 def _blocks(rows: DataFrame, most: int) -> DataFrame:
-    return rows.groupBy("app_id").agg(F.ceil(F.count("*") / most).alias("__n"))
+    return rows.groupBy("app_id", "d").agg(F.ceil(F.count("*") / most).alias("__n"))
+
+
+def _unit(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors as rows of length 1; those that are zero or not finite throughout as nan."""
+    m = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, size, out=np.full_like(m, np.nan), where=np.isfinite(size) & (size > 0))
 
 
 def vector_topk(chunks: DataFrame, queries: DataFrame, k: int = params.VECTOR_K, similarity: float = params.SIMILARITY) -> DataFrame:
     """(query_id, app_id, chunk_id, distance, rank): the k nearest chunks by cosine distance, then those within 1 - similarity.
 
-    Exact: chunks and queries of an app meet block by block in one matrix product; a block sends on its k
-    best for each query. Equal distances by chunk_id; null and zero vectors take no part.
+    Exact: chunks and queries of an app meet block by block, a few queries at a time; a block sends on its k
+    best for each query. Equal distances by chunk_id; null and zero vectors take no part, and vectors of different
+    lengths do not meet.
     """
-    base = chunks.filter("embedding is not null").select("app_id", "chunk_id", F.col("embedding").cast("array<double>").alias("v"))
-    asked = queries.filter("embedding is not null").select("app_id", "query_id", F.col("embedding").cast("array<double>").alias("v"))
+    v = F.col("embedding").cast("array<double>")
+    base = chunks.filter("size(embedding) > 0").select("app_id", "chunk_id", v.alias("v"), F.size("embedding").alias("d"))
+    asked = queries.filter("size(embedding) > 0").select("app_id", "query_id", v.alias("v"), F.size("embedding").alias("d"))
     nc, nq = _blocks(base, CHUNK_BLOCK).withColumnRenamed("__n", "__c"), _blocks(asked, QUERY_BLOCK).withColumnRenamed("__n", "__q")
-    n = nc.join(nq, "app_id")
+    n = nc.join(nq, ["app_id", "d"])
     deal = lambda c, m: F.pmod(F.xxhash64(c), F.col(m)).cast("int")
     each = lambda m: F.explode(F.sequence(F.lit(0), (F.col(m) - 1).cast("int")))
-    left = base.join(n, "app_id").withColumn("cb", deal("chunk_id", "__c")).withColumn("qb", each("__q")).drop("__c", "__q")
-    right = asked.join(n, "app_id").withColumn("qb", deal("query_id", "__q")).withColumn("cb", each("__c")).drop("__c", "__q")
-
-    def unit(v: pd.Series) -> np.ndarray:
-        m = np.stack([np.asarray(x, float) for x in v])
-        size = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, size, out=np.full_like(m, np.nan), where=size > 0)
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(a) and len(b):
-            a = a.sort_values("chunk_id", kind="stable").reset_index(drop=True)
-            distance = 1 - unit(b.v) @ unit(a.v).T
-            for i in range(len(b)):
-                d = np.round(distance[i], 9)
-                top = np.argsort(d, kind="stable")[:k]  # nan last
-                top = top[~np.isnan(d[top])]
-                out.append(pd.DataFrame({"query_id": b.query_id.iloc[i], "app_id": b.app_id.iloc[i], "chunk_id": a.chunk_id.to_numpy()[top], "distance": d[top]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "app_id": [], "chunk_id": [], "distance": []}).astype({"query_id": str, "app_id": str, "chunk_id": str})
-
-    keys = ["app_id", "cb", "qb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, "query_id string, app_id string, chunk_id string, distance double")
+    left = base.join(n, ["app_id", "d"]).withColumn("cb", deal("chunk_id", "__c")).withColumn("qb", each("__q")).drop("__c", "__q")
+    right = asked.join(n, ["app_id", "d"]).withColumn("qb", deal("query_id", "__q")).withColumn("cb", each("__c")).drop("__c", "__q")
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        rows, found, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if a.num_rows and b.num_rows:
+            a = a.sort_by("chunk_id")
+            base, asked = _unit(a.column("v")), _unit(b.column("v"))
+            step = max(1, PRODUCTS // len(base))
+            for lo in range(0, len(asked), step):
+                distance = np.round(1 - asked[lo : lo + step] @ base.T, 9)
+                distance[np.isnan(distance)] = np.inf
+                # all that are as near as the k-th, then the first k of them in order of chunk_id
+                limit = np.partition(distance, min(k, len(base)) - 1, axis=1)[:, min(k, len(base)) - 1]
+                for i, (d, most) in enumerate(zip(distance, limit)):
+                    near = np.flatnonzero((d <= most) & (d < np.inf))
+                    near = near[np.argsort(d[near], kind="stable")][:k]
+                    rows.append(np.full(len(near), lo + i)), found.append(near), far.append(d[near])
+        which, hit = pa.array(np.concatenate(rows)), pa.array(np.concatenate(found))
+        return pa.table({"query_id": b.column("query_id").take(which), "app_id": b.column("app_id").take(which), "chunk_id": a.column("chunk_id").take(hit), "distance": pa.array(np.concatenate(far))})
+
+    keys = ["app_id", "d", "cb", "qb"]
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, app_id string, chunk_id string, distance double"
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, kinds)
     w = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     return found.withColumn("rank", F.row_number().over(w) - 1).filter((F.col("rank") < k) & (F.col("distance") <= 1 - similarity))
 
 
+class Bm25Index(NamedTuple):
+    """``postings`` (app_id, term, chunk_id, tf, dl), ``corpus`` (app_id, n_docs, avgdl) and ``terms`` (app_id, term, df, idf)."""
+
+    postings: DataFrame
+    corpus: DataFrame
+    terms: DataFrame
+
+
 def bm25_postings(chunks: DataFrame) -> DataFrame:
     """(app_id, term, chunk_id, tf, dl)"""
     t = chunks.select("app_id", "chunk_id", bm25_tokens(F.coalesce("text", F.lit(""))).alias("t"))
     return t.select("app_id", "chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("app_id", "term", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def bm25_stats(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+def bm25_stats(chunks: DataFrame, postings: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Corpus statistics: (app_id, n_docs, avgdl) and (app_id, term, df, idf).
 
-    A term in more than half of an app's chunks gets epsilon times the mean idf of its terms.
+    A term in more than half of an app's chunks gets epsilon times the mean idf of its terms. Chunks without tokens
+    count as documents.
     """
-    size = chunks.select("app_id", F.size(bm25_tokens(F.coalesce("text", F.lit("")))).alias("dl"))
-    corpus = size.groupBy("app_id").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    df = bm25_postings(chunks).groupBy("app_id", "term").agg(F.count("*").alias("df")).join(corpus.select("app_id", "n_docs"), "app_id")
-    raw = df.withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    df = (bm25_postings(chunks) if postings is None else postings).groupBy("app_id", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
+    lengths = df.groupBy("app_id").agg(F.sum("n").alias("n"))
+    size = chunks.groupBy("app_id").agg(F.count("*").alias("n_docs")).join(lengths, "app_id", "left")
+    corpus = size.select("app_id", "n_docs", (F.coalesce("n", F.lit(0)) / F.col("n_docs")).alias("avgdl"))
+    raw = df.join(corpus.select("app_id", "n_docs"), "app_id").withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy("app_id").agg(F.avg("idf").alias("__mean"))
     terms = raw.join(mean, "app_id").select("app_id", "term", "df", F.when(F.col("idf") < 0, params.BM25_EPSILON * F.col("__mean")).otherwise(F.col("idf")).alias("idf"))
     return corpus, terms
 
 
-def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = params.BM25_K) -> DataFrame:
+def bm25_index(chunks: DataFrame) -> Bm25Index:
+    """The index of ``chunks``: tokenised once, its parts written, so that searches do not make them again."""
+    postings = settle(bm25_postings(chunks))
+    corpus, terms = bm25_stats(chunks, postings)
+    return Bm25Index(postings, settle(corpus), settle(terms))
+
+
+def write_bm25_index(chunks: DataFrame, path: str) -> None:
+    """Store the index below ``path``, by app; of the apps in ``chunks`` what was there before is replaced."""
+    parts = bm25_index(chunks)
+    for name, part in parts._asdict().items():
+        part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("app_id").parquet(f"{path}/{name}")
+
+
+def read_bm25_index(spark: SparkSession, path: str) -> Bm25Index:
+    kinds = {"postings": "term string, chunk_id string, tf bigint, dl int", "corpus": "n_docs bigint, avgdl double", "terms": "term string, df bigint, idf double"}
+    return Bm25Index(*[spark.read.schema(f"{kinds[n]}, app_id string").parquet(f"{path}/{n}") for n in Bm25Index._fields])
+
+
+def bm25_topk(chunks: DataFrame | Bm25Index, queries: DataFrame, k: int = params.BM25_K) -> DataFrame:
     """(query_id, app_id, chunk_id, score, rank): the k chunks with the largest positive score; a repeated query
-    term counts each time; scores equal to nine places by chunk_id."""
-    corpus, terms = bm25_stats(chunks)
+    term counts each time; scores equal to nine places by chunk_id. ``chunks`` may be an index of them."""
+    index = chunks if isinstance(chunks, Bm25Index) else bm25_index(chunks)
     asked = queries.select("query_id", "app_id", F.explode(bm25_tokens(F.coalesce("query_text", F.lit("")))).alias("term")).groupBy("query_id", "app_id", "term").agg(F.count("*").alias("qtf"))
-    needed = asked.select("app_id", "term").distinct()
-    post = bm25_postings(chunks).join(needed, ["app_id", "term"], "left_semi").join(terms.select("app_id", "term", "idf"), ["app_id", "term"]).join(corpus, "app_id")
+    # a query's terms get their weights first; they are few beside the postings
+    weighted = asked.join(index.terms.select("app_id", "term", "idf"), ["app_id", "term"]).join(index.corpus.select("app_id", "avgdl"), "app_id")
     k1, b = params.BM25_K1, params.BM25_B
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = asked.join(post.select("app_id", "term", "chunk_id", part.alias("part")), ["app_id", "term"]).groupBy("query_id", "app_id", "chunk_id").agg(F.round(F.sum(F.col("qtf") * F.col("part")), 9).alias("score"))
+    part = F.col("qtf") * (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
+    scored = weighted.join(index.postings, ["app_id", "term"]).groupBy("query_id", "app_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.filter("score > 0").withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
 

@@ -12,34 +12,42 @@ def _moment(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
-def basic_stats(reviews: DataFrame, approximate: bool = False) -> DataFrame:
-    """Totals, shares, means and the median of each app. The exact median shuffles distinct values; ``approximate`` bounds that."""
+def basic_stats(reviews: DataFrame, approximate: bool = False, overall: bool = False) -> DataFrame:
+    """Totals, shares, means and the median of each app; ``overall``: of all apps in one row without ``app_id``, with total 0 and
+    nulls if there are no reviews. The exact median shuffles distinct values; ``approximate`` bounds that."""
     up = F.sum(F.coalesce(F.col("voted_up"), F.lit(False)).cast("bigint"))
     total = F.count("*")
     median = F.percentile_approx("playtime_hours", 0.5) if approximate else F.median("playtime_hours")
     share = lambda n: half_even(n / total * 100)
-    return reviews.groupBy("app_id").agg(
+    return (reviews.groupBy() if overall else reviews.groupBy("app_id")).agg(
         total.alias("total_reviews"), up.alias("positive_count"), (total - up).alias("negative_count"), share(up).alias("positive_pct"), share(total - up).alias("negative_pct"),
         half_even(F.avg("playtime_hours")).alias("avg_playtime_hours"), half_even(median).alias("median_playtime_hours"), half_even(F.avg("votes_up")).alias("avg_votes_up"),
         F.sum(F.col("is_near_duplicate").cast("bigint")).alias("duplicate_count"), _moment(F.min("timestamp")).alias("earliest_review"), _moment(F.max("timestamp")).alias("latest_review"),
     )
 
 
-def keyword_counts(texts: DataFrame, keys: list[str], text_col: str = "review_text") -> DataFrame:
-    """(keys, word, n): words without edge punctuation, of two characters or more, that are no stop words; counted before the shuffle."""
-    w = texts.select(*keys, F.explode(words(F.lower(text_col))).alias("w")).select(*keys, keyword(F.col("w")).alias("word"))
-    return w.filter((F.length("word") > 1) & ~F.col("word").isin(params.STOP_WORDS)).groupBy(*keys, "word").agg(F.count("*").alias("n"))
+def keyword_counts(texts: DataFrame, keys: list[str], text_col: str = "review_text", order_col: str | None = None) -> DataFrame:
+    """(keys, word, n): words without edge punctuation, of two characters or more, that are no stop words; counted before the
+    shuffle. With ``order_col``, the order of the texts, also ``seen``: where the word stands first (text, place in it)."""
+    if order_col is None:
+        w = texts.select(*keys, F.explode(words(F.lower(text_col))).alias("w")).select(*keys, keyword(F.col("w")).alias("word"))
+        counts = [F.count("*").alias("n")]
+    else:
+        w = texts.select(*keys, F.col(order_col).alias("__o"), F.posexplode(words(F.lower(text_col))).alias("__p", "w")).select(*keys, "__o", "__p", keyword(F.col("w")).alias("word"))
+        counts = [F.count("*").alias("n"), F.min(F.struct("__o", "__p")).alias("seen")]
+    return w.filter((F.length("word") > 1) & ~F.col("word").isin(params.STOP_WORDS)).groupBy(*keys, "word").agg(*counts)
 
 
-def keyword_frequency(texts: DataFrame, n: int = params.KEYWORDS, text_col: str = "review_text") -> DataFrame:
-    """The ``n`` most frequent words; equal counts by word."""
-    return keyword_counts(texts, [], text_col).orderBy(F.desc("n"), "word").limit(n)
+def keyword_frequency(texts: DataFrame, n: int = params.KEYWORDS, text_col: str = "review_text", order_col: str | None = None) -> DataFrame:
+    """The ``n`` most frequent words; equal counts by word, or with ``order_col`` by where they are seen first."""
+    tie = "word" if order_col is None else "seen"
+    return keyword_counts(texts, [], text_col, order_col).orderBy(F.desc("n"), tie).limit(n).select("word", "n")
 
 
-def keywords_by(texts: DataFrame, keys: list[str], n: int = params.CLUSTER_KEYWORDS, text_col: str = "review_text") -> DataFrame:
-    """(keys, rank, word, n): the ``n`` most frequent words of each group."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("n"), "word")
-    return keyword_counts(texts, keys, text_col).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+def keywords_by(texts: DataFrame, keys: list[str], n: int = params.CLUSTER_KEYWORDS, text_col: str = "review_text", order_col: str | None = None) -> DataFrame:
+    """(keys, rank, word, n): the ``n`` most frequent words of each group; ties as in ``keyword_frequency``."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("n"), "word" if order_col is None else "seen")
+    return keyword_counts(texts, keys, text_col, order_col).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select(*keys, "word", "n", "rank")
 
 
 def token_usage(log: DataFrame) -> DataFrame:

@@ -111,19 +111,18 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that have an embedding, as chunks."""
+    """Documents as chunks; some have an embedding."""
     d, e = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "embeddings"))
-    return d.join(e, F.col("doc_id") == F.col("vec_id")).select(
+    return d.join(e, F.col("doc_id") == F.col("vec_id"), "left").select(
         F.col("doc_id").cast("string").alias("chunk_id"), F.concat(F.lit("app"), (F.col("doc_id") % 3).cast("string")).alias("app_id"), "text", "embedding",
         F.concat(F.lit("v"), (F.col("doc_id") % 5).cast("string")).alias("patch_version"), F.lit("General").alias("section"),
     )
 
 
 def retrieval_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 25th vector with the first twelve words of its document."""
-    c = chunks(spark, sf_dir).filter(F.col("chunk_id").cast("bigint") % 25 == 0)
-    text = F.array_join(F.slice(F.split("text", "[ \n]+"), 1, 12), " ")
-    return c.select(F.concat(F.lit("q"), "chunk_id").alias("query_id"), "app_id", text.alias("query_text"), "embedding", F.element_at(F.lit(params.CATEGORIES), (F.col("chunk_id").cast("bigint") % 10 + 1).cast("int")).alias("category"))
+    """Every 25th vector with the whole text of its document."""
+    c = chunks(spark, sf_dir).filter("embedding is not null and cast(chunk_id as bigint) % 25 = 0")
+    return c.select(F.concat(F.lit("q"), "chunk_id").alias("query_id"), "app_id", F.col("text").alias("query_text"), "embedding", F.element_at(F.lit(params.CATEGORIES), (F.col("chunk_id").cast("bigint") % 10 + 1).cast("int")).alias("category"))
 
 
 def assessments(hits: DataFrame) -> DataFrame:

@@ -95,9 +95,9 @@ CTES |= {
     "shingle": "select app_id, pos, len(s) as n, unnest(s) as h from firsts",
     "common": "select a.app_id, a.pos as first, b.pos as second, any_value(a.n) as na, any_value(b.n) as nb, count(*) as c from shingle a join shingle b on a.app_id = b.app_id and a.h = b.h and a.pos < b.pos and least(a.n, b.n) >= 0.85 * greatest(a.n, b.n) group by 1, 2, 3",
     "pairs": "select app_id, first, second, c / (na + nb - c) as similarity from common where c / (na + nb - c) >= 0.85",
-    "chunks": f"select doc_id::varchar as chunk_id, 'app' || (doc_id % 3) as app_id, text, {_EMBED} as v, 'v' || (doc_id % 5) as patch_version from documents join embeddings on doc_id = vec_id",
-    "queries": "select 'q' || chunk_id as query_id, app_id, array_to_string(list_slice(regexp_split_to_array(text, '[ \\n]+'), 1, 12), ' ') as query_text, v, chunk_id::bigint as n from chunks where chunk_id::bigint % 25 = 0",
-    "distances": "select query_id, q.app_id, chunk_id, round(1 - list_cosine_similarity(q.v, c.v), 9) as distance from queries q join chunks c using (app_id)",
+    "chunks": f"select doc_id::varchar as chunk_id, 'app' || (doc_id % 3) as app_id, text, {_EMBED} as v, 'v' || (doc_id % 5) as patch_version from documents left join embeddings on doc_id = vec_id",
+    "queries": "select 'q' || chunk_id as query_id, app_id, text as query_text, v, chunk_id::bigint as n from chunks where v is not null and chunk_id::bigint % 25 = 0",
+    "distances": "select query_id, q.app_id, chunk_id, round(1 - list_cosine_similarity(q.v, c.v), 9) as distance from queries q join chunks c using (app_id) where c.v is not null",
     "vector": "select *, (row_number() over (partition by query_id order by distance, chunk_id) - 1)::int as rank from distances qualify rank < 8 and distance <= 0.7",
     "tokens": f"select app_id, chunk_id, {_TOKENS} as t from chunks",
     "corpus": "select app_id, count(*) as n_docs, avg(len(t)) as avgdl from tokens group by 1",
@@ -192,13 +192,25 @@ ORACLES = {
       case when should and answered and ok then conf else 0 end::double as confidence, case when should and answered and ok then coalesce(rel, '') else '' end as relevant_ids, case when should and answered and ok then source_ids else '' end as source_ids,
       case when should and answered and ok then coalesce(rel, '') else '' end as sources, not answered or ok as valid from packages""",
     "citation_audit": _with(*_PACKAGES) + "select query_id, coalesce(case when should and answered and ok then nullif(split_part(source_ids, ',', 2), '') end, '') as unsupported, coalesce(case when should and answered and ok then split_part(source_ids, ',', 2) = '' end, true) as supported from packages",
-    "evidence_prompts": _with(*_HITS) + "select query_id, md5(string_agg('[' || rank || '] chunk_id=' || chunk_id || ' version=' || patch_version || ' section=General relevance=' || printf('%.2f', relevance_score) || chr(10) || '    \"' || text || '\"', chr(10) order by rank)) as prompt_md5 from hits group by 1",
+    "evidence_prompts": _with(*_HITS)
+    + """, l as (select query_id, string_agg('[' || rank || '] chunk_id=' || chunk_id || ' version=' || patch_version || ' section=General relevance=' || printf('%.2f', relevance_score) || chr(10) || '    "' || text || '"', chr(10) order by rank) as t from hits group by 1)
+      select query_id, md5(coalesce(t, '(no chunks retrieved — retrieval returned empty results)')) as prompt_md5 from queries left join l using (query_id)""",
+    "source_prompts": _with(*_PACKAGES)
+    + """, s as (select *, row_number() over (partition by query_id order by rank) - 1 as k from hits where rank % 2 = 0),
+      l as (select query_id, string_agg('[' || k || '] chunk_id=' || chunk_id || ' version=' || patch_version || ' section=General' || chr(10) || '    "' || text || '"', chr(10) order by k) as t from s group by 1)
+      select query_id, md5(case when should and answered and ok and t is not null then '<evidence_sources>' || chr(10) || t || chr(10) || '</evidence_sources>' else '<evidence_sources>No relevant sources retrieved.</evidence_sources>' end) as prompt_md5
+      from packages left join l using (query_id)""",
+    "encode_chunks": "select doc_id::varchar as chunk_id, length(text)::double as e0, (length(text) - length(replace(text, ' ', '')))::double as e1 from documents",
     "basic_stats": _with("reviews")
     + """select app_id, count(*) as total_reviews, count(*) filter (voted_up) as positive_count, count(*) filter (not voted_up) as negative_count, round_even(count(*) filter (voted_up) / count(*) * 100, 1) as positive_pct, round_even(count(*) filter (not voted_up) / count(*) * 100, 1) as negative_pct,
       round_even(avg(playtime_hours), 1) as avg_playtime_hours, round_even(median(playtime_hours), 1) as median_playtime_hours, round_even(avg(votes_up), 1) as avg_votes_up, count(*) filter (is_near_duplicate) as duplicate_count,
       strftime(make_timestamp(min(created) * 1000000), '%Y-%m-%d %H:%M:%S') as earliest_review, strftime(make_timestamp(max(created) * 1000000), '%Y-%m-%d %H:%M:%S') as latest_review from reviews group by 1""",
     "keyword_frequency": _with("reviews")
     + f"select word, count(*) as n from (select trim(unnest(list_filter(regexp_split_to_array(lower(review_text), '\\s+'), lambda w: w <> '')), {_q(params.WORD_EDGE)}) as word from reviews) where length(word) > 1 and word not in {STOP} group by 1 order by n desc, word limit 20",
+    "keywords_first_seen": _with("reviews")
+    + f""", w as (select pos, list_filter(regexp_split_to_array(lower(review_text), '\\s+'), lambda w: w <> '') as w from reviews),
+      u as (select pos, unnest(range(len(w))) as p, trim(unnest(w), {_q(params.WORD_EDGE)}) as word from w)
+      select word, count(*) as n from u where length(word) > 1 and word not in {STOP} group by 1 order by n desc, min(pos::hugeint * 1000000000 + p) limit 20""",
     "keywords_by_category": _with(*_CLASSIFIED, "words", "topwords") + "select app_id, category, word, n, rank from topwords",
     "build_clusters": _with(*_CLUSTERS)
     + "select t.app_id, t.category, total_reviews, recent_reviews, prior_reviews, velocity_ratio, negative_pct, avg_playtime_hours, coalesce(top_keywords, '') as top_keywords, md5(joined) as samples_md5 from trend t left join wordlists using (app_id, category) left join samplelists using (app_id, category)",

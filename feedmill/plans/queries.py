@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from feedmill import params
@@ -210,7 +213,25 @@ def citation_audit(spark, sf_dir):
 
 
 def evidence_prompts(spark, sf_dir):
-    return evidence.evidence_prompts(_hits(spark, sf_dir)).select("query_id", F.md5("prompt").alias("prompt_md5"))
+    return evidence.evidence_prompts(_hits(spark, sf_dir), A.retrieval_queries(spark, sf_dir)).select("query_id", F.md5("prompt").alias("prompt_md5"))
+
+
+def source_prompts(spark, sf_dir):
+    hits = settle(_hits(spark, sf_dir))
+    packages = evidence.evidence_packages(A.retrieval_queries(spark, sf_dir), hits, A.assessments(hits))
+    return evidence.source_prompts(packages, hits).select("query_id", F.md5("prompt").alias("prompt_md5"))
+
+
+def encode_chunks(spark, sf_dir):
+    """The chunks with vectors of an encoder that only measures them: characters and spaces."""
+
+    @F.pandas_udf("array<float>")
+    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: [float(len(t)), float(t.count(" "))])
+
+    d = retrieval.encode_chunks(A.chunks(spark, sf_dir).drop("embedding"), measure)
+    return d.select("chunk_id", F.col("embedding")[0].cast("double").alias("e0"), F.col("embedding")[1].cast("double").alias("e1"))
 
 
 # statistics and clusters
@@ -224,6 +245,10 @@ def keyword_frequency(spark, sf_dir):
     return stats.keyword_frequency(A.reviews(spark, sf_dir))
 
 
+def keywords_first_seen(spark, sf_dir):
+    return stats.keyword_frequency(A.reviews(spark, sf_dir), order_col="pos")
+
+
 def _clustered(spark, sf_dir):
     return _classified(spark, sf_dir).withColumnRenamed("primary_category", "category")
 
@@ -347,8 +372,8 @@ QUERIES = {
     for f in (
         rank_clusters, read_review_pages, news_pipeline, insert_or_ignore_reviews, insert_or_ignore_classifications, upsert_chunks, load_reviews, count_reviews, load_classifications,
         extract_review_fields, clean_reviews, retrieval_gate, sample_negative_reviews, unclassified_reviews, classified_reviews, near_duplicate_pairs, near_duplicate_flags, near_duplicate_lsh, near_duplicate_members,
-        clean_pipeline, bm25_tokens, bm25_chunk_tokens, bm25_index_stats, vector_topk, bm25_topk, rrf_fusion, retriever_overlap, rerank_topn, hybrid_retrieve, evidence_packages, citation_audit, evidence_prompts,
-        basic_stats, keyword_frequency, keywords_by_category, build_clusters, event_clusters, cluster_prompts, negative_review_listing, token_usage_rollup, dedup_news_by_title, classify_news_type,
+        clean_pipeline, bm25_tokens, bm25_chunk_tokens, bm25_index_stats, vector_topk, bm25_topk, rrf_fusion, retriever_overlap, rerank_topn, hybrid_retrieve, evidence_packages, citation_audit, evidence_prompts, source_prompts, encode_chunks,
+        basic_stats, keyword_frequency, keywords_first_seen, keywords_by_category, build_clusters, event_clusters, cluster_prompts, negative_review_listing, token_usage_rollup, dedup_news_by_title, classify_news_type,
         news_type_counts, feed_distribution, strip_markup, extract_image_urls, section_headers, chunk_news, split_long_text, validate_classifications, classification_run_summary, normalize_tones,
         extract_summaries, stream_ingest_reviews,
     )

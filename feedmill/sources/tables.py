@@ -16,8 +16,21 @@ def first_of_key(batch: DataFrame, keys: list[str], order: list[str]) -> DataFra
 
 
 def insert_or_ignore(batch: DataFrame, existing: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Rows of ``batch`` to be appended: existing keys win, of equal keys in the batch the first row wins."""
-    return first_of_key(batch, keys, order).join(existing.select(*keys), keys, "left_anti")
+    """Rows of ``batch`` to be appended: existing keys win, of equal keys in the batch the first row wins. A row with a null in
+    its key cannot be told from its replay and is left out."""
+    keyed = batch.dropna(subset=keys)
+    return first_of_key(keyed, keys, order).join(existing.select(*keys), keys, "left_anti")
+
+
+#: Up to so many apps of a batch are named in the filter of a table's partitions.
+MOST_NAMED = 1000
+
+
+def of_same_apps(existing: DataFrame, batch: DataFrame) -> DataFrame:
+    """The rows of a table that a merge of ``batch`` can meet: those of its apps, whose partitions alone are read. A batch of
+    more than MOST_NAMED apps meets all."""
+    apps = [r.app_id for r in batch.select("app_id").distinct().limit(MOST_NAMED + 1).collect()]
+    return existing if len(apps) > MOST_NAMED else existing.filter(F.col("app_id").isin([a for a in apps if a is not None]) | (F.col("app_id").isNull() if None in apps else F.lit(False)))
 
 
 def review_rows(batch: DataFrame) -> DataFrame:

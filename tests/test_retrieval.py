@@ -33,6 +33,45 @@ def test_vector_threshold_after_cut(spark):
     assert R.vector_topk(spark.createDataFrame([("a", "edge", "", [0.3, math.sqrt(1 - 0.09)])], CHUNK), q).count() == 1
 
 
+def test_vector_blocks_equal_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(R, "CHUNK_BLOCK", 40)
+    monkeypatch.setattr(R, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(R, "PRODUCTS", 50)
+    x = np.random.default_rng(0).normal(size=(150, 4)).round(1)
+    c = [("a", f"c{i:03}", "", v.tolist()) for i, v in enumerate(x)] + [("a", "short", "", [1.0]), ("a", "nan", "", [float("nan")] * 4)]
+    q = [("a", f"q{i}", "", x[i].tolist()) for i in range(10)]
+    got = {}
+    for r in R.vector_topk(spark.createDataFrame(c, CHUNK), spark.createDataFrame(q, QUERY)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    x = x.astype(np.float32).astype(float)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(10):
+        d = np.round(1 - u @ u[i], 9)
+        assert got[f"q{i}"] == [f"c{j:03}" for j in np.argsort(d, kind="stable")[:8] if d[j] <= 0.7]
+
+
+def test_encode_and_replace_the_apps_chunks(spark, tmp_path):
+    """Vectors are made batch by batch by the hook, and put into the partitions of their apps only."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    from feedmill.sources.tables import overwrite_apps
+
+    @F.pandas_udf("array<float>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: [float(len(t)), 1.0])
+
+    path, kind = str(tmp_path / "chunks"), "app_id string, chunk_id string, text string, image_urls array<string>"
+    overwrite_apps(R.encode_chunks(spark.createDataFrame([("a", "1", "old", []), ("b", "2", "other", ["u"])], kind), embed), path)
+    overwrite_apps(R.encode_chunks(spark.createDataFrame([("a", "3", "a new one", [])], kind), embed), path)
+    got = sorted((r.app_id, r.chunk_id, r.embedding) for r in spark.read.parquet(path).collect())
+    assert got == [("a", "3", [9.0, 1.0]), ("b", "2", [5.0, 1.0])]
+
+
 def brute_bm25(docs, query):
     toks = {d: t.split() for d, t in docs.items()}
     n, avg = len(docs), sum(map(len, toks.values())) / len(docs)
@@ -44,13 +83,18 @@ def brute_bm25(docs, query):
     return {d: s for d, s in score.items() if s > 0}
 
 
-def test_bm25(spark):
+def test_bm25(spark, tmp_path):
     docs = {"1": "a b c", "2": "a a d", "3": "a e f g h", "4": "b i", "5": "j k"}
     c = spark.createDataFrame([("x", d, t, None) for d, t in docs.items()], CHUNK)
     for query in ("a b", "b b a", "d", "zzz"):
         got = {r.chunk_id: r.score for r in R.bm25_topk(c, spark.createDataFrame([("x", "q", query, None)], QUERY)).collect()}
         want = brute_bm25(docs, query)
         assert sorted(got) == sorted(want) and all(abs(got[d] - want[d]) < 1e-8 for d in want)
+    R.write_bm25_index(c, str(tmp_path / "index"))
+    R.write_bm25_index(c.limit(1).withColumn("app_id", F.lit("other")), str(tmp_path / "index"))
+    stored = R.read_bm25_index(spark, str(tmp_path / "index"))
+    q = spark.createDataFrame([("x", "q", "a b d", None)], QUERY)
+    assert {(r.chunk_id, r.score, r.rank) for r in R.bm25_topk(stored, q).collect()} == {(r.chunk_id, r.score, r.rank) for r in R.bm25_topk(c, q).collect()}
     assert R.bm25_topk(c.limit(0), spark.createDataFrame([("x", "q", "a", None)], QUERY)).count() == 0
 
 
@@ -77,3 +121,13 @@ def test_evidence(spark):
 def test_prompts(spark):
     h = spark.createDataFrame([("q", "c2", 1, "v", None, "t2", 0.5), ("q", "c1", 0, None, "s", "t1", None)], "query_id string, chunk_id string, rank int, patch_version string, section string, text string, relevance_score double")
     assert evidence.evidence_prompts(h).first().prompt == '[0] chunk_id=c1 version=unknown section=s relevance=0.00\n    "t1"\n[1] chunk_id=c2 version=v section=unknown relevance=0.50\n    "t2"'
+
+
+def test_prompts_without_hits(spark):
+    h = spark.createDataFrame([("1", "b", 3, "v", "s", "tb"), ("1", "a", 1, "v", "s", "ta")], "query_id string, chunk_id string, rank int, patch_version string, section string, text string")
+    q = spark.createDataFrame([("1", ["a", "b"]), ("2", [])], "query_id string, sources array<string>")
+    got = {r.query_id: r.prompt for r in evidence.evidence_prompts(h, q, scored=False).collect()}
+    assert got == {"1": '[0] chunk_id=a version=v section=s\n    "ta"\n[1] chunk_id=b version=v section=s\n    "tb"', "2": "(no chunks retrieved — retrieval returned empty results)"}
+    got = {r.query_id: r.prompt for r in evidence.source_prompts(q, h).collect()}
+    assert got["2"] == "<evidence_sources>No relevant sources retrieved.</evidence_sources>"
+    assert got["1"].startswith("<evidence_sources>\n[0] chunk_id=a") and got["1"].endswith('"tb"\n</evidence_sources>')

@@ -19,6 +19,6 @@ def test_stream_is_idempotent(spark, tmp_path):
     run()
     ids = lambda: sorted(r.review_id for r in read_table(spark, table, REVIEW).collect())
     assert ids() == ["1", "2", "3"]
-    (src / "c.json").write_text(page("a", 0, ["1", "2", "4"]))  # a replayed page with one new review
+    (src / "c.json").write_text(page("a", 0, ["1", "2", "4", None]))  # a replayed page with one new review and one without id
     run()
     assert ids() == ["1", "2", "3", "4"]
