@@ -12,7 +12,8 @@ _OWN_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; in local mode without that setting below a temporary one."""
+    """A fresh folder below ``spark.checkpoint.dir``; in local mode without that setting below a temporary one. It is removed
+    when the driver's program ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
@@ -20,7 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
         if not _OWN_DIR:
             _OWN_DIR.append(tempfile.mkdtemp(prefix="feedmill-"))
         base = _OWN_DIR[0]
-    return f"{base.rstrip('/')}/feedmill/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/feedmill/{uuid.uuid4().hex}"
+    atexit.register(_remove_at_end, spark, path)
+    return path
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -37,10 +40,9 @@ def _remove_at_end(spark: SparkSession, path: str) -> None:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage; removed when the driver's program ends."""
+    """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.parquet(path)
-    atexit.register(_remove_at_end, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

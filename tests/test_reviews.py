@@ -136,3 +136,20 @@ def test_samples_and_listing(spark):
     assert (r.n_negative, r.n_more) == (4, 1) and r.previews.startswith("[2] text 2 more / ")
     s = clusters.cluster_samples(d.withColumnRenamed("primary_category", "category")).first()
     assert s.sample_reviews[0] == "text 5\nmore" and len(s.sample_reviews) == 5
+
+
+def test_keyword_ties_by_first_place(spark):
+    d = spark.createDataFrame([("a", 2, "zebra apple"), ("a", 1, "mango, zebra mango"), ("b", 0, "berry apple"), ("b", 3, None)], "app_id string, pos int, review_text string")
+    got = [(r.word, r.n) for r in stats.keyword_frequency(d, order_col="pos").collect()]
+    assert got == [("apple", 2), ("mango", 2), ("zebra", 2), ("berry", 1)]
+    assert [r.word for r in stats.keyword_frequency(d).collect()] == ["apple", "mango", "zebra", "berry"]
+    by = stats.keywords_by(d.withColumn("pos", -F.col("pos")), ["app_id"], order_col="pos").orderBy("app_id", "rank").collect()
+    assert [r.word for r in by] == ["zebra", "mango", "apple", "berry", "apple"]
+
+
+def test_basic_stats_of_all_apps(spark):
+    rows = [("a", True, 1.0, 1, False), ("b", False, 3.0, 2, True)]
+    d = spark.createDataFrame(rows, "app_id string, voted_up boolean, playtime_hours double, votes_up int, is_near_duplicate boolean").withColumn("timestamp", F.timestamp_seconds(F.lit(0)))
+    r = stats.basic_stats(d, overall=True).first()
+    assert (r.total_reviews, r.positive_pct, r.avg_playtime_hours, r.duplicate_count) == (2, 50.0, 2.0, 1) and "app_id" not in r.asDict()
+    assert stats.basic_stats(d.limit(0), overall=True).first().total_reviews == 0
