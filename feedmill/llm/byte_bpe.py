@@ -178,7 +178,9 @@ def _coded(docs, vocabulary, pattern, id_col, text_col, digests):
 
     def run(batches):
         held = shared.value  # stays with a worker from task to task, and the coder with it
-        coder = held.setdefault("coder", None) or held.update(coder=Coder(*held["parts"])) or held["coder"]
+        if "coder" not in held:
+            held["coder"] = Coder(*held["parts"])
+        coder = held["coder"]
         for batch in batches:
             counts, first, second = [], [], []
             for text in batch.column(1):
@@ -189,6 +191,7 @@ def _coded(docs, vocabulary, pattern, id_col, text_col, digests):
                 first.append(hashlib.sha256(packed.tobytes()).hexdigest() if digests else packed.astype(np.int32))
                 second.append(hashlib.sha256(raw).hexdigest() if digests else raw)
             kinds = (pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(first, kinds[0]), pa.array(second, kinds[1])], [id_col, "n_tokens", *rest.replace(",", "").split()[::2]])
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(first, kinds[0]), pa.array(second, kinds[1])]
+            yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", *rest.replace(",", "").split()[::2]])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, n_tokens bigint, {rest}")

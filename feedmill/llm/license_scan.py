@@ -71,7 +71,9 @@ def scan_licenses(docs: DataFrame, licenses: list[tuple[str, str, str]] | DataFr
     lines = lines.filter(gate(F.col("__line"))).select("__id", "__same", "__pos", F.sha2(canonical(F.col("__line")), 256).alias("__digest"))
     notices = lines.join(near(known), "__digest").groupBy("__id", "__same").agg(F.count_distinct("__pos").alias("__n"), F.array_join(F.array_sort(F.collect_set("__license")), ",").alias("__notices"))
     whole = base.select("__id", F.xxhash64("__text").alias("__same"), F.sha2(canonical(F.col("__text")), 256).alias("__digest"))
-    found = whole.join(near(known), "__digest", "left").join(notices.select(F.col("__id").alias("__i"), F.col("__same").alias("__s"), "__n", "__notices"), F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__same") == F.col("__s")), "left")
+    notices = notices.select(F.col("__id").alias("__i"), F.col("__same").alias("__s"), "__n", "__notices")
+    same = F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__same") == F.col("__s"))
+    found = whole.join(near(known), "__digest", "left").join(notices, same, "left")
     return found.select(
         F.col("__id").alias(id_col), F.col("__license").alias("license"), F.coalesce("__n", F.lit(0)).cast("bigint").alias("n_notices"),
         F.coalesce("__notices", F.lit("")).alias("notices"), F.col("__digest").alias("canonical_sha256"),

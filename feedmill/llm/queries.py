@@ -117,5 +117,11 @@ f as (
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from f where k = 1
 """
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op2_token_counts": op2_token_counts, "op3_minhash_dedup": op3_minhash_dedup, "op4_language_id": op4_language_id, "op5_decontaminate": op5_decontaminate, "op6_html_content": op6_html_content, "op7_toxicity": op7_toxicity, "op8_byte_bpe": op8_byte_bpe, "op9_nearest_neighbours": op9_nearest_neighbours, "op10_url_filter": op10_url_filter}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_token_counts, op3_minhash_dedup, op4_language_id, op5_decontaminate,
+        op6_html_content, op7_toxicity, op8_byte_bpe, op9_nearest_neighbours, op10_url_filter,
+    )
+}
 ORACLES = {"op1_license_scan": license_scan.oracle_sql(), "op2_token_counts": OP2_SQL, "op10_url_filter": OP10_SQL}

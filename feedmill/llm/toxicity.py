@@ -163,116 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             found = [term_places(t.as_py(), places).astype(np.int32) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), batch.column(2)], ["h", "p", "y"])
 
-    got = texts.select(F.xxhash64(F.col("id").cast("string"), "t").alias("h"), "t", "y").mapInArrow(run, "h bigint, p array<int>, y int").toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
-    rows = [np.array(p, np.int64) for p in got.column("p").to_pylist()]
-    return fit(rows, np.array(got.column("y").to_pylist(), np.int64))
-
-
-def score(self, places: np.ndarray) -> float:
-        rows = self.at[places]
-        rows = rows[rows >= 0]
-        z = self.bias
-        if len(rows):
-            f = self.factor[rows]
-            total = f.sum(0)
-            z += self.weight[rows].sum() + 0.5 * float((total * total - (f * f).sum(0)).sum())
-        return float(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
-
-
-def _divergence(p, q):
-    """Of a share p from a share q (Kullback-Leibler)."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(p > 0, p * np.log(p / q), 0.0) + np.where(p < 1, (1 - p) * np.log((1 - p) / (1 - q)), 0.0)
-
-
-def paired_terms(rows: list[np.ndarray], y: np.ndarray, n: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Terms that matter with another one: the share of label 1 among the rows that hold both is off that of either, and of all rows.
-
-    ``n`` and ``hot`` are the rows and the rows of label 1 that hold each term. Counts of pairs are exact.
-    """
-    often = np.argsort(-n, kind="stable")[:PAIR_TERMS]
-    often = np.sort(often[n[often] >= LEAST_ROWS])
-    both = np.zeros((len(often), len(often)), np.float32)
-    both_hot = np.zeros_like(both)
-    for lo in range(0, len(rows), 1024):
-        held = np.zeros((min(1024, len(rows) - lo), len(often)), np.float32)
-        for k, r in enumerate(rows[lo : lo + 1024]):
-            held[k, np.searchsorted(often, r[np.isin(r, often, assume_unique=True)])] = 1
-        both += held.T @ held
-        hot_rows = held[y[lo : lo + 1024] > 0]
-        both_hot += hot_rows.T @ hot_rows
-    share, found = (hot / np.maximum(n, 1))[often], np.zeros(len(often), bool)
-    for i in range(len(often)):
-        usable = both[i] >= LEAST_ROWS
-        p = both_hot[i] / np.maximum(both[i], 1)
-        off = np.minimum(np.minimum(_divergence(p, share[i]), _divergence(p, share)), _divergence(p, y.mean()))
-        strong = usable & (both[i] * off >= LEAST_PAIR)
-        strong[i] = False
-        found |= strong
-        found[i] |= strong.any()
-    return often[found]
-
-
-def fit(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
-    """Fit on term places of labelled texts by adaptive gradient steps; without rows of both labels the score is their share."""
-    y = labels.astype(np.float64)
-    share = (y.sum() + 0.5) / (len(y) + 1)
-    none = Machine(float(np.log(share / (1 - share))), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, K)))
-    if not len(y) or y.min() == y.max():
-        return none
-    flat = np.concatenate(rows)
-    n = np.bincount(flat, minlength=BUCKETS).astype(np.float64)
-    hot = np.bincount(flat, weights=np.repeat(y, [len(r) for r in rows]), minlength=BUCKETS)
-    expect = n * y.mean()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi2 = (hot - expect) ** 2 / (expect * (1 - y.mean()) * (1 - n / (len(y) + 1)))
-    active = np.union1d(np.flatnonzero((n >= LEAST_ROWS) & (chi2 >= LEAST_CHI2)), paired_terms(rows, y, n, hot))
-    if not len(active):
-        return none
-    rng = np.random.default_rng(SEED)
-    m = Machine(none.bias, active, np.zeros(len(active)), rng.normal(0, 0.02, (len(active), K)))
-    known = [(x := m.at[r])[x >= 0] for r in rows]
-    gw, gv, gb = np.full(len(active), 1e-6), np.full((len(active), K), 1e-6), 1e-6
-    for epoch in range(EPOCHS):
-        for i in rng.permutation(len(y)):
-            r = known[i]
-            f = m.factor[r]
-            total = f.sum(0)
-            z = m.bias + m.weight[r].sum() + 0.5 * float((total * total - (f * f).sum(0)).sum())
-            g = 1 / (1 + np.exp(-min(max(z, -30.0), 30.0))) - y[i]
-            gb += g * g
-            m.bias -= RATE * g / gb**0.5
-            if not len(r):
-                continue
-            dw = g + DECAY * m.weight[r]
-            gw[r] += dw * dw
-            m.weight[r] -= RATE * dw / np.sqrt(gw[r])
-            if epoch >= 2:  # the weights settle first; the factors then take what pairs add
-                dv = g * (total - f) + DECAY * f
-                gv[r] += dv * dv
-                m.factor[r] -= 0.2 * RATE * dv / np.sqrt(gv[r])
-    return m
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", most_rows: int = MOST_ROWS) -> Machine:
-    """Fit on about ``most_rows`` of ``labels`` (id, label over 0 or not), taken by a hash of the id, and their texts in ``docs``.
-
-    The sample is what bounds the broadcast of ids to the texts, so texts are not shuffled; only term places of
-    the sampled texts reach the driver. Labels without text count as without terms only if ``docs`` has the id.
-    """
-    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg((F.max(label_col) > 0).cast("int").alias("__y"))
-    count = known.count()
-    if count > most_rows:
-        known = known.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_003)) < int(1_000_003 * most_rows / count))
-    texts = docs.select(F.col(id_col), F.col(text_col).alias("__t")).join(F.broadcast(known), id_col)
-
-    def run(batches):
-        places = _Places()
-        for batch in batches:
-            found = [term_places(t.as_py(), places).astype(np.int32) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), batch.column(2)], ["h", "p", "y"])
-
-    got = texts.select(F.xxhash64(F.col(id_col).cast("string"), "__t").alias("h"), "__t", "__y").mapInArrow(run, "h bigint, p array<int>, y int").toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
+    hashed = texts.select(F.xxhash64(F.col("id").cast("string"), "t").alias("h"), "t", "y").mapInArrow(run, "h bigint, p array<int>, y int")
+    got = hashed.toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
     rows = [np.array(p, np.int64) for p in got.column("p").to_pylist()]
     return fit(rows, np.array(got.column("y").to_pylist(), np.int64))
 
