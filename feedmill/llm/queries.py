@@ -103,6 +103,36 @@ union all
 select source, lang, 'alnum-2', count(*), sum(alnum)::bigint from d where doc_id % 5 = 2 group by 1, 2
 """
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP3_SQL = rf"""
+with recursive d as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+  else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from d),
+e as (select doc_id, len(s) as n, unnest(s) as h from s),
+p as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as c
+  from e a join e b on a.h = b.h and a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b from p where 100 * c >= 75 * (na + nb - c)),
+r as (select doc_id as id, doc_id as c from s union select r.id, l.b from r join l on r.c = l.a)
+select doc_id, len(s)::bigint as n_shingles, component_id, doc_id = component_id as kept
+from s join (select id as doc_id, min(c) as component_id from r group by 1) using (doc_id)
+"""
+
+OP5_SQL = rf"""
+with d as (select row_number() over () as rid, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id::varchar as item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+m as (select item, w, least(10, len(w)) as k from b where len(w) > 0),
+win as (select distinct item, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as s from m),
+occ as (select rid, k, unnest(range(1, len(w) - k + 2)) as i, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as s
+  from d, (select distinct k from win) where len(w) >= k),
+hit as (select rid, i, k, item from occ join win using (k, s)),
+words as (select rid, count(*) as n from (select distinct rid, unnest(range(i, i + k)) as p from hit) group by 1),
+items as (select rid, count(*) as n, string_agg(item, ',' order by item) as ids from (select distinct rid, item from hit) group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(words.n, 0) as n_hit, coalesce(items.n, 0) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(words.n, 0) > 0 as contaminated
+from d left join words using (rid) left join items using (rid)
+"""
+
 OP10_SQL = r"""
 with u as (
   select page_id,
@@ -124,4 +154,10 @@ QUERIES = {
         op6_html_content, op7_toxicity, op8_byte_bpe, op9_nearest_neighbours, op10_url_filter,
     )
 }
-ORACLES = {"op1_license_scan": license_scan.oracle_sql(), "op2_token_counts": OP2_SQL, "op10_url_filter": OP10_SQL}
+ORACLES = {
+    "op1_license_scan": license_scan.oracle_sql(),
+    "op2_token_counts": OP2_SQL,
+    "op3_minhash_dedup": OP3_SQL,
+    "op5_decontaminate": OP5_SQL,
+    "op10_url_filter": OP10_SQL,
+}
