@@ -9,6 +9,7 @@ from feedmill.llm.ann_search import nearest
 from feedmill.llm.byte_bpe import encode_digests
 from feedmill.llm.common import shared_dir, table
 from feedmill.llm.minhash_dedup import near_duplicates
+from feedmill.llm.prefix_trie import conversation_trie
 from feedmill.llm.token_counts import TokenCounts, piece_count, word_count
 
 #: (verdict, host, path) of op10.
@@ -91,6 +92,10 @@ def op10_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
+def op13_conversation_trie(spark, sf_dir):
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 OP2_SQL = r"""
 with d as (
   select source, lang, doc_id,
@@ -147,11 +152,35 @@ f as (
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from f where k = 1
 """
 
+#: crc32 of a number's digits, bit by bit: each digit is put in, then eight shifts follow.
+_CRC32 = """xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(conv_id::varchar, ''), lambda d: [ascii(d)::bigint + 1000, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda a, b: xor((case when b > 0 then xor(a, b - 1000) else a end) >> 1, 3988292384 * ((case when b > 0 then xor(a, b - 1000) else a end) & 1))), 4294967295::bigint)"""
+
+OP13_SQL = rf"""
+with t as (select conv_id, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} as x,
+    row_number() over (partition by conv_id order by turn nulls first, sha256(strlen(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, ''))) as k
+  from conversations where conv_id is not null),
+o as (select conv_id, list(x order by k) as l from t group by 1),
+h as (select conv_id, l, {_CRC32} % 6 as h from o),
+s as (select h.conv_id, list_concat(coalesce(b.l[1:h.h], []), h.l[h.h + 1:]) as l from h left join o b on b.conv_id = h.conv_id - h.conv_id % 100),
+e as (select conv_id, len(l) as n, unnest(range(0, len(l) + 1)) as d, l from s),
+p as (select conv_id, n, d, md5(l[1:d]::varchar) as name, case when d > 0 then md5(l[1:d - 1]::varchar) end as up, case when d > 0 then length(l[d].t) else 0 end as chars, l from e),
+g as (select name, d, any_value(up) as up, min(conv_id) as conv_id, count(*) as n, any_value(chars) as chars, arg_min(l, conv_id) as l,
+    string_agg(conv_id::varchar, ',' order by conv_id) filter (n = d) as ends from p group by name, d),
+kids as (select up as name, d - 1 as d, count(*) as n_children from g where d > 0 group by 1, 2),
+anc as (select md5(l[1:a]::varchar) as name, a as d, (n - 1) * chars as saved, (kids.n_children is null)::int as leaf
+  from (select *, unnest(range(0, d + 1)) as a from g) g left join kids on kids.name = g.name and kids.d = g.d),
+sums as (select name, d, sum(saved) as saved, sum(leaf) as leaves from anc group by 1, 2)
+select g.conv_id, g.d as depth, u.conv_id as parent_conv_id, g.n as n_convs, coalesce(n_children, 0) as n_children, leaves::bigint as n_leaves, saved::bigint as saved_tokens, sha256(coalesce(g.ends, '')) as ends_sha256
+from g join sums using (name, d) left join kids using (name, d) left join g u on u.name = g.up and u.d = g.d - 1
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_token_counts, op3_minhash_dedup, op4_language_id, op5_decontaminate,
         op6_html_content, op7_toxicity, op8_byte_bpe, op9_nearest_neighbours, op10_url_filter,
+        op13_conversation_trie,
     )
 }
 ORACLES = {
@@ -160,4 +189,5 @@ ORACLES = {
     "op3_minhash_dedup": OP3_SQL,
     "op5_decontaminate": OP5_SQL,
     "op10_url_filter": OP10_SQL,
+    "op13_conversation_trie": OP13_SQL,
 }
