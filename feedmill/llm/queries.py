@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedmill.llm import decontaminate, html_content, language_id, license_scan, toxicity, url_filter
+from feedmill.llm import decontaminate, html_content, language_id, lexical_search, license_scan, toxicity, url_filter
 from feedmill.llm.ann_search import nearest
 from feedmill.llm.byte_bpe import encode_digests
 from feedmill.llm.common import shared_dir, table
 from feedmill.llm.minhash_dedup import near_duplicates
+from feedmill.llm.packing import pack_documents
 from feedmill.llm.prefix_trie import conversation_trie
 from feedmill.llm.token_counts import TokenCounts, piece_count, word_count
 
@@ -92,6 +93,16 @@ def op10_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
+def op11_lexical_search(spark, sf_dir):
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_best_fit_packing(spark, sf_dir):
+    import public_tokenizers
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op13_conversation_trie(spark, sf_dir):
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -152,6 +163,20 @@ f as (
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from f where k = 1
 """
 
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP11_SQL = rf"""
+with d as (select row_number() over () as rid, doc_id, {_TERMS} as w from documents),
+s as (select count(*) filter (len(w) > 0) as docs, sum(len(w))::bigint as terms from d),
+b as (select item_id, {_TERMS} as w from (select item_id, min(coalesce(text, '')) as text from benchmark group by 1)),
+q as (select item_id, t, count(*) as times from (select item_id, unnest(w) as t from b) group by 1, 2),
+p as (select rid, doc_id, n, t, count(*) as tf from (select rid, doc_id, len(w)::bigint as n, unnest(w) as t from d) where t in (select t from q) group by all),
+f as (select t, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)))::bigint as weight from p, s group by t, docs),
+sc as (select item_id, rid, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::bigint as score
+  from q join p using (t) join f using (t), s group by 1, 2, 3)
+select item_id, rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id nulls first)::int as rank from sc where score > 0) where rank <= 20
+"""
+
 #: crc32 of a number's digits, bit by bit: each digit is put in, then eight shifts follow.
 _CRC32 = """xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(conv_id::varchar, ''), lambda d: [ascii(d)::bigint + 1000, 0, 0, 0, 0, 0, 0, 0]))),
   lambda a, b: xor((case when b > 0 then xor(a, b - 1000) else a end) >> 1, 3988292384 * ((case when b > 0 then xor(a, b - 1000) else a end) & 1))), 4294967295::bigint)"""
@@ -180,7 +205,7 @@ QUERIES = {
     for f in (
         op1_license_scan, op2_token_counts, op3_minhash_dedup, op4_language_id, op5_decontaminate,
         op6_html_content, op7_toxicity, op8_byte_bpe, op9_nearest_neighbours, op10_url_filter,
-        op13_conversation_trie,
+        op11_lexical_search, op12_best_fit_packing, op13_conversation_trie,
     )
 }
 ORACLES = {
@@ -189,5 +214,6 @@ ORACLES = {
     "op3_minhash_dedup": OP3_SQL,
     "op5_decontaminate": OP5_SQL,
     "op10_url_filter": OP10_SQL,
+    "op11_lexical_search": OP11_SQL,
     "op13_conversation_trie": OP13_SQL,
 }
