@@ -20,11 +20,15 @@ def extract_review_fields(raw: DataFrame) -> DataFrame:
     )
 
 
+def long_enough(reviews: DataFrame) -> DataFrame:
+    """Reviews of at least five characters and three words."""
+    text = F.col("review_text")
+    return reviews.filter(text.isNotNull() & (F.length(text) >= params.MIN_CHARS) & (F.size(words(text)) >= params.MIN_WORDS))
+
+
 def clean_reviews(reviews: DataFrame) -> DataFrame:
     """Reviews of at least five characters and three words; of equal ids the first by (page, pos) that passes."""
-    text = F.col("review_text")
-    good = reviews.filter(text.isNotNull() & (F.length(text) >= params.MIN_CHARS) & (F.size(words(text)) >= params.MIN_WORDS))
-    return first_of_key(good, ["review_id"], ["page", "pos"])
+    return first_of_key(long_enough(reviews), ["review_id"], ["page", "pos"])
 
 
 def sample_negatives(classified: DataFrame, seed: int = 0) -> DataFrame:

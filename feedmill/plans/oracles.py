@@ -244,3 +244,12 @@ ORACLES = {
     "extract_summaries": f"select doc_id, md5(regexp_replace(case when contains(response_text, '<summary>') and contains(response_text, '</summary>') then split_part(split_part(response_text, '<summary>', 2), '</summary>', 1) else response_text end, '^\\s+|\\s+$', '', 'g')) as summary_md5 from ({A.SUMMARY_RESPONSES})",
     "stream_ingest_reviews": _with("reviews", "paid", "clean") + "select review_id, app_id, voted_up, playtime_hours, votes_up, length(review_text) as n_chars from clean",
 }
+#: The same results by other means.
+ORACLES |= {
+    "versioned_upsert_chunks": ORACLES["upsert_chunks"],
+    "indexed_insert_reviews": _with("reviews") + "select review_id, app_id, voted_up, votes_up, playtime_hours, is_near_duplicate, length(review_text) as n_chars from reviews",
+    "stateful_ingest_reviews": ORACLES["stream_ingest_reviews"],
+    "near_duplicate_flags_banded": ORACLES["near_duplicate_flags"],
+    "near_duplicate_flags_incremental": ORACLES["near_duplicate_flags"],
+    "bm25_topk_postings": ORACLES["bm25_topk"],
+}

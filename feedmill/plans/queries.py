@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from feedmill import params
 from feedmill.functions import labels as label_rules
 from feedmill.functions import text as T
-from feedmill.operators import chunking, clusters, evidence, labels, neardup, news, retrieval, reviews, stats
+from feedmill.operators import blockmax, chunking, clusters, evidence, ivfpq, labels, neardup, neardup_index, news, retrieval, reviews, stats
 from feedmill.plans import adapters as A
+from feedmill.schemas import REVIEW
 from feedmill.sources import pages, tables
+from feedmill.sources.versioned import VersionedTable
 from feedmill.storage import settle, shared_dir
 from feedmill.streaming.ingest import stream_reviews
+from feedmill.streaming.stateful import stream_reviews_stateful
 
 AS_OF = "2024-03-31 00:00:00"
 
@@ -72,6 +75,28 @@ def upsert_chunks(spark, sf_dir):
     return done.select("chunk_id", "app_id", "version", F.md5("text").alias("text_md5"))
 
 
+def versioned_upsert_chunks(spark, sf_dir):
+    """The merge of ``upsert_chunks`` in a versioned table, the new chunks put in twice, then its last version read."""
+    old = A.chunks(spark, sf_dir).select("chunk_id", "app_id", "text", F.lit(0).alias("version"))
+    new = old.filter("cast(chunk_id as bigint) % 3 = 0").withColumns({"text": F.concat(F.lit("v2 "), "text"), "version": F.lit(1)})
+    extra = new.withColumn("chunk_id", F.concat(F.lit("n"), "chunk_id"))
+    table = VersionedTable(spark, shared_dir(spark), "chunk_id string, app_id string, text string, version int", ["chunk_id"])
+    table.append(old, ["version"])
+    for _ in range(2):
+        table.upsert(new.unionByName(extra), ["version"])
+    return table.read().select("chunk_id", "app_id", "version", F.md5("text").alias("text_md5"))
+
+
+def indexed_insert_reviews(spark, sf_dir):
+    """The batch of ``insert_or_ignore_reviews`` merged into a versioned table by its Bloom index; the whole table is read."""
+    existing, batch = _stored(spark, sf_dir)
+    table = VersionedTable(spark, shared_dir(spark), f"{REVIEW}, pos bigint", ["review_id"])
+    table.append(existing, ["pos"])
+    table.insert_or_ignore(tables.review_rows(batch), ["pos"], ("batches", 0))
+    table.insert_or_ignore(tables.review_rows(batch).limit(0), ["pos"], ("batches", 1))
+    return table.read().select("review_id", "app_id", "voted_up", "votes_up", "playtime_hours", "is_near_duplicate", F.length("review_text").alias("n_chars"))
+
+
 def load_reviews(spark, sf_dir):
     return tables.load_reviews(A.reviews(spark, sf_dir), "app1").select("review_id", "app_id", "voted_up", "playtime_hours")
 
@@ -128,6 +153,22 @@ def near_duplicate_flags(spark, sf_dir):
     return neardup.near_duplicate_flags(A.reviews(spark, sf_dir)).select("review_id", "app_id", "is_near_duplicate")
 
 
+def near_duplicate_flags_banded(spark, sf_dir):
+    """The flags without a list of pairs."""
+    return neardup_index.flags_without_pairs(A.reviews(spark, sf_dir)).select("review_id", "app_id", "is_near_duplicate")
+
+
+def near_duplicate_flags_incremental(spark, sf_dir):
+    """The flags of three batches of reviews, each held against the representatives stored before it."""
+    r = A.reviews(spark, sf_dir)
+    step = F.lit(r.agg(F.max("pos")).first()[0] // 3 + 1)
+    index, out = neardup_index.NearDuplicateIndex(spark, shared_dir(spark)), None
+    for k in range(3):
+        part = index.flags(r.filter(F.floor(F.col("pos") / step) == k), str(k)).select("review_id", "app_id", "is_near_duplicate")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def clean_pipeline(spark, sf_dir):
     clean = reviews.clean_reviews(reviews.extract_review_fields(A.raw_reviews(spark, sf_dir)))
     return neardup.near_duplicate_flags(clean.withColumn("pos", F.col("pos").cast("bigint"))).select("review_id", "app_id", "is_near_duplicate")
@@ -163,10 +204,21 @@ def vector_topk(spark, sf_dir):
     return retrieval.vector_topk(A.chunks(spark, sf_dir), A.retrieval_queries(spark, sf_dir)).select("query_id", "app_id", "chunk_id", F.round("distance", 6).alias("distance"), "rank")
 
 
-def bm25_topk(spark, sf_dir):
+def vector_topk_quantised(spark, sf_dir):
+    """Nearest chunks by the quantised index; approximate, so it has no SQL: recall is tested against ``vector_topk``."""
+    index = ivfpq.build_index(A.chunks(spark, sf_dir))
+    return ivfpq.search(index, A.retrieval_queries(spark, sf_dir)).select("query_id", "app_id", "chunk_id", F.round("distance", 6).alias("distance"), "rank")
+
+
+def bm25_topk_postings(spark, sf_dir):
+    """The same top k by all postings of the queries' terms."""
     return retrieval.bm25_topk(A.chunks(spark, sf_dir), A.retrieval_queries(spark, sf_dir)).select("query_id", "app_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+def bm25_topk(spark, sf_dir):
+    return blockmax.search(blockmax.build_index(A.chunks(spark, sf_dir)), A.retrieval_queries(spark, sf_dir)).select("query_id", "app_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 def _lists(spark, sf_dir):
     c, q = A.chunks(spark, sf_dir), A.retrieval_queries(spark, sf_dir)
     return settle(retrieval.vector_topk(c, q)), settle(retrieval.bm25_topk(c, q))
@@ -361,12 +413,19 @@ def stream_ingest_reviews(spark, sf_dir):
     landed, table = shared_dir(spark), shared_dir(spark)
     A.review_pages(spark, sf_dir).repartition(4, "app_id", "page").write.json(landed)
     stream_reviews(spark, landed, table, shared_dir(spark), files_per_batch=2).awaitTermination()
-    from feedmill.schemas import REVIEW
-
     d = tables.read_table(spark, table, REVIEW)
     return d.select("review_id", "app_id", "voted_up", "playtime_hours", "votes_up", F.length("review_text").alias("n_chars"))
 
 
+def stateful_ingest_reviews(spark, sf_dir):
+    """The landed pages streamed through a keyed state store into an empty versioned table, then the table read."""
+    landed = shared_dir(spark)
+    A.review_pages(spark, sf_dir).repartition(4, "app_id", "page").write.json(landed)
+    table = VersionedTable(spark, shared_dir(spark), REVIEW, ["review_id"])
+    stream_reviews_stateful(spark, landed, table, shared_dir(spark), files_per_batch=2).awaitTermination()
+    return table.read().select("review_id", "app_id", "voted_up", "playtime_hours", "votes_up", F.length("review_text").alias("n_chars"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -375,6 +434,6 @@ QUERIES = {
         clean_pipeline, bm25_tokens, bm25_chunk_tokens, bm25_index_stats, vector_topk, bm25_topk, rrf_fusion, retriever_overlap, rerank_topn, hybrid_retrieve, evidence_packages, citation_audit, evidence_prompts, source_prompts, encode_chunks,
         basic_stats, keyword_frequency, keywords_first_seen, keywords_by_category, build_clusters, event_clusters, cluster_prompts, negative_review_listing, token_usage_rollup, dedup_news_by_title, classify_news_type,
         news_type_counts, feed_distribution, strip_markup, extract_image_urls, section_headers, chunk_news, split_long_text, validate_classifications, classification_run_summary, normalize_tones,
-        extract_summaries, stream_ingest_reviews,
+        extract_summaries, stream_ingest_reviews, versioned_upsert_chunks, indexed_insert_reviews, stateful_ingest_reviews, near_duplicate_flags_banded, near_duplicate_flags_incremental, bm25_topk_postings, vector_topk_quantised,
     )
 }

@@ -45,8 +45,9 @@ def classification_rows(batch: DataFrame, threshold: float = params.CONFIDENCE)
 
 
 def upsert(batch: DataFrame, existing: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """``existing`` with the rows of ``batch`` put in by key: a new row replaces the old, of equal keys in the batch the last row wins."""
-    last = first_of_key(batch, keys, [F.desc(c) for c in order]).select(*existing.columns)
+    """``existing`` with the rows of ``batch`` put in by key: a new row replaces the old, of equal keys in the batch the last row wins. A row
+    with a null in its key cannot be told from its replay and is left out."""
+    last = first_of_key(batch.dropna(subset=keys), keys, [F.desc(c) for c in order]).select(*existing.columns)
     return existing.join(last.select(*keys), keys, "left_anti").unionByName(last)
 
 

@@ -32,6 +32,44 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def publish(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a small file of this text appear whole under ``path``, if the name is free: False, and nothing changed, if it is taken."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    where = hadoop.Path(path)
+    fs = where.getFileSystem(conf)
+    where = fs.makeQualified(where)
+    aside = hadoop.Path(where.getParent(), f".{uuid.uuid4().hex}")
+    out = fs.create(aside, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    try:
+        never_over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
+        hadoop.FileContext.getFileContext(where.toUri(), conf).rename(aside, where, never_over)
+        return True
+    except Exception:
+        if not fs.exists(where):
+            raise
+        fs.delete(aside, False)
+        return False
+
+
 def _remove_at_end(spark: SparkSession, path: str) -> None:
     try:
         remove(spark, path)
