@@ -1,70 +1,85 @@
-"""BM25 top k by an inverted index in blocks of documents with the largest impact of each term in each block.
+"""BM25 top k by an inverted index in blocks of documents with what a term can add at most in each block.
 
 The tasks that tokenise the chunks also build the blocks, so nothing is shuffled: a block holds up to BLOCK_DOCS chunks of an
-app, and for each of its terms the list of chunks with term count and length. A term's impact in a chunk is its BM25
-part without idf; the largest of a block is stored beside the list.
+app, and for each of its terms the list of chunks with term count and length. Of those the block keeps aside the few
+that no other one beats in both count and length: whatever the mean length of the corpus is, one of them has the largest
+impact (the BM25 part without idf). So blocks stay valid when the corpus grows, and the index grows by segments.
 
-A search first adds up, from these maxima alone, what a chunk of each block can score at most. Each query then
-searches its SEEDS most promising blocks; its k-th score there is what any other block must be able to reach, and lists of
+A search first adds up, from these few numbers alone, what a chunk of each block can score at most. Each query then
+searches its k most promising blocks; its k-th score there is what any other block must be able to reach, and lists of
 blocks that cannot are not read. The result is that of ``retrieval.bm25_topk`` over all postings.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from feedmill import params
 from feedmill.functions.text import bm25_tokens
-from feedmill.storage import Workspace, settle
+from feedmill.storage import Workspace, names_in, publish, read_text, settle
 
-#: A block ends at so many chunks or tokens; an open task holds so many tokens of all apps. Blocks searched first, queries of a group.
-BLOCK_DOCS, BLOCK_TOKENS, HELD_TOKENS, SEEDS, GROUP_QUERIES = 512, 1_000_000, 4_000_000, 2, 1024
-_LISTS = "app_id string, block string, term string, docs array<int>, tf array<int>, dl array<int>, n_docs int, ids array<string>"
+#: A block ends at so many chunks or tokens; an open task holds so many tokens of all apps. Queries of a group.
+BLOCK_DOCS, BLOCK_TOKENS, HELD_TOKENS, GROUP_QUERIES = 512, 1_000_000, 4_000_000, 1024
+#: docs, tf and dl are packed 32-bit integers; ids of the block's row without term are the chunks that docs count from 0.
+_LISTS = "app_id string, block string, term string, n int, total bigint, best_tf array<int>, best_dl array<int>, docs binary, tf binary, dl binary, ids array<string>"
 
 
 class BlockIndex(NamedTuple):
-    """``lists`` (app_id, block, term, docs, tf, dl, top), ``blocks`` (app_id, block, ids), ``corpus`` (app_id, n_docs, avgdl) and ``terms`` (app_id, term, df, idf)."""
+    """``lists`` (see _LISTS), ``corpus`` (app_id, n_docs, avgdl) and ``terms`` (app_id, term, df, idf)."""
 
     lists: DataFrame
-    blocks: DataFrame
     corpus: DataFrame
     terms: DataFrame
 
 
-_SCHEMAS = {
-    "lists": "app_id string, block string, term string, docs array<int>, tf array<int>, dl array<int>, top double", "blocks": "app_id string, block string, ids array<string>",
-    "corpus": "app_id string, n_docs bigint, avgdl double", "terms": "app_id string, term string, df bigint, idf double",
-}
-
-
 def _impact(tf, dl, avgdl):
     """For columns and for arrays of numbers."""
     k1, b = params.BM25_K1, params.BM25_B
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
 
-def _raw_lists(chunks: DataFrame) -> DataFrame:
-    """Rows of _LISTS: each block's lists, and one row without term for the block itself with its chunk ids."""
-    def lists(app, ids: list, tokens: list) -> pa.RecordBatch:
-        block = uuid.uuid4().hex
-        sizes = np.array([len(t) for t in tokens], np.int64)
-        words = pa.concat_arrays(tokens).dictionary_encode() if sizes.sum() else pa.array([], pa.string()).dictionary_encode()
-        # one number for each term and chunk, so that equal ones are counted together and come in order of term, then chunk
-        pairs, tf = np.unique(words.indices.to_numpy().astype(np.int64) * len(ids) + np.repeat(np.arange(len(ids)), sizes), return_counts=True)
-        term, doc = pairs // len(ids), pairs % len(ids)
-        ends = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(words.dictionary)))]).astype(np.int32)
-        n = len(words.dictionary)
-        listed = lambda v: pa.concat_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(v.astype(np.int32))), pa.nulls(1, pa.list_(pa.int32()))])
-        kept = pa.concat_arrays([pa.nulls(n, pa.list_(pa.string())), pa.array([ids], pa.list_(pa.string()))])
-        texts = lambda x: pa.array([x] * (n + 1), pa.string())
-        columns = [texts(app), texts(block), pa.concat_arrays([words.dictionary.cast(pa.string()), pa.nulls(1, pa.string())]), listed(doc), listed(tf), listed(sizes[doc]), pa.array([len(ids)] * (n + 1), pa.int32()), kept]
-        return pa.RecordBatch.from_arrays(columns, ["app_id", "block", "term", "docs", "tf", "dl", "n_docs", "ids"])
+def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The lists of ``values`` that end at ``ends``, each as the bytes of its integers, and a null."""
+    offsets = np.concatenate([ends, ends[-1:]]).astype(np.int32) * 4
+    valid = np.packbits(np.arange(len(ends)) < len(ends) - 1, bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(ends), [pa.py_buffer(valid.tobytes()), pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.astype(np.int32).tobytes())])
+
+
+def _block(app, ids: list, tokens: list) -> pa.RecordBatch:
+    """The lists of one block, and its row without term. ``total`` sums term counts, in the block's row lengths; ``n`` counts chunks."""
+    sizes = np.array([len(t) for t in tokens], np.int64)
+    words = (pa.concat_arrays(tokens) if sizes.sum() else pa.array([], pa.string())).dictionary_encode()
+    n = len(words.dictionary)
+    # one number for each term and chunk: equal ones are counted together and come in order of term, then chunk
+    pairs, tf = np.unique(words.indices.to_numpy().astype(np.int64) * len(ids) + np.repeat(np.arange(len(ids)), sizes), return_counts=True)
+    term, doc = pairs // len(ids), pairs % len(ids)
+    dl = sizes[doc]
+    df = np.bincount(term, minlength=n)
+    ends = np.concatenate([[0], np.cumsum(df)])
+    # from short to long, those with more of the term than any before are beaten by none
+    order = np.lexsort((-tf, dl, term))
+    most = np.maximum.accumulate(term[order] * (tf.max(initial=0) + 1) + tf[order])
+    best = order[np.concatenate([[True], most[1:] > most[:-1]])[: len(order)]] if len(order) else order
+    best_ends = np.concatenate([[0], np.cumsum(np.bincount(term[best], minlength=n))]).astype(np.int32)
+    listed = lambda v: pa.concat_arrays([pa.ListArray.from_arrays(pa.array(best_ends), pa.array(v.astype(np.int32))), pa.nulls(1, pa.list_(pa.int32()))])
+    same = lambda x: pa.array([x] * (n + 1), pa.string())
+    columns = [
+        same(app), same(uuid.uuid4().hex), pa.concat_arrays([words.dictionary.cast(pa.string()), pa.nulls(1, pa.string())]), pa.array(np.append(df, len(ids)).astype(np.int32)),
+        pa.array(np.append(np.bincount(term, tf, minlength=n), sizes.sum()).astype(np.int64)), listed(tf[best]), listed(dl[best]), _packed(doc, ends), _packed(tf, ends), _packed(dl, ends),
+        pa.concat_arrays([pa.nulls(n, pa.list_(pa.string())), pa.array([ids], pa.list_(pa.string()))]),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["app_id", "block", "term", "n", "total", "best_tf", "best_dl", "docs", "tf", "dl", "ids"])
+
+
+def block_lists(chunks: DataFrame) -> DataFrame:
+    """Rows of _LISTS of (app_id, chunk_id, text) chunks; null texts are empty. A row's app may be null; it is in no search."""
 
     def run(batches):
         held: dict = {}
@@ -72,92 +87,114 @@ def _raw_lists(chunks: DataFrame) -> DataFrame:
         for batch in batches:
             tokens = batch.column(2)
             for i, (app, chunk) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                own = held.setdefault(app, [[], [], 0])
-                own[0].append(chunk), own[1].append(tokens[i].values)
-                own[2] += len(tokens[i].values)
-                total += len(tokens[i].values)
+                own, words = held.setdefault(app, [[], [], 0]), tokens[i].values
+                own[0].append(chunk), own[1].append(words)
+                own[2] += len(words)
+                total += len(words)
                 if len(own[0]) >= BLOCK_DOCS or own[2] >= BLOCK_TOKENS:
                     total -= own[2]
-                    yield lists(app, *held.pop(app)[:2])
+                    yield _block(app, *held.pop(app)[:2])
             while total > HELD_TOKENS:
                 app = max(held, key=lambda a: held[a][2])
                 total -= held[app][2]
-                yield lists(app, *held.pop(app)[:2])
+                yield _block(app, *held.pop(app)[:2])
         for app, (ids, own, _) in held.items():
-            yield lists(app, ids, own)
+            yield _block(app, ids, own)
 
     tokens = bm25_tokens(F.coalesce("text", F.lit("")))
     return chunks.select("app_id", F.col("chunk_id").cast("string").alias("chunk_id"), tokens.alias("t")).mapInArrow(run, _LISTS)
 
 
-def build_index(chunks: DataFrame, keep=settle) -> BlockIndex:
-    """The index of (app_id, chunk_id, text) chunks; null texts are empty. Its tables are written by ``keep``.
+def _with_statistics(lists: DataFrame) -> BlockIndex:
+    """Statistics are those of ``retrieval.bm25_stats``: chunks without tokens count as documents, a term of negative idf gets epsilon times
+    the mean idf of its app's terms."""
+    size = lists.filter("term is null").groupBy("app_id").agg(F.sum("n").alias("n_docs"), F.sum("total").alias("t"))
+    corpus = settle(size.select("app_id", "n_docs", (F.col("t") / F.col("n_docs")).alias("avgdl")))
+    df = lists.filter("term is not null").groupBy("app_id", "term").agg(F.sum("n").alias("df"))
+    idf = df.join(corpus.select("app_id", "n_docs"), "app_id").withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    idf = settle(idf.select("app_id", "term", "df", "idf"))
+    mean = idf.groupBy("app_id").agg(F.avg("idf").alias("__mean"))
+    terms = idf.join(mean, "app_id").select("app_id", "term", "df", F.when(F.col("idf") < 0, params.BM25_EPSILON * F.col("__mean")).otherwise(F.col("idf")).alias("idf"))
+    return BlockIndex(lists, corpus, terms)
 
-    Statistics are those of ``retrieval.bm25_stats``: chunks without tokens count as documents, a term of negative idf gets
-    epsilon times the mean idf of its app's terms.
-    """
-    with Workspace(chunks.sparkSession) as work:
-        raw = work.settle(_raw_lists(chunks))
-        total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
-        df = raw.filter("term is not null").groupBy("app_id", "term").agg(F.sum(F.size("docs")).alias("df"), F.sum(total("tf")).alias("n"))
-        df = work.settle(df)
-        size = raw.filter("term is null").groupBy("app_id").agg(F.sum("n_docs").alias("n_docs"))
-        corpus = keep(size.join(df.groupBy("app_id").agg(F.sum("n").alias("n")), "app_id", "left").select("app_id", "n_docs", (F.coalesce("n", F.lit(0)) / F.col("n_docs")).alias("avgdl")))
-        idf = df.join(corpus.select("app_id", "n_docs"), "app_id").withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-        mean = idf.groupBy("app_id").agg(F.avg("idf").alias("__mean"))
-        terms = keep(idf.join(mean, "app_id").select("app_id", "term", "df", F.when(F.col("idf") < 0, params.BM25_EPSILON * F.col("__mean")).otherwise(F.col("idf")).alias("idf")))
-        top = F.array_max(F.zip_with("tf", "dl", lambda tf, dl: _impact(tf, dl, F.col("avgdl"))))
-        lists = keep(raw.filter("term is not null").drop("n_docs", "ids").join(corpus.select("app_id", "avgdl"), "app_id").withColumn("top", top).drop("avgdl"))
-        blocks = keep(raw.filter("term is null").select("app_id", "block", "ids"))
-    return BlockIndex(lists, blocks, corpus, terms)
 
+def build_index(chunks: DataFrame) -> BlockIndex:
+    return _with_statistics(settle(block_lists(chunks)))
 
-def write_index(chunks: DataFrame, path: str) -> None:
-    """Store the index below ``path``, by app; of the apps in ``chunks`` what was there before is replaced."""
-    for name, part in build_index(chunks)._asdict().items():
-        part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("app_id").parquet(f"{path}/{name}")
+
+def add_segment(chunks: DataFrame, path: str, name: str) -> None:
+    """Add ``chunks``, which no earlier segment holds, to the index stored below ``path`` as the segment of this name. It appears whole or not at
+    all, and once: a name that is there is not added again. Earlier segments are not read."""
+    spark = chunks.sparkSession
+    if name not in names_in(spark, f"{path}/segments"):
+        token = uuid.uuid4().hex
+        block_lists(chunks).write.parquet(f"{path}/data/{token}")
+        publish(spark, f"{path}/segments/{name}", json.dumps({"token": token}))
 
 
 def read_index(spark: SparkSession, path: str) -> BlockIndex:
-    return BlockIndex(*[spark.read.schema(_SCHEMAS[n]).parquet(f"{path}/{n}") for n in BlockIndex._fields])
+    """The index of all segments stored so far."""
+    tokens = [json.loads(read_text(spark, f"{path}/segments/{n}"))["token"] for n in names_in(spark, f"{path}/segments") if not n.startswith(".")]
+    return _with_statistics(spark.read.schema(_LISTS).parquet(*[f"{path}/data/{t}" for t in tokens]) if tokens else spark.createDataFrame([], _LISTS))
 
 
-def _weighted(index: BlockIndex, queries: DataFrame) -> DataFrame:
+def weigh(index: BlockIndex, queries: DataFrame) -> DataFrame:
     """(query_id, app_id, term, w): how much a term's impact counts in a query; a repeated term counts each time."""
     asked = queries.select("query_id", "app_id", F.explode(bm25_tokens(F.coalesce("query_text", F.lit("")))).alias("term")).groupBy("query_id", "app_id", "term").agg(F.count("*").alias("qtf"))
     return asked.join(index.terms.select("app_id", "term", "idf"), ["app_id", "term"]).select("query_id", "app_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
 
 
-def _searched(index: BlockIndex, weighted: DataFrame, wanted: DataFrame, k: int, query_type: str) -> DataFrame:
+def reach(index: BlockIndex, weighted: DataFrame) -> DataFrame:
+    """(query_id, app_id, block, bound): what a chunk of the block can score at most."""
+    mean = weighted.join(index.corpus.select("app_id", "avgdl"), "app_id")
+    most = F.array_max(F.zip_with("best_tf", "best_dl", lambda tf, dl: _impact(tf, dl, F.col("avgdl"))))
+    met = mean.join(index.lists.filter("term is not null").select("app_id", "term", "block", "best_tf", "best_dl"), ["app_id", "term"])
+    return met.groupBy("query_id", "app_id", "block").agg(F.sum(F.col("w") * most).alias("bound")).filter("bound > 0")
+
+
+def unpruned(bounds: DataFrame, seeds: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """The blocks, but for ``seeds``, that can hold a chunk of a query's k best: those whose bound reaches its k-th score so far."""
+    kth = found.filter(F.col("rank") == k - 1).select("query_id", F.col("score").alias("kth"))
+    rest = bounds.join(seeds, ["query_id", "app_id", "block"], "left_anti").join(kth, "query_id", "left")
+    # scores are rounded to nine places, bounds are not
+    return rest.filter(F.col("kth").isNull() | (F.col("bound") + 1e-8 >= F.col("kth"))).select("query_id", "app_id", "block")
+
+
+def needed_lists(index: BlockIndex, asked: DataFrame) -> DataFrame:
+    """The lists of (app_id, block, term) that some query asks for."""
+    return index.lists.join(asked.select("app_id", "block", "term").distinct(), ["app_id", "block", "term"], "left_semi")
+
+
+def _searched(index: BlockIndex, weighted: DataFrame, wanted: DataFrame, k: int, work: Workspace) -> DataFrame:
     """(query_id, app_id, chunk_id, score): the k best of each query in each of its ``wanted`` (query_id, app_id, block)."""
-    asked = wanted.join(weighted, ["query_id", "app_id"])
-    group = F.pmod(F.xxhash64("query_id"), F.col("groups")).cast("int")
-    sizes = wanted.groupBy("app_id", "block").agg(F.ceil(F.count("*") / GROUP_QUERIES).alias("groups"))
-    right = asked.join(sizes, ["app_id", "block"]).select("app_id", "block", group.alias("g"), "query_id", "term", "w")
-    each = F.explode(F.sequence(F.lit(0), (F.col("groups") - 1).cast("int")))
-    # lists of terms that some query wants in the block
-    needed = index.lists.join(asked.select("app_id", "block", "term").distinct(), ["app_id", "block", "term"], "left_semi")
-    ids = index.blocks.join(sizes, ["app_id", "block"]).select("app_id", "block", "ids")
-    left = needed.select("app_id", "block", "term", "docs", "tf", "dl", F.lit(None).cast("array<string>").alias("ids")).unionByName(ids.select("app_id", "block", "ids"), allowMissingColumns=True)
-    left = left.join(sizes, ["app_id", "block"]).join(index.corpus.select("app_id", "avgdl"), "app_id").select("app_id", "block", each.alias("g"), "term", "docs", "tf", "dl", "ids", "avgdl")
+    sizes = wanted.groupBy("app_id", "block").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("groups"))
+    asked = work.settle(wanted.join(weighted, ["query_id", "app_id"]).join(sizes, ["app_id", "block"]))
+    right = asked.select("app_id", "block", F.pmod(F.xxhash64("query_id"), "groups").cast("int").alias("g"), "query_id", "term", "w")
+    rows = needed_lists(index, asked).unionByName(index.lists.filter("term is null")).select("app_id", "block", "term", "docs", "tf", "dl", "ids")
+    each = F.explode(F.sequence(F.lit(0), F.col("groups") - 1))
+    left = rows.join(asked.select("app_id", "block", "groups").distinct(), ["app_id", "block"]).join(index.corpus.select("app_id", "avgdl"), "app_id").withColumn("g", each).drop("groups")
+    kind = weighted.schema["query_id"].dataType.simpleString()
+
+    def numbers(column: pa.ChunkedArray) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.int32)
 
     def score(a: pa.Table, b: pa.Table) -> pa.Table:
-        out = [[], [], []]
+        out: list[list] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        query = b.column("query_id").combine_chunks().dictionary_encode() if b.num_rows else None
+        whole = pa.array([], pa.string())
         if a.num_rows and b.num_rows:
-            whole = a.filter(pc.is_valid(a.column("ids"))).column("ids")[0].values
+            whole = a.filter(pc.is_null(a.column("term"))).column("ids")[0].values
             a = a.filter(pc.is_valid(a.column("term")))
-            avgdl = a.column("avgdl")[0].as_py() if a.num_rows else 1.0
-            flat = lambda c: a.column(c).combine_chunks().flatten().to_numpy().astype(np.float64)
-            docs, impacts = flat("docs").astype(np.int64), _impact(flat("tf"), flat("dl"), avgdl)
-            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(a.column("docs")).to_numpy())])
-            place = {t: i for i, t in enumerate(a.column("term").to_pylist())}
-            b = b.sort_by("query_id")
-            at = np.array([place.get(t, -1) for t in b.column("term").to_pylist()], np.int64)
-            w = b.column("w").to_numpy()
-            query = b.column("query_id").combine_chunks().dictionary_encode()
-            of = query.indices.to_numpy()
+        if a.num_rows and b.num_rows:
+            docs, impacts = numbers(a.column("docs")), _impact(numbers(a.column("tf")).astype(np.float64), numbers(a.column("dl")), a.column("avgdl")[0].as_py())
+            ends = np.concatenate([[0], np.cumsum(pc.binary_length(a.column("docs")).to_numpy() // 4)])
+            at = pc.index_in(b.column("term"), a.column("term").combine_chunks()).fill_null(-1).to_numpy()
+            of, w = query.indices.to_numpy(), b.column("w").to_numpy()
+            order = np.argsort(of, kind="stable")
+            order = order[at[order] >= 0]
+            bounds = np.searchsorted(of[order], np.arange(len(query.dictionary) + 1))
             for q in range(len(query.dictionary)):
-                own = np.flatnonzero((of == q) & (at >= 0))
+                own = order[bounds[q] : bounds[q + 1]]
                 if not len(own):
                     continue
                 lo, n = ends[at[own]], ends[at[own] + 1] - ends[at[own]]
@@ -167,16 +204,13 @@ def _searched(index: BlockIndex, weighted: DataFrame, wanted: DataFrame, k: int,
                 if len(good) > k:  # all that score as much as the k-th
                     good = good[total[good] >= np.partition(total[good], len(good) - k)[len(good) - k]]
                 out[0].append(np.full(len(good), q)), out[1].append(good), out[2].append(total[good])
-            names = query.dictionary
-        cat = [np.concatenate(x) if x else np.zeros(0) for x in out]
-        which, hit = (pa.array(c.astype(np.int64)) for c in cat[:2])
-        if not len(which):
-            return pa.table({"query_id": b.column("query_id").slice(0, 0), "app_id": pa.array([], pa.string()), "chunk_id": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
-        app = b.column("app_id")[0].as_py()
-        return pa.table({"query_id": names.take(which), "app_id": pa.array([app] * len(which), pa.string()), "chunk_id": whole.take(hit), "score": pa.array(cat[2])})
+        which, hit, scores = (np.concatenate(x) for x in out)
+        named = query.dictionary.take(pa.array(which)) if len(which) else b.column("query_id").slice(0, 0)
+        app = a.column("app_id")[0].as_py() if len(which) else None
+        return pa.table({"query_id": named, "app_id": pa.array([app] * len(which), pa.string()), "chunk_id": whole.take(pa.array(hit)), "score": pa.array(scores)})
 
     keys = ["app_id", "block", "g"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, f"query_id {query_type}, app_id string, chunk_id string, score double")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, f"query_id {kind}, app_id string, chunk_id string, score double")
 
 
 def _top(scored: DataFrame, k: int) -> DataFrame:
@@ -185,27 +219,13 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
 
 
 def search(index: BlockIndex, queries: DataFrame, k: int = params.BM25_K) -> DataFrame:
-    """(query_id, app_id, chunk_id, score, rank): as ``retrieval.bm25_topk``; scores equal to nine places by chunk_id."""
-    kind = queries.schema["query_id"].dataType.simpleString()
+    """(query_id, app_id, chunk_id, score, rank): as ``retrieval.bm25_topk``; scores equal to nine places by chunk_id. Chunk ids are unique in an app."""
     with Workspace(queries.sparkSession) as work:
-        weighted = work.settle(_weighted(index, queries))
+        weighted = work.settle(weigh(index, queries))
         bounds = work.settle(reach(index, weighted))
         first = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
-        seeds = work.settle(bounds.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= SEEDS).select("query_id", "app_id", "block"))
-        found = work.settle(_top(_searched(index, weighted, seeds, k, kind), k))
+        seeds = work.settle(bounds.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k).select("query_id", "app_id", "block"))
+        found = work.settle(_top(_searched(index, weighted, seeds, k, work), k))
         rest = work.settle(unpruned(bounds, seeds, found, k))
-        more = _searched(index, weighted, rest, k, kind).select("query_id", "app_id", "chunk_id", "score")
+        more = _searched(index, weighted, rest, k, work)
         return settle(_top(found.drop("rank").unionByName(more), k).select("query_id", "app_id", "chunk_id", "score", F.col("rank").cast("int").alias("rank")))
-
-
-def reach(index: BlockIndex, weighted: DataFrame) -> DataFrame:
-    """(query_id, app_id, block, bound): what a chunk of the block can score at most."""
-    return weighted.join(index.lists.select("app_id", "term", "block", "top"), ["app_id", "term"]).groupBy("query_id", "app_id", "block").agg(F.sum(F.col("w") * F.col("top")).alias("bound")).filter("bound > 0")
-
-
-def unpruned(bounds: DataFrame, seeds: DataFrame, found: DataFrame, k: int) -> DataFrame:
-    """The blocks, but for ``seeds``, that can hold a chunk of a query's k best: those whose bound reaches its k-th score so far."""
-    kth = found.filter(F.col("rank") == k - 1).select("query_id", F.col("score").alias("kth"))
-    rest = bounds.join(seeds, ["query_id", "app_id", "block"], "left_anti").join(kth, "query_id", "left")
-    # scores are rounded to nine places, bounds are not
-    return rest.filter(F.col("kth").isNull() | (F.col("bound") + 1e-8 >= F.col("kth"))).select("query_id", "app_id", "block")

@@ -11,14 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from feedmill import params
 from feedmill.functions.text import bm25_tokens
+from feedmill.operators import blockmax
 from feedmill.storage import settle
 
-#: Chunks and queries of one product in a block, about; products computed at once in a task.
-CHUNK_BLOCK, QUERY_BLOCK, PRODUCTS = 50_000, 4_096, 4_000_000
+#: Chunks and queries of one product in a block, about; bytes of their numbers at most; products computed at once in a task.
+CHUNK_BLOCK, QUERY_BLOCK, BLOCK_BYTES, PRODUCTS = 50_000, 4_096, 64 << 20, 4_000_000
 
 
 def _blocks(rows: DataFrame, most: int) -> DataFrame:
-    return rows.groupBy("app_id", "d").agg(F.ceil(F.count("*") / most).alias("__n"))
+    """Blocks of each app and dimension: ``most`` rows or BLOCK_BYTES of numbers, whichever is less."""
+    return rows.groupBy("app_id", "d").agg(F.ceil(F.count("*") / F.least(F.lit(most), F.greatest(F.lit(1), F.floor(F.lit(BLOCK_BYTES) / (F.col("d") * 8))))).alias("__n"))
 
 
 def _unit(column: pa.ChunkedArray) -> np.ndarray:
@@ -163,7 +165,8 @@ def rerank(fused: DataFrame, queries: DataFrame, chunks: DataFrame, scorer: Call
 
 def hybrid_retrieve(chunks: DataFrame, queries: DataFrame, scorer: Callable[[Column, Column], Column] = token_overlap) -> DataFrame:
     """Both retrievers, fused and reranked."""
-    return rerank(rrf_fusion(vector_topk(chunks, queries), bm25_topk(chunks, queries)), queries, chunks, scorer)
+    bm25 = blockmax.search(blockmax.build_index(chunks), queries)
+    return rerank(rrf_fusion(vector_topk(chunks, queries), bm25), queries, chunks, scorer)
 
 
 def retriever_overlap(vector: DataFrame, bm25: DataFrame) -> DataFrame:
