@@ -15,6 +15,7 @@ import html
 import math
 import random
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +39,14 @@ BLOCK = frozenset(
 ENDED_BY = {
     "p": BLOCK - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option"},
 }
+#: Which elements end where an element begins.
+ENDS = {tag: frozenset(k for k, ending in ENDED_BY.items() if tag in ending) for tag in BLOCK | {"option"}}
 SCOPE = frozenset("table ul ol dl div article section main aside nav header footer form blockquote td th body".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_MARK = re.compile("[>\"']")
+# a name begins behind what is no part of one, so that a long run without a sign is read once
+_ATTRIBUTE = re.compile(r"(?<![^\s=\"'<>/])([^\s=\"'<>/]++)\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++)")
 _NAME_WORD = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])|[a-z]+")
 _SPACE = re.compile(r"\s+")
 _STOP = re.compile(r"[.!?。！？…](?=\s|[\"'»”)\]]|$)")
@@ -61,87 +66,166 @@ class Node:
         self.children: dict[str, int] = {}
 
 
+def tags(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(begin, end, name, closing, attributes) of every tag in page order, comments and declarations with an empty name.
+
+    A quote holds a value only behind an equals sign and if it is closed. A tag that nothing closes, and all behind it, is text; a comment
+    that nothing closes goes on to the end. Nothing is searched twice: what is not to be found once is not there later either. The
+    consumer may send a place at which to go on.
+    """
+    at, gone = 0, set()  # of the three marks those that occur no more
+
+    def find(mark: str, start: int) -> int:
+        k = -1 if mark in gone else source.find(mark, start)
+        if k < 0:
+            gone.add(mark)
+        return k
+
+    while (begin := source.find("<", at)) >= 0:
+        if source.startswith("<!--", begin):
+            end = source.find("-->", begin + 4)
+            at = end + 3 if end >= 0 else len(source)
+            yield begin, at, "", False, ""
+            continue
+        declared = source[begin + 1 : begin + 2] in ("!", "?")
+        closing = source.startswith("</", begin)
+        name = None if declared else _NAME.match(source, begin + 1 + closing)
+        if not declared and not name:
+            at = begin + 1
+            continue
+        k = name.end() if name else begin + 2
+        end = find(">", k)
+        while name and end >= 0:  # the first sign that no value holds
+            m = _MARK.search(source, k, end + 1)
+            if m[0] == ">":
+                break
+            k = m.end()
+            if source[max(name.end(), m.start() - 64) : m.start()].rstrip()[-1:] == "=":
+                close = find(m[0], k)
+                if close >= 0:
+                    k = close + 1
+                    if k > end:
+                        end = find(">", k)
+        if end < 0:
+            return
+        at = end + 1
+        further = yield begin, at, name[0].lower() if name else "", closing, source[name.end() : end] if name else ""
+        if further is not None:
+            at = further
+            yield 0, 0, "", False, ""  # what ``send`` returns
+
+
+class _Open:
+    """The open elements. Every scope element opens a count of its own, so that an end tag without a beginning in its scope is seen at once."""
+
+    def __init__(self, nodes: list[Node]):
+        self.nodes, self.stack, self.scopes, self.all, self.hidden = nodes, [0], [{}], {}, 0
+
+    def push(self, i: int) -> None:
+        tag = self.nodes[i].tag
+        self.stack.append(i)
+        self.hidden += tag in HIDDEN
+        self.all[tag] = self.all.get(tag, 0) + 1
+        self.scopes[-1][tag] = self.scopes[-1].get(tag, 0) + 1
+        if tag in SCOPE:
+            self.scopes.append({})
+
+    def pop(self) -> None:
+        tag = self.nodes[self.stack.pop()].tag
+        self.hidden -= tag in HIDDEN
+        self.all[tag] -= 1
+        if tag in SCOPE:
+            self.scopes.pop()
+        self.scopes[-1][tag] -= 1
+
+    def close(self, tag: str) -> None:
+        """The end tag of the innermost open element of this tag; one of another kind than a scope does not reach beyond its scope."""
+        if self.all.get(tag, 0) if tag in SCOPE else self.scopes[-1].get(tag, 0):
+            while self.nodes[self.stack[-1]].tag != tag:
+                self.pop()
+            self.pop()
+
+    def end_before(self, tag: str) -> None:
+        """Ends the innermost element of the scope that cannot hold ``tag``."""
+        if any(self.scopes[-1].get(t, 0) for t in ENDS.get(tag, ())):
+            while tag not in ENDED_BY.get(self.nodes[self.stack[-1]].tag, ()):
+                self.pop()
+            self.pop()
+        elif len(self.stack) > 1 and self.nodes[self.stack[-1]].tag in SCOPE and tag in ENDED_BY.get(self.nodes[self.stack[-1]].tag, ()):
+            self.pop()
+
+
 def parse(source: str | None):
     """(nodes, pieces): the elements in page order, each with the number of its parent, and the text between
     tags as (node, text, block number). Missing end tags are supplied, stray ones passed over; scripts,
-    styles and other hidden elements' text is left out."""
+    styles and other hidden elements' text is left out. Takes time in proportion to the page, whatever it holds."""
     root = Node("#root", -1, (), None)
-    nodes, pieces, stack, hidden, block, at = [root], [], [0], 0, 0, 0
+    nodes, pieces, block, at = [root], [], 0, 0
     source = source or ""
-    size = len(source)
+    open_ = _Open(nodes)
 
     def text(raw):
-        if hidden or not raw:
-            return
-        pieces.append((stack[-1], html.unescape(raw), block))
-
-    # each search begins at ``at``: what stands in a script or style is no token
-    while m := _TOKEN.search(source, at):
-        text(source[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        if not open_.hidden and raw:
+            pieces.append((open_.stack[-1], html.unescape(raw), block))
+
+    found = tags(source)
+    for begin, end, tag, closing, rest in found:
+        text(source[at:begin])
+        at = end
+        if not tag:
             continue
-        tag = m[2].lower()
-        if tag in BLOCK or tag == "br":
-            block += tag != "br"
-            if tag == "br":
-                text(" ")
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    for i in stack[k:]:
-                        hidden -= nodes[i].tag in HIDDEN
-                    del stack[k:]
-                    break
-                if nodes[stack[k]].tag in SCOPE and tag not in SCOPE:
-                    break
+        if tag in BLOCK:
+            block += 1
+        elif tag == "br":
+            text(" ")
+        if closing:
+            open_.close(tag)
             continue
-        for k in range(len(stack) - 1, 0, -1):
-            open_ = nodes[stack[k]].tag
-            if tag in ENDED_BY.get(open_, ()):
-                for i in stack[k:]:
-                    hidden -= nodes[i].tag in HIDDEN
-                del stack[k:]
-                break
-            if open_ in SCOPE:
-                break
-        attributes = {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(m[3])} if "=" in m[3] else {}
+        open_.end_before(tag)
+        attributes = {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(rest)} if "=" in rest else {}
         names = {w.lower() for key in ("class", "id", "role") if key in attributes for w in _NAME_WORD.findall(attributes[key])}
-        nodes.append(Node(tag, stack[-1], tuple(sorted(names)), attributes.get("data-content")))
+        parent = open_.stack[-1]
+        nodes.append(Node(tag, parent, tuple(sorted(names)), attributes.get("data-content")))
         if tag in BLOCK:
-            kin = nodes[stack[-1]].children
             sign = " ".join((tag, *nodes[-1].names))
-            kin[sign] = kin.get(sign, 0) + 1
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
+            nodes[parent].children[sign] = nodes[parent].children.get(sign, 0) + 1
+        if tag in VOID or rest.endswith("/") and tag not in BLOCK:
             continue
-        stack.append(len(nodes) - 1)
-        hidden += tag in HIDDEN
-        if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
-            at = end.start() if end else size
+        open_.push(len(nodes) - 1)
+        if tag in RAW:  # what stands in a script or style is no tag
+            close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
+            at = close.start() if close else len(source)
+            found.send(at)
     text(source[at:])
+    _measure(nodes, pieces)
+    return nodes, pieces
+
+
+def _measure(nodes: list[Node], pieces: list[tuple[int, str, int]]) -> None:
+    """The subtrees' numbers: pieces go to their own nodes, and from the last node to the first each node adds to its parent."""
     at = 0
     for i, t, _ in pieces:
-        n = len(t.strip())
-        if not n:
-            continue
-        stops = len(_STOP.findall(t))
-        nodes[i].own += n
-        link = False
-        while i >= 0:
-            node = nodes[i]
-            link = link or node.tag == "a"
+        n, node = len(t.strip()), nodes[i]
+        if n:
             if not node.n:
                 node.begin = at
+            node.own += n
             node.n += n
             node.end = at + n
             node.runs += 1
-            node.stops += stops
-            node.linked += n if link else 0
-            i = node.parent
-        at += n
-    return nodes, pieces
-
+            node.stops += len(_STOP.findall(t))
+            at += n
+    for node in reversed(nodes[1:]):
+        if not node.n:
+            continue
+        if node.tag == "a":
+            node.linked = node.n
+        up = nodes[node.parent]
+        up.begin, up.end = (min(up.begin, node.begin), max(up.end, node.end)) if up.n else (node.begin, node.end)
+        up.n += node.n
+        up.runs += node.runs
+        up.stops += node.stops
+        up.linked += node.linked
 
 def _step(x: float, *bounds: float) -> int:
     """How many bounds ``x`` reaches."""
@@ -161,6 +245,10 @@ def node_features(nodes: list[Node], i: int) -> tuple[str, ...]:
     out += [f"amount={amount}", f"links={links}", f"mean={mean}", f"own={_step(node.own, 1, 25, 100)}", f"share={share}"]
     out += [f"stops={_step(100 * node.stops / node.n, 0.2, 0.8, 2.0)}", f"from={_step(node.begin / total, 0.02, 0.3, 0.8)}", f"to={_step(node.end / total, 0.2, 0.7, 0.98)}", f"kind={amount}{links}{mean}"]
     out += [f"share={share} own={_step(node.own, 1, 25, 100)}", f"share={share} mean={mean}", f"tag={node.tag} share={share}", f"tag={node.tag} own={_step(node.own / total, 0.01, 0.3, 0.7, 0.95)}"]
+    if node.parent >= 0:  # what stands around it: the parent's kind, and the children that bear the same tag and names
+        above, bare = nodes[node.parent], int(not node.names)
+        peers = _step(above.children.get(" ".join((node.tag, *node.names)), 0), 2, 4)
+        out += [f"under={above.tag} bare={bare} links={links}", f"under={above.tag} bare={bare} tag={node.tag}", f"peers={peers} bare={bare} amount={amount} under={above.tag}", f"own={_step(node.own, 1, 25, 100)} bare={bare} links={links} under={above.tag}"]
     paragraphs = headings = alike = 0
     for sign, k in node.children.items():
         tag = sign.split(" ", 1)[0]
@@ -175,7 +263,7 @@ def node_features(nodes: list[Node], i: int) -> tuple[str, ...]:
 #: What labelled pages are made of - containers of content, furniture around it, furniture inside it.
 CONTAINERS = [
     "article", "main", "main>article", "section>article", "div class=content", "div id=content", "div class=article", "div class=article-body", "div class=post", "div class=post-content", "div class=entry", "div class=entry-content",
-    "div class=story", "div class=story-body", "div id=main>div class=text", "div id=main-content", "div class=page>main", "div class=wrapper>article", "div class=container>div class=content", "div role=main", "td class=content", "paragraphs", "text", "text", "plain",
+    "div class=story", "div class=story-body", "div id=main>div class=text", "div id=main-content", "div class=page>main", "div class=wrapper>article", "div class=container>div class=content", "div role=main", "td class=content", "paragraphs", "blocks", "text", "text", "plain",
 ]
 AROUND = [
     "header", "nav", "footer", "aside", "form", "div class=header", "div id=header", "div class=site-header", "div class=topbar", "div class=masthead", "div class=logo", "div class=nav", "div class=navigation", "div class=navbar", "div class=menu", "ul class=menu", "ul class=nav",
@@ -183,6 +271,7 @@ AROUND = [
     "div class=advert", "div class=advertisement", "div class=banner", "div class=promo", "div class=sponsored", "div class=cookie", "div class=cookie-banner", "div id=cookie-consent", "div class=notice", "div class=alert", "div class=popup", "div class=modal", "div class=newsletter",
     "div class=subscribe", "div class=signup", "div class=login", "div class=search", "div class=share", "div class=social", "div id=comments", "div class=comments", "div class=comment-list", "section class=comments", "section id=comments", "div class=comment", "div class=replies", "div class=reply",
     "div id=disqus", "div class=discussion", "div class=pagination", "div class=pager", "div class=tags", "div role=navigation", "div role=banner", "div role=contentinfo", "div role=complementary",
+    "td class=menu", "td class=nav", "td class=sidebar", "td class=links",
 ]
 INSIDE = [
     "aside", "nav", "form", "footer", "div class=ad", "div class=ads", "div class=advert", "div class=advertisement", "div class=sponsored", "div class=promo", "div class=banner", "div class=notice", "div class=related", "div class=share", "div class=social", "div class=newsletter", "div class=subscribe", "div class=comments", "section class=comments",
@@ -228,8 +317,11 @@ class _Writer:
         one = self.rnd.choice(["div", "li", "article", "section"])
         name = self.rnd.choice(["", f" class={self.word()}"])
         head = lambda: self.rnd.choice([f"<b>{self.word()}</b>", f"<a href=/u>{self.word()}</a>", f"<span>{self.word()}</span> <time>2020</time>", f"<p>{self.word()}</p>"])
-        rows = "".join(f"<{one}{name}>{head()}<p>{self.words(2, 25)}</p>{self.rnd.choice(['', '<a href=/r>' + self.word() + '</a>'])}</{one}>" for _ in range(self.rnd.randint(2, 7)))
-        title = self.rnd.choice(["", f"<h3>{self.words(1, 2)}</h3>"])
+        said = lambda: self.rnd.choice([f"{head()}<p>{self.words(2, 25)}</p>", f"<p>{self.words(2, 25)}</p>", self.words(2, 15)])
+        rows = "".join(f"<{one}{name}>{said()}{self.rnd.choice(['', '<a href=/r>' + self.word() + '</a>'])}</{one}>" for _ in range(self.rnd.choice([1, 1, 2, 3, 5, 7])))
+        if one == "li":
+            rows = self.rnd.choice(["<ol>{}</ol>", "<ul>{}</ul>"]).format(rows)
+        title = self.rnd.choice(["", f"<h{self.rnd.randint(2, 4)}>{self.rnd.choice(['', '3 '])}{self.words(1, 3)}</h3>"])
         return f"<{kind} data-content=0>{title}{rows}</{kind.split()[0]}>"
 
     def furniture(self, kind: str) -> str:
@@ -250,6 +342,8 @@ class _Writer:
     def block(self) -> str:
         """A block of content."""
         k = self.rnd.random()
+        if k < 0.08:
+            return f"<p>{self.rnd.choice([self.words(1, 5), self.word() + ' &lt; ' + self.word(), ' '.join(self.word() for _ in range(self.rnd.randint(2, 7)))])}</p>"
         if k < 0.6:
             return f"<p>{self.inline(1, 70)}</p>"
         if k < 0.67:
@@ -276,11 +370,13 @@ class _Writer:
         """Blocks of content, or runs of text, with furniture between them."""
         if self.rnd.random() < 0.15:
             return self.rnd.choice(["<br>", "<br><br>", " "]).join(self.rnd.choice([self.words, self.inline])(5, 60) for _ in range(self.rnd.randint(1, 4)))
+        if self.rnd.random() < 0.08:
+            return f"<p>{self.inline(3, 40)}</p>"
         out = [f"<h{self.rnd.choice('1112')}>{self.words(1, 8)}</h1>"] if self.rnd.random() < 0.8 else []
         if out and self.rnd.random() < 0.15:
             out = [f"<header>{out[0]}</header>"]
         for _ in range(self.rnd.randint(0 if out else 1, 8)):
-            if self.rnd.random() < 0.08:
+            if self.rnd.random() < 0.14:
                 links = self.links(1, 4, 6)
                 out.append(self.rnd.choice([f"<p>{links[0]}</p>", f"<ul>{''.join(f'<li>{a}</li>' for a in links)}</ul>"]))
             else:
@@ -299,12 +395,14 @@ class _Writer:
         cut = rnd.randint(0, max(0, len(around) - 1))
         before, behind = "".join(around[:cut]), "".join(around[cut:])
         *outer, box = container.split(">")
-        if box in ("paragraphs", "text"):
+        if box in ("paragraphs", "blocks", "text"):
             if rnd.random() < 0.5:  # nothing but content
                 before = behind = ""
             longest = rnd.choice([4, 15, 60])
-            if box == "paragraphs":  # blocks of content directly in the body, or in no element at all
-                inner = "".join(f"<p data-content=1>{self.inline(1, longest)}</p>" for _ in range(rnd.randint(1, 4)))
+            if box != "text":  # blocks of content directly in the body, or in no element at all, the first and the last of them short at times
+                one, n = "p" if box == "paragraphs" else "div", rnd.randint(1, 5)
+                ends = rnd.choice([(0,), (n - 1,), (0, n - 1), ()])
+                inner = "".join(f"<{one} data-content=1>{self.words(1, 4) if i in ends else self.inline(1, longest)}</{one}>" for i in range(n))
                 head, end = rnd.choice([("<html><body>", "</body></html>"), ("", "")])
             else:  # text directly in the body
                 inner = rnd.choice(["<br>", "<br><br>", " "]).join(rnd.choice([self.words, self.inline])(1, longest) for _ in range(rnd.randint(1, 5)))
@@ -315,7 +413,10 @@ class _Writer:
         top = "".join(f"<{self.named(o, blind)} data-content={int(o == 'main')}>" for o in outer)
         bottom = "".join(f"</{o.split()[0]}>" for o in reversed(outer))
         side = self.furniture(self.named(rnd.choice(AROUND), blind)) if outer and rnd.random() < 0.5 else ""
-        return f"<html><body>{before}{top}<{self.named(box, blind)} data-content=1>{self.content(blind)}</{box.split()[0]}>{side}{bottom}{behind}</body></html>"
+        if rnd.random() < 0.1:
+            before = behind = ""
+        head, end = rnd.choice([("<html><body>", "</body></html>")] * 5 + [("<body>", "</body>"), ("", "")])
+        return f"{head}{before}{top}<{self.named(box, blind)} data-content=1>{self.content(blind)}</{box.split()[0]}>{side}{bottom}{behind}{end}"
 
 
 def labelled_pages(n: int = 600, seed: int = 7) -> list[str]:

@@ -220,6 +220,40 @@ def test_comments_without_known_names_go(model):
     assert html_content.main_text(f"<body><nav><a href=x>a</a></nav><article><h1>T</h1>{TWO}<div class=kommentare>{replies}</div></article></body>", model) == "T " + " ".join(BARE.split())
 
 
+LONG = "The quick brown fox jumps over the lazy dog and then it runs far away into the deep dark forest. Nobody has seen it since that day, they say. " * 2
+
+
+@pytest.mark.parametrize(
+    "page, keeps, lacks",
+    [
+        (f"<article><p>Alpha beta {LONG}</p><ul><li><a href=/a>Gamma delta</a></li><li><a href=/b>Epsilon</a></li></ul></article><footer>&copy; 2020 X</footer>", ["Alpha", "Gamma delta", "Epsilon"], ["2020"]),
+        (f"<nav><a href=/>Home</a></nav><article><p>a &lt; b and c &gt; d</p><p>{LONG}</p></article>", ["a < b and c > d", "Nobody"], ["Home"]),
+        (f"<article><p>a < b and c > d</p><p>{LONG}</p></article>", ["a < b and c > d", "Nobody"], []),
+        (f"<article><p>{LONG}</p></article><div id=comments><h2>3 thoughts</h2><ol><li>Bob says: nice text</li></ol></div>", ["Nobody"], ["thoughts", "Bob"]),
+        (f"<table><tr><td class=menu><a href=/1>One</a> <a href=/2>Two</a> <a href=/3>Three</a></td><td class=content><p>{LONG}</p></td></tr></table>", ["Nobody"], ["One", "Three"]),
+    ],
+)
+def test_hand_written_pages(model, page, keeps, lacks):
+    got = html_content.main_text(f"<html><body>{page}</body></html>", model)
+    assert [k for k in keeps if k not in got] == [] and [k for k in lacks if k in got] == []
+
+
+@pytest.mark.parametrize("sign", ["<p", "a <b c ", '<a "', '<a ="', "<a ='\">", "<p a='", "<!--", "<!", "</p", "<script>", "<b>x", "<div>x", "<ul><li>", '<p b=1 a ', "<b><h1></h1>", "<i><div><b></i>"])
+def test_hostile_pages_take_linear_time(sign):
+    """A quarter of a megabyte of each, with and without a sign that closes the last tag."""
+    import time
+
+    for end in ("", ">", '">x'):
+        began = time.process_time()
+        html_content.parse(sign * (250_000 // len(sign)) + end)
+        assert time.process_time() - began < 4
+
+
+def test_unclosed_tags_are_text():
+    read = lambda page: "".join(t for _, t, _ in html_content.parse(page)[1])
+    assert read("<p>one</p>two <b three") == "onetwo <b three" and read("<p>a<!-- b") == "a" and read('<p title=">">x</p>') == "x" and read('<p ">x</p>') == "x" and read("1 < 2 > 0 <> </ x") == "1 < 2 > 0 <> </ x"
+
+
 @pytest.mark.parametrize("blind, least", [(False, 0.96), (True, 0.93)])
 def test_words_of_held_out_pages(model, blind, least):
     """Precision and recall of words on pages of all layouts that the model has not seen; blind ones have names that mean nothing."""
