@@ -153,13 +153,6 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return vectors.filter(field(id_col).isNotNull() & v.isNotNull() & ok).select(field(id_col).cast("bigint").alias("__id"), v.cast("array<double>").alias("__v"))
 
 
-def enough(k: int, shards: int) -> int:
-    """How many of a query's k nearest a shard is asked for: more lie in one of ``shards`` shards, to which ids are dealt
-    by a hash, less often than once in 500 (three deviations over the mean, and one)."""
-    mean = k / shards
-    return min(k, int(mean + 3 * mean**0.5) + 1)
-
-
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the ``k`` rows of ``vectors`` with the largest inner
     product found, ties to the smaller id; fewer if there are fewer.
@@ -179,14 +172,14 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, id_col: str = "
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     base, asked = (d.withColumn("__d", F.size("__v")).join(plan, "__d") for d in (base, asked))
     left = base.select("__d", deal("__shards").alias("__s"), each("__blocks").alias("__b"), "__id", "__v")
-    right = asked.select("__d", each("__shards").alias("__s"), deal("__blocks").alias("__b"), "__id", "__v", "__shards")
+    right = asked.select("__d", each("__shards").alias("__s"), deal("__blocks").alias("__b"), "__id", "__v")
 
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
         if vectors.num_rows and queries.num_rows:
             shard = Shard(vectors.column("__id").to_numpy(), _matrix(vectors.column("__v")))
             own = queries.column("__id").to_numpy()
-            for i, (rows, scores) in enumerate(shard.search(own, _matrix(queries.column("__v")), enough(k, queries.column("__shards")[0].as_py()))):
+            for i, (rows, scores) in enumerate(shard.search(own, _matrix(queries.column("__v")), k)):
                 out[0].append(np.full(len(rows), own[i])), out[1].append(shard.ids[rows]), out[2].append(scores)
         a, b, c = (np.concatenate(x) if x else np.zeros(0) for x in out)
         return pa.table({"query_id": pa.array(a.astype(np.int64)), "vec_id": pa.array(b.astype(np.int64)), "score": pa.array(c, pa.float64())})
