@@ -17,6 +17,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType
+
+from feedmill.llm.common import field
 
 #: Pieces of up to so many bytes are remembered, so many of them.
 CACHE_BYTES, CACHE_PIECES = 48, 400_000
@@ -173,8 +176,11 @@ def encode_digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
 def _coded(docs, vocabulary, pattern, id_col, text_col, digests):
     ranks = read_ranks(vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast({"parts": (ranks, merge_tree(ranks), pattern)})
-    id_type = docs.schema[id_col].dataType.simpleString()
-    rest = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary"
+    data = docs.select(field(id_col).alias("id"), field(text_col).alias("text"))
+    schema = docs.select(field(id_col)).schema.add("n_tokens", "long")
+    results = [("ids_sha256", StringType()), ("decoded_sha256", StringType())] if digests else [("ids", ArrayType(IntegerType())), ("decoded", BinaryType())]
+    for name, kind in results:
+        schema = schema.add(name, kind)
 
     def run(batches):
         held = shared.value  # stays with a worker from task to task, and the coder with it
@@ -192,6 +198,6 @@ def _coded(docs, vocabulary, pattern, id_col, text_col, digests):
                 second.append(hashlib.sha256(raw).hexdigest() if digests else raw)
             kinds = (pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.binary())
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(first, kinds[0]), pa.array(second, kinds[1])]
-            yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", *rest.replace(",", "").split()[::2]])
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, n_tokens bigint, {rest}")
+    return data.mapInArrow(run, schema)

@@ -167,7 +167,7 @@ def _counts(docs: DataFrame, vocabulary: dict[bytes, int], id_col: str, text_col
         # the two sums travel as terms -1 and -2
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1, -2], some]).astype(np.int64)), pa.array(np.concatenate([[n, total], df[some]]).astype(np.int64))], ["t", "n"])
 
-    rows = docs.select(field(text_col)).mapInArrow(run, "t bigint, n bigint").groupBy("t").agg(F.sum("n").alias("n"))
+    rows = docs.select(field(text_col).alias("text")).mapInArrow(run, "t bigint, n bigint").groupBy("t").agg(F.sum("n").alias("n"))
     # as many rows as a block of queries has terms, and two
     got, df = {r.t: r.n for r in rows.collect()}, np.zeros(len(vocabulary), np.int64)
     for t, n in got.items():

@@ -142,8 +142,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, most: int = TOKENS, end: int
             yield pa.RecordBatch.from_arrays(out, names)
 
     names = [id_col, "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-    data = docs.select(field(id_col).alias(id_col), field(text_col).alias(text_col))
-    schema = data.select(field(id_col)).schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
+    data = docs.select(field(id_col).alias("id"), field(text_col).alias("text"))
+    schema = docs.select(field(id_col)).schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
     return data.mapInArrow(run, schema.add("ids", ArrayType(IntegerType())) if with_ids else schema)
 
 
