@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from feedmill.llm.common import carried, field, others
 
-#: Length of the vectors; letters of text in memory at once.
-DIMENSIONS, LETTERS_AT_ONCE = 1024, 1_000_000
+#: Length of the vectors; letters of text in memory at once, and distinct trigrams whose vectors are.
+DIMENSIONS, LETTERS_AT_ONCE, GRAMS_AT_ONCE = 1024, 1_000_000, 4096
 #: Letters' vectors that a worker keeps.
-VECTORS_KEPT = 20_000
+VECTORS_KEPT = 30_000
 #: A table with more languages than this is not a language column.
 MOST_LANGUAGES = 10_000
 N = 3
@@ -92,12 +92,13 @@ def text_vectors(texts, letters: Letters):
         out = np.zeros((n, letters.dimensions), np.float32)
         if codes:
             grams, where = np.unique(np.concatenate(codes), return_inverse=True)
-            vectors, rows = _trigram_vectors(grams, letters), np.concatenate(owner)
-            step = max(1, 8_000_000 // len(grams))
-            for lo in range(0, n, step):
-                mine = (rows >= lo) & (rows < lo + step)
-                counts = np.bincount((rows[mine] - lo) * len(grams) + where[mine], minlength=min(step, n - lo) * len(grams))
-                out[lo : lo + step] = counts.reshape(-1, len(grams)).astype(np.float32) @ vectors
+            order, rows = np.argsort(where, kind="stable"), np.concatenate(owner)
+            # a few distinct trigrams at a time: their vectors and counts stay small however many a text has
+            for lo in range(0, len(grams), GRAMS_AT_ONCE):
+                vectors = _trigram_vectors(grams[lo : lo + GRAMS_AT_ONCE], letters)
+                mine = order[np.searchsorted(where, lo, sorter=order) : np.searchsorted(where, lo + GRAMS_AT_ONCE, sorter=order)]
+                counts = np.bincount(rows[mine] * len(vectors) + where[mine] - lo, minlength=n * len(vectors))
+                out += counts.reshape(n, len(vectors)).astype(np.float32) @ vectors
         yield out
 
 

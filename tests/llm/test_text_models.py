@@ -47,6 +47,27 @@ def brute_bundle(text, letters):
     return total
 
 
+def test_language_memory_is_bounded():
+    """Many letters of a script with thousands of letters, nearly all trigrams distinct."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    text = "".join(map(chr, rng.integers(0x4E00, 0x5E00, 200_000)))
+    letters = language_id.Letters()
+    tracemalloc.start()
+    (vector,) = [v for group in language_id.text_vectors([text], letters) for v in group]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6 and np.abs(vector).max() > 0
+    part = text[:3_000]
+    (whole,), few = next(language_id.text_vectors([part], letters)), language_id.GRAMS_AT_ONCE
+    try:
+        language_id.GRAMS_AT_ONCE = 7
+        assert (next(language_id.text_vectors([part], letters))[0] == whole).all()
+    finally:
+        language_id.GRAMS_AT_ONCE = few
+
+
 def test_language_equals_its_definition(spark):
     docs, letters = lang_docs(spark), language_id.Letters(64)
     proto = language_id.train(docs, dimensions=64)
