@@ -34,7 +34,7 @@ APART = 64.0
 #: A range ends at vectors under this part of its longest, but holds so many vectors at least.
 RANGE_FALL, RANGE_ROWS = 0.85, 1024
 #: Vectors of a shard at most; vectors of a shard and of a block of queries in bytes at most; tasks at least, which small tables get by more blocks.
-SHARD_ROWS, MOST_BYTES, LEAST_TASKS = 16_384, 64 << 20, 24
+SHARD_ROWS, MOST_BYTES, LEAST_TASKS = 32_768, 64 << 20, 24
 
 
 def projections(dim: int) -> np.ndarray:
