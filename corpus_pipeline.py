@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from feedmill.llm import decontaminate as overlap
 from feedmill.llm import language_id, toxicity
 from feedmill.llm.byte_bpe import encode_digests
-from feedmill.llm.common import row_of, settle, table
+from feedmill.llm.common import remove, row_of, shared_dir, table
 from feedmill.llm.minhash_dedup import deduplicate
 from feedmill.llm.queries import TOXIC_FROM, doc_fold, known_labels
 
@@ -77,10 +77,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written as Parquet and read again by the next; what two stages ago was written is then removed."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = settle(docs)
+            path = shared_dir(spark)
+            docs.write.parquet(path)
+            if before:
+                remove(spark, before)
+            docs, before = spark.read.schema(docs.schema).parquet(path), path
     return docs

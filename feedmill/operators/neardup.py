@@ -6,11 +6,13 @@ flagged rows flag nothing. Texts with fewer words than a shingle pair with nothi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from feedmill import params
 from feedmill.functions.text import words
-from feedmill.storage import settle
+from feedmill.storage import Workspace, settle
 
 #: Hash family of the banded method: a * h + b modulo this prime.
 PRIME, BANDS, ROWS = 2147483647, 16, 8
@@ -70,9 +72,9 @@ def _band_candidates(rep: DataFrame) -> DataFrame:
     return a.join(b, ["app_id", "key"]).filter("posa < posb").select("app_id", "posa", "posb").distinct()
 
 
-def _pairs(sets: DataFrame, t: float, method: str) -> tuple[DataFrame, DataFrame]:
-    """Representatives of equal sets (the first of each), and their confirmed pairs."""
-    rep = settle(sets.groupBy("app_id", "same").agg(F.min("pos").alias("pos"), F.first("s").alias("s"), F.first("n").alias("n")))
+def _pairs(sets: DataFrame, t: float, method: str, keep: Callable[[DataFrame], DataFrame] = settle) -> tuple[DataFrame, DataFrame]:
+    """Representatives of equal sets (the first of each, written by ``keep``), and their confirmed pairs."""
+    rep = keep(sets.groupBy("app_id", "same").agg(F.min("pos").alias("pos"), F.first("s").alias("s"), F.first("n").alias("n")))
     found = _band_candidates(rep) if method == "lsh" else _prefix_candidates(rep, t)
     one = lambda x: rep.select("app_id", F.col("pos").alias(f"pos{x}"), F.col("s").alias(f"s{x}"))
     both = found.join(one("a"), ["app_id", "posa"]).join(one("b"), ["app_id", "posb"])
@@ -105,19 +107,19 @@ def near_duplicate_flags(reviews: DataFrame, t: float = params.NEAR_DUPLICATE, m
     Rounds: a row without an undecided earlier neighbour is kept and flags its later neighbours, until no
     pair is undecided. Each round is written to the shared folder. Copies of a set are always flagged.
     """
-    sets = settle(_sets(reviews))
-    rep, pairs = _pairs(sets, t, method)
-    open_ = settle(pairs.select("app_id", "posa", "posb"))
-    flagged = None
-    while not open_.isEmpty():
-        later = open_.select("app_id", F.col("posb").alias("pos")).distinct()
-        kept = open_.select("app_id", F.col("posa").alias("pos")).distinct().join(later, ["app_id", "pos"], "left_anti")
-        hit = settle(open_.join(kept.withColumnRenamed("pos", "posa"), ["app_id", "posa"], "left_semi").select("app_id", F.col("posb").alias("pos")).distinct())
-        flagged = hit if flagged is None else flagged.unionByName(hit)
-        rest = open_.join(kept.withColumnRenamed("pos", "posa"), ["app_id", "posa"], "left_anti")
-        for end in ("posa", "posb"):
-            rest = rest.join(hit.withColumnRenamed("pos", end), ["app_id", end], "left_anti")
-        open_ = settle(rest.select("app_id", "posa", "posb"))
-    copies = sets.select("app_id", "pos").join(rep.select("app_id", "pos"), ["app_id", "pos"], "left_anti")
-    marks = (copies if flagged is None else copies.unionByName(flagged)).withColumn("__flag", F.lit(True))
+    with Workspace(reviews.sparkSession) as work:
+        sets = work.settle(_sets(reviews))
+        rep, pairs = _pairs(sets, t, method, work.settle)
+        open_, flagged = work.settle(pairs.select("app_id", "posa", "posb")), None
+        while not open_.isEmpty():
+            later = open_.select("app_id", F.col("posb").alias("pos")).distinct()
+            kept = open_.select("app_id", F.col("posa").alias("pos")).distinct().join(later, ["app_id", "pos"], "left_anti")
+            hit = work.settle(open_.join(kept.withColumnRenamed("pos", "posa"), ["app_id", "posa"], "left_semi").select("app_id", F.col("posb").alias("pos")).distinct())
+            flagged = hit if flagged is None else flagged.unionByName(hit)
+            rest = open_.join(kept.withColumnRenamed("pos", "posa"), ["app_id", "posa"], "left_anti")
+            for end in ("posa", "posb"):
+                rest = rest.join(hit.withColumnRenamed("pos", end), ["app_id", end], "left_anti")
+            open_ = work.settle(rest.select("app_id", "posa", "posb"))
+        copies = sets.select("app_id", "pos").join(rep.select("app_id", "pos"), ["app_id", "pos"], "left_anti")
+        marks = settle(copies if flagged is None else copies.unionByName(flagged)).withColumn("__flag", F.lit(True))
     return reviews.drop("is_near_duplicate").join(marks, ["app_id", "pos"], "left").withColumn("is_near_duplicate", F.coalesce("__flag", F.lit(False))).drop("__flag")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from feedmill import params
 from feedmill.functions import labels as label_rules
 from feedmill.functions import text as T
-from feedmill.operators import blockmax, chunking, clusters, evidence, ivfpq, labels, neardup, neardup_index, news, retrieval, reviews, stats
+from feedmill.operators import blockmax, chunking, clusters, evidence, ivfpq, labels, neardup, neardup_index, news, retrieval, reviews, rollups, stats
 from feedmill.plans import adapters as A
 from feedmill.schemas import REVIEW
 from feedmill.sources import pages, tables
@@ -314,6 +315,29 @@ def build_clusters(spark, sf_dir):
     return d.select("app_id", "category", "total_reviews", "recent_reviews", "prior_reviews", "velocity_ratio", "negative_pct", "avg_playtime_hours", *_text("top_keywords"), F.md5(F.array_join("sample_reviews", "|")).alias("samples_md5"))
 
 
+def rolling_clusters(spark, sf_dir):
+    """The clusters at two days from a rollup: the reviews come in two batches, with the second more that a third takes out again."""
+    d = _clustered(spark, sf_dir)
+    odd = F.col("review_id").cast("bigint") % 2 == 1
+    more = d.filter(odd).withColumns({"review_id": F.concat(F.lit("again"), "review_id"), "review_text": F.concat(F.lit("once more "), "review_text")})
+    rollup = rollups.ClusterRollup(spark, shared_dir(spark))
+    rollup.commit("1", d.filter(~odd))
+    rollup.commit("2", d.filter(odd).unionByName(more))
+    rollup.commit("3", deleted=more)
+    got = rollup.clusters([datetime.date(2024, 3, 31), datetime.date(2024, 2, 29)], d)
+    return got.select(F.col("as_of").cast("string").alias("as_of"), "app_id", "category", "total_reviews", "recent_reviews", "prior_reviews", "velocity_ratio", "negative_pct", "avg_playtime_hours", *_text("top_keywords"), F.md5(F.array_join("sample_reviews", "|")).alias("samples_md5"))
+
+
+def sketched_periods(spark, sf_dir):
+    """Median hours of each app and month from merged day sketches; ``close`` is whether 0.02 of rank or less is between them and the exact median."""
+    d = A.reviews(spark, sf_dir)
+    month = lambda c: F.date_format(c, "yyyy-MM")
+    got = rollups.sketched(rollups.fold_sketches(rollups.day_sketches(d).withColumn("month", month("day")), "month"))
+    both = d.select("app_id", month("timestamp").alias("month"), "playtime_hours").join(got, ["app_id", "month"])
+    v = F.col("quantiles")[0]
+    return both.groupBy("app_id", "month").agg(F.max("n").alias("n_reviews"), ((F.avg((F.col("playtime_hours") < v).cast("int")) <= 0.52) & (F.avg((F.col("playtime_hours") <= v).cast("int")) >= 0.48)).alias("close"))
+
+
 def rank_clusters(spark, sf_dir):
     return clusters.rank_clusters(clusters.cluster_metrics(_clustered(spark, sf_dir), _as_of()))
 
@@ -434,6 +458,6 @@ QUERIES = {
         clean_pipeline, bm25_tokens, bm25_chunk_tokens, bm25_index_stats, vector_topk, bm25_topk, rrf_fusion, retriever_overlap, rerank_topn, hybrid_retrieve, evidence_packages, citation_audit, evidence_prompts, source_prompts, encode_chunks,
         basic_stats, keyword_frequency, keywords_first_seen, keywords_by_category, build_clusters, event_clusters, cluster_prompts, negative_review_listing, token_usage_rollup, dedup_news_by_title, classify_news_type,
         news_type_counts, feed_distribution, strip_markup, extract_image_urls, section_headers, chunk_news, split_long_text, validate_classifications, classification_run_summary, normalize_tones,
-        extract_summaries, stream_ingest_reviews, versioned_upsert_chunks, indexed_insert_reviews, stateful_ingest_reviews, near_duplicate_flags_banded, near_duplicate_flags_incremental, bm25_topk_postings, vector_topk_quantised,
+        extract_summaries, stream_ingest_reviews, versioned_upsert_chunks, indexed_insert_reviews, stateful_ingest_reviews, near_duplicate_flags_banded, near_duplicate_flags_incremental, bm25_topk_postings, vector_topk_quantised, rolling_clusters, sketched_periods,
     )
 }
