@@ -252,6 +252,7 @@ ORACLES |= {
     "near_duplicate_flags_banded": ORACLES["near_duplicate_flags"],
     "near_duplicate_flags_incremental": ORACLES["near_duplicate_flags"],
     "bm25_topk_postings": ORACLES["bm25_topk"],
+    "rrf_fusion_early": ORACLES["rrf_fusion"],
     "rolling_clusters": f"select '2024-03-31' as as_of, * from ({ORACLES['build_clusters']}) union all select '2024-02-29' as as_of, * from ({ORACLES['build_clusters'].replace('1711843200 - 30', '1709164800 - 30').replace('1711843200 - 60', '1709164800 - 60')})",
     "sketched_periods": _with("reviews") + "select app_id, strftime(make_timestamp(created * 1000000), '%Y-%m') as month, count(*) as n_reviews, true as close from reviews group by 1, 2",
 }

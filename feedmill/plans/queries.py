@@ -162,7 +162,7 @@ def near_duplicate_flags_banded(spark, sf_dir):
 def near_duplicate_flags_incremental(spark, sf_dir):
     """The flags of three batches of reviews, each held against the representatives stored before it."""
     r = A.reviews(spark, sf_dir)
-    step = F.lit(r.agg(F.max("pos")).first()[0] // 3 + 1)
+    step = F.lit((r.agg(F.max("pos")).first()[0] or 0) // 3 + 1)
     index, out = neardup_index.NearDuplicateIndex(spark, shared_dir(spark)), None
     for k in range(3):
         part = index.flags(r.filter(F.floor(F.col("pos") / step) == k), str(k)).select("review_id", "app_id", "is_near_duplicate")
@@ -229,6 +229,11 @@ def rrf_fusion(spark, sf_dir):
     return retrieval.rrf_fusion(*_lists(spark, sf_dir)).select("query_id", "chunk_id", F.round("rrf_score", 6).alias("rrf_score"), *_text("retrievers"), "rank")
 
 
+def rrf_fusion_early(spark, sf_dir):
+    """The same fused lists, read from the top as far as they can change them."""
+    return retrieval.rrf_fusion_early(*_lists(spark, sf_dir), first=4).select("query_id", "chunk_id", F.round("rrf_score", 6).alias("rrf_score"), *_text("retrievers"), "rank")
+
+
 def retriever_overlap(spark, sf_dir):
     return retrieval.retriever_overlap(*_lists(spark, sf_dir))
 
@@ -458,6 +463,6 @@ QUERIES = {
         clean_pipeline, bm25_tokens, bm25_chunk_tokens, bm25_index_stats, vector_topk, bm25_topk, rrf_fusion, retriever_overlap, rerank_topn, hybrid_retrieve, evidence_packages, citation_audit, evidence_prompts, source_prompts, encode_chunks,
         basic_stats, keyword_frequency, keywords_first_seen, keywords_by_category, build_clusters, event_clusters, cluster_prompts, negative_review_listing, token_usage_rollup, dedup_news_by_title, classify_news_type,
         news_type_counts, feed_distribution, strip_markup, extract_image_urls, section_headers, chunk_news, split_long_text, validate_classifications, classification_run_summary, normalize_tones,
-        extract_summaries, stream_ingest_reviews, versioned_upsert_chunks, indexed_insert_reviews, stateful_ingest_reviews, near_duplicate_flags_banded, near_duplicate_flags_incremental, bm25_topk_postings, vector_topk_quantised, rolling_clusters, sketched_periods,
+        extract_summaries, stream_ingest_reviews, versioned_upsert_chunks, indexed_insert_reviews, stateful_ingest_reviews, near_duplicate_flags_banded, near_duplicate_flags_incremental, bm25_topk_postings, vector_topk_quantised, rolling_clusters, sketched_periods, rrf_fusion_early,
     )
 }

@@ -16,6 +16,7 @@ from feedmill.sources.versioned import VersionedTable
 
 #: Hash groups of review ids: one call of the state for a group of a batch instead of one for each id.
 GROUPS = 64
+_PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -52,7 +53,6 @@ def stream_reviews_stateful(spark: SparkSession, pages_dir: str, table: Versione
     their number. Late and replayed pages change nothing; the state keeps every id for good, as the table does, so no watermark applies. Reviews without
     id are left out. A checkpoint that is lost needs a new ``name``: its batches are numbered from 0 again.
     """
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
     reader = spark.readStream.schema(REVIEW_PAGE)
     pages = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).json(pages_dir)
     rows = pages.filter((F.col("success") != 0) & (F.size("reviews") > 0)).select("app_id", "page", F.posexplode("reviews").alias("pos", "review"))
@@ -65,4 +65,9 @@ def stream_reviews_stateful(spark: SparkSession, pages_dir: str, table: Versione
     def put(batch: DataFrame, number: int) -> None:
         table.append(batch, ["page", "pos"], (name, number))
 
-    return first.writeStream.foreachBatch(put).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    before = spark.conf.get(_PROVIDER_KEY, None)
+    spark.conf.set(_PROVIDER_KEY, _PROVIDER)  # a query keeps the settings that it is started with
+    try:
+        return first.writeStream.foreachBatch(put).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(_PROVIDER_KEY, before) if before else spark.conf.unset(_PROVIDER_KEY)

@@ -23,6 +23,27 @@ def test_rrf(spark):
     assert (o.n_vector, o.n_bm25, o.n_both) == (2, 2, 1)
 
 
+def test_early_fusion_equals_full_lists(spark):
+    """Deep lists with some, many and no chunks in common, of unequal length, and one list alone; few are read to their ends."""
+    import random
+
+    rnd, v, b = random.Random(4), [], []
+    for q in range(8):
+        ids = [f"c{i}" for i in range(400)]
+        a, other = rnd.sample(ids, [400, 30, 300, 0][q % 4]), rnd.sample(ids if q % 3 else ids[:40], 40 if q % 3 == 0 else 250)
+        if q == 5:
+            other = sorted(a, key=lambda c: a.index(c) + rnd.randint(0, 9))
+        v += [(f"q{q}", "a", c, r) for r, c in enumerate(a)]
+        b += [(f"q{q}", "a", c, r) for r, c in enumerate(other)]
+    kinds = "query_id string, app_id string, chunk_id string, rank int"
+    v, b = spark.createDataFrame(v, kinds), spark.createDataFrame(b, kinds)
+    rows = lambda d: sorted((r.query_id, r["rank"], r.chunk_id, r.rrf_score, tuple(r.retrievers)) for r in d.collect())
+    got = R.rrf_fusion_early(v, b).cache()
+    assert rows(got) == rows(R.rrf_fusion(v, b)) and len(rows(got)) == 96
+    assert max(r.depth for r in got.collect()) <= 192
+    assert R.rrf_fusion_early(v.limit(0), b.limit(0)).count() == 0
+
+
 def test_vector_threshold_after_cut(spark):
     chunks = [("a", f"c{i}", "", [1.0, i / 100]) for i in range(10)] + [("a", "zero", "", [0.0, 0.0]), ("a", "none", "", None), ("b", "other", "", [1.0, 0.0])]
     far = [("a", "far", "", [0.29, math.sqrt(1 - 0.29**2)])]
