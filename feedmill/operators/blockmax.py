@@ -5,7 +5,8 @@ app, and for each of its terms the list of chunks with term count and length. Of
 that no other one beats in both count and length: whatever the mean length of the corpus is, one of them has the largest
 impact (the BM25 part without idf). So blocks stay valid when the corpus grows, and the index grows by segments.
 
-A search first adds up, from these few numbers alone, what a chunk of each block can score at most. Each query then
+A query of more than BOUNDED_TERMS terms, which few blocks could be passed over for, goes to shards of many blocks and sums up all lists of
+its terms there. For the others a search first adds up, from these few numbers alone, what a chunk of each block can score at most. Each then
 searches its k most promising blocks; its k-th score there is what any other block must be able to reach, and lists of
 blocks that cannot are not read. The result is that of ``retrieval.bm25_topk`` over all postings.
 """
@@ -27,6 +28,8 @@ from feedmill.storage import Workspace, names_in, publish, read_text, settle
 
 #: A block ends at so many chunks or tokens; an open task holds so many tokens of all apps. Queries of a group.
 BLOCK_DOCS, BLOCK_TOKENS, HELD_TOKENS, GROUP_QUERIES = 512, 1_000_000, 4_000_000, 1024
+#: Queries of more distinct terms sum up all lists of their terms; then, postings of a shard of an app, and terms of all queries of a group.
+BOUNDED_TERMS, SHARD_POSTINGS, GROUP_TERMS = 8, 6_000_000, 8_000_000
 #: docs, tf and dl are packed 32-bit integers; ids of the block's row without term are the chunks that docs count from 0.
 _LISTS = "app_id string, block string, term string, n int, total bigint, best_tf array<int>, best_dl array<int>, docs binary, tf binary, dl binary, ids array<string>"
 
@@ -213,6 +216,77 @@ def _searched(index: BlockIndex, weighted: DataFrame, wanted: DataFrame, k: int,
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, f"query_id {kind}, app_id string, chunk_id string, score double")
 
 
+def best_of_lists(docs: np.ndarray, impacts: np.ndarray, ends: np.ndarray, n: int, at: np.ndarray, w: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, chunk, score): for each query the k of ``n`` chunks with the largest positive score, equal scores in order of the chunks.
+
+    The list of a term, which ends at ``ends``, has a chunk once. ``at`` are the terms (-1: none) and ``w`` the weights of all queries, ``sizes``
+    their numbers of terms.
+    """
+    out: list[list] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+    lo = 0
+    for q, size in enumerate(sizes.tolist()):
+        total = np.zeros(n)
+        for t, x in zip(at[lo : lo + size].tolist(), w[lo : lo + size].tolist()):
+            if t >= 0:
+                total[docs[ends[t] : ends[t + 1]]] += x * impacts[ends[t] : ends[t + 1]]
+        lo += size
+        # those that round to the k-th score or more, then the first k of them
+        least = np.partition(total, n - k)[n - k] - 2e-9 if n > k else 0
+        good = np.flatnonzero((total >= least) & (total > 0))
+        scores = np.round(total[good], 9)
+        first = np.argsort(-scores, kind="stable")[:k]
+        first = first[scores[first] > 0]
+        out[0].append(np.full(len(first), q)), out[1].append(good[first]), out[2].append(scores[first])
+    which, hit, scores = (np.concatenate(x) for x in out)
+    return which, hit, scores
+
+
+def _swept(index: BlockIndex, weighted: DataFrame, k: int) -> DataFrame:
+    """(query_id, app_id, chunk_id, score): the k best of each query in each shard of its app's blocks, by all lists of its terms. A query goes
+    once to each shard with its terms in one row."""
+    terms = index.lists.filter("term is not null")
+    nc = terms.groupBy("app_id").agg(F.ceil(F.sum("n") / SHARD_POSTINGS).alias("__c"))
+    nq = weighted.groupBy("app_id").agg(F.ceil(F.count("*") / GROUP_TERMS).alias("__q"))
+    n = nc.join(nq, "app_id").join(index.corpus.select("app_id", "avgdl"), "app_id")
+    deal = lambda c, m: F.pmod(F.xxhash64(c), F.col(m)).cast("int")
+    each = lambda m: F.explode(F.sequence(F.lit(0), (F.col(m) - 1).cast("int")))
+    asked = weighted.groupBy("query_id", "app_id").agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("t")).select("query_id", "app_id", F.col("t.term").alias("terms"), F.col("t.w").alias("w"))
+    rows = index.lists.select("app_id", "block", "term", "docs", "tf", "dl", "ids").join(n.drop("avgdl"), "app_id")
+    left = rows.withColumn("shard", deal("block", "__c")).withColumn("g", each("__q")).drop("__c", "__q")
+    right = asked.join(n, "app_id").withColumn("g", deal("query_id", "__q")).withColumn("shard", each("__c")).drop("__c", "__q")
+    kind = weighted.schema["query_id"].dataType.simpleString()
+
+    def numbers(column: pa.ChunkedArray) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.int32)
+
+    def score(a: pa.Table, b: pa.Table) -> pa.Table:
+        which, hit, scores, ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), pa.array([], pa.string())
+        if a.num_rows and b.num_rows:
+            own = a.filter(pc.is_null(a.column("term")))
+            held, a = own.column("ids").combine_chunks(), a.filter(pc.is_valid(a.column("term")))
+            order = pc.array_sort_indices(held.flatten())
+            ids = held.flatten().take(order)
+            place = np.empty(len(ids), np.int64)
+            place[order.to_numpy()] = np.arange(len(ids))
+            starts = np.concatenate([[0], np.cumsum(pc.list_value_length(held).to_numpy())])
+            of = pc.index_in(a.column("block"), own.column("block").combine_chunks()).to_numpy()
+            sizes = pc.binary_length(a.column("docs")).to_numpy() // 4
+            docs = place[numbers(a.column("docs")) + np.repeat(starts[of], sizes)]
+            impacts = _impact(numbers(a.column("tf")).astype(np.float64), numbers(a.column("dl")), b.column("avgdl")[0].as_py())
+            words = a.column("term").combine_chunks().dictionary_encode()
+            term = np.repeat(words.indices.to_numpy(), sizes)
+            by_term = np.argsort(term, kind="stable")
+            ends = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(words.dictionary)))])
+            asked = b.column("terms").combine_chunks()
+            at = pc.index_in(asked.flatten(), words.dictionary).fill_null(-1).to_numpy()
+            which, hit, scores = best_of_lists(docs[by_term], impacts[by_term], ends, len(ids), at, b.column("w").combine_chunks().flatten().to_numpy(), pc.list_value_length(asked).to_numpy(), k)
+        app = b.column("app_id")[0].as_py() if b.num_rows else None
+        return pa.table({"query_id": b.column("query_id").take(pa.array(which)), "app_id": pa.array([app] * len(which), pa.string()), "chunk_id": ids.take(pa.array(hit)), "score": pa.array(scores)})
+
+    keys = ["app_id", "shard", "g"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, f"query_id {kind}, app_id string, chunk_id string, score double")
+
+
 def _top(scored: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     return scored.withColumn("rank", rank - 1).filter(F.col("rank") < k)
@@ -222,10 +296,18 @@ def search(index: BlockIndex, queries: DataFrame, k: int = params.BM25_K) -> Dat
     """(query_id, app_id, chunk_id, score, rank): as ``retrieval.bm25_topk``; scores equal to nine places by chunk_id. Chunk ids are unique in an app."""
     with Workspace(queries.sparkSession) as work:
         weighted = work.settle(weigh(index, queries))
-        bounds = work.settle(reach(index, weighted))
-        first = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
-        seeds = work.settle(bounds.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k).select("query_id", "app_id", "block"))
-        found = work.settle(_top(_searched(index, weighted, seeds, k, work), k))
-        rest = work.settle(unpruned(bounds, seeds, found, k))
-        more = _searched(index, weighted, rest, k, work)
-        return settle(_top(found.drop("rank").unionByName(more), k).select("query_id", "app_id", "chunk_id", "score", F.col("rank").cast("int").alias("rank")))
+        short = work.settle(weighted.groupBy("query_id", "app_id").agg(F.count("*").alias("n")).filter(F.col("n") <= BOUNDED_TERMS).select("query_id", "app_id"))
+        found = _swept(index, weighted.join(short, ["query_id", "app_id"], "left_anti"), k)
+        if not short.isEmpty():
+            found = found.unionByName(_bounded(index, work.settle(weighted.join(short, ["query_id", "app_id"], "left_semi")), k, work))
+        return settle(_top(found, k).select("query_id", "app_id", "chunk_id", "score", F.col("rank").cast("int").alias("rank")))
+
+
+def _bounded(index: BlockIndex, weighted: DataFrame, k: int, work: Workspace) -> DataFrame:
+    """(query_id, app_id, chunk_id, score) of at least the k best chunks, from the blocks that can hold them."""
+    bounds = work.settle(reach(index, weighted))
+    first = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
+    seeds = work.settle(bounds.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k).select("query_id", "app_id", "block"))
+    found = work.settle(_top(_searched(index, weighted, seeds, k, work), k))
+    rest = work.settle(unpruned(bounds, seeds, found, k))
+    return found.drop("rank").unionByName(_searched(index, weighted, rest, k, work))

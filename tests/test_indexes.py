@@ -98,3 +98,36 @@ def test_common_vector_is_split(spark, monkeypatch):
     queries = spark.createDataFrame([("app0", "q", [1.0] * 16)], "app_id string, query_id string, embedding array<float>")
     got = ivfpq.search(ivfpq.build_index(spark.createDataFrame(rows, VECTOR)), queries, visited=1.0).orderBy("rank").collect()
     assert [r.chunk_id for r in got][:8] == [f"s{i:03}" for i in range(8)] and len(got) == 8
+
+
+def test_long_queries_go_to_shards_whole(spark, monkeypatch):
+    """Whole texts as queries: a row for each query and shard, none for each term that a query and a chunk or block share."""
+    monkeypatch.setattr(retrieval, "SHARD_POSTINGS", 900)
+    monkeypatch.setattr(blockmax, "SHARD_POSTINGS", 900)
+    monkeypatch.setattr(retrieval, "GROUP_TERMS", 300)
+    monkeypatch.setattr(blockmax, "BLOCK_DOCS", 16)
+    rows = corpus(300, 5, [20, 80])
+    rows += [("app0", f"same{i}", rows[8][2]) for i in range(20)]
+    chunks = spark.createDataFrame(rows, CHUNK).repartition(3)
+    queries = spark.createDataFrame([(a, f"q{c}", t) for a, c, t in rows[:40]], QUERY)
+    met = []
+    monkeypatch.setattr(blockmax, "reach", lambda index, weighted: (met.append(weighted.groupBy("query_id").count().agg(F.max("count")).first()[0]), reach(index, weighted))[1])
+    got = ranked(retrieval.bm25_topk(chunks, queries))
+    assert ranked(blockmax.search(blockmax.build_index(chunks), queries)) == got
+    assert all(n <= blockmax.BOUNDED_TERMS for n in met)
+    assert "FlatMapCoGroupsInArrow" in retrieval.bm25_topk(chunks, queries)._jdf.queryExecution().executedPlan().toString()
+    # brute force; equal chunks have equal scores and come by id
+    corpus_, terms = ({r[0] if len(r) == 3 else (r.app_id, r.term): r for r in d.collect()} for d in retrieval.bm25_stats(chunks))
+    text = [(a, c, (t or "").split()) for a, c, t in rows]
+    want = []
+    for a, q, t in text[:40]:
+        scores = []
+        for b, c, words in text:
+            if a == b:
+                parts = [terms[a, w].idf * blockmax._impact(words.count(w), len(words), corpus_[a].avgdl) for w in t]
+                scores.append((-round(sum(parts), 9), c))
+        want += [(f"q{q}", i, c, round(-s, 6)) for i, (s, c) in enumerate(sorted(x for x in scores if x[0] < 0)[:8])]
+    assert got == sorted(want)
+
+
+reach = blockmax.reach
