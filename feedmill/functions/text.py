@@ -27,6 +27,17 @@ def half_even(value: Column, digits: int = 1) -> Column:
     return F.rint(value * scale) / scale
 
 
+def two_places(value: Column) -> Column:
+    """The double's exact value rounded to two places, as ``printf('%.2f')`` of C and Python has it; scaling first would make ties of values beside them."""
+    high = value.cast("float").cast("double")
+    # both products are exact: the parts have 24 and 29 bits
+    a, b = high * 100.0, (value - high) * 100.0
+    whole = F.floor(a).cast("double")
+    over = a - whole - 0.5
+    up = (over > -b) | ((over == -b) & (F.pmod(whole, F.lit(2.0)) == 1))
+    return F.when(F.abs(value) < 1e9, (whole + up.cast("int")) / 100.0).otherwise(value)
+
+
 def keyword(word: Column) -> Column:
     """A lower-case word without punctuation at its ends."""
     return F.btrim(word, F.lit(params.WORD_EDGE))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from feedmill import params
-from feedmill.functions.text import half_even
+from feedmill.functions.text import two_places
 
 
 def retrieval_gate(reviews: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def evidence_packages(queries: DataFrame, hits: DataFrame, assessments: DataFram
     why = (
         F.when(~F.col("should_retrieve"), F.concat(F.lit("Category '"), F.coalesce("primary_category", F.lit("")), F.lit("' needs no retrieval")))
         .when(~answered, "Retrieval or assessment failed").when(~valid, "Confidence out of range")
-        .when(enough, F.format_string("Retrieved %d relevant chunks with confidence %.2f", F.size(sources), half_even(confidence, 2))).otherwise(F.format_string("Evidence insufficient after %d retrieval attempts", attempts))
+        .when(enough, F.format_string("Retrieved %d relevant chunks with confidence %.2f", F.size(sources), two_places(confidence))).otherwise(F.format_string("Evidence insufficient after %d retrieval attempts", attempts))
     )
     return d.select(
         "query_id", decision.alias("retrieval_decision"), why.alias("retrieval_reasoning"), F.when(used, confidence).otherwise(0.0).alias("confidence"), F.when(used, relevant).otherwise(none).alias("relevant_ids"),
@@ -59,7 +59,7 @@ def _numbered(scored: bool):
     the quoted text."""
     head = F.concat(
         F.lit("] chunk_id="), F.coalesce("chunk_id", F.lit("unknown")), F.lit(" version="), F.coalesce("patch_version", F.lit("unknown")), F.lit(" section="), F.coalesce("section", F.lit("unknown")),
-        *([F.format_string(" relevance=%.2f", half_even(F.coalesce("relevance_score", F.lit(0.0)), 2))] if scored else []),
+        *([F.format_string(" relevance=%.2f", two_places(F.coalesce("relevance_score", F.lit(0.0))))] if scored else []),
     )
     line = F.concat(head, F.lit('\n    "'), F.coalesce("text", F.lit("")), F.lit('"'))
     rows = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"))))

@@ -82,3 +82,10 @@ def test_split_long_keeps_all_words(spark):
 
 def test_half_even(spark):
     assert [value(spark, x, lambda c: T.half_even(c.cast("double"))) for x in ("0.25", "0.35", "2.0")] == [0.2, 0.4, 2.0]
+
+
+def test_two_places_are_those_of_the_exact_value(spark):
+    rows = [(a / b,) for b in range(1, 420) for a in range(b + 1)] + [(k / 1000,) for k in range(0, 3000, 5)]
+    d = spark.createDataFrame(rows, "x double")
+    wrong = [(r.x, r.t) for r in d.select("x", F.format_string("%.2f", T.two_places(F.col("x"))).alias("t")).collect() if r.t != f"{r.x:.2f}"]
+    assert not wrong
