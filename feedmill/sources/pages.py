@@ -23,8 +23,9 @@ def raw_reviews(pages: DataFrame, max_reviews: int | None = None) -> DataFrame:
     Pages after the first one of an app that failed or is empty are not read, as paging ends there.
     """
     ok = F.coalesce(F.col("success") != 0, F.lit(False)) & (F.coalesce(F.size("reviews"), F.lit(0)) > 0)
-    ends = pages.groupBy("app_id").agg(F.min(F.when(~ok, F.col("page"))).alias("__end"))
-    good = pages.join(ends, "app_id").filter(ok & (F.col("__end").isNull() | (F.col("page") < F.col("__end"))))
+    # a narrow row for each app whose paging ended; pages are not dealt by app, of which there may be few
+    ends = pages.filter(~ok).groupBy("app_id").agg(F.min("page").alias("__end"))
+    good = pages.filter(ok & F.col("app_id").isNotNull()).join(F.broadcast(ends), "app_id", "left").filter(F.col("__end").isNull() | (F.col("page") < F.col("__end")))
     rows = good.select("app_id", "page", F.posexplode("reviews").alias("pos", "review"))
     if max_reviews is None:
         return rows

@@ -153,3 +153,23 @@ def test_basic_stats_of_all_apps(spark):
     r = stats.basic_stats(d, overall=True).first()
     assert (r.total_reviews, r.positive_pct, r.avg_playtime_hours, r.duplicate_count) == (2, 50.0, 2.0, 1) and "app_id" not in r.asDict()
     assert stats.basic_stats(d.limit(0), overall=True).first().total_reviews == 0
+
+
+def test_lsh_finds_pairs_at_the_threshold(spark):
+    """2,000 pairs just above the threshold: 16 bands of 8 rows lost several of them."""
+    rows = []
+    for i in range(2_000):
+        w = [f"w{i}x{j}" for j in range(81)]  # 79 shingles; the last six words are others in the copy: 73 of 85 shared
+        rows += [("a", 2 * i, " ".join(w)), ("a", 2 * i + 1, " ".join(w[:75] + [f"v{i}x{j}" for j in range(6)]))]
+    d = spark.createDataFrame(rows, "app_id string, pos long, review_text string").repartition(4)
+    got = neardup.near_duplicate_pairs(d, method="lsh").collect()
+    assert len(got) == 2_000 and all(abs(r.similarity - 73 / 85) < 1e-12 for r in got)
+
+
+def test_pages_are_not_dealt_by_app(spark):
+    """Pages stay where they were read: an app's pages, of which one app may have most, do not meet in one task."""
+    page = "app_id string, page int, success int, reviews array<struct<recommendationid:string>>"
+    d = spark.createDataFrame([("a", 0, 1, [("1",)]), ("a", 1, 0, [("2",)]), ("a", 2, 1, [("3",)]), ("b", 0, 1, [("4",), ("5",)]), (None, 0, 1, [("6",)]), ("c", 0, None, [("7",)])], page)
+    rows = pages.raw_reviews(d)
+    assert sorted((r.app_id, r.page, r.pos, r.review.recommendationid) for r in rows.collect()) == [("a", 0, 0, "1"), ("b", 0, 0, "4"), ("b", 0, 1, "5")]
+    assert "SortMergeJoin" not in pages.raw_reviews(d)._jdf.queryExecution().sparkPlan().toString() and "BroadcastHashJoin" in rows._jdf.queryExecution().sparkPlan().toString()
