@@ -22,6 +22,8 @@ from feedmill.storage import Workspace, settle
 SUB, MOST_CELLS, CELL_ROWS, SAMPLE_BYTES, ROUNDS = 4, 4096, 128, 64 << 20, 8
 #: Share of the cells that a query visits, and the least number; candidates for each result; codes of a part of a list; queries of a group.
 VISITED, LEAST_VISITED, CANDIDATES, PART_ROWS, GROUP_QUERIES = 0.25, 12, 12, 100_000, 4096
+#: Numbers that a task holds at once when queries are repeated for their cells.
+VISIT_NUMBERS = 4_000_000
 
 
 class Quantizer(NamedTuple):
@@ -172,10 +174,13 @@ def search(index: VectorIndex, queries: DataFrame, k: int = params.VECTOR_K, sim
                 own = table.filter(pa.array(d == n))
                 v = q.padded(_matrix(own.column("v")))
                 m = min(len(q.centres), max(LEAST_VISITED, int(np.ceil(visited * len(q.centres)))))
-                far = (q.centres**2).sum(axis=1) - 2 * (v @ q.centres.T)
-                near = np.argpartition(far, m - 1, axis=1)[:, :m]
-                out = own.take(pa.array(np.repeat(np.arange(len(v)), m))).append_column("cell", pa.array(near.ravel().astype(np.int32)))
-                yield from out.to_batches()
+                # a few queries at a time: each is repeated, with its vector, for every cell that it visits
+                step = max(1, VISIT_NUMBERS // (m * n + len(q.centres)))
+                for lo in range(0, len(v), step):
+                    far = (q.centres**2).sum(axis=1) - 2 * (v[lo : lo + step] @ q.centres.T)
+                    near = np.argpartition(far, m - 1, axis=1)[:, :m]
+                    out = own.take(pa.array(np.repeat(np.arange(lo, lo + len(far)), m))).append_column("cell", pa.array(near.ravel().astype(np.int32)))
+                    yield from out.to_batches()
 
     def scan(a: pa.Table, b: pa.Table) -> pa.Table:
         rows, found, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]

@@ -131,3 +131,14 @@ def test_long_queries_go_to_shards_whole(spark, monkeypatch):
 
 
 reach = blockmax.reach
+
+
+def test_queries_are_repeated_for_their_cells_a_few_at_a_time(spark, monkeypatch):
+    """What a task holds for the cells that its queries visit is bounded, whatever the number of queries and cells."""
+    rows = vectors(2_000, 16, centres=60)
+    chunks = spark.createDataFrame(rows, VECTOR)
+    queries = spark.createDataFrame([(a, f"q{c}", v) for a, c, v in rows[::4]], "app_id string, query_id string, embedding array<float>").coalesce(1)
+    index = ivfpq.build_index(chunks, cells=200)
+    want = sorted((r.query_id, r.chunk_id, r.distance) for r in ivfpq.search(index, queries).collect())
+    monkeypatch.setattr(ivfpq, "VISIT_NUMBERS", 5_000)
+    assert want and sorted((r.query_id, r.chunk_id, r.distance) for r in ivfpq.search(index, queries).collect()) == want
