@@ -437,10 +437,16 @@ def extract_summaries(spark, sf_dir):
 # streaming
 
 
+def _land(spark, sf_dir, landed):
+    """Four files of landed pages, or as many as keep a file at 100,000 reviews."""
+    n = max(4, -(-A.reviews(spark, sf_dir).count() // 100_000))
+    A.review_pages(spark, sf_dir).repartition(n, "app_id", "page").write.json(landed)
+
+
 def stream_ingest_reviews(spark, sf_dir):
     """The landed pages streamed into an empty table, then the table read."""
     landed, table = shared_dir(spark), shared_dir(spark)
-    A.review_pages(spark, sf_dir).repartition(4, "app_id", "page").write.json(landed)
+    _land(spark, sf_dir, landed)
     stream_reviews(spark, landed, table, shared_dir(spark), files_per_batch=2).awaitTermination()
     d = tables.read_table(spark, table, REVIEW)
     return d.select("review_id", "app_id", "voted_up", "playtime_hours", "votes_up", F.length("review_text").alias("n_chars"))
@@ -449,7 +455,7 @@ def stream_ingest_reviews(spark, sf_dir):
 def stateful_ingest_reviews(spark, sf_dir):
     """The landed pages streamed through a keyed state store into an empty versioned table, then the table read."""
     landed = shared_dir(spark)
-    A.review_pages(spark, sf_dir).repartition(4, "app_id", "page").write.json(landed)
+    _land(spark, sf_dir, landed)
     table = VersionedTable(spark, shared_dir(spark), REVIEW, ["review_id"])
     stream_reviews_stateful(spark, landed, table, shared_dir(spark), files_per_batch=2).awaitTermination()
     return table.read().select("review_id", "app_id", "voted_up", "playtime_hours", "votes_up", F.length("review_text").alias("n_chars"))
