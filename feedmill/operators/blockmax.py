@@ -247,11 +247,11 @@ def _swept(index: BlockIndex, weighted: DataFrame, k: int) -> DataFrame:
     terms = index.lists.filter("term is not null")
     nc = terms.groupBy("app_id").agg(F.ceil(F.sum("n") / SHARD_POSTINGS).alias("__c"))
     nq = weighted.groupBy("app_id").agg(F.ceil(F.count("*") / GROUP_TERMS).alias("__q"))
-    n = nc.join(nq, "app_id").join(index.corpus.select("app_id", "avgdl"), "app_id")
+    n = F.broadcast(nc.join(nq, "app_id").join(index.corpus.select("app_id", "avgdl"), "app_id"))  # a row for each app
     deal = lambda c, m: F.pmod(F.xxhash64(c), F.col(m)).cast("int")
     each = lambda m: F.explode(F.sequence(F.lit(0), (F.col(m) - 1).cast("int")))
     asked = weighted.groupBy("query_id", "app_id").agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("t")).select("query_id", "app_id", F.col("t.term").alias("terms"), F.col("t.w").alias("w"))
-    rows = index.lists.select("app_id", "block", "term", "docs", "tf", "dl", "ids").join(n.drop("avgdl"), "app_id")
+    rows = index.lists.select("app_id", "block", "term", "docs", "tf", "dl", "ids").join(F.broadcast(n.drop("avgdl")), "app_id")
     left = rows.withColumn("shard", deal("block", "__c")).withColumn("g", each("__q")).drop("__c", "__q")
     right = asked.join(n, "app_id").withColumn("g", deal("query_id", "__q")).withColumn("shard", each("__c")).drop("__c", "__q")
     kind = weighted.schema["query_id"].dataType.simpleString()
