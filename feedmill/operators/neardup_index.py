@@ -16,38 +16,15 @@ from __future__ import annotations
 import json
 import uuid
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from feedmill import params
-from feedmill.operators.neardup import _sets
+from feedmill.operators.neardup import confirmed, copies_of, word_sets
 from feedmill.storage import Workspace, names_in, publish, read_text, settle
 
 #: A pair of similarity 0.85 shares no band with probability 8 in 10 million. Undecided rows of a band that are compared in a round.
 BANDS, ROWS, FRONT = 24, 5, 32
-_KEPT = "app_id string, pos bigint, s array<bigint>, n int, keys array<bigint>"
-
-
-def with_band_keys(sets: DataFrame) -> DataFrame:
-    """``sets`` (app_id, pos, s, n; sets that are not empty) with ``keys``, one for each band of the minima of BANDS * ROWS hash functions."""
-    draw = np.random.default_rng(8)
-    masks, factors, mix = (draw.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) for _ in range(3))
-    factors, mix = factors * np.uint64(2) + np.uint64(1), mix * np.uint64(2) + np.uint64(1)
-
-    def run(batches):
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index("s"))
-            h, starts = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()[:-1] - column.offsets[0].as_py()
-            keys = np.zeros((batch.num_rows, BANDS), np.uint64)
-            for i in range(BANDS * ROWS if batch.num_rows else 0):
-                v = (h ^ masks[i]) * factors[i]
-                keys[:, i // ROWS] += np.minimum.reduceat(v ^ (v >> np.uint64(31)), starts) * mix[i]
-            keys = pa.array(keys.view(np.int64).ravel())
-            yield batch.append_column("keys", pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32)), keys))
-
-    data = sets.select("app_id", "pos", "s", "n")
-    return data.mapInArrow(run, _KEPT)
+_KEPT = "app_id string, pos bigint, s array<bigint>, n int, same string, keys array<bigint>"
 
 
 def _bands(keyed: DataFrame) -> DataFrame:
@@ -55,12 +32,9 @@ def _bands(keyed: DataFrame) -> DataFrame:
     return keyed.select("app_id", "pos", "n", F.posexplode("keys").alias("band", "k")).select("app_id", F.xxhash64("band", "k").alias("key"), "pos", "n")
 
 
-def _confirmed(pairs: DataFrame, first: DataFrame, second: DataFrame, t: float) -> DataFrame:
-    """Those of the pairs (app_id, a, b) whose sets have similarity ``t``; a is of ``first``, b of ``second``."""
-    one = lambda d, x: d.select("app_id", F.col("pos").alias(x), F.col("s").alias(f"s{x}"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    both = pairs.distinct().join(one(first, "a"), ["app_id", "a"]).join(one(second, "b"), ["app_id", "b"])
-    return both.filter(common / (F.size("sa") + F.size("sb") - common) >= t).select("app_id", "a", "b")
+def _confirmed(pairs: DataFrame, sets: DataFrame, t: float, work: Workspace) -> DataFrame:
+    """Those of the pairs (app_id, a, b) whose ``sets`` have similarity ``t``."""
+    return confirmed(pairs, sets, t, work.settle).select("app_id", "a", "b")
 
 
 def _met(first: DataFrame, second: DataFrame, t: float) -> DataFrame:
@@ -71,37 +45,45 @@ def _met(first: DataFrame, second: DataFrame, t: float) -> DataFrame:
 
 
 def _decide(reps: DataFrame, t: float, work: Workspace) -> DataFrame:
-    """The kept ones (app_id, pos) of representatives (with keys) that nothing stored has flagged."""
-    rows, kept = work.settle(_bands(reps)), None
+    """The flagged ones (app_id, pos) of representatives (with keys) that nothing stored has flagged."""
+    bands = _bands(reps)
+    # a row that has all its bands for itself is kept; the others' sets are written once, for all rounds
+    rows = work.settle(bands.join(bands.groupBy("app_id", "key").count().filter("count > 1"), ["app_id", "key"], "left_semi"))
+    own = work.settle(rows.groupBy("app_id", "pos").agg(F.countDistinct("key").alias("own")))
+    near, flagged = work.settle(reps.select("app_id", "pos", "s").join(own, ["app_id", "pos"], "left_semi")), None
     while not rows.isEmpty():
         rank = F.row_number().over(Window.partitionBy("app_id", "key").orderBy("pos"))
         front = work.settle(rows.withColumn("r", rank).filter(F.col("r") <= FRONT).drop("r"))
-        # a row's bands are BANDS different keys
-        complete = front.groupBy("app_id", "pos").agg(F.countDistinct("key").alias("c")).filter(F.col("c") == BANDS).select("app_id", "pos")
+        among = front.groupBy("app_id", "pos").agg(F.countDistinct("key").alias("c"))
+        complete = among.join(own, ["app_id", "pos"]).filter("c = own").select("app_id", "pos")
         later = _met(front, front.join(complete, ["app_id", "pos"], "left_semi"), t).filter("a < b").select("app_id", "a", "b")
-        waiting = _confirmed(later, reps, reps, t).select("app_id", F.col("b").alias("pos"))
+        waiting = _confirmed(later, near, t, work).select("app_id", F.col("b").alias("pos"))
         now = work.settle(complete.join(waiting, ["app_id", "pos"], "left_anti"))
-        kept = now if kept is None else kept.unionByName(now)
         mine = rows.join(now, ["app_id", "pos"], "left_semi")
         rest = work.settle(rows.join(now, ["app_id", "pos"], "left_anti"))
-        hit = _confirmed(_met(mine, rest, t).filter("a < b").select("app_id", "a", "b"), reps, reps, t).select("app_id", F.col("b").alias("pos"))
+        hit = work.settle(_confirmed(_met(mine, rest, t).filter("a < b").select("app_id", "a", "b"), near, t, work).select("app_id", F.col("b").alias("pos")).distinct())
+        flagged = hit if flagged is None else flagged.unionByName(hit)
         rows = work.settle(rest.join(hit, ["app_id", "pos"], "left_anti"))
-    return kept if kept is not None else reps.select("app_id", "pos").limit(0)
+    return flagged if flagged is not None else reps.select("app_id", "pos").limit(0)
 
 
 def kept_rows(reviews: DataFrame, stored: DataFrame | None, t: float, work: Workspace) -> tuple[DataFrame, DataFrame]:
-    """(kept, sets): the rows of ``reviews`` that neither a stored nor an earlier kept row resembles, with sets and keys, and (app_id, pos) of all
-    that have shingles. Stored rows count as earlier than all of ``reviews``."""
-    sets = work.settle(_sets(reviews))
-    reps = sets.groupBy("app_id", "same").agg(F.min("pos").alias("pos"), F.first("s").alias("s"), F.first("n").alias("n"))
-    reps = work.settle(with_band_keys(reps))
+    """(kept, flagged): the rows of ``reviews`` that neither a stored nor an earlier kept row resembles, with sets and keys, and (app_id, pos) of
+    the others that have shingles. Stored rows count as earlier than all of ``reviews``. Flagged rows are few or narrow, sets are long: so
+    sets are never joined but with lists of ids."""
+    sets = work.settle(word_sets(reviews, 1, BANDS, ROWS))
+    flagged = work.settle(copies_of(sets))
+    reps = sets.join(flagged, ["app_id", "pos"], "left_anti")
     if stored is not None:
         # first by equal sets, which copies of stored rows have, then by bands
-        alike = reps.join(stored.select("app_id", "s").distinct(), ["app_id", "s"], "left_anti").select(*reps.columns)
-        fresh = work.settle(alike)
-        hit = _confirmed(_met(_bands(stored), _bands(fresh), t).select("app_id", "a", "b"), stored, fresh, t).select("app_id", F.col("b").alias("pos"))
-        reps = work.settle(fresh.join(hit.distinct(), ["app_id", "pos"], "left_anti"))
-    return reps.join(_decide(reps, t, work), ["app_id", "pos"], "left_semi"), sets.select("app_id", "pos")
+        alike = work.settle(reps.join(stored.select("app_id", "same"), ["app_id", "same"], "left_semi").select("app_id", "pos"))
+        fresh = reps.join(alike, ["app_id", "pos"], "left_anti")
+        both = stored.select("app_id", "pos", "s").unionByName(fresh.select("app_id", "pos", "s"))
+        hit = _confirmed(_met(_bands(stored), _bands(fresh), t).select("app_id", "a", "b"), both, t, work)
+        known = work.settle(alike.unionByName(hit.select("app_id", F.col("b").alias("pos"))).distinct())
+        flagged, reps = flagged.unionByName(known), reps.join(known, ["app_id", "pos"], "left_anti")
+    hit = work.settle(_decide(reps, t, work))
+    return reps.join(hit, ["app_id", "pos"], "left_anti"), flagged.unionByName(hit)
 
 
 def _flagged(reviews: DataFrame, marks: DataFrame) -> DataFrame:
@@ -113,8 +95,7 @@ def _flagged(reviews: DataFrame, marks: DataFrame) -> DataFrame:
 def flags_without_pairs(reviews: DataFrame, t: float = params.NEAR_DUPLICATE) -> DataFrame:
     """``reviews`` (app_id, pos, review_text, ...) with ``is_near_duplicate``, in one run."""
     with Workspace(reviews.sparkSession) as work:
-        kept, sets = kept_rows(reviews, None, t, work)
-        marks = settle(sets.join(kept.select("app_id", "pos"), ["app_id", "pos"], "left_anti"))
+        marks = settle(kept_rows(reviews, None, t, work)[1])
     return _flagged(reviews, marks)
 
 
@@ -142,11 +123,10 @@ class NearDuplicateIndex:
         if token is None:
             token = uuid.uuid4().hex
             with Workspace(self.spark) as work:
-                kept, sets = kept_rows(reviews, self.kept(), self.t, work)
+                kept, flagged = kept_rows(reviews, self.kept(), self.t, work)
                 own = f"{self.path}/data/{token}"
-                kept.write.parquet(f"{own}/kept")
-                stored = self.spark.read.schema(_KEPT).parquet(f"{own}/kept").select("app_id", "pos")
-                sets.join(stored, ["app_id", "pos"], "left_anti").write.parquet(f"{own}/flagged")
+                kept.select(*self.spark.createDataFrame([], _KEPT).columns).write.parquet(f"{own}/kept")
+                flagged.write.parquet(f"{own}/flagged")
             if not publish(self.spark, f"{self.path}/batches/{batch}", json.dumps({"token": token})):
                 token = self._tokens()[batch]
         return _flagged(reviews, self.spark.read.schema("app_id string, pos bigint").parquet(f"{self.path}/data/{token}/flagged"))

@@ -3,8 +3,9 @@
 import random
 
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
-from feedmill.operators import neardup_index
+from feedmill.operators import neardup, neardup_index
 from feedmill.operators.neardup import near_duplicate_flags
 from feedmill.operators.neardup_index import NearDuplicateIndex, flags_without_pairs
 
@@ -84,3 +85,29 @@ def test_group_of_edited_copies_is_linear(spark, monkeypatch):
 def test_empty(spark, tmp_path):
     none = spark.createDataFrame([], ROW)
     assert flags_without_pairs(none).count() == 0 and NearDuplicateIndex(spark, str(tmp_path / "i")).flags(none, "0").count() == 0
+
+
+def test_sets_go_to_cells_not_to_pairs(spark, monkeypatch):
+    """A group of n near copies has n squared pairs; what is compared in a task is n sets, and every pair is found as by brute force."""
+    base = [f"b{i}" for i in range(120)]
+    rows = [("a", i, " ".join([*base[: i % 120], f"x{i}", *base[i % 120 + 1 :]])) for i in range(100)] + [("a", 200 + i, f"c{i} d e f g") for i in range(3)]
+    monkeypatch.setattr(neardup, "CELL", 40, raising=False)
+    sent, join = [], DataFrame.join
+    monkeypatch.setattr(DataFrame, "join", lambda self, *a: (sent.append(d := join(self, *a)), d)[1])
+    got = {(r.first, r.second) for r in neardup.near_duplicate_pairs(spark.createDataFrame(rows, ROW)).collect()}
+    monkeypatch.undo()
+    sets = {p: {tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for _, p, t in rows}
+    assert got == {(p, q) for p in sets for q in sets if p < q and len(sets[p] & sets[q]) / len(sets[p] | sets[q]) >= 0.85} and len(got) > 4_000
+    # the old code joined a set to each of its pairs
+    assert 0 < max(d.count() for d in sent if {"s", "sa", "sb"} & set(d.columns)) <= 6 * len(rows)
+
+
+def test_rows_that_share_no_band_need_no_sets(spark, monkeypatch):
+    """Sets of rows that resemble nothing are neither compared nor handed on; copies are found by their digests."""
+    rnd = random.Random(5)
+    rows = [("a", i, " ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(50))) for i in range(300)]
+    rows += [("a", 300 + i, rows[i][2]) for i in range(20)] + [("a", 400, rows[0][2] + " more")]
+    handed, confirm = [], neardup_index._confirmed
+    monkeypatch.setattr(neardup_index, "_confirmed", lambda p, s, *rest: (handed.append(s.count()), confirm(p, s, *rest))[1])
+    assert {p for p, f in flags(flags_without_pairs(spark.createDataFrame(rows, ROW))).items() if f} == {*range(300, 320), 400}
+    assert max(handed) == 2
