@@ -11,6 +11,7 @@ and their pieces dealt to fewer groups, until one group is left. Pieces that fil
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -33,6 +34,19 @@ _GAP = re.compile("[ \n\t\r]")
 SIGNS = frozenset(".,;:!?)\"")
 
 
+class Numbers(dict):
+    """Words and their numbers; one that is asked for first gets the next number and is listed in ``new``."""
+
+    def __init__(self, words: list[str]):
+        super().__init__(zip(words, range(len(words))))
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordCoder:
     """Ids of whole texts by a ``tokenizers`` file that drops white space and merges nothing across it, so that what
     stands between white space is encoded by itself, and once while it is remembered."""
@@ -42,48 +56,75 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
+        suffix, ids = json.loads(vocabulary)["model"].get("end_of_word_suffix"), self.tokenizer.get_vocab()
+        self.last = np.zeros(max(ids.values()) + 1, bool)  # of ids that end a word
+        self.last[[i for token, i in ids.items() if suffix and token.endswith(suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
         # word -> its number; the ids of number w are flat[start[w] : start[w] + size[w]]
-        self.known, self.flat, self.start, self.size = {"": 0}, np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.known, self.flat, self.start, self.size = Numbers([""]), np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.used = self.chars = 0
 
-    def _put(self, words: list[str], ids: list) -> None:
-        n, sizes = len(self.known), np.fromiter(map(len, ids), np.int64, len(ids))
-        values = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-        while n + len(words) > len(self.start):
+    def _put(self, words: list[str], values: np.ndarray, sizes: np.ndarray) -> None:
+        """The ids of known words, one after the other."""
+        while len(self.known) > len(self.start):
             self.start, self.size = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.size, np.zeros_like(self.size)])
         while self.used + len(values) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.start[n : n + len(words)], self.size[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes, sizes
+        numbers = self._numbers(words)
+        self.start[numbers], self.size[numbers] = self.used + np.cumsum(sizes) - sizes, sizes
         self.flat[self.used : self.used + len(values)] = values
         self.used += len(values)
-        self.known.update(zip(words, range(n, n + len(words))))
 
-    def _ids(self, word: str) -> list[int]:
-        w = self.known[word]
-        return self.flat[self.start[w] : self.start[w] + self.size[w]].tolist()
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+    def _ids(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of numbered words, one after the other."""
+        sizes = self.size[numbers]
+        ends = np.cumsum(sizes)
+        # id j of a word is j places behind the word's first
+        return self.flat[np.arange(ends[-1]) + np.repeat(self.start[numbers] - ends + sizes, sizes)]
 
     @staticmethod
     def _parts(word: str) -> tuple[str, str]:
-        """A word without the sign that ends it behind a letter, and the sign: no token holds both. ASCII words of one spelling are one."""
+        """A word without the sign that ends it behind a letter, and the sign: no token holds both. ASCII words of one spelling are one. Parts
+        are their own parts."""
         core, sign = (word[:-1], word[-1]) if word[-1] in SIGNS and word[-2:-1].isascii() and word[-2:-1].isalpha() else (word, "")
         return (core.lower() if core.isascii() and "<|" not in core else core), sign
 
-    def _learn(self, words: list[str]) -> None:
-        """Makes all words known."""
+    def _ask(self, words: list[str]) -> None:
+        """Makes the tokenizer's ids of words known. Words of letters go as one text: each has one id or more that ends a word, so if there are as
+        many of these as words, they tell where each word ends."""
+        plain = [w for w in words if w.isalpha()]
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(plain) and ends[-1] == len(ids):
+                self._put(plain, ids, np.diff(ends, prepend=0))
+                words = [w for w in words if not w.isalpha()]
+        if words:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._put(words, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes)
+
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """The words' numbers; makes all known."""
         if len(self.known) > KNOWN_WORDS or self.chars > KNOWN_CHARS:
             self._forget()
-        new = list(set(words).difference(self.known))
-        self.chars += sum(map(len, new))
-        parts = list(map(self._parts, new))
-        lacking = list({p for pair in parts for p in pair}.difference(self.known))
-        if lacking:
-            self._put(lacking, [e.ids for e in self.tokenizer.encode_batch_fast(lacking, add_special_tokens=False)])
-        joined = [(w, c, s) for w, (c, s) in zip(new, parts) if s or w != c]
-        if joined:
-            self._put([w for w, _, _ in joined], [self._ids(c) + self._ids(s) for _, c, s in joined])
+        numbers = self._numbers(words)
+        new, self.known.new = self.known.new, []
+        if new:
+            self.chars += sum(map(len, new))
+            parts = list(map(self._parts, new))
+            joined = [(w, c, s) for w, (c, s) in zip(new, parts) if s or w != c]
+            of = self._numbers([p for _, c, s in joined for p in (c, s)])
+            lacking, self.known.new = self.known.new, []
+            self._ask([w for w, (c, s) in zip(new, parts) if not s and w == c] + lacking)
+            if joined:
+                self._put([w for w, _, _ in joined], self._ids(of), self.size[of].reshape(-1, 2).sum(axis=1))
+        return numbers
 
     def encode(self, text: str) -> Iterator[np.ndarray]:
         """Ids of a text in blocks, cut in white space."""
@@ -92,12 +133,7 @@ class WordCoder:
             gap = _GAP.search(text, at + BLOCK) if len(text) - at > BLOCK else None
             end = gap.start() if gap else len(text)
             words = text[at:end].replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            self._learn(words)
-            number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            sizes = self.size[number]
-            ends = np.cumsum(sizes)
-            # id j of a word is j places behind the word's first
-            yield self.flat[np.arange(ends[-1]) + np.repeat(self.start[number] - ends + sizes, sizes)]
+            yield self._ids(self._learn(words))
             at = end
 
 

@@ -38,6 +38,18 @@ def test_coder_equals_the_tokenizer(monkeypatch):
         assert whole(t) == tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
+def test_new_words_are_encoded_as_one_text(monkeypatch):
+    """Few calls of the tokenizer and few texts for many new words; words that it splits, or that are no letters, keep their ids."""
+    with open(VOCABULARY, encoding="utf-8") as f:
+        coder = WordCoder(f.read())
+    rnd = random.Random(6)
+    words = ["".join(rnd.choices("abcdeghiorstuEF", k=rnd.randint(1, 12))) + rnd.choice(["", "", ".", "'s", "1", "é"]) for _ in range(3_000)]
+    asked, real = [], coder.tokenizer
+    coder.tokenizer = type("Counted", (), {"encode_batch_fast": lambda _, texts, **kw: (asked.extend(texts), real.encode_batch_fast(texts, **kw))[1]})()
+    assert [int(i) for part in coder.encode(" ".join(words)) for i in part] == ids_of(" ".join(words))
+    assert len(asked) < len(set(words)) * 0.6
+
+
 def valid(rows, lengths, tokens, documents=None, cost=None):
     """Every piece once, sequences without gaps and under every constraint; returns the number of sequences."""
     assert sorted(r.length for r in rows) == sorted(lengths)
