@@ -22,6 +22,8 @@ from feedmill.storage import Workspace, names_in, publish, read_text, remove
 
 #: Bits of a block, bits set for a key, keys of a block on average: one lookup in 50 to 100 of an absent key finds all bits set.
 BLOCK_BITS, PROBES, BLOCK_KEYS = 32_768, 6, 3_277
+#: Parts of a bucket that a merge's shuffle keeps apart: it has up to so many tasks for each bucket, and an app's bucket so many new files.
+PARTS = 8
 _MANIFEST = "file string, app_id string, bucket int, rows bigint, blocks bigint, token string"
 
 
@@ -82,21 +84,29 @@ class VersionedTable:
         return self._merge(batch, order, None, source)
 
     def _merge(self, batch: DataFrame, order: list, replace: bool | None, source: tuple[str, int] | None) -> int:
+        keyed, new = batch.dropna(subset=[*self.keys, "app_id"]), None
         with Workspace(self.spark) as work:
-            keyed = first_of_key(batch.dropna(subset=[*self.keys, "app_id"]), self.keys, order)
-            rows = work.settle(keyed.select(*self.columns, self._bucket().alias("__bucket")))
+            if replace is False:
+                keyed = work.settle(keyed.select(*dict.fromkeys([*self.columns, *order])))
             while True:
                 at = self._pointer()
                 if source and at["applied"].get(source[0], -1) >= source[1]:
                     return at["version"]
-                manifest = self._manifest(at)
-                files = [] if replace is None else self._may_hold(rows, manifest)
-                held, keys = self._rows(files), rows.select(*self.keys)
-                if replace:
-                    out, gone = held.join(keys, self.keys, "left_anti").select(*self.columns).unionByName(rows.drop("__bucket")), files
+                manifest, gone, rest = self._manifest(at), [], []
+                if replace is False:
+                    # keys that are there stand before the batch's in its only shuffle, and drop out after it
+                    held = self._rows(self._may_hold(keyed, manifest)).select(*self.keys, F.lit(False).alias("__new"))
+                    both = keyed.withColumn("__new", F.lit(True)).unionByName(held, allowMissingColumns=True)
+                    new = self._write(work, self._first(both, ["__new", *order]).filter("__new"))
                 else:
-                    out, gone = rows.join(held.select(*self.keys), self.keys, "left_anti").drop("__bucket"), []
-                if self._commit(at, manifest, gone, out, source):
+                    # the batch is put in its place once, whatever happens to the version below it
+                    new = new or self._write(work, self._first(keyed, order))
+                    if replace:
+                        rows = self._rows_in(new[0])
+                        gone, partly = self._losing(self._may_hold(rows, manifest), rows)
+                        left = self._rows(partly).join(rows.select(*self.keys), self.keys, "left_anti")
+                        rest = [self._write(work, self._gathered(left))] if partly else []
+                if self._commit(at, manifest, gone, [new, *rest], source):
                     return at["version"] + 1
 
     def compact(self, most_files: int = 4) -> int:
@@ -106,24 +116,53 @@ class VersionedTable:
             manifest = self._manifest(at)
             many = manifest.groupBy("app_id", "bucket").agg(F.countDistinct("file").alias("n")).filter(F.col("n") > most_files)
             files = [r.file for r in manifest.join(many, ["app_id", "bucket"], "left_semi").select("file").distinct().collect()]
-            if not files or self._commit(at, manifest, files, self._rows(files), None):
-                return at["version"] + bool(files)
-
-    def _commit(self, at: dict, manifest: DataFrame, gone: list[str], out: DataFrame, source: tuple[str, int] | None) -> bool:
-        """Write ``out`` and make the next version of it and the manifest's files but ``gone``; False if another writer was first."""
+            with Workspace(self.spark) as work:
+                if not files or self._commit(at, manifest, files, [self._write(work, self._gathered(self._rows(files)))], None):
+                    return at["version"] + bool(files)
+
+    def _first(self, rows: DataFrame, order: list) -> DataFrame:
+        """The first row of each key. The shuffle that brings equal keys together goes by bucket and part of it, so the rows are written as they lie."""
+        dealt = rows.withColumns({"__bucket": self._bucket(), "__part": F.pmod(self._hash(4), F.lit(PARTS))}).repartition("__bucket", "__part")
+        return first_of_key(dealt, ["__bucket", "__part", *self.keys], order)
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        """With the folder of a row, one for each app and bucket."""
+        return rows.select(*self.columns, F.concat(F.hex(F.xxhash64("app_id")), F.lit("-"), self._bucket().cast("string")).alias("__p"))
+
+    def _gathered(self, rows: DataFrame) -> DataFrame:
+        """The rows by folder; adaptive execution splits large folders and joins small ones."""
+        return self.spark.sql("select /*+ REBALANCE(__p) */ * from {rows}", rows=self._placed(rows))
+
+    def _rows_in(self, token: str) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/data/{token}")
+
+    def _losing(self, files: list[str], rows: DataFrame) -> tuple[list[str], list[str]]:
+        """Those of ``files`` that hold a key of ``rows``, and those of them that hold others too. Only keys are read and shuffled."""
+        if not files:
+            return [], []
+        held = self._rows(files).select(*self.keys, F.col("_metadata.file_path").alias("file"))
+        both = held.join(rows.select(*self.keys, F.lit(1).alias("__hit")), self.keys, "left")
+        found = both.groupBy("file").agg(F.count("*").alias("n"), F.count("__hit").alias("hits")).filter("hits > 0").collect()
+        return [r.file for r in found], [r.file for r in found if r.hits < r.n]
+
+    def _write(self, work: Workspace, rows: DataFrame) -> tuple[str, DataFrame]:
+        """Write rows and their index under a new token, which no version names yet; the token and the manifest's lines of their files."""
         token = uuid.uuid4().hex
-        data = f"{self.path}/data/{token}"
-        # a folder for each app and bucket; adaptive execution splits large ones and joins small ones
-        placed = out.withColumn("__p", F.concat(F.hex(F.xxhash64("app_id")), F.lit("-"), self._bucket().cast("string")))
-        self.spark.sql("select /*+ REBALANCE(__p) */ * from {rows}", rows=placed).write.partitionBy("__p").parquet(data)
-        written = self.spark.read.schema(self.schema).parquet(data).select(*self.keys, "app_id", self._bucket().alias("bucket"), F.col("_metadata.file_path").alias("file"))
+        (rows if "__p" in rows.columns else self._placed(rows)).write.partitionBy("__p").parquet(f"{self.path}/data/{token}")
+        written = self._rows_in(token).select(*self.keys, "app_id", self._bucket().alias("bucket"), F.col("_metadata.file_path").alias("file"))
         sizes = written.groupBy("file", "app_id", "bucket").agg(F.count("*").alias("rows"))
-        added = sizes.select("file", "app_id", "bucket", "rows", F.ceil(F.col("rows") / BLOCK_KEYS).alias("blocks"), F.lit(token).alias("token"))
-        kept = manifest.join(self.spark.createDataFrame([(f,) for f in gone], "file string"), "file", "left_anti") if gone else manifest
-        kept.select(*added.columns).unionByName(added).coalesce(8).write.parquet(f"{self.path}/manifests/{token}")
-        own = self.spark.read.schema(_MANIFEST).parquet(f"{self.path}/manifests/{token}").filter(F.col("token") == token).select("file", "app_id", "blocks")
-        bits = written.join(own, ["file", "app_id"]).select("file", "app_id", "bucket", self._block().alias("block"), F.explode(self._probes()).alias("bit"))
+        own = work.settle(sizes.select("file", "app_id", "bucket", "rows", F.ceil(F.col("rows") / BLOCK_KEYS).alias("blocks"), F.lit(token).alias("token")))
+        bits = written.join(own.select("file", "app_id", "blocks"), ["file", "app_id"]).select("file", "app_id", "bucket", self._block().alias("block"), F.explode(self._probes()).alias("bit"))
         bits.groupBy("app_id", "bucket", "file", "block").agg(F.bitmap_construct_agg("bit").alias("bits")).write.parquet(f"{self.path}/index/{token}")
+        return token, own
+
+    def _commit(self, at: dict, manifest: DataFrame, gone: list[str], added: list[tuple[str, DataFrame]], source: tuple[str, int] | None) -> bool:
+        """Make the next version of the manifest's files but ``gone`` and of the files ``added``; False if another writer was first."""
+        token = uuid.uuid4().hex
+        lines = manifest.join(self.spark.createDataFrame([(f,) for f in gone], "file string"), "file", "left_anti") if gone else manifest
+        for _, own in added:
+            lines = lines.select(*own.columns).unionByName(own)
+        lines.coalesce(8).write.parquet(f"{self.path}/manifests/{token}")
         applied = at["applied"] | ({source[0]: source[1]} if source else {})
         pointer = {"version": at["version"] + 1, "manifest": token, "applied": applied}
         return publish(self.spark, f"{self.path}/versions/{pointer['version']:012d}", json.dumps(pointer))
@@ -146,13 +185,14 @@ class VersionedTable:
 
     def _may_hold(self, rows: DataFrame, manifest: DataFrame) -> list[str]:
         """The files that may hold a key of ``rows``: all that do, and few others."""
-        near = manifest.join(rows.select("app_id", F.col("__bucket").alias("bucket")).distinct(), ["app_id", "bucket"], "left_semi")
+        rows = rows.select(*dict.fromkeys([*self.keys, "app_id"]), self._bucket().alias("bucket"))
+        near = manifest.join(rows.select("app_id", "bucket").distinct(), ["app_id", "bucket"], "left_semi")
         tokens = [r.token for r in near.select("token").distinct().collect()]
         if not tokens:
             self.opened = self.passed = 0
             return []
         index = self.spark.read.schema("app_id string, bucket int, file string, block bigint, bits binary").parquet(*[f"{self.path}/index/{t}" for t in tokens])
-        asked = rows.withColumn("bucket", F.col("__bucket")).join(near.select("app_id", "bucket", "file", "blocks"), ["app_id", "bucket"])
+        asked = rows.join(near.select("app_id", "bucket", "file", "blocks"), ["app_id", "bucket"])
         asked = asked.select("app_id", "bucket", "file", self._block().alias("block"), self._probes().alias("probes")).distinct()
         byte = lambda p: F.conv(F.hex(F.substring(F.col("bits"), (F.floor(p / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
         is_set = lambda p: F.floor(byte(p) / F.pow(F.lit(2), p % 8)) % 2 == 1

@@ -123,6 +123,32 @@ def test_index_passes_files_over(spark, tmp_path):
     assert t.read().count() == 40_020 and len(t.versions()) == 1
 
 
+def test_texts_are_shuffled_once(spark, tmp_path):
+    """A merge shuffles its batch once; files that lose all their rows or none are not rewritten."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return store.executorSummary("driver").totalShuffleWrite()
+
+    t = VersionedTable(spark, str(tmp_path / "t"), "id string, app_id string, text string, version int", ["id"], 2)
+    text = F.concat(*[F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"/{k}")), 512) for k in range(12)])
+    rows = spark.range(4_000).select(F.concat(F.lit("k"), "id").alias("id"), F.concat(F.lit("a"), (F.col("id") % 2).cast("string")).alias("app_id"), text.alias("text"), F.lit(0).alias("version"))
+    before = shuffled()
+    t.append(rows, ["version"])
+    t.upsert(rows.withColumn("version", F.lit(1)), ["version"])
+    size = sum(p.stat().st_size for p in (tmp_path / "t" / "data").rglob("*.parquet")) / 2
+    assert shuffled() - before < 2.6 * size
+    assert t.read().groupBy("version").count().collect() == [(1, 4_000)] and t.opened == len({r.file for r in t._manifest(t._pointer(1)).collect()})
+    files = lambda app: {r.file for r in t._manifest(t._pointer()).filter(F.col("app_id") == app).collect()}
+    other, own = files("a1"), files("a0")
+    t.upsert(rows.filter("id = 'k8'").withColumn("version", F.lit(2)), ["version"])  # all but one row of a file stay
+    assert files("a1") == other and len(own - files("a0")) == 1
+    assert {tuple(r) for r in t.read().groupBy("version").count().collect()} == {(1, 3_999), (2, 1)}
+    t.insert_or_ignore(rows.filter("id in ('k8', 'k9')").unionByName(rows.filter("id = 'k9'").withColumn("id", F.lit("k9b"))).withColumn("version", F.lit(3)), ["version"])
+    assert {tuple(r) for r in t.read().groupBy("version").count().collect()} == {(1, 3_999), (2, 1), (3, 1)}
+
+
 def test_stateful_stream_equals_batch(spark, tmp_path):
     """Late and replayed pages, a restart between batches, a lost checkpoint: the table is that of one batch merge."""
     src = tmp_path / "in"
