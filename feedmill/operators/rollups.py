@@ -19,8 +19,9 @@ from feedmill import params
 from feedmill.functions.text import half_even, keyword, words
 from feedmill.operators.clusters import KEYS, cluster_samples
 from feedmill.operators.stats import keyword_counts
-from feedmill.storage import names_in, publish, read_text
+from feedmill.storage import Workspace, names_in, publish, read_text
 
+_REVIEW = (*KEYS, "review_id", "timestamp", "voted_up", "playtime_hours", "weighted_vote_score", "review_text")
 _DAYS = "app_id string, category string, day date, n bigint, bad bigint, hours decimal(38,6)"
 _WORDS = "app_id string, category string, word string, n bigint"
 _SAMPLES = "app_id string, category string, review_id string, weighted_vote_score double, text string"
@@ -65,19 +66,21 @@ class ClusterRollup:
         if batch in names_in(self.spark, f"{self.path}/batches"):
             return
         token = uuid.uuid4().hex
-        for k, (rows, sign) in enumerate(((inserted, 1), (deleted, -1))):
-            if rows is None:
+        for k, (given, sign) in enumerate(((inserted, 1), (deleted, -1))):
+            if given is None:
                 continue
-            rows = rows.filter("category is not null")
-            day_sums(rows, sign).write.parquet(f"{self.path}/data/{token}/days/{k}")
-            keyword_counts(rows, KEYS).withColumn("n", sign * F.col("n")).write.parquet(f"{self.path}/data/{token}/words/{k}")
-            if sign > 0:
-                rank = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.col("weighted_vote_score").desc_nulls_last(), "review_id"))
-                best = rows.select(*KEYS, "review_id", "weighted_vote_score").withColumn("k", rank).filter(F.col("k") <= params.SAMPLES).drop("k")
-                texts = rows.select(*KEYS, "review_id", F.substring("review_text", 1, params.SAMPLE_CHARS).alias("text"))
-                best.join(texts, [*KEYS, "review_id"]).write.parquet(f"{self.path}/data/{token}/samples/{k}")
-            else:
-                rows.select(*KEYS, "review_id").write.parquet(f"{self.path}/data/{token}/gone/{k}")
+            with Workspace(self.spark) as work:
+                # whatever the batch comes from is run once
+                rows = work.settle(given.filter("category is not null").select(*[c for c in given.columns if c in _REVIEW]))
+                day_sums(rows, sign).write.parquet(f"{self.path}/data/{token}/days/{k}")
+                keyword_counts(rows, KEYS).withColumn("n", sign * F.col("n")).write.parquet(f"{self.path}/data/{token}/words/{k}")
+                if sign > 0:
+                    rank = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.col("weighted_vote_score").desc_nulls_last(), "review_id"))
+                    best = rows.select(*KEYS, "review_id", "weighted_vote_score").withColumn("k", rank).filter(F.col("k") <= params.SAMPLES).drop("k")
+                    texts = rows.select(*KEYS, "review_id", F.substring("review_text", 1, params.SAMPLE_CHARS).alias("text"))
+                    best.join(texts, [*KEYS, "review_id"]).write.parquet(f"{self.path}/data/{token}/samples/{k}")
+                else:
+                    rows.select(*KEYS, "review_id").write.parquet(f"{self.path}/data/{token}/gone/{k}")
         publish(self.spark, f"{self.path}/batches/{batch}", json.dumps({"token": token}))
 
     def _part(self, name: str, schema: str) -> DataFrame:

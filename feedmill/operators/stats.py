@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import repeat
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from feedmill import params
 from feedmill.functions.text import half_even, keyword, words
 
+#: Different words that a task counts before it hands their counts on.
+HELD_WORDS = 1 << 19
+
 
 def _moment(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
@@ -30,14 +37,45 @@ def keyword_counts(texts: DataFrame, keys: list[str], text_col: str = "review_te
     """(keys, word, n): words without edge punctuation, of two characters or more, that are no stop words; counted before the
     shuffle. With ``order_col``, the order of the texts, also ``seen``: where the word stands first (text, place in it)."""
     if order_col is None:
-        w = texts.select(*keys, F.explode(words(F.lower(text_col))).alias("w")).select(*keys, keyword(F.col("w")).alias("word"))
-        counts = [F.count("*").alias("n")]
-    else:
-        w = texts.select(*keys, F.col(order_col).alias("__o"), F.posexplode(words(F.lower(text_col))).alias("__p", "w")).select(*keys, "__o", "__p", keyword(F.col("w")).alias("word"))
-        counts = [F.count("*").alias("n"), F.min(F.struct("__o", "__p")).alias("seen")]
+        return _task_counts(texts, keys, text_col).groupBy(*keys, "word").agg(F.sum("n").alias("n"))
+    w = texts.select(*keys, F.col(order_col).alias("__o"), F.posexplode(words(F.lower(text_col))).alias("__p", "w")).select(*keys, "__o", "__p", keyword(F.col("w")).alias("word"))
+    counts = [F.count("*").alias("n"), F.min(F.struct("__o", "__p")).alias("seen")]
     return w.filter((F.length("word") > 1) & ~F.col("word").isin(params.STOP_WORDS)).groupBy(*keys, "word").agg(*counts)
 
 
+def _task_counts(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """(keys, word, n): the words of ``keyword_counts`` counted in each task, to be added up. No row is made for a single word; ``str.split`` has
+    the white space of ``words``."""
+    edge, stop, most, k = params.WORD_EDGE, frozenset(params.STOP_WORDS), HELD_WORDS, len(keys)
+    out = texts.select(*keys).schema.add("word", "string").add("n", "long")
+
+    def run(batches):
+        def counted():
+            rows = [(key, w, n) for key, count in held.items() for word, n in count.items() if len(w := word.strip(edge)) > 1 and w not in stop]
+            columns = [pa.array([key[i] for key, _, _ in rows], t) for i, t in enumerate(types)]
+            columns += [pa.array([w for _, w, _ in rows], pa.string()), pa.array([n for _, _, n in rows], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        held, size, types, names = {}, 0, [], [*keys, "word", "n"]
+        for batch in batches:
+            types = [batch.column(i).type for i in range(k)]
+            groups = zip(*(batch.column(i).to_pylist() for i in range(k))) if k else repeat((), batch.num_rows)
+            for key, text in zip(groups, batch.column(k)):
+                if not text.is_valid:
+                    continue
+                count = held.setdefault(key, Counter())
+                size -= len(count)
+                count.update(text.as_py().split())
+                size += len(count)
+                if size > most:
+                    yield counted()
+                    held, size = {}, 0
+        if held:
+            yield counted()
+
+    return texts.select(*keys, F.lower(text_col).alias("__text")).mapInArrow(run, out)
+
+
 def keyword_frequency(texts: DataFrame, n: int = params.KEYWORDS, text_col: str = "review_text", order_col: str | None = None) -> DataFrame:
     """The ``n`` most frequent words; equal counts by word, or with ``order_col`` by where they are seen first."""
     tie = "word" if order_col is None else "seen"

@@ -5,6 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
+from feedmill import params
+from feedmill.functions.text import keyword, words
 from feedmill.operators import stats
 from feedmill.operators.clusters import build_clusters
 from feedmill.operators.rollups import ClusterRollup, day_sketches, fold_sketches, sketched
@@ -42,6 +44,36 @@ def test_rolling_equals_rebuilt(spark, tmp_path):
     assert ClusterRollup(spark, str(tmp_path / "none")).clusters(dates).count() == 0
 
 
+def test_a_batch_is_run_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(reviews(200), ROW)
+    rollup = ClusterRollup(spark, str(tmp_path / "r"))
+    rollup.commit("1", df.mapInArrow(passed, ROW))
+    rollup.commit("2", deleted=df.limit(50).mapInArrow(passed, ROW))
+    assert seen.value == 250
+
+
+def test_words_are_counted_in_tasks(spark, monkeypatch):
+    """Equal to counts of single words, for every kind of white space, edges, null texts and keys, and when counts are handed on early."""
+    monkeypatch.setattr(stats, "HELD_WORDS", 3)
+    chars = "".join(chr(c) for c in [*range(1, 0x3100), 0xFEFF, 0x1F600])
+    texts = [chars, "x".join(chars), "a  The\tcrash, crash! (crash) -- \u0130X \u2003it's-", "", " ", None, "same same Same"]
+    df = spark.createDataFrame([(k, t) for k in ("a", None) for t in texts], "k string, t string")
+    one = df.select("k", F.explode(words(F.lower("t"))).alias("w")).select("k", keyword(F.col("w")).alias("word"))
+    want = one.filter((F.length("word") > 1) & ~F.col("word").isin(params.STOP_WORDS)).groupBy("k", "word").agg(F.count("*").alias("n"))
+    got = stats.keyword_counts(df, ["k"], "t")
+    key = lambda r: (r.k or "", r.word, r.n)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect())) and got.columns == want.columns
+    assert stats.keyword_counts(df.limit(0), ["k"], "t").count() == 0
+    assert {r.word: r.n for r in stats.keyword_counts(df, [], "t").collect()}["crash"] == 6
+
+
 def test_sketches_of_any_period(spark):
     rows = reviews(20_000, 2) + [("x", "app9", None, None, None, None, None, None)]
     df = spark.createDataFrame(rows, ROW)
