@@ -15,7 +15,7 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -27,11 +27,11 @@ from feedmill.llm.common import Workspace, field, row_of, settle
 
 #: Tokens of a sequence; pieces of a group, about; a sequence with more than this part of its tokens free is opened again.
 TOKENS, GROUP, REOPEN = 4096, 16_384, 1 / 256
-#: Characters of a text that are cut into words at once; words that a worker remembers, and their characters.
-BLOCK, KNOWN_WORDS, KNOWN_CHARS = 1 << 20, 1 << 20, 1 << 25
+#: Characters of a text, and of short texts, that are cut into words at once; words that a worker remembers, and their characters.
+BLOCK, TOGETHER, KNOWN_WORDS, KNOWN_CHARS = 1 << 20, 1 << 16, 1 << 20, 1 << 25
 _GAP = re.compile("[ \n\t\r]")
-#: Signs that often end a word.
-SIGNS = frozenset(".,;:!?)\"")
+#: Signs that may end a word.
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Numbers(dict):
@@ -56,7 +56,13 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        suffix, ids = json.loads(vocabulary)["model"].get("end_of_word_suffix"), self.tokenizer.get_vocab()
+        file = json.loads(vocabulary)
+        suffix, ids = file["model"].get("end_of_word_suffix"), self.tokenizer.get_vocab()
+        self.letters = None  # for lower-case words of Latin-1 letters, which the file's rules leave as they are
+        rules = [[p["type"] for p in (file.get(part) or {}).get(kind, [])] for part, kind in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        if rules == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] and "|[\\p{L}]+|" in file["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex", ""):
+            cut = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, file["pre_tokenizer"]["pretokenizers"][1]]}
+            self.letters = Tokenizer.from_str(json.dumps(file | {"normalizer": None, "pre_tokenizer": cut, "post_processor": None, "added_tokens": []}))
         self.last = np.zeros(max(ids.values()) + 1, bool)  # of ids that end a word
         self.last[[i for token, i in ids.items() if suffix and token.endswith(suffix)]] = True
         self._forget()
@@ -89,25 +95,35 @@ class WordCoder:
 
     @staticmethod
     def _parts(word: str) -> tuple[str, str]:
-        """A word without the sign that ends it behind a letter, and the sign: no token holds both. ASCII words of one spelling are one. Parts
-        are their own parts."""
-        core, sign = (word[:-1], word[-1]) if word[-1] in SIGNS and word[-2:-1].isascii() and word[-2:-1].isalpha() else (word, "")
-        return (core.lower() if core.isascii() and "<|" not in core else core), sign
+        """A word without the signs that end it behind a letter, and the signs: no token holds both. Words of Latin-1 characters of one spelling
+        are one. Parts are their own parts."""
+        if "<|" in word:
+            return word, ""
+        core = word.rstrip(SIGNS)
+        if len(core) < len(word) and not (core and core[-1] < "\u0250" and core[-1].isalpha()):
+            core = word
+        return (core.lower() if core.isascii() or max(core) < "\u0100" else core), word[len(core) :]
 
     def _ask(self, words: list[str]) -> None:
         """Makes the tokenizer's ids of words known. Words of letters go as one text: each has one id or more that ends a word, so if there are as
         many of these as words, they tell where each word ends."""
-        plain = [w for w in words if w.isalpha()]
-        if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.uint32)
+        simple, rest, other = [], [], []
+        for w in words:
+            (other if not w.isalpha() else simple if self.letters and (w.isascii() or max(w) < "\u0100") and w == w.lower() else rest).append(w)
+        for tokenizer, plain in ((self.letters, simple), (self.tokenizer, rest)):
+            if not plain:
+                continue
+            texts = [" ".join(plain[k : k + 64]) for k in range(0, len(plain), 64)]
+            ids = np.array(list(chain.from_iterable(e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False))), np.uint32)
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(plain) and ends[-1] == len(ids):
                 self._put(plain, ids, np.diff(ends, prepend=0))
-                words = [w for w in words if not w.isalpha()]
-        if words:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            else:
+                other += plain
+        if other:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self._put(words, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes)
+            self._put(other, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes)
 
     def _learn(self, words: list[str]) -> np.ndarray:
         """The words' numbers; makes all known."""
@@ -132,10 +148,37 @@ class WordCoder:
         while at < len(text):
             gap = _GAP.search(text, at + BLOCK) if len(text) - at > BLOCK else None
             end = gap.start() if gap else len(text)
-            words = text[at:end].replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            yield self._ids(self._learn(words))
+            yield self._ids(self._learn(self._words(text[at:end])))
             at = end
 
+    def encode_each(self, texts: Iterable[str]) -> Iterator[Iterator[np.ndarray]]:
+        """``encode`` of each text. Words of short texts that follow each other are looked up and learned at once."""
+        held, chars = [], 0
+        for text in texts:
+            if chars + len(text) > TOGETHER:
+                yield from self._together(held)
+                held, chars = [], 0
+            if len(text) > TOGETHER:
+                yield self.encode(text)
+            else:
+                held.append(text)
+                chars += len(text)
+        yield from self._together(held)
+
+    def _together(self, texts: list[str]) -> Iterator[Iterator[np.ndarray]]:
+        if texts:
+            words = list(map(self._words, texts))
+            numbers = self._learn(list(chain.from_iterable(words)))
+            ids, upto = self._ids(numbers), np.cumsum(self.size[numbers])
+            at = 0
+            for end in upto[np.cumsum(list(map(len, words))) - 1].tolist():
+                yield iter([ids[at:end]])
+                at = end
+
+    @staticmethod
+    def _words(text: str) -> list[str]:
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
 
 def pieces_of(blocks: Iterator[np.ndarray], most: int, end: int) -> Iterator[np.ndarray]:
     """The ids of all blocks and then ``end``, ``most`` at a time."""
@@ -166,9 +209,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, most: int = TOKENS, end: int
             held["coder"] = WordCoder(held["file"])
         for batch in batches:
             of, piece, start, ids = [], [], [], []
-            for row, text in enumerate(batch.column(1)):
+            for row, blocks in enumerate(held["coder"].encode_each(text.as_py() or "" for text in batch.column(1))):
                 at = 0
-                for k, part in enumerate(pieces_of(held["coder"].encode(text.as_py() or ""), most, end)):
+                for k, part in enumerate(pieces_of(blocks, most, end)):
                     of.append(row), piece.append(k), start.append(at), ids.append(part)
                     at += len(part)
             crc = [zlib.crc32(p.astype("<u4").tobytes()) for p in ids]

@@ -108,3 +108,19 @@ def test_groups_are_packed_together_in_the_end(spark):
     assert valid(rows, lengths, 1000) <= 1.02 * sum(lengths) / 1000 + 3
     few = pack(df, 1000, documents=2, group=500)
     assert few.groupBy("sequence_id").count().agg(F.max("count")).first()[0] <= 2
+
+
+def test_ending_signs_and_joint_texts():
+    """Words share their letters whatever signs end them; ids of texts learned together are the tokenizer's."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from feedmill.llm.packing import WordCoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        coder = WordCoder(f.read())
+    texts = ["bug*** Bug, bug!!' ÉTÉ.### été it's' x's. a<|endoftext|> ab|> <|.", "", " ", "İx. ß, é. ª! º? µ; đ.%% 9. 9!! -- don't…", "word***\nWÖRD&&&\t" * 30_000]
+    got = [[i for block in blocks for i in block.tolist()] for blocks in coder.encode_each(texts)]
+    assert got == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert coder._parts("Bug***") == ("bug", "***") and coder._parts("a<|endoftext|>") == ("a<|endoftext|>", "")
