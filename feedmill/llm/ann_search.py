@@ -1,10 +1,14 @@
 """Nearest neighbours by inner product, by query-centred collision counting.
 
-Vectors are hashed by FUNCTIONS random projections, and each function's values are kept in one sorted array.
-Around a query's own projections windows are opened, as wide as the radius, and widened by virtual rehashing
-(radius times WIDEN) step by step. A vector that has fallen into the windows of THRESHOLD functions is
-verified by its exact inner product. A query ends when its k best lie within the radius: a vector as near as that
-has collided THRESHOLD times with probability 0.87 or more, nearer ones with more (recall is measured in the tests).
+Vectors are hashed by FUNCTIONS random projections, whose values are kept in levels of a byte. Around a query's own
+projections windows as wide as a radius are opened, and of every vector it is counted into how many of them it falls. The
+vectors with the most collisions are verified by their exact inner products. A vector as near as the k-th best so far falls into
+so many of the windows at least with probability 0.87, a nearer one with more: the vectors with so many are verified too, again those
+with the most first, as the k-th best draws nearer (recall is measured in the tests). Where it is far inside the radius, nearly
+all windows hold what is near, and the radius is narrowed first (virtual rehashing: the same levels, other windows).
+
+A radius that finds the nearest holds about half of all projections, so a list in order of projections would not pass
+over much: counting goes through the levels as they lie, a function's bytes at a time.
 
 An added component, which makes all vectors of a range as long as its longest, turns largest inner product into
 smallest distance. Vectors are taken in ranges of similar length, the longest first, so that one very long vector
@@ -16,21 +20,23 @@ is one task of bounded bytes that returns its best, and the k best of those are
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from feedmill.llm.common import field
 
-FUNCTIONS, WIDEN = 160, 1.05
-#: Of 160 functions a vector at just the radius collides in 109 (0.683 each, normal values within one deviation), sd 5.9; 0.87 reach this.
-THRESHOLD = 103
-#: The first radius is this part of the median distance to so many sampled vectors: there a usual vector collides in 61, sd 6.1.
-FIRST, SAMPLE = 0.5, 32
-#: While no vector has so many of the collisions, the radius grows by this power of WIDEN at once.
-FAST = ((0.6, 4), (0.85, 2))
-#: The sorted arrays lie one behind the other, this far apart; projections of unit vectors are far smaller.
-APART = 64.0
+FUNCTIONS = 160
+#: A vector collides in a normal number of functions; 0.87 of them have its mean less so many deviations.
+BELOW = 1.1
+#: The first radius is the median distance to so many sampled vectors: there those a quarter nearer stand out by four deviations.
+SAMPLE = 32
+#: So many times k vectors with the most collisions are verified first, then twice as many each time. A radius of more than NARROW times the k-th best's distance becomes WIDE times it.
+PROBE, NARROW, WIDE = 4, 1.8, 1.2
+#: Levels for one deviation of a projection of unit vectors, and the level of 0: 5.3 deviations fit. Vectors counted at a time.
+LEVELS, MIDDLE, AT_ONCE = 24.0, 128.0, 8192
 #: A range ends at vectors under this part of its longest, but holds so many vectors at least.
 RANGE_FALL, RANGE_ROWS = 0.85, 1024
 #: Vectors of a shard at most; vectors of a shard and of a block of queries in bytes at most; tasks at least, which small tables get by more blocks.
@@ -41,30 +47,42 @@ def projections(dim: int) -> np.ndarray:
     return np.random.default_rng(dim * 1000 + 5).standard_normal((dim + 1, FUNCTIONS))
 
 
+def least_collisions(radius: float, distance: float) -> int:
+    """In so many windows of the radius a vector at this distance falls at least, but for one in eight. Levels are rounded, see ``collisions``."""
+    wide, off = np.sqrt((np.array([radius, distance]) * LEVELS) ** 2 + 1 / 12)
+    p = math.erf(wide / off / math.sqrt(2))
+    return max(1, math.floor(FUNCTIONS * p - BELOW * math.sqrt(FUNCTIONS * p * (1 - p))))
+
+
 class Range:
-    """Sorted projections of vectors of similar length; ``rows`` are their places in the shard."""
-
-    def __init__(self, rows: np.ndarray, vectors: np.ndarray, lengths: np.ndarray, hashes: np.ndarray):
-        self.rows, self.longest = rows, float(lengths[0])
-        unit = vectors[rows] / self.longest
-        rest = np.sqrt(np.maximum(0.0, 1 - np.einsum("ij,ij->i", unit, unit)))
-        p = np.column_stack([unit, rest]) @ hashes
-        self.order = np.ascontiguousarray(np.argsort(p, axis=0, kind="stable").T).ravel()
-        self.sorted = (np.sort(p, axis=0).T + self.shift()[:, None]).ravel()
-        self.counts = np.zeros(len(rows), np.int64)  # of collisions; one array for all queries
-        self.sample = unit[:: max(1, len(rows) // SAMPLE)]
-
-    @staticmethod
-    def shift() -> np.ndarray:
-        return np.arange(FUNCTIONS) * APART
+    """Levels of the projections of vectors of similar length; ``rows`` are their places in the shard."""
+
+    def __init__(self, rows: np.ndarray, vectors: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, ids: np.ndarray, room: tuple[np.ndarray, np.ndarray]):
+        self.rows, self.ids, self.longest, self.parts, self.room = rows, ids[rows], float(lengths[0]), [], room
+        for lo in range(0, len(rows), AT_ONCE):
+            unit = vectors[rows[lo : lo + AT_ONCE]] / self.longest
+            rest = np.sqrt(np.maximum(0.0, 1 - np.einsum("ij,ij->i", unit, unit)))
+            levels = np.clip(np.rint((np.column_stack([unit, rest]) @ hashes) * LEVELS + MIDDLE), 0, 255)
+            self.parts.append(np.ascontiguousarray(levels.T.astype(np.uint8)))
+        self.sample = vectors[rows[:: max(1, len(rows) // SAMPLE)]] / self.longest
 
     def first_radius(self, query: np.ndarray) -> float:
         """``query`` is of length 1."""
-        return FIRST * float(np.median(np.sqrt(np.maximum(0.0, 2 - 2 * (self.sample @ query)))))
-
-    def windows(self, at: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ends of the windows of this radius around a query's (shifted) projections, one for each function."""
-        return self.sorted.searchsorted(at - radius), self.sorted.searchsorted(at + radius, "right")
+        return float(np.median(np.sqrt(np.maximum(0.0, 2 - 2 * (self.sample @ query)))))
+
+    def collisions(self, at: np.ndarray, radius: float) -> np.ndarray:
+        """For each vector, into how many windows of this radius around a query's projections (in levels) it falls."""
+        wide = np.sqrt((radius * LEVELS) ** 2 + 1 / 12)  # levels are rounded, which adds that much to a difference's variance
+        own = np.rint(at)  # an equal vector collides at any radius
+        lo, hi = (np.clip(x, 0, 255).astype(np.uint8)[:, None] for x in (np.minimum(np.ceil(at - wide), own), np.maximum(np.floor(at + wide), own)))
+        counts, lo_at = np.empty(len(self.rows), np.int16), 0
+        for part in self.parts:
+            # what is below a window wraps around to more than its width
+            off = np.subtract(part, lo, out=self.room[0][: part.size].reshape(part.shape))
+            within = np.less_equal(off, hi - lo, out=self.room[1][: part.size].reshape(part.shape)).view(np.uint8)
+            counts[lo_at : lo_at + part.shape[1]] = np.add.reduce(within, axis=0, dtype=np.uint8)
+            lo_at += part.shape[1]
+        return counts
 
 
 class Shard:
@@ -75,19 +93,20 @@ class Shard:
         self.hashes = projections(vectors.shape[1])
         lengths = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
         order = np.argsort(-lengths, kind="stable")
+        room = np.empty(FUNCTIONS * AT_ONCE, np.uint8), np.empty(FUNCTIONS * AT_ONCE, bool)  # of all ranges and queries
         self.ranges, lo = [], 0
         while lo < len(order):
             own = lengths[order]
             hi = max(int(np.searchsorted(-own, -RANGE_FALL * own[lo])), lo + RANGE_ROWS)
             if len(order) - hi < RANGE_ROWS // 2:
                 hi = len(order)
-            self.ranges.append(Range(order[lo:hi], vectors, own[lo:hi], self.hashes))
+            self.ranges.append(Range(order[lo:hi], vectors, own[lo:hi], self.hashes, ids, room))
             lo = hi
 
     def search(self, own: np.ndarray, queries: np.ndarray, k: int):
         """Yields (rows, scores) of the k best found of each query, nearest first, without the query's own id."""
         lengths = np.sqrt(np.einsum("ij,ij->i", queries, queries))
-        at = (np.column_stack([queries / lengths[:, None], np.zeros(len(queries))]) @ self.hashes) + Range.shift()
+        at = (np.column_stack([queries / lengths[:, None], np.zeros(len(queries))]) @ self.hashes) * LEVELS + MIDDLE
         for i in range(len(queries)):
             best, scores = np.zeros(0, np.int64), np.zeros(0)
             for r in self.ranges:
@@ -97,37 +116,28 @@ class Shard:
             yield best, scores
 
     def _search_range(self, r: Range, at, query, length, own, best, scores, k):
-        left = np.flatnonzero(self.ids[r.rows] == own)  # the query's own row is no candidate
-        seen = np.zeros(len(r.rows), bool)
-        seen[left] = True
-        r.counts[:] = 0
-        radius, was_lo, was_hi, last = max(r.first_radius(query / length), 1e-3), None, None, False
+        most, least, radius, counts = PROBE * k, 0, r.first_radius(query / length), None
+        seen = [np.flatnonzero(r.ids == own)]  # the query's own row is no candidate
         self.verified += len(r.sample)
         while True:
-            needed = np.inf
-            if len(best) == k:  # where the k-th best lies: vectors farther than that are not asked for
-                needed = float(np.sqrt(max(0.0, 2 - 2 * scores[-1] / (length * r.longest))))
-                radius, last = min(radius, needed), radius >= needed
-            lo, hi = r.windows(at, radius)
-            if was_lo is None:
-                ends = zip(lo.tolist(), hi.tolist())
-            else:
-                lo, hi = np.minimum(lo, was_lo), np.maximum(hi, was_hi)
-                ends = zip([*lo.tolist(), *was_hi.tolist()], [*was_lo.tolist(), *hi.tolist()])
-            was_lo, was_hi = lo, hi
-            parts = [r.order[a:b] for a, b in ends if a < b]
-            if parts:
-                r.counts += np.bincount(np.concatenate(parts), minlength=len(r.counts))
-                new = np.flatnonzero((r.counts >= THRESHOLD) & ~seen)
-                seen[new] = True
-                best, scores = self._verify(r.rows[new], query, best, scores, k)
-            if last or seen.all():
+            if len(best) == k:
+                needed = float(np.sqrt(max(0.0, 2 - 2 * scores[-1] / (length * r.longest))))  # where the k-th best lies
+                if radius > NARROW * needed + 1 / LEVELS:
+                    radius, counts = WIDE * needed, None
+                least = least_collisions(radius, needed)
+            if counts is None:
+                counts = r.collisions(at, radius)
+                for rows in seen:
+                    counts[rows] = -1
+            hit = np.flatnonzero(counts >= least)
+            if len(hit) > most:
+                hit = hit[np.argpartition(counts[hit], -most)[-most:]]
+            if not len(hit):
                 return best, scores
-            if radius > 2.1:  # every distance is at most 2: what is left collides too rarely for its distance
-                rest = np.flatnonzero(~seen)
-                return self._verify(r.rows[rest], query, best, scores, k)
-            most = r.counts.max(initial=0)
-            radius *= WIDEN ** next((power for part, power in FAST if most < part * THRESHOLD), 1)
+            best, scores = self._verify(r.rows[hit], query, best, scores, k)
+            counts[hit] = -1
+            seen.append(hit)
+            most *= 2
 
     def _verify(self, rows, query, best, scores, k):
         if not len(rows):
@@ -185,6 +195,9 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, id_col: str = "
         return pa.table({"query_id": pa.array(a.astype(np.int64)), "vec_id": pa.array(b.astype(np.int64)), "score": pa.array(c, pa.float64())})
 
     keys = ["__d", "__s", "__b"]
+    # not merged by their bytes, which are few for the work they make
+    apart = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8 * LEAST_TASKS)
+    left, right = (d.repartition(apart, *keys) for d in (left, right))
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
