@@ -4,9 +4,12 @@ The tasks that tokenise the chunks also build the blocks, so nothing is shuffled
 app, and for each of its terms the list of chunks with term count and length. Of those the block keeps aside the few
 that no other one beats in both count and length: whatever the mean length of the corpus is, one of them has the largest
 impact (the BM25 part without idf). So blocks stay valid when the corpus grows, and the index grows by segments.
+Most terms of a block are in one or two of its chunks, so a row for each term takes many times what its postings do: a block is
+also one row with all of its lists.
 
-A query of more than BOUNDED_TERMS terms, which few blocks could be passed over for, goes to shards of many blocks and sums up all lists of
-its terms there. For the others a search first adds up, from these few numbers alone, what a chunk of each block can score at most. Each then
+A query of more than BOUNDED_TERMS terms, which few blocks could be passed over for, goes to shards of many blocks and sums up all lists of its
+terms there; blocks go there as one row each. For the others, whose terms pick their lists where these are read, a search first adds up, from the
+few numbers kept aside alone, what a chunk of each block can score at most. Each query then
 searches its k most promising blocks; its k-th score there is what any other block must be able to reach, and lists of
 blocks that cannot are not read. The result is that of ``retrieval.bm25_topk`` over all postings.
 """
@@ -30,8 +33,11 @@ from feedmill.storage import Workspace, names_in, publish, read_text, settle
 BLOCK_DOCS, BLOCK_TOKENS, HELD_TOKENS, GROUP_QUERIES = 512, 1_000_000, 4_000_000, 1024
 #: Queries of more distinct terms sum up all lists of their terms; then, postings of a shard of an app, and terms of all queries of a group.
 BOUNDED_TERMS, SHARD_POSTINGS, GROUP_TERMS = 8, 6_000_000, 8_000_000
-#: docs, tf and dl are packed 32-bit integers; ids of the block's row without term are the chunks that docs count from 0.
-_LISTS = "app_id string, block string, term string, n int, total bigint, best_tf array<int>, best_dl array<int>, docs binary, tf binary, dl binary, ids array<string>"
+#: Rows of a table that is broadcast, at most.
+FEW_ROWS = 500_000
+#: docs and tf are the numbers of ``n`` chunks, see _packed. The block's row without term has its chunks' ids, which docs count from 0, and lengths, all its terms,
+#: the chunks of each (df), and all lists one behind the other as docs and tf.
+_LISTS = "app_id string, block string, term string, n int, total bigint, best_tf array<int>, best_dl array<int>, docs binary, tf binary, ids array<string>, lengths binary, terms array<string>, df binary"
 
 
 class BlockIndex(NamedTuple):
@@ -48,11 +54,21 @@ def _impact(tf, dl, avgdl):
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
 
-def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """The lists of ``values`` that end at ``ends``, each as the bytes of its integers, and a null."""
-    offsets = np.concatenate([ends, ends[-1:]]).astype(np.int32) * 4
-    valid = np.packbits(np.arange(len(ends)) < len(ends) - 1, bitorder="little")
-    return pa.Array.from_buffers(pa.binary(), len(ends), [pa.py_buffer(valid.tobytes()), pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.astype(np.int32).tobytes())])
+def _packed(values: np.ndarray) -> np.ndarray:
+    """Numbers from 0 as the smallest kind of integers that holds all of them, as ``_numbers`` reads them."""
+    most = values.max(initial=0)
+    return np.ascontiguousarray(values, np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.int32)
+
+
+def _numbers(packed: bytes, n: int) -> np.ndarray:
+    """``n`` numbers."""
+    return np.frombuffer(packed, {1: np.uint8, 2: np.uint16, 4: np.int32}[len(packed) // n] if n else np.uint8)
+
+
+def _cut(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of each of the lists of ``values`` that end at ``ends``, and of all of them."""
+    lists = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+    return pa.concat_arrays([lists, pa.array([values.tobytes()], pa.binary())])
 
 
 def _block(app, ids: list, tokens: list) -> pa.RecordBatch:
@@ -73,12 +89,15 @@ def _block(app, ids: list, tokens: list) -> pa.RecordBatch:
     best_ends = np.concatenate([[0], np.cumsum(np.bincount(term[best], minlength=n))]).astype(np.int32)
     listed = lambda v: pa.concat_arrays([pa.ListArray.from_arrays(pa.array(best_ends), pa.array(v.astype(np.int32))), pa.nulls(1, pa.list_(pa.int32()))])
     same = lambda x: pa.array([x] * (n + 1), pa.string())
+    own = lambda x, kind: pa.concat_arrays([pa.nulls(n, kind), pa.array([x], kind)])
+    terms = words.dictionary.cast(pa.string())
     columns = [
-        same(app), same(uuid.uuid4().hex), pa.concat_arrays([words.dictionary.cast(pa.string()), pa.nulls(1, pa.string())]), pa.array(np.append(df, len(ids)).astype(np.int32)),
-        pa.array(np.append(np.bincount(term, tf, minlength=n), sizes.sum()).astype(np.int64)), listed(tf[best]), listed(dl[best]), _packed(doc, ends), _packed(tf, ends), _packed(dl, ends),
-        pa.concat_arrays([pa.nulls(n, pa.list_(pa.string())), pa.array([ids], pa.list_(pa.string()))]),
+        same(app), same(uuid.uuid4().hex), pa.concat_arrays([terms, pa.nulls(1, pa.string())]), pa.array(np.append(df, len(ids)).astype(np.int32)),
+        pa.array(np.append(np.bincount(term, tf, minlength=n), sizes.sum()).astype(np.int64)), listed(tf[best]), listed(dl[best]), _cut(_packed(doc), ends), _cut(_packed(tf), ends),
+        own(ids, pa.list_(pa.string())), own(_packed(sizes).tobytes(), pa.binary()), pa.concat_arrays([pa.nulls(n, pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), terms)]),
+        own(_packed(df).tobytes(), pa.binary()),
     ]
-    return pa.RecordBatch.from_arrays(columns, ["app_id", "block", "term", "n", "total", "best_tf", "best_dl", "docs", "tf", "dl", "ids"])
+    return pa.RecordBatch.from_arrays(columns, ["app_id", "block", "term", "n", "total", "best_tf", "best_dl", "docs", "tf", "ids", "lengths", "terms", "df"])
 
 
 def block_lists(chunks: DataFrame) -> DataFrame:
@@ -114,15 +133,16 @@ def _with_statistics(lists: DataFrame) -> BlockIndex:
     size = lists.filter("term is null").groupBy("app_id").agg(F.sum("n").alias("n_docs"), F.sum("total").alias("t"))
     corpus = settle(size.select("app_id", "n_docs", (F.col("t") / F.col("n_docs")).alias("avgdl")))
     df = lists.filter("term is not null").groupBy("app_id", "term").agg(F.sum("n").alias("df"))
-    idf = df.join(corpus.select("app_id", "n_docs"), "app_id").withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    # a row for each app
+    idf = df.join(F.broadcast(corpus.select("app_id", "n_docs")), "app_id").withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     idf = settle(idf.select("app_id", "term", "df", "idf"))
     mean = idf.groupBy("app_id").agg(F.avg("idf").alias("__mean"))
-    terms = idf.join(mean, "app_id").select("app_id", "term", "df", F.when(F.col("idf") < 0, params.BM25_EPSILON * F.col("__mean")).otherwise(F.col("idf")).alias("idf"))
+    terms = idf.join(F.broadcast(mean), "app_id").select("app_id", "term", "df", F.when(F.col("idf") < 0, params.BM25_EPSILON * F.col("__mean")).otherwise(F.col("idf")).alias("idf"))
     return BlockIndex(lists, corpus, terms)
 
 
 def build_index(chunks: DataFrame) -> BlockIndex:
-    return _with_statistics(settle(block_lists(chunks)))
+    return _with_statistics(settle(block_lists(chunks), compression="zstd"))
 
 
 def add_segment(chunks: DataFrame, path: str, name: str) -> None:
@@ -131,7 +151,7 @@ def add_segment(chunks: DataFrame, path: str, name: str) -> None:
     spark = chunks.sparkSession
     if name not in names_in(spark, f"{path}/segments"):
         token = uuid.uuid4().hex
-        block_lists(chunks).write.parquet(f"{path}/data/{token}")
+        block_lists(chunks).write.option("compression", "zstd").parquet(f"{path}/data/{token}")
         publish(spark, f"{path}/segments/{name}", json.dumps({"token": token}))
 
 
@@ -147,11 +167,18 @@ def weigh(index: BlockIndex, queries: DataFrame) -> DataFrame:
     return asked.join(index.terms.select("app_id", "term", "idf"), ["app_id", "term"]).select("query_id", "app_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
 
 
+def _of_terms(lists: DataFrame, asked: DataFrame) -> DataFrame:
+    """Those of the lists that are of a term in ``asked``, picked where they are read if these terms are few."""
+    terms = asked.select("app_id", "term").distinct()
+    return lists.join(F.broadcast(terms) if terms.count() <= FEW_ROWS else terms, ["app_id", "term"], "left_semi")
+
+
 def reach(index: BlockIndex, weighted: DataFrame) -> DataFrame:
     """(query_id, app_id, block, bound): what a chunk of the block can score at most."""
+    lists = _of_terms(index.lists.filter("term is not null").select("app_id", "term", "block", "best_tf", "best_dl"), weighted)
     mean = weighted.join(index.corpus.select("app_id", "avgdl"), "app_id")
     most = F.array_max(F.zip_with("best_tf", "best_dl", lambda tf, dl: _impact(tf, dl, F.col("avgdl"))))
-    met = mean.join(index.lists.filter("term is not null").select("app_id", "term", "block", "best_tf", "best_dl"), ["app_id", "term"])
+    met = mean.join(lists, ["app_id", "term"])
     return met.groupBy("query_id", "app_id", "block").agg(F.sum(F.col("w") * most).alias("bound")).filter("bound > 0")
 
 
@@ -165,7 +192,8 @@ def unpruned(bounds: DataFrame, seeds: DataFrame, found: DataFrame, k: int) -> D
 
 def needed_lists(index: BlockIndex, asked: DataFrame) -> DataFrame:
     """The lists of (app_id, block, term) that some query asks for."""
-    return index.lists.join(asked.select("app_id", "block", "term").distinct(), ["app_id", "block", "term"], "left_semi")
+    lists = _of_terms(index.lists.filter("term is not null").select("app_id", "block", "term", "n", "docs", "tf"), asked)
+    return lists.join(asked.select("app_id", "block", "term").distinct(), ["app_id", "block", "term"], "left_semi")
 
 
 def _searched(index: BlockIndex, weighted: DataFrame, wanted: DataFrame, k: int, work: Workspace) -> DataFrame:
@@ -173,24 +201,25 @@ def _searched(index: BlockIndex, weighted: DataFrame, wanted: DataFrame, k: int,
     sizes = wanted.groupBy("app_id", "block").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("groups"))
     asked = work.settle(wanted.join(weighted, ["query_id", "app_id"]).join(sizes, ["app_id", "block"]))
     right = asked.select("app_id", "block", F.pmod(F.xxhash64("query_id"), "groups").cast("int").alias("g"), "query_id", "term", "w")
-    rows = needed_lists(index, asked).unionByName(index.lists.filter("term is null")).select("app_id", "block", "term", "docs", "tf", "dl", "ids")
+    own = index.lists.filter("term is null").select("app_id", "block", "term", "n", "ids", "lengths")
+    rows = needed_lists(index, asked).unionByName(own, allowMissingColumns=True)
     each = F.explode(F.sequence(F.lit(0), F.col("groups") - 1))
     left = rows.join(asked.select("app_id", "block", "groups").distinct(), ["app_id", "block"]).join(index.corpus.select("app_id", "avgdl"), "app_id").withColumn("g", each).drop("groups")
     kind = weighted.schema["query_id"].dataType.simpleString()
 
-    def numbers(column: pa.ChunkedArray) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), np.int32)
-
     def score(a: pa.Table, b: pa.Table) -> pa.Table:
         out: list[list] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
         query = b.column("query_id").combine_chunks().dictionary_encode() if b.num_rows else None
         whole = pa.array([], pa.string())
         if a.num_rows and b.num_rows:
-            whole = a.filter(pc.is_null(a.column("term"))).column("ids")[0].values
+            own = a.filter(pc.is_null(a.column("term")))
+            whole = own.column("ids")[0].values
+            lengths = _numbers(own.column("lengths")[0].as_py(), len(whole))
             a = a.filter(pc.is_valid(a.column("term")))
         if a.num_rows and b.num_rows:
-            docs, impacts = numbers(a.column("docs")), _impact(numbers(a.column("tf")).astype(np.float64), numbers(a.column("dl")), a.column("avgdl")[0].as_py())
-            ends = np.concatenate([[0], np.cumsum(pc.binary_length(a.column("docs")).to_numpy() // 4)])
+            ends = np.concatenate([[0], np.cumsum(a.column("n").to_numpy())])
+            docs, tf = (_numbers(b"".join(a.column(c).to_pylist()), ends[-1]) for c in ("docs", "tf"))
+            impacts = _impact(tf.astype(np.float64), lengths[docs].astype(np.float64), a.column("avgdl")[0].as_py())
             at = pc.index_in(b.column("term"), a.column("term").combine_chunks()).fill_null(-1).to_numpy()
             of, w = query.indices.to_numpy(), b.column("w").to_numpy()
             order = np.argsort(of, kind="stable")
@@ -225,11 +254,14 @@ def best_of_lists(docs: np.ndarray, impacts: np.ndarray, ends: np.ndarray, n: in
     out: list[list] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
     lo = 0
     for q, size in enumerate(sizes.tolist()):
-        total = np.zeros(n)
-        for t, x in zip(at[lo : lo + size].tolist(), w[lo : lo + size].tolist()):
-            if t >= 0:
-                total[docs[ends[t] : ends[t + 1]]] += x * impacts[ends[t] : ends[t + 1]]
+        own, x = at[lo : lo + size], w[lo : lo + size]
         lo += size
+        own, x = own[own >= 0], x[own >= 0]
+        if not len(own):
+            continue
+        # summed in order of the terms
+        lists = [slice(*e) for e in zip(ends[own].tolist(), ends[own + 1].tolist())]
+        total = np.bincount(np.concatenate([docs[e] for e in lists]), np.repeat(x, ends[own + 1] - ends[own]) * np.concatenate([impacts[e] for e in lists]), minlength=n)
         # those that round to the k-th score or more, then the first k of them
         least = np.partition(total, n - k)[n - k] - 2e-9 if n > k else 0
         good = np.flatnonzero((total >= least) & (total > 0))
@@ -244,37 +276,35 @@ def best_of_lists(docs: np.ndarray, impacts: np.ndarray, ends: np.ndarray, n: in
 def _swept(index: BlockIndex, weighted: DataFrame, k: int) -> DataFrame:
     """(query_id, app_id, chunk_id, score): the k best of each query in each shard of its app's blocks, by all lists of its terms. A query goes
     once to each shard with its terms in one row."""
-    terms = index.lists.filter("term is not null")
+    terms, blocks = index.lists.filter("term is not null"), index.lists.filter("term is null").select("app_id", "block", "ids", "lengths", "terms", "df", "docs", "tf")
     nc = terms.groupBy("app_id").agg(F.ceil(F.sum("n") / SHARD_POSTINGS).alias("__c"))
     nq = weighted.groupBy("app_id").agg(F.ceil(F.count("*") / GROUP_TERMS).alias("__q"))
     n = F.broadcast(nc.join(nq, "app_id").join(index.corpus.select("app_id", "avgdl"), "app_id"))  # a row for each app
     deal = lambda c, m: F.pmod(F.xxhash64(c), F.col(m)).cast("int")
     each = lambda m: F.explode(F.sequence(F.lit(0), (F.col(m) - 1).cast("int")))
     asked = weighted.groupBy("query_id", "app_id").agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("t")).select("query_id", "app_id", F.col("t.term").alias("terms"), F.col("t.w").alias("w"))
-    rows = index.lists.select("app_id", "block", "term", "docs", "tf", "dl", "ids").join(F.broadcast(n.drop("avgdl")), "app_id")
-    left = rows.withColumn("shard", deal("block", "__c")).withColumn("g", each("__q")).drop("__c", "__q")
+    left = blocks.join(F.broadcast(n.drop("avgdl")), "app_id").withColumn("shard", deal("block", "__c")).withColumn("g", each("__q")).drop("__c", "__q")
     right = asked.join(n, "app_id").withColumn("g", deal("query_id", "__q")).withColumn("shard", each("__c")).drop("__c", "__q")
     kind = weighted.schema["query_id"].dataType.simpleString()
 
-    def numbers(column: pa.ChunkedArray) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), np.int32)
-
     def score(a: pa.Table, b: pa.Table) -> pa.Table:
         which, hit, scores, ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), pa.array([], pa.string())
         if a.num_rows and b.num_rows:
-            own = a.filter(pc.is_null(a.column("term")))
-            held, a = own.column("ids").combine_chunks(), a.filter(pc.is_valid(a.column("term")))
+            held = a.column("ids").combine_chunks()
             order = pc.array_sort_indices(held.flatten())
             ids = held.flatten().take(order)
-            place = np.empty(len(ids), np.int64)
-            place[order.to_numpy()] = np.arange(len(ids))
-            starts = np.concatenate([[0], np.cumsum(pc.list_value_length(held).to_numpy())])
-            of = pc.index_in(a.column("block"), own.column("block").combine_chunks()).to_numpy()
-            sizes = pc.binary_length(a.column("docs")).to_numpy() // 4
-            docs = place[numbers(a.column("docs")) + np.repeat(starts[of], sizes)]
-            impacts = _impact(numbers(a.column("tf")).astype(np.float64), numbers(a.column("dl")), b.column("avgdl")[0].as_py())
-            words = a.column("term").combine_chunks().dictionary_encode()
-            term = np.repeat(words.indices.to_numpy(), sizes)
+            place = np.empty(len(ids), np.int32)
+            place[order.to_numpy()] = np.arange(len(ids), dtype=np.int32)
+            words, avgdl = a.column("terms").combine_chunks().flatten().dictionary_encode(), b.column("avgdl")[0].as_py()
+            docs, impacts, df, first = [], [], [], 0
+            for n, terms, *packed in zip(pc.list_value_length(held).to_pylist(), pc.list_value_length(a.column("terms")).to_pylist(), *(a.column(c).to_pylist() for c in ("lengths", "df", "docs", "tf"))):
+                df.append(_numbers(packed[1], terms))
+                own, tf = (_numbers(x, int(df[-1].sum(dtype=np.int64))) for x in packed[2:])
+                docs.append(place[first : first + n][own])
+                impacts.append(_impact(tf.astype(np.float64), _numbers(packed[0], n)[own].astype(np.float64), avgdl))
+                first += n
+            docs, impacts = np.concatenate(docs), np.concatenate(impacts)
+            term = np.repeat(words.indices.to_numpy(), np.concatenate(df))
             by_term = np.argsort(term, kind="stable")
             ends = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(words.dictionary)))])
             asked = b.column("terms").combine_chunks()

@@ -119,6 +119,14 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk_id, app_id, text): the rows of ``chunks``; no text is shuffled, as embeddings only say which chunks are there several times."""
+    d, e = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "embeddings"))
+    several = e.groupBy("vec_id").agg(F.count("*").cast("int").alias("n")).filter("n > 1")
+    rows = d.join(F.broadcast(several), F.col("doc_id") == F.col("vec_id"), "left").withColumn("n", F.explode(F.sequence(F.lit(1), F.coalesce("n", F.lit(1)))))
+    return rows.select(F.col("doc_id").cast("string").alias("chunk_id"), F.concat(F.lit("app"), (F.col("doc_id") % 3).cast("string")).alias("app_id"), "text")
+
+
 def retrieval_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every 25th vector with the whole text of its document."""
     c = chunks(spark, sf_dir).filter("embedding is not null and cast(chunk_id as bigint) % 25 = 0")

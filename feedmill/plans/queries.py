@@ -213,11 +213,11 @@ def vector_topk_quantised(spark, sf_dir):
 
 def bm25_topk_postings(spark, sf_dir):
     """The same top k by all postings of the queries' terms."""
-    return retrieval.bm25_topk(A.chunks(spark, sf_dir), A.retrieval_queries(spark, sf_dir)).select("query_id", "app_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return retrieval.bm25_topk(A.chunk_texts(spark, sf_dir), A.retrieval_queries(spark, sf_dir)).select("query_id", "app_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 def bm25_topk(spark, sf_dir):
-    return blockmax.search(blockmax.build_index(A.chunks(spark, sf_dir)), A.retrieval_queries(spark, sf_dir)).select("query_id", "app_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return blockmax.search(blockmax.build_index(A.chunk_texts(spark, sf_dir)), A.retrieval_queries(spark, sf_dir)).select("query_id", "app_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 def _lists(spark, sf_dir):

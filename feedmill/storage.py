@@ -77,10 +77,10 @@ def _remove_at_end(spark: SparkSession, path: str) -> None:
         pass
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
+def settle(df: DataFrame, **options) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, which cuts its lineage. ``options`` are the writer's."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

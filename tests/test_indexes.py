@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from feedmill.operators import blockmax, ivfpq, retrieval
+from feedmill.plans import adapters
 
 CHUNK = "app_id string, chunk_id string, text string"
 QUERY = "app_id string, query_id string, query_text string"
@@ -130,6 +131,41 @@ def test_long_queries_go_to_shards_whole(spark, monkeypatch):
     assert got == sorted(want)
 
 
+def test_search_shuffles_less_than_the_texts(spark, monkeypatch):
+    """Blocks go to shards once, as one row each; lists of terms that no short query asks for are shuffled nowhere, also where tables are too large to broadcast."""
+    monkeypatch.setattr(blockmax, "BLOCK_DOCS", 64)
+    rnd = random.Random(3)
+    words = lambda i: " ".join([f"own{i}x{j}" for j in range(60)] + [f"w{min(int(rnd.paretovariate(0.5)), 500)}" for _ in range(60)])
+    rows = [(f"app{i % 2}", f"c{i}", words(i)) for i in range(4_000)]
+    chunks, store = spark.createDataFrame(rows, CHUNK).repartition(4), spark.sparkContext._jsc.sc().statusStore()
+    queries = spark.createDataFrame([(a, f"q{c}", t) for a, c, t in rows[:12]] + [("app0", "s1", "w1 w7"), ("app1", "s2", "w3")], QUERY)
+    want = ranked(retrieval.bm25_topk(chunks, queries))
+    index, small = blockmax.build_index(chunks), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(blockmax, "weigh", lambda *_, w=blockmax.settle(blockmax.weigh(index, queries)): w)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = lambda: (spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(), store.executorSummary("driver").totalShuffleWrite())[1]
+        before = shuffled()
+        assert ranked(blockmax.search(index, queries)) == want
+        assert shuffled() - before < sum(len(t) for _, _, t in rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    many = np.arange(70_000) % 65_000
+    for top in (0, 255, 256, 65_535, 65_536):
+        packed = blockmax._packed(np.append(many[many <= top], top))
+        assert packed.itemsize == (1 if top < 256 else 2 if top < 65_536 else 4) and (blockmax._numbers(packed.tobytes(), len(packed)) == packed).all() and packed[-1] == top
+    assert len(blockmax._numbers(b"", 0)) == 0
+
+
+def test_chunk_texts_are_those_of_the_chunks(spark, tmp_path):
+    """A vector that is there twice repeats its chunk in both."""
+    spark.createDataFrame([(0, "a b"), (1, None), (2, "c"), (None, "d")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, [1.0]), (2, [1.0]), (2, [2.0]), (9, [1.0]), (None, [1.0]), (None, [2.0])], "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    own = adapters.chunk_texts(spark, str(tmp_path))
+    key = lambda r: str(tuple(r))
+    assert sorted(own.collect(), key=key) == sorted(adapters.chunks(spark, str(tmp_path)).select(*own.columns).collect(), key=key) and own.count() == 5
+
+
 reach = blockmax.reach
 
 
